@@ -33,7 +33,7 @@ from .common import partitions, written
 
 MIN, K = 50, 12
 CHUNK = 4 << 20  # bytes of text that a task works on at once
-SHARD = 8 << 20  # bytes of strings that a shard holds, about
+SHARD = 5 << 20  # bytes of strings that a shard holds, about
 RUN = 512  # windows of one string at most
 LAST = (1 << 63) - 1  # stands for a null doc_id
 BROADCAST = 64 << 20  # bytes of spans that may be broadcast
