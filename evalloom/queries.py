@@ -142,10 +142,10 @@ def count_score_modes(spark, d):
     return scored(spark, d).groupBy("cw", "precise", "described").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("cnt"), 9).alias("mean_count"))
 
 
-@query("placement_binary_score", f"WITH {SAMPLES} SELECT sid, round(0.5 * loc + 0.5 * coalesce(((u % 2 = 0) = precise)::INTEGER, 0), 9) AS score FROM sc WHERE ord = 22")
+@query("placement_binary_score", f"WITH {SAMPLES} SELECT sc.sid, round(0.5::DOUBLE * l.loc + 0.5::DOUBLE * coalesce(((u % 2 = 0) = precise)::INTEGER, 0), 9) AS score FROM sc JOIN loc AS l ON l.sid = sc.sid WHERE ord = 22")
 def placement_binary_score(spark, d):
     s = scored(spark, d).where("leaf = 'PlacementRegion'")
-    return s.select("sid", F.round(0.5 * F.round("loc", 9) + 0.5 * F.coalesce(scores.binary(F.col("user_id") % 2 == 0, F.col("precise")), F.lit(0.0)), 9).alias("score"))
+    return s.select("sid", F.round(0.5 * F.col("loc") + 0.5 * F.coalesce(scores.binary(F.col("user_id") % 2 == 0, F.col("precise")), F.lit(0.0)), 9).alias("score"))
 
 
 @query("invalid_flagging", f"WITH {SAMPLES}, {TAXONOMY} SELECT leaf, count(*) AS n, sum(bad::INTEGER)::BIGINT AS n_invalid, sum((no_answer AND gt_empty AND loc = 1.0)::INTEGER)::BIGINT AS n_credited FROM sc JOIN tax USING (ord) GROUP BY leaf")
