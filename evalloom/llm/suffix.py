@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import partitions, written
 
 MIN, K = 50, 12
-CHUNK = 4 << 20  # bytes of text that a task works on at once
+CHUNK = 2 << 20  # bytes of text that a task works on at once
 SHARD = 5 << 20  # bytes of strings that a shard holds, about
 RUN = 512  # windows of one string at most
 LAST = (1 << 63) - 1  # stands for a null doc_id
@@ -43,11 +43,16 @@ U = np.uint64
 def kmer_hashes(a: np.ndarray) -> np.ndarray:
     """A mixed 64-bit number for each K-byte substring of ``a`` (uint8), len(a) - K + 1 of them."""
     n = len(a) - K + 1
-    h = np.ndarray((n,), "<u8", a, strides=(1,)) * U(0x9E3779B97F4A7C15)
-    h ^= np.ndarray((n,), "<u4", a, 8, strides=(1,)).astype(U) * U(0xC2B2AE3D27D4EB4F)
-    h ^= h >> U(31)
-    h *= U(0xD6E8FEB86659FD93)
-    h ^= h >> U(32)
+    h = np.array(np.ndarray((n,), "<u8", a, strides=(1,)))
+    h *= U(0x9E3779B97F4A7C15)
+    t = np.ndarray((n,), "<u4", a, 8, strides=(1,)).astype(U)
+    t *= U(0xC2B2AE3D27D4EB4F)
+    h ^= t
+    for shift in (31, 32):
+        np.right_shift(h, U(shift), out=t)
+        h ^= t
+        if shift == 31:
+            h *= U(0xD6E8FEB86659FD93)
     return h
 
 
@@ -64,8 +69,10 @@ class Sums:
     """Order-sensitive hashes of any stretch of k-mers, from two running sums."""
 
     def __init__(self, h: np.ndarray):
-        self.one = np.concatenate([np.zeros(1, U), np.cumsum(h)])
-        self.two = np.concatenate([np.zeros(1, U), np.cumsum(h * np.arange(len(h), dtype=U))])
+        self.one, self.two = np.zeros(len(h) + 1, U), np.zeros(len(h) + 1, U)
+        np.cumsum(h, out=self.one[1:])
+        np.multiply(h, np.arange(len(h), dtype=U), out=self.two[1:])
+        np.cumsum(self.two[1:], out=self.two[1:])
 
     def of(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
         s = self.one[stop] - self.one[start]
@@ -150,8 +157,10 @@ def interval_groups(t: np.ndarray, least: int = MIN) -> np.ndarray:
         after[: max(0, n - size)] = rank[size:]
         key = (rank << U(32)) | after
         size *= 2
-    sa = order
-    bwt = t[sa - 1]  # of the first place: the last symbol
+    # the empty suffix comes first; the symbol before the whole text is an end mark below all others
+    sa = np.concatenate([[n], order])
+    bwt = t.astype(np.int16)[sa - 1]
+    bwt[sa == 0] = -1
     psi = np.argsort(bwt, kind="stable")  # the inverse of the LF mapping
     first = bwt[psi]
     closed = np.concatenate([[True], first[1:] != first[:-1]])  # common prefix 0
@@ -164,9 +173,9 @@ def interval_groups(t: np.ndarray, least: int = MIN) -> np.ndarray:
         apart = group[psi[open_]] != group[psi[open_ - 1]]
         closed[open_[apart]] = True
         open_ = open_[~apart]
-    out = np.empty(n, np.int64)
+    out = np.empty(n + 1, np.int64)
     out[sa] = np.cumsum(closed) - 1
-    return out
+    return out[:n]
 
 
 def _cut(keys: list[int], tags: list[int], data: list[tuple[int, int, bytes]], shards: int, buckets: int) -> Iterator[tuple[int, bytes]]:
@@ -184,16 +193,19 @@ def _cut(keys: list[int], tags: list[int], data: list[tuple[int, int, bytes]], s
     if n >= MIN:
         h = kmer_hashes(whole[:n])
         owner = sliding_min(h, MIN - K + 1)
-        piece = np.repeat(np.arange(len(data)), np.maximum(sizes - MIN + 1, 0))
-        at = spread(begin, np.maximum(sizes - MIN + 1, 0))
+        windows = np.maximum(sizes - MIN + 1, 0)
+        piece = np.repeat(np.arange(len(data), dtype=np.int32), windows)
+        at = spread(begin, windows).astype(np.int32)
         if len(at):
             own = owner[at]
+            del owner
             head = np.concatenate([[True], (own[1:] != own[:-1]) | (piece[1:] != piece[:-1])])
             runs = np.nonzero(head)[0]
-            pos = np.arange(len(at)) - np.repeat(runs, np.diff(np.append(runs, len(at))))
+            pos = np.arange(len(at), dtype=np.int32) - np.repeat(runs.astype(np.int32), np.diff(np.append(runs, len(at))))
             runs = np.nonzero(head | (pos % RUN == 0))[0]
             lens = np.diff(np.append(runs, len(at))) + MIN - 1
-            start, mine, part = at[runs], own[runs], piece[runs]
+            start, mine, part = at[runs].astype(np.int64), own[runs], piece[runs]
+            del own, head, pos, piece, at
             doc = np.array([x[0] for x in data])[part]
             off = start - begin[part] + np.array([x[1] for x in data])[part]
             same = equal_strings(whole, start, lens, Sums(h).of(start, start + lens - K + 1))
@@ -202,6 +214,7 @@ def _cut(keys: list[int], tags: list[int], data: list[tuple[int, int, bytes]], s
             late = key[doc] > least[same]
             gone = merged(doc[late], off[late], (off + lens)[late])
             doc, off, lens, start, mine = (x[~late] for x in (doc, off, lens, start, mine))
+        del h
     shard = ((mine >> U(20)) % U(shards)).astype(np.int64)
     gone_shard = key[gone[0]] % buckets % shards
     tag = np.array(tags, np.int64)
@@ -262,8 +275,8 @@ def _shard_spans(blocks: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarra
         # of each different string the first; windows that two of them have, or one has twice
         rep = np.nonzero(same == np.arange(len(same)))[0]
         windows = spread(start[rep], lens[rep] - MIN + 1)
-        w = sums.of(windows, windows + MIN - K + 1)
-        del sums
+        w = np.concatenate([sums.of(x, x + MIN - K + 1) for x in np.array_split(windows, 1 + len(windows) // 500_000)])
+        del sums, windows
         s = np.sort(w)
         twice = np.unique(s[1:][s[1:] == s[:-1]])
         del s
