@@ -60,6 +60,8 @@ class Trees:
 
     def __init__(self, langs: list[str], grams: dict[str, tuple[np.ndarray, np.ndarray]]):
         self.langs = langs
+        if not langs:
+            return
         every = [(g.astype(np.int64), n.astype(np.float64)) for g, n in (grams[x] for x in langs)]
         size = len(langs)
         # order -1: all bytes alike

@@ -33,6 +33,8 @@ LOOKALIKES = ("авсԁеһіјӏкмоԛѕтурѵхᴀᴇɪᴏᴜαβεικν
 DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"}
 MAX_PER_CLASS = 4000  # the bound of the labelled sample, per class
 LIMIT = 0.7
+MOST_HITS = 4  # hits of one entry that count in a text, and one more for each 100 words
+MOST_WORDS = 2000  # words that the normalisation by length counts at most
 
 
 class _Fold(dict):
@@ -105,10 +107,12 @@ def _lexicon(stats: dict[str, tuple[int, int, int, int]]) -> tuple[dict[str, flo
     if not d0 or not d1:
         return weights, 0.0
     rate0, rate1 = {}, {}
-    for f, (c0, _, c1, k1) in stats.items():
+    for f, (c0, k0, c1, k1) in stats.items():
         if f and k1 >= max(6, 0.01 * d1):
             a, b = (c1 + 0.5) / (n1 + 1), (c0 + 0.5) / (n0 + 1)
-            if a / b >= 4 and (c1 - b * n1) >= 4 * math.sqrt(b * n1 + 1):
+            # documents decide what is significant: words repeated within one document prove little
+            usual = (k0 + 0.5) / (d0 + 1) * d1
+            if a / b >= 3 and k1 >= 2 * usual and k1 - usual >= 4 * math.sqrt(usual + 1):
                 rate1[f], rate0[f] = a, b
     # of nested entries the one that explains most stays: whole words and longer starts win near-ties
     chosen: dict[str, float] = {}
@@ -127,19 +131,18 @@ def _lexicon(stats: dict[str, tuple[int, int, int, int]]) -> tuple[dict[str, flo
 def _evidence(automaton: ahocorasick.Automaton, chance: float, text: str) -> tuple[float, int]:
     """Length-normalised weight of the hits, and their number."""
     folded = fold(text)
-    total, hits, shut, found = 0.0, 0, -1, []
-    for end, (size, weight) in automaton.iter(folded):
-        start = end - size + 1
+    shut, found = -1, []
+    for end, (feature, weight) in automaton.iter(folded):
+        start = end - len(feature) + 1
         if weight is None:
             while found and found[-1][0] >= start:
-                total -= found.pop()[1]
-                hits -= 1
+                found.pop()
             shut = max(shut, end)
         elif start >= shut:
-            found.append((start, weight))
-            total += weight
-            hits += 1
-    return total - chance * folded.count(" "), hits
+            found.append((start, feature, weight))
+    words = folded.count(" ")
+    total = sum(w * min(n, MOST_HITS + words // 100) for (_, w), n in Counter((f, w) for _, f, w in found).items())
+    return total - chance * min(words, MOST_WORDS), len(found)
 
 
 class Toxicity:
@@ -156,10 +159,10 @@ class Toxicity:
         if self._automaton is None:
             self._automaton = ahocorasick.Automaton()
             for f, w in self.weights.items():
-                self._automaton.add_word(f, (len(f), w))
+                self._automaton.add_word(f, (f, w))
             for p in EXCEPTIONS:
                 p = f" {' '.join(fold(p).split())} "
-                self._automaton.add_word(p, (len(p), None))
+                self._automaton.add_word(p, (p, None))
             self._automaton.make_automaton()
         return _evidence(self._automaton, self.chance, text)
 
