@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import zipfile
+
 from pyspark.sql import SparkSession
 
 
@@ -13,4 +16,18 @@ def session(master: str | None = None, app: str = "evalloom", **conf) -> SparkSe
     base = {"spark.sql.ansi.enabled": "true", "spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.skewJoin.enabled": "true", "spark.sql.session.timeZone": "UTC", "spark.sql.mapKeyDedupPolicy": "LAST_WIN"}
     for k, v in (base | {k.replace("__", "."): v for k, v in conf.items()}).items():
         b = b.config(k, v)
-    return b.getOrCreate()
+    return ship(b.getOrCreate())
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Sends this package to the Python workers, once a context: they need not have it installed."""
+    context, name = spark.sparkContext, f"{__package__}.zip"
+    if name not in context._python_includes:
+        root = os.path.dirname(os.path.abspath(__file__))
+        path = os.path.join(context._temp_dir, name)  # the driver serves it from there until the context stops
+        with zipfile.ZipFile(path, "w") as z:
+            for folder, _, files in os.walk(root):
+                for f in (os.path.join(folder, f) for f in files if f.endswith(".py")):
+                    z.write(f, os.path.relpath(f, os.path.dirname(root)))
+        context.addPyFile(path)
+    return spark
