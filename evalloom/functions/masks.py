@@ -64,14 +64,18 @@ def coverage(a: Column, b: Column) -> Column:
     """struct<both, any: long>: pixels in both and in either of two run lists, by one ordered sweep over run ends.
 
     Overlapping runs of one list count once, so unions need no step of their own. It stays within the row: no shuffle.
+    An event is one long, position times 4 plus its kind, which sorts as a primitive.
     """
-    ends = lambda runs, da, db: F.flatten(F.transform(runs, lambda r: F.array(F.struct(r["s"].alias("p"), F.lit(da).alias("a"), F.lit(db).alias("b")), F.struct(r["e"].alias("p"), F.lit(-da).alias("a"), F.lit(-db).alias("b")))))
-    events = F.array_sort(F.concat(ends(a, 1, 0), ends(b, 0, 1)))
+    at = lambda r, field, kind: r[field].cast("long") * 4 + kind
+    ends = lambda runs, field, kind: F.transform(runs, lambda r: at(r, field, kind))
+    events = F.sort_array(F.concat(ends(a, "s", 0), ends(a, "e", 1), ends(b, "s", 2), ends(b, "e", 3)))
 
     def step(t, x):
-        size = (x["p"] - t["p"]).cast("long")
+        place, kind = F.shiftright(x, 2).cast("int"), x.bitwiseAND(F.lit(3).cast("long"))
+        size = (place - t["p"]).cast("long")
         both, either = (t["a"] > 0) & (t["b"] > 0), (t["a"] > 0) | (t["b"] > 0)
-        return F.struct(x["p"].alias("p"), (t["a"] + x["a"]).alias("a"), (t["b"] + x["b"]).alias("b"), (t["both"] + F.when(both, size).otherwise(0)).alias("both"), (t["any"] + F.when(either, size).otherwise(0)).alias("any"))
+        da, db = F.when(kind == 0, 1).when(kind == 1, -1).otherwise(0), F.when(kind == 2, 1).when(kind == 3, -1).otherwise(0)
+        return F.struct(place.alias("p"), (t["a"] + da).alias("a"), (t["b"] + db).alias("b"), (t["both"] + F.when(both, size).otherwise(0)).alias("both"), (t["any"] + F.when(either, size).otherwise(0)).alias("any"))
 
     zero = F.struct(F.lit(0).alias("p"), F.lit(0).alias("a"), F.lit(0).alias("b"), F.lit(0).cast("long").alias("both"), F.lit(0).cast("long").alias("any"))
     return F.aggregate(events, zero, step, lambda t: F.struct(t["both"].alias("both"), t["any"].alias("any")))

@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.coords import let
+
 
 def compare_models(a: DataFrame, b: DataFrame, key: str, score: str) -> DataFrame:
     """Rows of both runs with score_1, score_2 and delta."""
@@ -78,15 +80,19 @@ def rolling_windows(tokens: Column, size: int, context: int = 1) -> Column:
     The first window predicts ``size`` tokens from the start token's place on, later ones ``size - context + 1`` each.
     """
     step = size - context + 1
-    n = F.size(tokens)
-    starts = F.when(n <= size, F.array(F.lit(0))).otherwise(F.concat(F.array(F.lit(0)), F.sequence(F.lit(size), n - 1, F.lit(step))))
 
-    def one(s):
-        end = F.least(n, s + F.when(s == 0, size).otherwise(step))
-        begin = F.when(s == 0, 0).otherwise(F.greatest(F.lit(0), end - size - 1))
-        return F.struct(F.slice(tokens, begin + 1, s - begin).alias("context"), F.slice(tokens, s + 1, end - s).alias("target"))
+    def windows(x):  # the tokens and their number are evaluated once, not for each window
+        n = x["n"]
+        starts = F.when(n <= size, F.array(F.lit(0))).otherwise(F.concat(F.array(F.lit(0)), F.sequence(F.lit(size), n - 1, F.lit(step))))
+
+        def one(s):
+            end = F.least(n, s + F.when(s == 0, size).otherwise(step))
+            begin = F.when(s == 0, 0).otherwise(F.greatest(F.lit(0), end - size - 1))
+            return F.struct(F.slice(x["t"], begin + 1, s - begin).alias("context"), F.slice(x["t"], s + 1, end - s).alias("target"))
+
+        return F.when(n > 0, F.transform(starts, one))
 
-    return F.when(n > 0, F.transform(starts, one))
+    return let(let(tokens, lambda t: F.struct(t.alias("t"), F.size(t).alias("n"))), windows)
 
 
 def segment_frames(first: Column, last: Column, count: int) -> Column:

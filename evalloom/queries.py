@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from .functions import coords, masks, metrics, scores, text
 from .operators import filters, path, prompts, relational, report
 from .plans import catalog
+from .sources import readers
 from .streaming import incremental
 
 W, H = 48, 32
@@ -55,7 +56,7 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     two = box((e * 3) % 40, (u * 3) % 26, (e * 3) % 40 + 6, (u * 3) % 26 + 5)
     boxes = F.when(e % 19 == 0, F.array().cast("array<array<double>>")).when(e % 3 == 0, F.array(one, two)).otherwise(F.array(one))
     truth = F.array(F.struct(*[c.cast("int").alias(n) for n, c in (("x1", gx), ("y1", gy), ("x2", gx + 4 + e % 16), ("y2", gy + 3 + u % 12))]))
-    return read(spark, sf_dir, "events").select(
+    return readers.spread(read(spark, sf_dir, "events"), "event_id").select(
         F.col("event_id").alias("sid"), "user_id", "event_type", "value", "ts", (e % 23).cast("int").alias("ord"), mode.alias("mode"), boxes.alias("boxes"), truth.alias("truth"), (e % 17 == 0).alias("gt_empty"), (e % 19 == 0).alias("no_answer"),
         (1 + e % 4).cast("int").alias("gt_count"), F.when(e % 19 != 0, 1 + u % 4).cast("int").alias("pred_count"), (e % 2 == 0).alias("precise"), (e % 3 == 0).alias("described"),
     )
@@ -386,9 +387,10 @@ def shard_stride(spark, d):
     SELECT doc_id, n::INTEGER AS n_tokens, CASE WHEN n = 0 THEN 0 WHEN n <= 64 THEN 1 ELSE 1 + ceil((n - 64) / 64.0)::INTEGER END::INTEGER AS n_windows, n::INTEGER AS n_predicted FROM t""")
 def rolling_windows(spark, d):
     words = F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0))
-    x = read(spark, d, "documents").where("text is not null").select("doc_id", F.size(words).alias("n_tokens"), relational.rolling_windows(F.sequence(F.lit(1), F.size(words)), 64).alias("w"), (F.size(words) == 0).alias("none"))
-    n = F.when(F.col("none"), 0).otherwise(F.size("w"))
-    return x.select("doc_id", "n_tokens", n.alias("n_windows"), F.when(F.col("none"), 0).otherwise(F.aggregate("w", F.lit(0), lambda a, y: a + F.size(y["target"]))).alias("n_predicted"))
+    x = readers.spread(read(spark, d, "documents"), "doc_id").where("text is not null").select("doc_id", F.size(words).alias("n_tokens"))
+    x = x.select("*", relational.rolling_windows(F.sequence(F.lit(1), F.greatest("n_tokens", F.lit(1))), 64).alias("w"))
+    some = lambda c: F.when(F.col("n_tokens") == 0, 0).otherwise(c)
+    return x.select("doc_id", "n_tokens", some(F.size("w")).alias("n_windows"), some(F.aggregate("w", F.lit(0), lambda a, y: a + F.size(y["target"]))).alias("n_predicted"))
 
 
 @query("length_reorder_restore", "SELECT doc_id, n_chars, source, rank() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS place FROM documents")

@@ -70,3 +70,14 @@ def expected_counts(spark: SparkSession, path: str) -> DataFrame:
 def with_split(frames: dict[str, DataFrame]) -> DataFrame:
     """All splits together, each row with its split's name."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [f.withColumn("split", F.lit(s)) for s, f in frames.items()])
+
+
+def spread(df: DataFrame, key: str, small: int = 64 << 20) -> DataFrame:
+    """Deals a small scan by ``key`` over the session's shuffle partitions; a larger one has splits enough and stays.
+
+    One row group is one task however many cores there are, so rows that are costly to compute go to all of them. Only
+    the size that the file listing tells decides; the rows are the same either way.
+    """
+    spark = df.sparkSession
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), key) if size < small else df

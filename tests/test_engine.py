@@ -174,3 +174,41 @@ def test_names_are_neutral():
         for f in files:
             if f.endswith(".py"):
                 assert not re.search(r"lmms|epic_eval", open(os.path.join(d, f)).read())
+
+
+def test_package_reaches_workers(spark):
+    import os
+
+    from pyspark.sql import functions as F
+
+    from evalloom.session import ship
+
+    ship(ship(spark))
+    assert spark.sparkContext._python_includes.count("evalloom.zip") == 1
+
+    @F.pandas_udf("string")
+    def where(x):
+        import evalloom
+
+        return x.map(lambda _: os.path.dirname(os.path.dirname(evalloom.__file__)))
+
+    assert "evalloom.zip" in spark.range(1).select(where(F.col("id").cast("string"))).first()[0]
+
+
+def test_spread_keeps_rows(spark):
+    from evalloom.sources.readers import spread
+
+    x = spark.range(0, 1000, 1, 1)
+    assert spread(x, "id").rdd.getNumPartitions() == 4
+    assert sorted(r.id for r in spread(x, "id").collect()) == list(range(1000))
+    assert spread(x, "id", small=1).rdd.getNumPartitions() == 1
+
+
+def test_rolling_windows_cover_every_token_once(spark):
+    from pyspark.sql import functions as F
+
+    from evalloom.operators import relational
+
+    for n in (0, 1, 5, 6, 7, 23):
+        w = spark.range(1).select(relational.rolling_windows(F.array(*map(F.lit, range(n))) if n else F.array().cast("array<int>"), 6, 2).alias("w")).first()[0]
+        assert [t for x in w or [] for t in x["target"]] == list(range(n))
