@@ -1,7 +1,8 @@
 """Toxicity: a weighted lexicon, matched by Aho-Corasick after folding homoglyphs and digit substitutions.
 
-Weights are log rate ratios learned from a bounded sample of labelled rows. A document's evidence is the weighted
-number of its hits, less what as many words would show by chance (the normalisation by length); a logistic curve,
+Weights are log rate ratios learned from a bounded sample of labelled rows, in which copies of a text, exact or near,
+share the weight of one row. Entries are taken one at a time, each for the toxic rows that none before it explains, so
+that words which only go along with a toxic one stay out. A document's evidence is the weighted number of its hits, less what as many words would show by chance (the normalisation by length); a logistic curve,
 fitted on the same sample, turns evidence into a score. Hits inside an exception phrase don't count.
 
 Defined results: a null or empty text has no hits and gets the curve's value there; words longer than 64 letters match
@@ -18,6 +19,7 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +34,8 @@ LOOKALIKES = ("авсԁеһіјӏкмоԛѕтурѵхᴀᴇɪᴏᴜαβεικν
 # Digits and signs written for letters.
 DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"}
 MAX_PER_CLASS = 4000  # the bound of the labelled sample, per class
+MOST_TIMES = 20  # occurrences in one row that count when entries are chosen
+MAX_CANDIDATES = 3000  # the most significant features that may become entries
 LIMIT = 0.7
 MOST_HITS = 4  # hits of one entry that count in a text, and one more for each 100 words
 MOST_WORDS = 2000  # words that the normalisation by length counts at most
@@ -83,48 +87,87 @@ def _features(words: list[str]) -> Counter:
     return out
 
 
+def _copy_key(words: list[str]) -> int:
+    """The least hash of the five-word runs: equal for copies and most near copies, hardly ever for unrelated texts."""
+    return min((xxhash.xxh64_intdigest(" ".join(words[i : i + 5])) for i in range(max(1, len(words) - 4))), default=0) >> 1
+
+
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield pa.RecordBatch.from_pydict({"text": b.column("text"), "toxic": b.column("toxic"), "copies": pa.array([_copy_key(fold(t).split()) for t in texts(b.column("text"))], pa.int64())})
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: dict = {0: Counter(), 1: Counter()}
     docs: dict = {0: Counter(), 1: Counter()}
     for b in batches:
-        for text, label in zip(texts(b.column("text")), b.column("toxic").to_pylist(), strict=True):
-            f = _features(fold(text).split())
-            counts[label].update(f)
-            docs[label].update(f.keys())
-            counts[label][""] += sum(n for w, n in f.items() if w.endswith(" "))
-            docs[label][""] += 1
+        for text, label, share in zip(texts(b.column("text")), b.column("toxic").to_pylist(), b.column("share").to_pylist(), strict=True):
+            mine, in_docs = counts[label], docs[label]
+            for f, n in _features(fold(text).split()).items():
+                mine[f] += n * share
+                in_docs[f] += share
+                if f.endswith(" "):
+                    mine[""] += n * share
+            in_docs[""] += share
     for label in (0, 1):
-        names = list(counts[label])
+        names = [f for f in docs[label]]
         for i in range(0, len(names), 50_000):
             part = names[i : i + 50_000]
-            yield pa.RecordBatch.from_pydict({"feature": part, "label": pa.array([label] * len(part), pa.int32()), "n": [counts[label][x] for x in part], "docs": [docs[label][x] for x in part]})
-
-
-def _lexicon(stats: dict[str, tuple[int, int, int, int]]) -> tuple[dict[str, float], float]:
-    """Entries with weights, and the expected evidence of one word. stats: n and documents in clean, then in toxic rows."""
-    n0, d0, n1, d1 = stats.get("", (0, 0, 0, 0))
-    weights = {f" {fold(w).strip()} ": 3.0 for w in SEEDS}
-    if not d0 or not d1:
-        return weights, 0.0
-    rate0, rate1 = {}, {}
-    for f, (c0, k0, c1, k1) in stats.items():
-        if f and k1 >= max(6, 0.01 * d1):
-            a, b = (c1 + 0.5) / (n1 + 1), (c0 + 0.5) / (n0 + 1)
-            # documents decide what is significant: words repeated within one document prove little
-            usual = (k0 + 0.5) / (d0 + 1) * d1
-            if a / b >= 3 and k1 >= 2 * usual and k1 - usual >= 4 * math.sqrt(usual + 1):
-                rate1[f], rate0[f] = a, b
-    # of nested entries the one that explains most stays: whole words and longer starts win near-ties
-    chosen: dict[str, float] = {}
-    gain = lambda f: rate1[f] * math.log(rate1[f] / rate0[f]) - (rate1[f] - rate0[f])
-    for f in sorted(rate1, key=lambda f: (-gain(f) * (1.1 if f.endswith(" ") else 1 + 0.005 * len(f)), f)):
-        stem = f.rstrip()
-        if not any(stem.startswith(g.rstrip()) or (not f.endswith(" ") and g.startswith(f)) for g in chosen if g[:4] == stem[:4]):
-            chosen[f] = math.log(rate1[f] / rate0[f])
-    chance = sum(rate1[f] - rate0[f] for f in chosen)
-    for f, w in weights.items():
+            yield pa.RecordBatch.from_pydict({"feature": part, "label": pa.array([label] * len(part), pa.int32()), "n": [float(counts[label][x]) for x in part], "docs": [docs[label][x] for x in part]})
+
+
+def _candidates(stats: dict[str, tuple[float, float, float, float]]) -> dict[str, tuple[float, float, float]]:
+    """Features that toxic rows have too often: rows expected by chance, and both rates, most significant first.
+
+    stats: n and rows in clean, then in toxic rows.
+    """
+    n0, d0, n1, d1 = stats.get("", (0.0, 0.0, 0.0, 0.0))
+    found = []
+    for f, (c0, k0, c1, k1) in stats.items() if d0 and d1 else ():
+        a, b, usual = (c1 + 0.5) / (n1 + 1), (c0 + 0.5) / (n0 + 1), (k0 + 0.5) / (d0 + 1) * d1
+        if f and a / b >= 3 and _significant(k1, usual, d1):
+            found.append((-float(_surprise(k1, usual)), f, (usual, a, b)))
+    return {f: x for _, f, x in sorted(found)[:MAX_CANDIDATES]}
+
+
+def _significant(rows, usual, toxic):
+    """Rows decide, not words: words repeated within one row prove little. Works on numbers and arrays."""
+    return (rows >= max(5.0, 0.004 * toxic)) & (rows >= 2 * usual) & (rows - usual >= 4 * np.sqrt(usual + 1))
+
+
+def _surprise(rows, usual):
+    """How much better its own rate explains a feature's number than chance does (Poisson log likelihood)."""
+    return rows * np.log(np.maximum(rows, 1e-9) / usual) - (rows - usual)
+
+
+def _lexicon(candidates: dict[str, tuple[float, float, float]], rows: list[tuple[list[int], list[int], float]], words: float) -> tuple[dict[str, float], float]:
+    """Entries with weights, and the expected evidence of one word.
+
+    rows: of each toxic row its candidates, how often it has them, and its share; words: the number in toxic rows.
+    """
+    names = list(candidates)
+    usual, clean_words = np.array([candidates[f][0] for f in names]), np.array([candidates[f][2] * (words + 1) for f in names])
+    # of entries alike, whole words and longer starts win near-ties
+    liking = np.array([1.1 if f.endswith(" ") else 1 + 0.005 * len(f) for f in names])
+    share = np.array([w for _, _, w in rows])
+    times = np.zeros((len(rows), len(names)), np.float32)
+    for i, (ids, n, _) in enumerate(rows):
+        times[i, ids] = np.minimum(n, MOST_TIMES)
+    has = times > 0
+    toxic, chosen = share.sum(), {}
+    while names:
+        left = share @ has
+        gain = np.where(_significant(left, usual, toxic), _surprise(share @ times, clean_words) * liking, 0)
+        k = int(gain.argmax())
+        if gain[k] <= 0:
+            break
+        _, a, b = candidates[names[k]]
+        chosen[names[k]] = math.log(a / b)
+        share[has[:, k]] = 0
+    chance = sum(candidates[f][1] - candidates[f][2] for f in chosen)
+    for f in (f" {fold(w).strip()} " for w in SEEDS):
         if not any(f.startswith(g) for g in chosen):
-            chosen.setdefault(f, w)
+            chosen.setdefault(f, 3.0)
     return chosen, chance
 
 
@@ -180,11 +223,24 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = MAX_PER_CLASS) -> Toxic
     """
     marks = labels.where(~fold_is_held_out(F.col("doc_id")) & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = F.broadcast(sampled(marks, F.col("toxic"), F.col("doc_id"), bound))
-    sample = written(docs.select("doc_id", "text").join(chosen, "doc_id").select("text", "toxic"), "toxic-sample")
-    rows = sample.mapInArrow(_count, "feature string, label int, n long, docs long").groupBy("feature").agg(
-        *[F.sum(F.when(F.col("label") == k, F.col(c)).otherwise(0)).alias(f"{c}{k}") for k in (0, 1) for c in ("n", "docs")]
-    ).where("feature = '' or docs1 >= 6")
-    weights, chance = _lexicon({r[0]: tuple(r[1:]) for r in rows.collect()})
+    keyed = docs.select("doc_id", "text").join(chosen, "doc_id").select("text", "toxic").mapInArrow(_keyed, "text string, toxic int, copies long")
+    sample = written(keyed, "toxic-sample")
+    sizes = sample.groupBy("toxic", "copies").agg((1 / F.count(F.lit(1))).alias("share"))
+    shared = sample.join(F.broadcast(sizes), ["toxic", "copies"])
+    rows = shared.mapInArrow(_count, "feature string, label int, n double, docs double").groupBy("feature").agg(
+        *[F.sum(F.when(F.col("label") == k, F.col(c)).otherwise(0.0)).alias(f"{c}{k}") for k in (0, 1) for c in ("n", "docs")]
+    ).where("feature = '' or docs1 >= 4.9")
+    stats = {r[0]: tuple(r[1:]) for r in rows.collect()}
+    candidates = _candidates(stats)
+    number = {f: i for i, f in enumerate(candidates)}
+
+    def held(batches):
+        for b in batches:
+            found = [[(number[f], n) for f, n in _features(fold(t).split()).items() if f in number] for t in texts(b.column("text"))]
+            yield pa.RecordBatch.from_pydict({"ids": pa.array([[i for i, _ in x] for x in found], pa.list_(pa.int32())), "times": pa.array([[n for _, n in x] for x in found], pa.list_(pa.int32())), "share": b.column("share")})
+
+    toxic = shared.where("toxic = 1").mapInArrow(held, "ids array<int>, times array<int>, share double").collect() if number else []
+    weights, chance = _lexicon(candidates, [(r.ids, r.times, r.share) for r in toxic], stats.get("", (0, 0, 0.0, 0))[2])
     model = Toxicity(weights, chance)
 
     def judge(batches):

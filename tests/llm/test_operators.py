@@ -231,3 +231,20 @@ def test_pipeline(spark):
             assert secrets.find(new).agg(F.sum(F.col("n_assign") + F.col("n_hex") + F.col("n_access"))).first()[0] == 0
         kept = new
     assert c.STAGES[-1][1](spark, kept, d).count() == kept.count()
+
+
+def test_copies_of_a_toxic_text_teach_no_innocent_words(spark):
+    """Words that only go along with a toxic one in a group of copies stay out of the lexicon; clean rows stay clean."""
+    rows, marks = [], []
+    for i in range(600):
+        clean = " ".join(f"w{(i * 7 + k * k) % 97}x" for k in range(30))
+        toxic = i % 3 == 0
+        text = clean if not toxic else (f"gentle breeze over calm harbour blorf tonight and {i} more" if i % 2 else f"{clean} blorf {clean}")
+        rows.append((i, text))
+        marks.append((i, int(toxic)))
+    rows.append((1000, "gentle breeze over calm harbour tonight"))
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    assert any("blorf".startswith(f.strip()) for f in model.weights) and not any("harbour".startswith(f.strip()) for f in model.weights)
+    got = {r.doc_id: r.predicted for r in toxicity.toxicity(docs, labels).collect()}
+    assert got.pop(1000) == 0 and all(p == (i % 3 == 0) for i, p in got.items())
