@@ -164,7 +164,7 @@ def _lexicon(candidates: dict[str, tuple[float, float, float]], rows: list[tuple
         _, a, b = candidates[names[k]]
         chosen[names[k]] = math.log(a / b)
         share[has[:, k]] = 0
-    chance = sum(candidates[f][1] - candidates[f][2] for f in chosen)
+    chance = sum((candidates[f][1] - candidates[f][2] for f in chosen), 0.0)
     for f in (f" {fold(w).strip()} " for w in SEEDS):
         if not any(f.startswith(g) for g in chosen):
             chosen.setdefault(f, 3.0)
@@ -245,7 +245,7 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = MAX_PER_CLASS) -> Toxic
 
     def judge(batches):
         for b in batches:
-            yield pa.RecordBatch.from_pydict({"toxic": b.column("toxic"), "e": [model.evidence(t)[0] for t in texts(b.column("text"))]})
+            yield pa.RecordBatch.from_pydict({"toxic": b.column("toxic"), "e": pa.array([model.evidence(t)[0] for t in texts(b.column("text"))], pa.float64())})
 
     seen = sample.mapInArrow(judge, "toxic int, e double").toPandas()
     if len(set(seen["toxic"])) == 2:
