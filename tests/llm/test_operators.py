@@ -245,6 +245,6 @@ def test_copies_of_a_toxic_text_teach_no_innocent_words(spark):
     rows.append((1000, "gentle breeze over calm harbour tonight"))
     docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, toxic int")
     model = toxicity.fit(docs, labels)
-    assert any("blorf".startswith(f.strip()) for f in model.weights) and not any("harbour".startswith(f.strip()) for f in model.weights)
+    assert any(toxicity.fold("blorf").strip().startswith(f.strip()) for f in model.weights) and not any("harbour".startswith(f.strip()) for f in model.weights)
     got = {r.doc_id: r.predicted for r in toxicity.toxicity(docs, labels).collect()}
     assert got.pop(1000) == 0 and all(p == (i % 3 == 0) for i, p in got.items())
