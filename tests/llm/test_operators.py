@@ -214,6 +214,46 @@ def test_licences():
     assert licenses.scan("a licence to kill")[1] == []
 
 
+def written_out(pattern):
+    """Texts that a pattern of known sentences matches: every branch, options with and without, few words for what is free."""
+    from re import _constants as c
+    from re import _parser
+
+    def of(tokens):
+        out = [""]
+        for op, arg in tokens:
+            if op is c.LITERAL:
+                new = [chr(arg)]
+            elif op is c.IN:
+                new = [chr(v) if o is c.LITERAL else "7" for o, v in arg]
+            elif op is c.BRANCH:
+                new = [x for b in arg[1] for x in of(b)]
+            elif op is c.SUBPATTERN:
+                new = of(arg[3])
+            elif arg[1] is c.MAXREPEAT:
+                new = ["", " some words "]
+            else:
+                new = [x * n for n in {arg[0], arg[1]} for x in of(arg[2])]
+            out = [a + b for a in out for b in new]
+        return out
+
+    return {" ".join(x.split()) for x in of(_parser.parse(pattern)) if re.fullmatch(pattern, " ".join(x.split()))}
+
+
+def test_every_known_sentence_passes_the_marks():
+    for name, pattern in licenses.SENTENCES.items():
+        texts = written_out(pattern)
+        assert texts
+        for t in texts:
+            for x in (t, t.upper(), t.replace(" ", "-"), f"Some words.\n{t}."):
+                assert [k for _, _, k in licenses.scan(x)[0]] == [licenses._NAMES[int(licenses._KNOWN.fullmatch(t).lastgroup[1:])]], (name, x)
+    assert licenses.scan("Some text.\nAll rights reserved.\n")[1] == ["proprietary"]
+    assert licenses.scan("Copyright 2020 X. All rights reserved.")[1] == ["proprietary"]
+    assert licenses.scan("It is released under CC-BY 4.0.")[1] == licenses.scan("Released under Creative Commons Attribution 4.0")[1] == ["CC-BY-4.0"]
+    bsd = "Copyright 2020 X. All rights reserved. Redistribution and use in source and binary forms, with or without modification, are permitted. Redistributions of source code must retain it. Redistributions in binary form must reproduce it. This software is provided by X as is and any express or implied warranties are disclaimed."
+    assert licenses.scan(bsd)[1] == ["BSD-2-Clause"]
+
+
 def test_pipeline(spark):
     import corpus_pipeline as c
 
