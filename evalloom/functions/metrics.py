@@ -7,6 +7,7 @@ import random
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -100,17 +101,20 @@ def mcq(losses: Column, gold: Column, lengths: Column) -> Column:
 def bootstrap_stderr(df: DataFrame, value: str, seq: str, statistic, iterations: int = 1000) -> DataFrame:
     """One row ``stderr``: chunks of resamples drawn by Python's generator seeded with the chunk's number.
 
-    The values are one task's sample metrics, a bounded list; they are broadcast, the chunks are rows.
+    The values are one task's sample metrics; they are broadcast as packed numbers, 8 bytes each, the chunks are rows.
     """
     spark = df.sparkSession
-    values = spark.sparkContext.broadcast([r[0] for r in df.orderBy(seq).select(value).collect()])
+    packed = spark.sparkContext.broadcast(df.orderBy(seq, value).select(value).toArrow().column(0).to_numpy())
     chunk = min(1000, iterations)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kinds, at = np.unique(packed.value, return_inverse=True)
+        kinds = kinds.tolist()
+        values = [kinds[k] for k in at]  # equal values share one object
         for f in frames:
             for i in f["id"]:
                 rnd = random.Random(int(i))
-                yield pd.DataFrame({"s": [float(statistic(rnd.choices(values.value, k=len(values.value)))) for _ in range(chunk)]})
+                yield pd.DataFrame({"s": [float(statistic(rnd.choices(values, k=len(values)))) for _ in range(chunk)]})
 
     return spark.range(iterations // chunk).mapInPandas(run, "s double").agg(F.stddev_samp("s").alias("stderr"))
 

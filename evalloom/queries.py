@@ -410,7 +410,7 @@ def kcenter_select(spark, d):
 
 @query("bootstrap_stderr")
 def bootstrap_stderr(spark, d):
-    x = read(spark, d, "labels").where("doc_id < 500").select("doc_id", F.col("quality").cast("double").alias("q"))
+    x = read(spark, d, "labels").where("quality is not null").select("doc_id", F.col("quality").cast("double").alias("q"))
     return metrics.bootstrap_stderr(x, "q", "doc_id", lambda v: sum(v) / len(v), 2000)
 
 

@@ -126,6 +126,18 @@ def test_bootstrap_equals_python(spark):
     assert abs(got - math.sqrt(sum((a - m) ** 2 for a in all_) / 1999)) < 1e-12
 
 
+def test_bootstrap_query_draws_from_all_labels(spark, tmp_path):
+    n = 1200
+    spark.createDataFrame([(i, int(i >= 600 and i % 3 > 0)) for i in range(n)], "doc_id long, quality int").repartition(3).write.parquet(f"{tmp_path}/labels.parquet")
+    got = engine.queries()["bootstrap_stderr"](spark, str(tmp_path)).first()[0]
+    values, means = [float(i >= 600 and i % 3 > 0) for i in range(n)], []
+    for c in range(2):
+        rnd = random.Random(c)
+        means += [sum(rnd.choices(values, k=n)) / n for _ in range(1000)]
+    m = sum(means) / 2000
+    assert abs(got - math.sqrt(sum((a - m) ** 2 for a in means) / 1999)) < 1e-12
+
+
 def test_path_score():
     area = [{"s": 0, "e": 40 * 30}]
     goal = [{"s": 38 * 30, "e": 40 * 30}]
