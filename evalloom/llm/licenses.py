@@ -102,8 +102,7 @@ def sentences(text: str) -> list[tuple[int, int, str]]:
         part = text[at:end]
         if part.strip():
             low = part.lower()
-            # longer sentences than any known one can't match
-            k = _KNOWN.fullmatch(normalised(part)) if len(part) < 2000 and any(x in low for x in MARKS) else None
+            k = _KNOWN.fullmatch(normalised(part)) if any(x in low for x in MARKS) else None
             out.append((at, end, _NAMES[int(k.lastgroup[1:])] if k else "?"))
         at = m.end() if m else end
     return out

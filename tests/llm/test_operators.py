@@ -254,6 +254,14 @@ def test_every_known_sentence_passes_the_marks():
     assert licenses.scan(bsd)[1] == ["BSD-2-Clause"]
 
 
+def test_sentences_of_any_length_are_known():
+    words = "some words without an end " * 200
+    assert licenses.scan(f"{words} is licensed under the MIT License.")[1] == ["MIT"]
+    assert licenses.scan(f"{words} is licensed under the GNU Lesser General Public License {words}")[1] == ["LGPL"]
+    assert licenses.scan(f"Permission is hereby granted, free of charge, to any person obtaining a copy {words}")[1] == ["MIT"]
+    assert licenses.scan(f"{words} licensed {words}")[1] == []
+
+
 def test_pipeline(spark):
     import corpus_pipeline as c
 
