@@ -4,6 +4,11 @@ A sentence ends at a line end or at ``.``, ``!`` or ``?`` before white space. No
 numbers, joined by blanks. Known sentences have an identifier; the identifiers of a text in order are matched against the
 rules, first rule first, leftmost first; matched identifiers are used up, and may have ``GAP`` unknown sentences between.
 
+Lines are read twice: by themselves, and joined to sentences that run over the lines of a paragraph (up to a line without a
+word), comment signs aside. There a known sentence starts and ends at a line's start and end where its pattern isn't open;
+it counts if it runs over a line end, from its first line's start to its last one's end. Unknown lines of a joined sentence
+that holds known ones don't count for the gap, and a known line that only starts a longer known sentence gives way to it.
+
 Defined results: null and empty texts have no sentences and no licence; repeated sentences give repeated identifiers and
 each licence once, in order of first match; whole texts are scanned.
 """
@@ -11,6 +16,7 @@ each licence once, in order of first match; whole texts are scanned.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -88,22 +94,88 @@ _KNOWN = re.compile("|".join(f"(?P<g{i}>{p})" for i, p in enumerate(SENTENCES.va
 _NAMES = list(SENTENCES)
 _END = re.compile(r"\n|[.!?](?=\s|$)")
 _WORD = re.compile(r"[^\W_]+")
+# Comment signs that are words, and lines without any other word; the other signs go when a line is normalised.
+_COMMENT = re.compile(r"[\W_]*+(?:rem|dnl)\s", re.I)
+_WORDLESS = re.compile(r"[\W_]*+(?:(?:rem|dnl)(?![^\W_])[\W_]*+)?\Z", re.I)
+
+
+def _over_lines(pattern: str) -> list[re.Pattern]:
+    """A known sentence's pattern cut at what is free, for lines of normalised words: a blank may be a line end."""
+    first, *rest = pattern.replace(" ", "[ \n]").split(".*")
+    parts = [f"^{first}" if first else "", *rest]
+    if parts[-1]:
+        parts[-1] += "$"
+    return [re.compile(p, re.M) for p in parts if p]
+
+
+_OVER_LINES = {name: _over_lines(p) for name, p in SENTENCES.items()}
 
 
 def normalised(sentence: str) -> str:
     return " ".join(_WORD.findall(sentence.lower()))
 
 
+def _words(line: str) -> str:
+    """The normalised form without a comment sign."""
+    m = _COMMENT.match(line)
+    return normalised(line[m.end() :] if m else line)
+
+
+def _joined(lines: list[str]) -> tuple[list[tuple[int, int, str]], set[tuple[int, str]]]:
+    """Known sentences over several lines as (first line, last line, identifier), and (line, identifier) of mere starts of them."""
+    words = [_words(x) for x in lines]
+    text, starts = "\n".join(words), [0]
+    for w in words[:-1]:
+        starts.append(starts[-1] + len(w) + 1)
+    found = []
+    for name, parts in _OVER_LINES.items():
+        end = 0
+        while m := parts[0].search(text, end):
+            start, end = m.span()
+            for p in parts[1:]:
+                if not (m := p.search(text, end)):
+                    break
+                end = m.end()
+            if not m:  # nor does it follow any later start
+                break
+            found.append((start, end, name))
+    longest: dict[int, int] = {}
+    for start, end, _ in found:
+        longest[start] = max(end, longest.get(start, 0))
+    line = lambda at: bisect_right(starts, at) - 1
+    whole = [(line(a), line(e - 1), n) for a, e, n in found if longest[a] == e]
+    return [x for x in whole if x[0] < x[1]], {(line(a), n) for a, e, n in found if e < longest[a] and line(a) < line(longest[a] - 1)}
+
+
+def _merged(text: str, group: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """The sentences of lines that may be one sentence, with those that run over several of the lines."""
+    over, mere = _joined([text[a:e] for a, e, _ in group])
+    names = [n for *_, n in group]
+    over = [x for x in over if x[2] not in names[x[0] : x[1] + 1]]
+    lines = [(a, e, "?" if (i, n) in mere else n) for i, (a, e, n) in enumerate(group)]
+    known = [x for x in lines if x[2] != "?"] + [(group[i][0], group[j][1], n) for i, j, n in over]
+    return sorted(known, key=lambda x: x[:2]) or lines
+
+
 def sentences(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, identifier or ``?``) of each sentence that holds a word; unknown ones without a mark aren't normalised."""
+    """(start, end, identifier or ``?``) of each sentence that isn't blank; those without a mark aren't normalised."""
     out, at = [], 0
+    group, marked = 0, False  # where the lines start that may be one sentence, and whether they hold a mark
     for m in [*_END.finditer(text), None]:
         end = m.start() if m else len(text)
         part = text[at:end]
+        wordless = bool(_WORDLESS.match(part))
         if part.strip():
             low = part.lower()
-            k = _KNOWN.fullmatch(normalised(part)) if any(x in low for x in MARKS) else None
+            mark = any(x in low for x in MARKS)
+            k = _KNOWN.fullmatch(_words(part)) if mark else None
             out.append((at, end, _NAMES[int(k.lastgroup[1:])] if k else "?"))
+            marked |= mark
+        if wordless or not m or m[0] != "\n":
+            last = len(out) - (1 if wordless and part.strip() else 0)
+            if marked and last - group > 1:
+                out[group:last] = _merged(text, out[group:last])
+            group, marked = len(out), False
         at = m.end() if m else end
     return out
 

@@ -262,6 +262,59 @@ def test_sentences_of_any_length_are_known():
     assert licenses.scan(f"{words} licensed {words}")[1] == []
 
 
+def test_wrapped_licences():
+    bsd = """Copyright (c) 2020, The Authors
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions
+are met:
+
+1. Redistributions of source code must retain the above copyright
+   notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright
+   notice, this list of conditions and the following disclaimer in the
+   documentation and/or other materials provided with the distribution.
+%s
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES ARE DISCLAIMED.
+"""
+    third = """3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+    gpl = """Copyright 2020 X
+This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+
+You should have received a copy of the GNU General Public License
+along with this program.
+"""
+    apache = """Licensed under the Apache License,
+Version 2.0 (the "License");
+you may not use this file except
+in compliance with the License."""
+    for sign in ("", "# ", " * ", "// ", "REM ", "dnl "):
+        as_comment = lambda t, sign=sign: "\n".join((sign + x).rstrip() for x in t.split("\n"))
+        assert licenses.scan(as_comment(bsd % ""))[1] == ["BSD-2-Clause"], sign
+        assert licenses.scan(as_comment(bsd % third))[1] == ["BSD-3-Clause"], sign
+        assert licenses.scan(as_comment(gpl))[1] == ["GPL-family"], sign
+        assert [n for *_, n in licenses.scan(as_comment(gpl))[0]][-3:] == ["gpl-free", "gpl-hope", "gpl-copy"], sign
+    assert licenses.scan(gpl)[0][1][:2] == (gpl.index("This"), gpl.index("(at your") - 1)
+    assert licenses.scan("Released under the\nMIT License\nand more words\n")[1] == ["MIT"]
+    assert licenses.scan("Licensed under Creative Commons Attribution\nNonCommercial 4.0")[1] == ["CC-BY-NC-4.0"]
+    assert licenses.scan("Licensed under CC BY-NC 4.0\nLicensed under the Apache License, Version 2.0\nReleased under the MIT License")[1] == ["CC-BY-NC-4.0", "Apache-2.0", "MIT"]
+    assert licenses.scan("Released under the\n\nMIT License terms")[1] == licenses.scan("Released under the. MIT\nLicense terms")[1] == []
+    assert licenses.scan(apache)[1] == ["Apache-2.0"] and [n for *_, n in licenses.scan(apache)[0]] == ["apache-2-ref", "apache-notuse"]
+
+
 def test_pipeline(spark):
     import corpus_pipeline as c
 
