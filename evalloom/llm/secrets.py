@@ -6,8 +6,8 @@ times k factorial, kept as base-10 logarithms. Values in a credential context wh
 spans of kind ``guess`` unless a base span overlaps them.
 
 Defined results: a null text counts as empty and has no spans; equal texts give equal spans; spans are code-point
-offsets of whole matches, end exclusive; values longer than ``LONGEST`` are costed in pieces of that length, which are
-added up (they pass the threshold long before).
+offsets of whole matches, end exclusive; values of any length are costed as a whole, and costs of ``MOST_COST`` and more,
+which no value of up to 64 characters has, are reported as ``MOST_COST``.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ import hashlib
 import math
 import re
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,7 +32,7 @@ CONTEXT = re.compile(r"""(?:pass(?:phrase|code|wort)?|pwd|credentials?|auth(?:or
 _HINTS = ("pass", "pwd", "credential", "auth", "bearer", "key", "clave", "contraseña")
 _IS_HEX = bytes(120 if chr(c) in "0123456789abcdef" else 32 for c in range(256))
 LEAST_COST = 8.0
-LONGEST = 64
+MOST_COST = 128.0
 # Frequent password words, most frequent first.
 WORDS = "password qwerty dragon monkey letmein login welcome admin master hello freedom whatever shadow sunshine princess football baseball iloveyou trustno secret summer winter spring autumn love test user root guest default changeme example sample dummy placeholder none null true false string value your the and for not with this that from have required optional redacted hidden company service server database token access private public".split()
 _RANK = {w: i + 1 for i, w in enumerate(WORDS)}
@@ -47,47 +48,80 @@ def _alphabet(c: str) -> float:
     return 1.0 if c.isdigit() else math.log10(26) if c.isascii() and c.isalpha() else math.log10(33) if c.isascii() else 2.0
 
 
+def _repeats(value: str, brute: np.ndarray) -> list[tuple[int, int, int, float]]:
+    """(start, end, period, cost of a unit) of the longest stretches that repeat a unit which isn't itself a repeat.
+
+    A unit has at least a tenfold cost a character, so longer ones than ``MOST_COST`` don't count.
+    """
+    codes, out = np.array([ord(c) for c in value]), []
+    for p in range(1, min(len(value) // 2, int(MOST_COST)) + 1):
+        same = np.concatenate([[False], codes[p:] == codes[:-p], [False]])
+        edges = np.flatnonzero(same[1:] != same[:-1])
+        long = edges[1::2] - edges[::2] >= p
+        for a, e in zip(edges[::2][long].tolist(), edges[1::2][long].tolist(), strict=True):
+            unit = value[a : a + p]
+            if (unit + unit).find(unit, 1) == p:
+                out.append((a, e + p, p, float(brute[a + p] - brute[a])))
+    return sorted(out)
+
+
 def guess_cost(value: str) -> float:
-    """log10 of the least number of guesses over all segmentations of ``value``."""
-    if len(value) > LONGEST:
-        return sum(guess_cost(value[i : i + LONGEST]) for i in range(0, len(value), LONGEST))
+    """log10 of the least number of guesses over all segmentations of ``value``, ``MOST_COST`` at most.
+
+    best[end][k]: the least cost of k parts up to an end. Brute-force spans and keyboard walks cost a fixed amount for each
+    further character, so they are carried along from end to end. Within a stretch that repeats a unit, parts can change
+    places, so repeats need to start only where a part that began before the stretch may end.
+    """
     n, low = len(value), value.lower()
+    if not n:
+        return 0.0
+    if len(low) != n:  # a letter whose small form is longer
+        low = "".join(c if len(c.lower()) != 1 else c.lower() for c in value)
     plain = low.translate(_LEET)
-    brute = [0.0]
-    for c in value:
-        brute.append(brute[-1] + _alphabet(c))
-    parts: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]  # by end: start and cost
-    for i in range(n):
-        for j in range(i + 3, min(n, i + 12) + 1):
+    step = [_alphabet(c) for c in value]
+    brute = np.concatenate([[0.0], np.cumsum(step)])
+    most = min(n, 84)  # parts; 85! has more than MOST_COST digits
+    order = np.array([math.lgamma(k + 1) / math.log(10) for k in range(most + 1)])
+    runs, begun = _repeats(value, brute), 0
+    reach = 2 * min(n // 2, int(MOST_COST)) + 13
+    live: list[tuple[int, int, int, float, dict[int, np.ndarray]]] = []
+    none = np.full(most + 1, np.inf)
+
+    def more(row: np.ndarray, cost: float) -> np.ndarray:
+        return np.concatenate([[np.inf], row[:-1] + cost])
+
+    best = {0: np.concatenate([[0.0], none[1:]])}
+    spans = walks = none
+    for j in range(1, n + 1):
+        spans = np.minimum(spans, more(best[j - 1], 0.0)) + step[j - 1]
+        walks = walks + 0.35 if j > 1 and low[j - 2 : j] in _NEXT else none
+        if j > 2 and low[j - 2 : j] in _NEXT and low[j - 3 : j - 1] in _NEXT:
+            walks = np.minimum(walks, more(best[j - 3], math.log10(40 * 4) + 0.7))
+        own = np.minimum(spans, walks)
+        for i in range(max(0, j - 12), j - 2):
             rank = _RANK.get(low[i:j]) or _RANK.get(plain[i:j])
             if rank:
                 upper = sum(c.isupper() for c in value[i:j])
-                parts[j].append((i, math.log10(rank + 1) + (0.3 if upper in (1, j - i) else 0.3 * upper) + (0.5 if low[i:j] not in _RANK else 0)))
-        if m := _DATE.match(value, i):
-            for j in {m.end(), i + 4} if m.end() - i >= 4 else ():
-                if j <= m.end() and _DATE.fullmatch(value[i:j]):
-                    parts[j].append((i, math.log10(365 * 120) if j - i > 4 else math.log10(120)))
-        for size in range(1, (n - i) // 2 + 1):  # repeats of a unit
-            unit, j = value[i : i + size], i + size
-            while value.startswith(unit, j):
-                j += size
-                parts[j].append((i, brute[i + size] - brute[i] + math.log10((j - i) // size)))
-        j = i + 1
-        while j < n and low[j - 1 : j + 1] in _NEXT:
-            j += 1
-            if j - i >= 3:
-                parts[j].append((i, math.log10(40 * 4) + 0.35 * (j - i - 1)))
-    inf = float("inf")
-    most = max(n, 8) + 2
-    best = [[inf] * most for _ in range(n + 1)]  # best[end][number of parts]
-    best[0][0] = 0.0
-    for j in range(1, n + 1):
-        own = best[j]
-        for i, cost in [*parts[j], *((i, brute[j] - brute[i]) for i in range(j))]:
-            for k, c in enumerate(best[i][:8]):  # more than eight parts never beat brute force: 8! is five digits
-                if c + cost < own[k + 1]:
-                    own[k + 1] = c + cost
-    return max(0.0, min(c + math.lgamma(k + 1) / math.log(10) for k, c in enumerate(best[n]) if c < inf)) if n else 0.0
+                own = np.minimum(own, more(best[i], math.log10(rank + 1) + (0.3 if upper in (1, j - i) else 0.3 * upper) + (0.5 if low[i:j] not in _RANK else 0)))
+            if j - i >= 4 and (m := _DATE.match(value, i)) and j in (m.end(), i + 4) and j <= m.end() and _DATE.fullmatch(value[i:j]):
+                own = np.minimum(own, more(best[i], math.log10(365 * 120) if j - i > 4 else math.log10(120)))
+        while begun < len(runs) and runs[begun][0] < j:
+            live.append((*runs[begun], {}))
+            begun += 1
+        live = [x for x in live if x[1] >= j]
+        for a, e, p, cost, kept in live:
+            starts = range(a + (j - a) % p, min(j - 2 * p, a + reach) + 1, p)
+            if starts:
+                if j % p not in kept or len(kept[j % p]) < len(starts):
+                    kept[j % p] = np.stack([best[i] for i in starts])
+                own = np.minimum(own, more((kept[j % p][: len(starts)] + np.log10((j - np.array(starts)) // p)[:, None]).min(0), cost))
+        own = np.where(own + order < MOST_COST, own, np.inf)
+        spans, walks = np.where(spans + order < MOST_COST, spans, np.inf), np.where(walks + order < MOST_COST, walks, np.inf)
+        best[j] = own
+        best.pop(j - 3 * reach, None)
+        if not live and np.isinf(spans).all() and np.isinf(walks).all() and all(np.isinf(best[i]).all() for i in range(max(0, j - 12), j + 1)):
+            return MOST_COST
+    return max(0.0, min(MOST_COST, float((best[n] + order).min())))
 
 
 def scan(text: str, least: float = LEAST_COST) -> list[tuple[str, int, int, float | None]]:

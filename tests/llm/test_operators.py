@@ -1,6 +1,7 @@
 """Brute-force and edge-case tests of the training-data operators."""
 
 import hashlib
+import math
 import random
 import re
 from itertools import combinations
@@ -181,6 +182,43 @@ def test_guess_cost_is_a_minimum():
         assert secrets.guess_cost(v) <= sum(secrets._alphabet(c) for c in v) + 1e-9
 
 
+def slow_guess_cost(value):
+    """Every part from every start to every end; no bound on the number of parts."""
+    n, low = len(value), value.lower()
+    plain = low.translate(secrets._LEET)
+    parts = [(i, j, sum(map(secrets._alphabet, value[i:j]))) for j in range(1, n + 1) for i in range(j)]
+    for i, j, brute in list(parts):
+        x, rank = value[i:j], secrets._RANK.get(low[i:j]) or secrets._RANK.get(plain[i:j])
+        if rank and j - i >= 3:
+            upper = sum(map(str.isupper, x))
+            parts.append((i, j, math.log10(rank + 1) + (0.3 if upper in (1, j - i) else 0.3 * upper) + 0.5 * (low[i:j] not in secrets._RANK)))
+        m = secrets._DATE.match(value, i)
+        if m and j - i >= 4 and j in (m.end(), i + 4) and j <= m.end() and secrets._DATE.fullmatch(x):
+            parts.append((i, j, math.log10(365 * 120 if j - i > 4 else 120)))
+        if j - i >= 3 and all(low[k : k + 2] in secrets._NEXT for k in range(i, j - 1)):
+            parts.append((i, j, math.log10(160) + 0.35 * (j - i - 1)))
+        for size in range(1, (j - i) // 2 + 1):
+            if (j - i) % size == 0 and x == x[:size] * ((j - i) // size):
+                parts.append((i, j, sum(map(secrets._alphabet, x[:size])) + math.log10((j - i) // size)))
+    best = np.full((n + 1, n + 2), np.inf)
+    best[0, 0] = 0
+    for i, j, cost in sorted(parts, key=lambda x: x[1]):
+        best[j, 1:] = np.minimum(best[j, 1:], best[i, :-1] + cost)
+    return min(best[n, k] + math.lgamma(k + 1) / math.log(10) for k in range(n + 1))
+
+
+def test_guess_cost_of_whole_values():
+    rnd = random.Random(9)
+    words = [*secrets.WORDS[:6], "2019-03-04", "1999", "qwerty", "asdf", "ab", "abab", "-", "--", "x", "Zq9!", "P4ssw0rd", "aaaa", "testes", "é"]
+    values = ["-" * 130, "=" * 200, "qwertyuiop" * 9, "abc" * 30, "password" * 12, "testestestestestest", "PASSwordDragonMonkeyLetmeinLoginWelcomeAdminMasterHelloFreedomWhatever", "xyxyxyxyxyxyx" * 8]
+    values += ["".join(rnd.choice(words) * rnd.choice((1, 1, 2, 5)) for _ in range(rnd.randrange(1, 12))) for _ in range(60)] + ["".join(rnd.choice("ab1") for _ in range(rnd.randrange(1, 90))) for _ in range(40)]
+    for v in values:
+        assert abs(secrets.guess_cost(v) - min(128, slow_guess_cost(v))) < 1e-6, v
+    assert secrets.scan("auth: " + "-" * 130) == secrets.scan("auth: " + "=" * 5000) == []
+    assert secrets.guess_cost("".join(rnd.choice("aB3xY9zQ!k") for _ in range(4000))) == 128
+    assert [x[0] for x in secrets.scan("auth: " + "-" * 130 + "x8Kq2LpZ9w")] == ["guess"]
+
+
 def test_language_and_toxicity_on_held_out_rows(spark):
     d = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
