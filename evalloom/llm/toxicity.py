@@ -2,8 +2,8 @@
 
 Weights are log rate ratios learned from a bounded sample of labelled rows, in which copies of a text, exact or near,
 share the weight of one row. Entries are taken one at a time, each for the toxic rows that none before it explains, so
-that words which only go along with a toxic one stay out. A document's evidence is the weighted number of its hits, less what as many words would show by chance (the normalisation by length); a logistic curve,
-fitted on the same sample, turns evidence into a score. Hits inside an exception phrase don't count.
+that words which only go along with a toxic one stay out. A document's evidence is the weighted number of its hits, less what as many words would show by chance (the normalisation by length); longer texts than ``WINDOW`` words are judged by the
+window with the most evidence, each by the rule for a text of its length. A logistic curve, fitted on the same sample, turns evidence into a score. Hits inside an exception phrase don't count.
 
 Defined results: a null or empty text has no hits and gets the curve's value there; words longer than 64 letters match
 by their start only; repeated rows get equal scores; an empty table gives an empty result. Without labelled rows of both
@@ -13,6 +13,7 @@ classes the seed lexicon is used with its default weight.
 from __future__ import annotations
 
 import math
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -38,7 +39,7 @@ MOST_TIMES = 20  # occurrences in one row that count when entries are chosen
 MAX_CANDIDATES = 3000  # the most significant features that may become entries
 LIMIT = 0.7
 MOST_HITS = 4  # hits of one entry that count in a text, and one more for each 100 words
-MOST_WORDS = 2000  # words that the normalisation by length counts at most
+WINDOW, STEP = 2000, 500  # words of the windows in which longer texts are judged, and from one window to the next
 
 
 class _Fold(dict):
@@ -172,7 +173,7 @@ def _lexicon(candidates: dict[str, tuple[float, float, float]], rows: list[tuple
 
 
 def _evidence(automaton: ahocorasick.Automaton, chance: float, text: str) -> tuple[float, int]:
-    """Length-normalised weight of the hits, and their number."""
+    """Length-normalised weight of the hits, of the window with the most in texts of more than one, and the number of all hits."""
     folded = fold(text)
     shut, found = -1, []
     for end, (feature, weight) in automaton.iter(folded):
@@ -184,8 +185,17 @@ def _evidence(automaton: ahocorasick.Automaton, chance: float, text: str) -> tup
         elif start >= shut:
             found.append((start, feature, weight))
     words = folded.count(" ")
-    total = sum(w * min(n, MOST_HITS + words // 100) for (_, w), n in Counter((f, w) for _, f, w in found).items())
-    return total - chance * min(words, MOST_WORDS), len(found)
+
+    def total(hits, words: int) -> float:
+        return sum(w * min(n, MOST_HITS + words // 100) for (_, w), n in Counter((f, w) for _, f, w in hits).items()) - chance * words
+
+    if words <= WINDOW:
+        return total(found, words), len(found)
+    blanks = [i for i, c in enumerate(folded) if c == " "]
+    places = sorted((bisect_right(blanks, start) - 1, f, w) for start, f, w in found)
+    at = [x[0] for x in places]
+    windows = [*range(0, words - WINDOW, STEP), words - WINDOW]
+    return max(total(places[bisect_left(at, i) : bisect_left(at, i + WINDOW)], WINDOW) for i in windows), len(found)
 
 
 class Toxicity:

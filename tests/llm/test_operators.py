@@ -372,6 +372,20 @@ def test_pipeline(spark):
     assert c.STAGES[-1][1](spark, kept, d).count() == kept.count()
 
 
+def test_toxicity_of_long_texts_by_one_rule():
+    m = toxicity.Toxicity({toxicity.fold("blorf"): 1.0}, 0.008, 1.0, 6.0)
+    calm = " ".join(["blorf"] + ["word"] * 99)  # a hit for each hundred words, 0.8 of which are chance
+    at_2000 = m.score(" ".join([calm] * 20))
+    assert at_2000[0] < 0.5
+    for n in (25, 30, 100, 1000):
+        p, hits = m.score(" ".join([calm] * n))
+        assert abs(p - at_2000[0]) < 1e-9 and hits == n
+    rude = " ".join(["blorf word"] * 30)
+    for n in (0, 1, 20, 300):  # wherever it stands, a rude passage is found, and in calm text of any length
+        word = " ".join(["word"] * 50)
+        assert m.score(" ".join([word] * n + [rude] + [word] * (300 - n)))[0] == m.score(" ".join([word] * 300 + [rude]))[0] > toxicity.LIMIT
+
+
 def test_copies_of_a_toxic_text_teach_no_innocent_words(spark):
     """Words that only go along with a toxic one in a group of copies stay out of the lexicon; clean rows stay clean."""
     rows, marks = [], []
