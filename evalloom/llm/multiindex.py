@@ -1,6 +1,7 @@
 """Exact top-k search of binary codes by incremental multi-index hashing.
 
-A 64-bit code is cut into ``m`` segments, each with its own table from segment value to codes. A query looks up the values
+A code has a bit for each component of the vector, padded to whole words of 64 bits. It is cut into segments of 16 bits; the
+``m`` segments in which the codes differ have a table each from segment value to codes. A query looks up the values
 within radius 0, then 1, ... of its own segment value, one segment after another. Once segment s has been searched with
 radius r, every code within m * r + s bits has been met (a code further off in every searched segment is further off in
 all); when the distance of the k-th verified code is within that, the result is complete.
@@ -24,19 +25,19 @@ from .common import written
 from .permutation import TOP, classes, valid
 from .suffix import spread
 
-SEGMENTS = (16, 16, 16, 16)
+SEGMENT = 16
 BLOCK, MOST_BLOCK = 65_536, 1 << 20
 QUERIES = 1024
 
 
 def sign_codes(rows: DataFrame) -> DataFrame:
-    """id and v (8 bytes): bit i is set if component i is above 0; components beyond 64 are left out."""
+    """id and v (8 bytes for each 64 components or part of them): bit i is set if component i is above 0."""
 
     def run(batches):
         for b in batches:
             v = b.column("v").to_pylist()
-            x = np.frombuffer(b"".join(v)).reshape(len(v), -1)[:, :64] > 0
-            bits = np.packbits(np.pad(x, ((0, 0), (0, 64 - x.shape[1]))), axis=1, bitorder="little")
+            x = np.frombuffer(b"".join(v)).reshape(len(v), -1) > 0
+            bits = np.packbits(np.pad(x, ((0, 0), (0, -x.shape[1] % 64))), axis=1, bitorder="little")
             yield pa.RecordBatch.from_pydict({"id": b.column("id"), "v": pa.array([r.tobytes() for r in bits], pa.binary())})
 
     return rows.mapInArrow(run, "id long, v binary")
@@ -49,36 +50,43 @@ def flips(bits: int, radius: int) -> np.ndarray:
 
 
 class MultiIndex:
-    """The tables of one block of different codes."""
-
-    def __init__(self, codes: np.ndarray, segments: tuple[int, ...] = SEGMENTS):
-        self.codes, self.segments, self.tables = codes, segments, []
-        shift = 0
-        for bits in segments:
-            part = (codes >> np.uint64(shift)) & np.uint64((1 << bits) - 1)
-            order = np.argsort(part, kind="stable")
-            self.tables.append((shift, bits, np.concatenate([[0], np.cumsum(np.bincount(part.astype(np.int64), minlength=1 << bits))]), order))
-            shift += bits
-
-    def nearest(self, query: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The tables of one block of different codes, given as rows of 64-bit words."""
+
+    def __init__(self, codes: np.ndarray):
+        self.codes, self.tables = codes, []
+        for s in range(codes.shape[1] * 64 // SEGMENT):
+            part = self._part(codes, s).astype(np.int64)
+            if len(part) and part.min() < part.max():  # any codes further off in all the others are further off
+                order = np.argsort(part, kind="stable")
+                self.tables.append((s, np.concatenate([[0], np.cumsum(np.bincount(part, minlength=1 << SEGMENT))]), order))
+
+    @staticmethod
+    def _part(codes: np.ndarray, s: int) -> np.ndarray:
+        word, at = divmod(s * SEGMENT, 64)
+        return (codes[..., word] >> np.uint64(at)) & np.uint64((1 << SEGMENT) - 1)
+
+    def _far(self, places: np.ndarray, q: np.ndarray) -> np.ndarray:
+        return np.bitwise_count(self.codes[places] ^ q).sum(1, dtype=np.int64)
+
+    def nearest(self, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Places and distances of all codes at most as far as the k-th nearest one (all codes, if fewer)."""
-        n, m = len(self.codes), len(self.segments)
-        q = np.uint64(query)
+        n, m = len(self.codes), len(self.tables)
+        if not m:
+            return np.arange(n), self._far(np.arange(n), q)
         met = np.zeros(n, bool)
         at, far = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for radius in range(max(self.segments) + 1):
-            for s, (shift, bits, edges, order) in enumerate(self.tables):
-                if radius <= bits:
-                    values = (((q >> np.uint64(shift)) & np.uint64((1 << bits) - 1)) ^ flips(bits, radius)).astype(np.int64)
-                    size = edges[values + 1] - edges[values]
-                    some = size > 0
-                    new = order[spread(edges[values[some]], size[some])]
-                    new = new[~met[new]]
-                    met[new] = True
-                    at = np.concatenate([at, new])
-                    far = np.concatenate([far, np.bitwise_count(self.codes[new] ^ q).astype(np.int64)])
-                if len(at) == n or (len(at) >= k and np.partition(far, k - 1)[k - 1] <= m * radius + s):
-                    limit = np.partition(far, k - 1)[k - 1] if len(at) >= k else 64
+        for radius in range(SEGMENT + 1):
+            for t, (s, edges, order) in enumerate(self.tables):
+                values = (self._part(q, s) ^ flips(SEGMENT, radius)).astype(np.int64)
+                size = edges[values + 1] - edges[values]
+                some = size > 0
+                new = order[spread(edges[values[some]], size[some])]
+                new = new[~met[new]]
+                met[new] = True
+                at = np.concatenate([at, new])
+                far = np.concatenate([far, self._far(new, q)])
+                if len(at) == n or (len(at) >= k and np.partition(far, k - 1)[k - 1] <= m * radius + t):
+                    limit = np.partition(far, k - 1)[k - 1] if len(at) >= k else far.max()
                     keep = far <= limit
                     return at[keep], far[keep]
         return at, far
@@ -119,11 +127,11 @@ def search(df: DataFrame, queries: Column, key: str = "vec_id", vector: str = "e
                 if held != b.column("block")[i].as_py():
                     held, blk = b.column("block")[i].as_py(), b.column("parts")[i].as_py()
                     ids, sizes = (np.concatenate([np.frombuffer(p[c], k) for p in blk]) for c, k in (("ids", np.int64), ("sizes", np.int32)))
-                    made = MultiIndex(np.concatenate([np.frombuffer(p["codes"], np.uint64) for p in blk]))
+                    made = MultiIndex(np.concatenate([np.frombuffer(p["codes"], np.uint64) for p in blk]).reshape(len(sizes), -1))
                     ends = np.cumsum(sizes)
-                q = np.frombuffer(b.column("queries")[i].as_py(), np.uint64)
+                q = np.frombuffer(b.column("queries")[i].as_py(), np.uint64).reshape(-1, made.codes.shape[1])
                 found = []
-                for code in q.tolist():
+                for code in q:
                     at, far = made.nearest(code, keep)
                     many = sizes[at].astype(np.int64)
                     member, value = ids[spread(ends[at] - many, many)], np.repeat(far, many)

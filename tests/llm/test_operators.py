@@ -153,6 +153,21 @@ def test_permutation_recall_and_multi_index(spark):
         assert sorted(found) == sorted((bin(codes[q] ^ c).count("1"), i) for i, c in enumerate(codes) if i != q)[:20]
 
 
+@pytest.mark.parametrize("width", [64, 70, 200])
+def test_multi_index_of_wide_vectors(spark, width):
+    rng = np.random.default_rng(width)
+    x = rng.normal(size=(700, width))
+    x[:300, :64] = abs(x[:300, :64])  # these differ beyond component 64 only
+    x[400:600] = x[rng.integers(0, 400, 200)] * rng.choice([1, 1, 1, 1, 1, 1, 1, -1], (200, width))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(3)
+    near = {}
+    for r in multiindex.nearest(df).collect():
+        near.setdefault(r.query_id, []).append((r.distance, r.vec_id))
+    assert set(near) == set(range(0, 700, 20))
+    for q, found in near.items():
+        assert sorted(found) == sorted((int(((x[q] > 0) != (x[i] > 0)).sum()), i) for i in range(700) if i != q)[:20]
+
+
 def test_packing(spark, odd):
     rnd = random.Random(5)
     for _ in range(100):
