@@ -11,17 +11,27 @@ def let(value: Column, f) -> Column:
     return F.transform(F.array(value), f)[0]
 
 
+# The names of modes that are resolved already, and older names for two of them.
+MODES = ("absolute", "normalized_0_1", "normalized_0_1000")
+ALIASES = {"normalized": "normalized_0_1", "normalized_1000": "normalized_0_1000"}
+
+
 def canonical_mode(mode: Column) -> Column:
-    """Aliases as one name; null and empty mean auto."""
-    m = F.lower(F.trim(F.coalesce(mode, F.lit(""))))
-    return F.when(m.isin("", "auto"), "auto").when(m.isin("absolute", "abs", "pixel"), "absolute").when(m.isin("normalized_0_1", "norm1", "0-1"), "normalized_0_1").when(m.isin("normalized_0_1000", "norm1000", "0-1000"), "normalized_0_1000").otherwise(m)
+    """Older names as present ones; null and empty mean auto; other names stay, case and all."""
+    out = F.when(mode.isNull() | (mode == ""), "auto")
+    for old, new in ALIASES.items():
+        out = out.when(mode == old, new)
+    return out.otherwise(mode)
 
 
 def actual_mode(values: Column, h: Column, w: Column, mode: Column) -> Column:
-    """auto is told from all numbers of a sample together: within [0, 1], beyond the canvas, or else absolute."""
+    """A resolved mode stays; any other one is told from all numbers of a sample together.
+
+    Within [0, 1], beyond the canvas, or else (also without numbers) absolute.
+    """
     top, low = F.array_max(values), F.array_min(values)
     told = F.when(top.isNull(), "absolute").when((top <= 1) & (low >= 0), "normalized_0_1").when(top > F.greatest(h, w), "normalized_0_1000").otherwise("absolute")
-    return F.when(mode == "auto", told).otherwise(mode)
+    return let(canonical_mode(mode), lambda m: F.when(m.isin(*MODES), m).otherwise(told))
 
 
 def scale(mode: Column, size: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 import random
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -56,6 +56,35 @@ def mcc(gold: Column, pred: Column) -> Column:
     return F.when(below == 0, 0.0).otherwise((n[1, 1] * n[0, 0] - n[0, 1] * n[1, 0]) / F.sqrt(below))
 
 
+def mcc_of(df: DataFrame, gold: str, pred: str) -> DataFrame:
+    """Matthews correlation of any number of classes, from the confusion matrix; one row ``mcc``, 0 where it isn't defined."""
+    cells = df.groupBy(F.col(gold).alias("g"), F.col(pred).alias("p")).agg(F.count(F.lit(1)).cast("double").alias("n"))
+    sides = cells.select(F.col("g").alias("k"), F.col("n").alias("t"), F.lit(0.0).alias("q")).union(cells.select("p", F.lit(0.0), "n")).groupBy("k").agg(F.sum("t").alias("t"), F.sum("q").alias("q"))
+    right = cells.agg(F.sum("n").alias("s"), F.sum(F.when(F.col("g") == F.col("p"), F.col("n")).otherwise(0.0)).alias("c"))
+    both = sides.agg(F.sum(F.col("t") * F.col("q")).alias("tq"), F.sum(F.col("t") * F.col("t")).alias("tt"), F.sum(F.col("q") * F.col("q")).alias("qq"))
+    below = F.sqrt((F.col("s") * F.col("s") - F.col("qq")) * (F.col("s") * F.col("s") - F.col("tt")))
+    return right.join(both).select(F.when(below == 0, 0.0).otherwise((F.col("c") * F.col("s") - F.col("tq")) / below).alias("mcc"))
+
+
+def pop_stddev(x: Column) -> Column:
+    return F.stddev_pop(x)
+
+
+def sample_stddev(x: Column) -> Column:
+    """Null for a single value."""
+    return F.stddev_samp(x)
+
+
+def any_right(score: Callable[[Column], Column], golds: Column) -> Column:
+    """1.0 if the score of any target isn't 0, else 0.0."""
+    return F.exists(golds, lambda g: F.coalesce(score(g), F.lit(0.0)) != 0).cast("double")
+
+
+def best_of(score: Callable[[Column], Column], golds: Column) -> Column:
+    """The greatest score over the targets."""
+    return F.array_max(F.transform(golds, score))
+
+
 def brier(gold: Column, probs: Column) -> Column:
     """Mean over rows of the summed squared distance from the one-hot truth."""
     return F.avg(F.aggregate(F.transform(probs, lambda p, i: F.pow(p - F.when(i == gold, 1.0).otherwise(0.0), F.lit(2))), F.lit(0.0), lambda a, x: a + x))
@@ -90,6 +119,31 @@ def acc_all(df: DataFrame, keys: list[str], correct: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.bool_and(correct).alias("all_right")).agg(F.avg(F.col("all_right").cast("int")).alias("acc_all"))
 
 
+def acc_all_stderr(df: DataFrame, question: list[str], correct: str) -> DataFrame:
+    """Standard error of ``acc_all``; unlike it, its groups are the questions alone, over all paragraphs."""
+    return df.groupBy(*question).agg(F.bool_and(correct).alias("all_right")).agg(stderr(F.col("all_right").cast("int")).alias("acc_all_stderr"))
+
+
+def mutual_info(conditional: Column, unconditional: Column, gold: Column) -> Column:
+    """1.0 if the choice that gains most by the context (the first of ties) is the right one."""
+    gain = F.zip_with(conditional, unconditional, lambda a, b: a - b)
+    return (F.array_position(gain, F.array_max(gain)) - 1 == gold).cast("double")
+
+
+def mcq_many(losses: Column, golds: Column, lengths: Column, greedy: Column) -> Column:
+    """struct<acc, acc_norm, exact_match> of questions with several right choices; places out of range count as none."""
+    least = lambda x: F.array_position(x, F.array_min(x)) - 1
+    a, b = least(losses), least(F.zip_with(losses, lengths, lambda x, n: x / n))
+    valid = F.transform(golds, lambda g: F.when(g < F.size(losses), g).otherwise(-100))
+    hit = F.exists(valid, lambda g: (g != -100) & F.coalesce(F.get(greedy, g.cast("int")), F.lit(False)))
+    return F.struct(F.exists(valid, lambda g: g == a).cast("double").alias("acc"), F.exists(valid, lambda g: g == b).cast("double").alias("acc_norm"), hit.cast("int").alias("exact_match"))
+
+
+def loglikelihood(value: Column, greedy: Column) -> Column:
+    """struct<perplexity, acc>: what each sample adds to either."""
+    return F.struct(value.alias("perplexity"), greedy.cast("int").alias("acc"))
+
+
 def mcq(losses: Column, gold: Column, lengths: Column) -> Column:
     """struct<acc, acc_norm, pred, pred_norm>: the choice of least loss, and of least loss a character; first of ties."""
     least = lambda x: (F.array_position(x, F.array_min(x)) - 1).cast("int")
@@ -98,12 +152,18 @@ def mcq(losses: Column, gold: Column, lengths: Column) -> Column:
     return F.struct((a == g).cast("double").alias("acc"), (b == g).cast("double").alias("acc_norm"), a.alias("pred"), b.alias("pred_norm"))
 
 
+MOST_VALUES = 50_000_000  # values that a bootstrap may broadcast: 400 MB
+
+
 def bootstrap_stderr(df: DataFrame, value: str, seq: str, statistic, iterations: int = 1000) -> DataFrame:
     """One row ``stderr``: chunks of resamples drawn by Python's generator seeded with the chunk's number.
 
-    The values are one task's sample metrics; they are broadcast as packed numbers, 8 bytes each, the chunks are rows.
+    The values are one task's sample metrics; they are broadcast as packed numbers, 8 bytes each, the chunks are rows. More
+    than ``MOST_VALUES`` are an error, not a sample.
     """
     spark = df.sparkSession
+    if (many := df.count()) > MOST_VALUES:
+        raise ValueError(f"{many} values are too many to resample; {MOST_VALUES} at most")
     packed = spark.sparkContext.broadcast(df.orderBy(seq, value).select(value).toArrow().column(0).to_numpy())
     chunk = min(1000, iterations)
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-import math
 import re
 
 import pandas as pd
@@ -21,7 +19,7 @@ def strip_think(text: Column) -> Column:
 
 def remove_think(text: Column) -> Column:
     """The other rule: all up to the first closing tag goes; then the content of an answer tag, if there is one."""
-    rest = F.regexp_replace(text, "(?s)^.*?</think>", "")
+    rest = F.regexp_replace(F.regexp_replace(text, "(?s)^.*?</think>", ""), "(?s)^.*?</thought>", "")
     return F.trim(F.when(rest.rlike("(?is)<answer>.*?</answer>"), F.regexp_extract(rest, "(?is)<answer>(.*?)</answer>", 1)).otherwise(rest))
 
 
@@ -30,11 +28,16 @@ def unfence(text: Column) -> Column:
     return F.when(text.rlike(r"(?s)^```(?:json)?\s*\n?(.*?)\n?```\s*$"), F.regexp_extract(text, r"(?s)^```(?:json)?\s*\n?(.*?)\n?```\s*$", 1)).otherwise(text)
 
 
+# What is replaced, in this order, and the signs before which a blank goes.
+DETOKENIZED = ((" n't", "n't"), (" )", ")"), ("( ", "("), ('" ', '"'), (' "', '"'))
+CLOSING = "'.,"
+
+
 def detokenize(text: Column) -> Column:
     """Undoes spaces before punctuation and contractions."""
-    for a, b in ((" n't", "n't"), (" )", ")"), ("( ", "("), ('" ', '"'), (' "', '"')):
+    for a, b in DETOKENIZED:
         text = F.replace(text, F.lit(a), F.lit(b))
-    return F.regexp_replace(text, r" ([.,?!;:'])", "$1")
+    return F.regexp_replace(text, f" ([{CLOSING}])", "$1")
 
 
 def sanitize(name: Column) -> Column:
@@ -42,13 +45,21 @@ def sanitize(name: Column) -> Column:
 
 
 def regex_extract(responses: Column, pattern: str, group: int = 0, fallback: str = "[invalid]") -> Column:
-    """Of each response the k-th match (from the end if negative), trimmed, else the fallback.
+    """Of each response the k-th match (from the end if negative), trimmed; without any match the fallback.
 
-    Of a pattern with groups, group 1 is taken.
+    Of a pattern with groups, a match stands for its first group that isn't empty (empty, if all are). Without a k-th
+    match the result is null.
     """
-    which = 1 if re.compile(pattern).groups else 0
-    hit = lambda r: F.try_element_at(F.regexp_extract_all(r, F.lit(pattern), F.lit(which)), F.lit(group + 1 if group >= 0 else group))
-    return F.transform(responses, lambda r: F.coalesce(F.nullif(F.trim(hit(r)), F.lit("")), F.lit(fallback)))
+    many = re.compile(pattern).groups
+    found = lambda r, g: F.regexp_extract_all(r, F.lit(pattern), F.lit(g))
+    which = F.lit(group + 1 if group >= 0 else group)
+
+    def one(r):
+        picks = [F.try_element_at(found(r, g), which) for g in range(1, many + 1)] if many else [F.try_element_at(found(r, 0), which)]
+        first = F.coalesce(*[F.nullif(x, F.lit("")) for x in picks], picks[0])
+        return F.when(F.size(found(r, 0)) == 0, F.lit(fallback)).otherwise(F.trim(first))
+
+    return F.transform(responses, one)
 
 
 def drop_one_space(responses: Column) -> Column:
@@ -115,153 +126,25 @@ def option(text: Column) -> Column:
     return F.upper(F.coalesce(*[F.nullif(F.regexp_extract(text, f"(?im){p}", 1), F.lit("")) for p in OPTION_PATTERNS]))
 
 
+_BRACE = re.compile("[{}]")
+
+
 @F.pandas_udf(T.StringType())
 def last_boxed(text: pd.Series) -> pd.Series:
-    r"""The last ``\boxed{...}`` or ``\fbox{...}`` with its braces matched; null if there is none."""
+    r"""The last ``\boxed{...}`` (``\fbox{...}`` if there is none) with its braces matched; null if there is neither."""
     def one(s):
-        at = max(s.rfind("\\boxed"), s.rfind("\\fbox"))
+        at = s.rfind("\\boxed")
+        at = s.rfind("\\fbox") if at < 0 else at
         depth = 0
-        for i in range(at, len(s)) if at >= 0 else ():
-            depth += (s[i] == "{") - (s[i] == "}")
-            if s[i] == "}" and depth == 0:
-                return s[at : i + 1]
+        for m in _BRACE.finditer(s, at) if at >= 0 else ():
+            depth += 1 if m[0] == "{" else -1
+            if m[0] == "}" and depth == 0:
+                return s[at : m.end()]
         return None
 
     return text.map(one, na_action="ignore")
 
 
-def python_to_json(s: str) -> str:
-    """A Python literal as JSON text: quotes, True/False/None, tuples as lists.
-
-    A double quote inside a single-quoted string stays as it is, so such text is no valid JSON.
-    """
-    out, quote, i = [], "", 0
-    while i < len(s):
-        c = s[i]
-        if quote:
-            if c == "\\" and i + 1 < len(s):
-                out.append("'" if s[i + 1] == "'" else s[i : i + 2])
-                i += 1
-            elif c == quote:
-                out.append('"')
-                quote = ""
-            else:
-                out.append(c)
-        elif c in "'\"":
-            quote = c
-            out.append('"')
-        elif c in "()":
-            out.append("[" if c == "(" else "]")
-        elif (m := re.compile(r"(True|False|None)\b").match(s, i)) and not (i and (s[i - 1].isalnum() or s[i - 1] == "_")):
-            out.append({"True": "true", "False": "false", "None": "null"}[m[1]])
-            i = m.end() - 1
-        else:
-            out.append(c)
-        i += 1
-    return "".join(out)
-
-
-def _balanced(s: str, start: int) -> str | None:
-    depth = 0
-    for i in range(start, len(s)):
-        depth += (s[i] == "{") - (s[i] == "}")
-        if depth == 0:
-            return s[start : i + 1]
-    return None
-
-
-def find_json(s: str, must: tuple[str, ...] = (), some: tuple[str, ...] = ()) -> str | None:
-    """The snippet that holds the wanted keys: a fenced block first, then the brace before the first key found.
-
-    Braces are matched without regard to strings.
-    """
-    fits = lambda t: all(f'"{k}"' in t or f"'{k}'" in t for k in must) and (not some or any(f'"{k}"' in t or f"'{k}'" in t for k in some))
-    for block in re.findall(r"```(?:json|python)?\s*\n?(.*?)```", s, re.S):
-        at = block.find("{")
-        if at >= 0 and (t := _balanced(block, at)) and fits(t):
-            return t
-    for key in (*must, *some):
-        for q in (f'"{key}"', f"'{key}'"):
-            at = s.find(q)
-            start = s.rfind("{", 0, at) if at >= 0 else -1
-            if start >= 0 and (t := _balanced(s, start)) and fits(t):
-                return t
-    return None
-
-
-def _number(x) -> float | int | None:
-    try:
-        v = float(x) if not isinstance(x, bool) else math.nan
-    except (TypeError, ValueError, OverflowError):
-        return None
-    return None if not math.isfinite(v) else int(v) if v == int(v) and abs(v) < 1e15 else v
-
-
-def _boxes(x) -> list | None:
-    """Lists of four numbers; pairs of corners are flattened, one more level of lists is opened."""
-    if not isinstance(x, list):
-        return None
-    out: list = []
-    if len(x) == 4 and all(_number(v) is not None for v in x):
-        x = [x]
-    for b in x:
-        if isinstance(b, list) and len(b) == 1 and isinstance(b[0], list):
-            b = b[0]
-        if isinstance(b, list) and len(b) == 2 and all(isinstance(p, list) and len(p) == 2 for p in b):
-            b = b[0] + b[1]
-        if isinstance(b, list) and len(b) == 4 and all((n := _number(v)) is not None for v in b):
-            out.append([_number(v) for v in b])
-    return out
-
-
-# Names that answers use for each field.
-BOX_KEYS = ("bounding_boxes", "bbox", "bboxes", "boxes", "bbox_2d")
-COUNT_KEYS, PATH_KEYS, FLAG_KEYS = ("count",), ("path", "points", "path_points"), ("feasibility", "placement_feasibility", "feasible")
-NOT_REQUIRED, NO_RESPONSE = ["Not Required"], ["No Valid Response"]
-
-
-def standard_fields(response: str | None, flags: dict) -> dict[str, str]:
-    """The four answer fields as JSON texts; each is a value list or a sentinel list. Never raises."""
-    text = response or ""
-    if "<think>" in text:
-        text = re.sub(r"<think>.*?</think>", "", text, flags=re.S).strip() if "</think>" in text else ""
-    keys = {"localization": BOX_KEYS, "count": COUNT_KEYS, "path": PATH_KEYS, "binary": FLAG_KEYS}
-    wanted = tuple(k for n in keys if flags.get(n) for k in keys[n])
-    try:
-        data = json.loads(python_to_json(find_json(text, (), wanted) or ""))
-    except (ValueError, RecursionError):
-        data = None
-    first = lambda names: next((data[k] for k in names if k in data), None)
-    out = {}
-    for name in keys:
-        value = None
-        if not flags.get(name):
-            out[name] = json.dumps(NOT_REQUIRED)
-            continue
-        if isinstance(data, dict):
-            raw = first(keys[name])
-            if name == "localization":
-                value = _boxes(raw) if raw is not None else ([] if flags.get("count") and first(COUNT_KEYS) is not None else None)
-            elif name == "count":
-                try:
-                    value = None if raw is None else [int(raw)]
-                except (TypeError, ValueError, OverflowError):
-                    value = None
-            elif name == "path" and isinstance(raw, list):
-                points = [[_number(v) for v in p] for p in raw if isinstance(p, list) and len(p) == 2 and all(_number(v) is not None for v in p)]
-                value = points if len(points) >= 3 else None
-            elif name == "binary" and raw is not None:
-                value = [raw if isinstance(raw, bool) else str(raw).strip().lower() in ("true", "1", "yes")]
-        out[name] = json.dumps(NO_RESPONSE if value is None else value)
-    return out
-
-
-@F.pandas_udf(T.StructType([T.StructField(k, T.StringType()) for k in ("localization", "count", "path", "binary")]))
-def standardize(response: pd.Series, flags: pd.DataFrame) -> pd.DataFrame:
-    """Arrow form of ``standard_fields``; flags is the struct of ``catalog.required``."""
-    return pd.DataFrame([standard_fields(r, f) for r, f in zip(response, flags.to_dict("records"), strict=True)], columns=["localization", "count", "path", "binary"])
-
-
 @F.pandas_udf(T.StringType())
 def visible_text(html: pd.Series) -> pd.Series:
     """Visible text of a page: stripped strings, one a line, without scripts and styles."""

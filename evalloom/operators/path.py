@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Weights of (start/end, feasibility, away, toward, continuity) by place in the path, and limits.
 FIRST, LAST, MIDDLE = (1.0, 0.0, 0.0, 0.0, 0.0), (0.3, 0.4, 0.1, 0.1, 0.1), (0.0, 0.4, 0.2, 0.2, 0.2)
@@ -83,26 +83,35 @@ def region_distance(a: np.ndarray | None, b: np.ndarray | None, start) -> float:
 def inside_ratio(p, q, mask: np.ndarray) -> float:
     """Share of midpoints of equal parts of a segment that lie in the mask."""
     t = (np.arange(SAMPLES) + 0.5) / SAMPLES
-    x, y = (np.rint(p[k] + t * (q[k] - p[k])).astype(int) for k in (0, 1))
+    x, y = (np.rint(p[k] * (1 - t) + q[k] * t).astype(int) for k in (0, 1))
     ok = (x >= 0) & (x < mask.shape[1]) & (y >= 0) & (y < mask.shape[0])
     return float(mask[y[ok], x[ok]].sum() / SAMPLES)
 
 
-def thinned(points: list, least: float) -> list:
-    kept: list = []
-    for p in points:
-        if not kept or np.hypot(p[0] - kept[-1][0], p[1] - kept[-1][1]) >= least:
-            kept.append(p)
+def kept_places(points: list, least: float) -> list[int]:
+    """Places of the points that are at least ``least`` away from the last kept one; the first is kept."""
+    kept: list[int] = []
+    for i, p in enumerate(points):
+        if not kept or np.hypot(p[0] - points[kept[-1]][0], p[1] - points[kept[-1]][1]) >= least:
+            kept.append(i)
     return kept
 
 
-def score_path(points, feasible, target, h: int, w: int, exo: bool) -> float:
-    """Mean of the points' weighted scores; 0 for fewer than two points after thinning."""
+def judged(points, feasible, target, h: int, w: int, exo: bool) -> dict:
+    """Score of a path with its components, and what each point adds.
+
+    Points too near the last kept one take no part. The score is the mean of the points' weighted scores; 0 for fewer than
+    two. Without two regions to go between, a path starts from the middle of the lower edge.
+    """
     diag = float(np.hypot(h, w))
-    pts = thinned([(p["x"], p["y"]) for p in points], diag * NEAR_RATIO)
-    n = len(pts)
+    every = [(float(p["x"]), float(p["y"])) for p in points]
+    used = kept_places(every, diag * NEAR_RATIO)
+    pts, n = [every[i] for i in used], len(used)
+    out = {"score": 0.0, "before": len(every), "after": n, "start_end": None, "feasibility": None, "away": None, "toward": None, "continuity": None}
+    empty = {k: None for k in ("score", "start_end", "feasibility", "away", "toward", "continuity", "to_start", "to_end", "weight")}
+    out["points"] = [{"x": x, "y": y, "used": i in set(used), **empty} for i, (x, y) in enumerate(every)]
     if n < 2:
-        return 0.0
+        return out
     area, goal = pixels(feasible, h, w), pixels(target, h, w)
     goal = goal if goal.any() else None
     start, end, foot = None, goal, (w / 2, h - 1.0)
@@ -110,7 +119,6 @@ def score_path(points, feasible, target, h: int, w: int, exo: bool) -> float:
         a, b = split_target(goal)
         if b is not None:
             start, end = (a, b) if point_distance(pts[0], a) <= point_distance(pts[0], b) else (b, a)
-        foot = pts[0]
     gap = region_distance(start, end, foot)
     if not 0 < gap < float("inf"):
         s = centre(start) if start is not None else foot
@@ -119,31 +127,61 @@ def score_path(points, feasible, target, h: int, w: int, exo: bool) -> float:
     low, high = diag * NEAR_RATIO, gap * FAR_RATIO if gap > 0 else diag
     to_start, to_end = [point_distance(p, start, foot) for p in pts], [point_distance(p, end) for p in pts]
     ends = [max(0.0, 1 - DISTANCE_K * d / diag) if d < float("inf") else 0.0 for d in (to_start[0], to_end[-1])]
-    total = ends[0]  # the first point counts only for its place
+    rows = [[ends[0], 0.0, 0.0, 0.0, 0.0]]
     for i in range(1, n):
-        last = i == n - 1
-        weights = LAST if last else MIDDLE
         step = float(np.hypot(pts[i][0] - pts[i - 1][0], pts[i][1] - pts[i - 1][1]))
-        parts = [ends[1] if last else 0.0, inside_ratio(pts[i - 1], pts[i], area), float(to_start[i] > to_start[i - 1]), float(to_end[i] < to_end[i - 1]), float(low <= step <= high)]
-        use = [last, True, True, True, not last or n >= 3]
-        total += sum(x * p for x, p, u in zip(weights, parts, use, strict=True) if u) / sum(x for x, u in zip(weights, use, strict=True) if u)
-    return total / n
+        rows.append([ends[1] if i == n - 1 else 0.0, inside_ratio(pts[i - 1], pts[i], area), float(to_start[i] > to_start[i - 1]), float(to_end[i] < to_end[i - 1]), float(low <= step <= high)])
+    names = ("start_end", "feasibility", "away", "toward", "continuity")
+    total = 0.0
+    for i, (at, row) in enumerate(zip(used, rows, strict=True)):
+        last = i == n - 1
+        weights = FIRST if i == 0 else LAST if last else MIDDLE
+        counts = [i == 0 or last, i > 0, i > 0, i > 0, 0 < i and (not last or n >= 3)]
+        weight = sum(x for x, c in zip(weights, counts, strict=True) if c)
+        score = sum(x * p for x, p, c in zip(weights, row, counts, strict=True) if c) / weight
+        total += score
+        shown = {k: x if c else 0.0 for k, x, c in zip(names, row, counts, strict=True)}
+        out["points"][at] |= shown | {"score": score, "to_start": to_start[i], "to_end": to_end[i], "weight": weight}
+    mean = lambda k, part: sum(r[k] for r in part) / len(part) if part else None
+    out |= {"score": total / n, "start_end": sum(ends) / 2, "feasibility": mean(1, rows[1:]), "away": mean(2, rows[1:]), "toward": mean(3, rows[1:]), "continuity": mean(4, rows[1:-1])}
+    return out
 
 
-def path_scores(df: DataFrame, key: str) -> DataFrame:
-    """key, score from columns points, feasible, target, h, w, exo; Arrow batches, one pass.
+def score_path(points, feasible, target, h: int, w: int, exo: bool) -> float:
+    return judged(points, feasible, target, h, w, exo)["score"]
 
-    A row without points or canvas scores 0, and no row ends the job.
-    """
-    def one(p, f, t, y, x, e):
-        try:
-            return score_path(p, f, t, int(y), int(x), bool(e)) if p is not None and len(p) else 0.0
-        except (TypeError, ValueError, KeyError):
-            return 0.0
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in frames:
-            yield pd.DataFrame({key: b[key], "score": [one(*r) for r in zip(b["points"], b["feasible"], b["target"], b["h"], b["w"], b["exo"], strict=True)]})
-
-    kind = df.schema[key].dataType.simpleString()
-    return df.select(key, "points", "feasible", "target", "h", "w", "exo").mapInPandas(run, f"`{key}` {kind}, score double")
+
+_number = lambda n: T.StructField(n, T.DoubleType())
+_POINT = T.StructType([_number("x"), _number("y"), T.StructField("used", T.BooleanType()), *map(_number, ("score", "start_end", "feasibility", "away", "toward", "continuity", "to_start", "to_end", "weight"))])
+RESULT = T.StructType([_number("score"), T.StructField("error", T.StringType()), T.StructField("before", T.IntegerType()), T.StructField("after", T.IntegerType()), *map(_number, ("start_end", "feasibility", "away", "toward", "continuity")), T.StructField("points", T.ArrayType(_POINT))])
+
+
+def _one(points, feasible, target, h, w, exo) -> dict:
+    """The result of a row; errors are told, never raised."""
+    none = dict.fromkeys(RESULT.names) | {"score": 0.0}
+    if h is None or w is None or h != h or feasible is None:
+        return none | {"error": "Failed to decode feasible area mask or mask is missing"}
+    if points is None or not len(points):
+        return none | {"error": "No path points parsed"}
+    try:
+        return judged(points, feasible, target, int(h), int(w), bool(exo)) | {"error": None}
+    except (TypeError, ValueError, KeyError) as e:
+        return none | {"error": f"{type(e).__name__}: {e}"}
+
+
+@F.pandas_udf(RESULT)
+def result(points: pd.Series, feasible: pd.Series, target: pd.Series, h: pd.Series, w: pd.Series, exo: pd.Series) -> pd.DataFrame:
+    """Score, error text, components and points of each row; a row without points isn't a path row or has no answer."""
+    return pd.DataFrame([_one(*r) for r in zip(points, feasible, target, h, w, exo, strict=True)], columns=RESULT.names).astype({"before": "Int32", "after": "Int32"})
+
+
+@F.pandas_udf(T.StructType(RESULT.fields[:2]))
+def score_only(points: pd.Series, feasible: pd.Series, target: pd.Series, h: pd.Series, w: pd.Series, exo: pd.Series) -> pd.DataFrame:
+    """Score and error text; 0 and no error where ``exo`` is null, for rows of other tasks."""
+    rows = [(0.0, None) if e is None or e != e else tuple(_one(p, f, t, y, x, e)[k] for k in ("score", "error")) for p, f, t, y, x, e in zip(points, feasible, target, h, w, exo, strict=True)]
+    return pd.DataFrame(rows, columns=["score", "error"])
+
+
+def path_scores(df: DataFrame, key: str) -> DataFrame:
+    """key, score from columns points, feasible, target, h, w, exo; Arrow batches, one pass."""
+    return df.select(key, result("points", "feasible", "target", "h", "w", "exo").alias("r")).select(key, "r.score")

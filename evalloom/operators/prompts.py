@@ -23,14 +23,19 @@ def record(system: Column, user: Column, images: Column) -> Column:
     return F.when(user.isNotNull() & (user != ""), F.struct(F.array(message("system", system), message("user", user)).alias("messages"), images.alias("images")))
 
 
+def _listed(text: Column) -> Column:
+    """Commas with one blank after them, and white space as one blank."""
+    return F.trim(F.regexp_replace(F.regexp_replace(text, r"\s*,\s*", ", "), r"\s+", " "))
+
+
 def normal_area(text: Column) -> Column:
-    """Runs of two or more ``2`` separate the parts of a target area."""
-    return F.trim(F.regexp_replace(F.regexp_replace(text, "2{2,}", ", "), r"\s+", " "))
+    """Runs of two or more ``2`` separate the parts of a target area; no comma stays at either end."""
+    return F.trim(F.regexp_replace(_listed(F.regexp_replace(F.trim(text), "2{2,}", ",")), r"^(?:,\s*)+|(?:\s*,)+$", ""))
 
 
 def normal_label(text: Column) -> Column:
     """Runs of one or more ``2`` separate labels."""
-    return F.trim(F.regexp_replace(F.regexp_replace(text, "2+", ", "), r"\s+", " "))
+    return _listed(F.regexp_replace(F.trim(text), "2+", ", "))
 
 
 # Suffix of the overlay image that belongs to each kind of picture.

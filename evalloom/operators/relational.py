@@ -7,7 +7,7 @@ import random
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -107,33 +107,57 @@ def chunks(values: Column, size: int) -> Column:
     return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1, F.lit(size)), lambda i: F.slice(values, i + 1, F.lit(size))))
 
 
-def kcenter(df: DataFrame, key: str, vector: str, k: int, block_rows: int = 200_000) -> DataFrame:
-    """key, pick: ``k`` rows chosen greedily, each the farthest from those chosen before (first by key of ties).
+def kcenter(df: DataFrame, key: str, vector: str, k: int, candidates: int = 4096) -> DataFrame:
+    """key, pick: ``k`` rows chosen greedily, each the farthest from those chosen before (smallest key of ties and first).
 
-    Each round broadcasts one vector and reduces every partition to its farthest row, so rows stay where they are; the
-    distances so far are held with the rows in memory of one task up to ``block_rows`` rows, above which rounds rescan.
+    A round ships the centres so far, and each task sends the ``candidates`` rows that are farthest from all of them; the
+    farthest overall come to the driver. Distances only fall as centres are added, so the driver can go on choosing among
+    these as long as its farthest is farther than any row that stayed behind was. A round gives at least one pick, most
+    give many; rows stay where they are, and neither plan nor memory grows with the table. Rows with a null key or vector
+    take no part.
     """
-    rows = df.select(F.col(key).alias("k"), F.col(vector).alias("v")).where("k is not null and v is not null")
-    first = rows.agg(F.min_by("v", "k").alias("v"), F.min("k").alias("k"), F.count(F.lit(1)).alias("n")).first()
+    rows = df.select(F.col(key).cast("long").alias("k"), F.transform(vector, lambda x: x.cast("double")).alias("v")).where("k is not null and v is not null")
     spark = df.sparkSession
-    if not first["n"]:
-        return spark.createDataFrame([], "key long, pick int")
-    if first["n"] <= block_rows:
-        def local(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            f = pd.concat(list(frames)).sort_values("k")
-            x = np.stack(f["v"]).astype("float64")
-            near, at, picks = np.full(len(x), np.inf), 0, []
-            for _ in range(min(k, len(x))):
-                picks.append(at)
-                near = np.minimum(near, np.linalg.norm(x - x[at], axis=1))
-                at = int(near.argmax())
-            yield pd.DataFrame({"key": f["k"].to_numpy()[picks], "pick": np.arange(len(picks), dtype="int32")})
-
-        return rows.coalesce(1).mapInPandas(local, "key long, pick int")
-    chosen, centers = [first["k"]], [list(first["v"])]
-    for _ in range(k - 1):
-        near = F.least(*[F.aggregate(F.zip_with("v", F.array(*map(F.lit, c)), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, t: s + t) for c in centers], F.lit(float("inf")))
-        best = rows.withColumn("d", near).agg(F.max_by(F.struct("k", "v"), F.struct("d", -F.col("k"))).alias("x")).first()["x"]
-        chosen.append(best["k"])
-        centers.append(list(best["v"]))
-    return spark.createDataFrame([(int(c), i) for i, c in enumerate(chosen)], "key long, pick int")
+    picks: list[int] = []
+    centres: list[np.ndarray] = []
+
+    def farthest(centres: np.ndarray):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = None
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                x = b.column("v").flatten().to_numpy().reshape(b.num_rows, -1)
+                d = np.full(len(x), np.inf)
+                for c in centres:
+                    np.minimum(d, ((x - c) ** 2).sum(1), out=d)
+                new = (b.column("k").to_numpy(), d, x)
+                held = new if held is None else tuple(np.concatenate(p) for p in zip(held, new, strict=True))
+                best = np.lexsort((held[0], -held[1]))[: candidates + 1]
+                held = tuple(p[best] for p in held)
+            if held is not None:
+                yield pa.RecordBatch.from_arrays([pa.array(held[0]), pa.array(held[1]), pa.array(list(held[2]), pa.list_(pa.float64()))], ["k", "d", "v"])
+
+        return run
+
+    while len(picks) < k:
+        found = rows.mapInArrow(farthest(np.array(centres)), "k long, d double, v array<double>").orderBy(F.desc("d"), "k").limit(candidates + 1).toArrow()
+        if not found.num_rows:
+            break
+        ids, d = found.column("k").to_numpy(), found.column("d").to_numpy().copy()
+        x = np.stack([np.array(v) for v in found.column("v").to_pylist()])
+        beyond = d[-1] if len(d) > candidates else -1.0  # no row that stayed behind is farther
+        first = True
+        while len(picks) < min(k, len(ids) if beyond < 0 else k):
+            best = int(np.lexsort((ids, -d))[0])
+            if not first and d[best] <= beyond:
+                break
+            if d[best] == 0 and beyond < 0 and len(set(picks)) >= len(ids):
+                break
+            picks.append(int(ids[best]))
+            centres.append(x[best])
+            np.minimum(d, ((x - x[best]) ** 2).sum(1), out=d)
+            first = False
+        if beyond < 0:
+            break
+    return spark.createDataFrame([(p, i) for i, p in enumerate(picks)], "key long, pick int")

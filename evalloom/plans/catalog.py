@@ -20,7 +20,14 @@ MASKS = {"TargetLocalization": "masklet_target", "GroundDetection": "masklet_gro
 COUNTS = {"TargetLocalization": "count_target_instance", "VisualMatching": "count_matching_area", "ContactRelationship": "count_contact_target"}
 # Model family -> coordinate mode of its answers.
 COORD_MODES = {"Qwen2.5-VL": "absolute", "Qwen3-VL": "normalized_0_1000", "Qwen3.5-VL": "normalized_0_1000", "InternVL3": "normalized_0_1000", "InternVL3.5": "normalized_0_1000", "LLaVA": "normalized_0_1", "Claude": "absolute", "Gemini": "normalized_0_1000"}
-METRICS = {"TargetLocalization": "lc", "GroundDetection": "l", "FeasiblePath": "p", "VisualMatching": "lc", "AffordanceRegion": "l", "ContactRelationship": "lc", "PlacementRegion": "lb"}
+# Base type -> metrics that its answers need.
+METRICS = {
+    "TargetLocalization": ("localization", "count"), "GroundDetection": ("localization",), "FeasiblePath": ("path",), "VisualMatching": ("localization", "count"),
+    "AffordanceRegion": ("localization",), "ContactRelationship": ("localization", "count"), "PlacementRegion": ("localization", "binary"),
+}
+# Fields of ground truth by use; the second name of a pair is an older one.
+PATH_FIELDS = {"path_mask": "masklet_path", "target_area_mask": "masklet_target_area"}
+PRECISE_FIELDS, DESCRIBED_FIELD, FEASIBLE_FIELDS = ("precise_count", "Precise_Count"), "count_in_description", ("placement_feasibility", "placement_feasible")
 
 
 def leaves() -> list[tuple[int, str, str, str, str, str]]:
@@ -62,8 +69,9 @@ def count_field(category: Column, kind: Column) -> Column:
 
 def required(category: Column, kind: Column) -> Column:
     """Struct of four flags: which metrics a task uses."""
-    letters = F.coalesce(lookup(METRICS, base_type(category, kind)), F.lit(""))
-    return F.struct(*[letters.contains(x[0]).alias(x) for x in ("localization", "count", "path", "binary")])
+    base = base_type(category, kind)
+    uses = lambda m: F.coalesce(base.isin(*[t for t, ms in METRICS.items() if m in ms]), F.lit(False))
+    return F.struct(*[uses(m).alias(m) for m in ("localization", "count", "path", "binary")])
 
 
 def leaf_from_path(path: Column, group: Column | None = None) -> Column:

@@ -1,7 +1,8 @@
 """Registered queries of the engine over the driver's tables, each beside its SQL.
 
 Samples are derived from ``events`` by integer arithmetic that Spark and DuckDB evaluate alike: a 48 x 32 canvas, one true
-box and one or two answered ones, in one of four coordinate modes; every 17th sample has no truth, every 19th no answer.
+box and one or two answered ones, in one of five coordinate modes (two of them older names); every 17th sample has no
+truth, every 19th no answer, every 29th no truth for its flag. Path tasks have points over a fixed feasible box.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import coords, masks, metrics, scores, text
-from .operators import filters, path, prompts, relational, report
+from .operators import filters, instances, path, prompts, relational, report, rollup, scoring
 from .plans import catalog
 from .sources import readers
 from .streaming import incremental
@@ -33,10 +34,13 @@ def query(name: str, sql: str | None = None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from . import queries_more  # noqa: F401  registers the others
+
     return dict(_Q)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(_SQL)
 
 
@@ -48,7 +52,7 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each event, with answers as a standard sample has them."""
     e, u = F.col("event_id"), F.col("user_id")
     gx, gy = (e * 7) % 24, (e * 5) % 16
-    mode = F.element_at(F.array(*map(F.lit, ("absolute", "normalized_0_1000", "normalized_0_1", "auto"))), (e % 4 + 1).cast("int"))
+    mode = F.element_at(F.array(*map(F.lit, ("absolute", "normalized_1000", "normalized", "auto"))), (e % 4 + 1).cast("int"))
     sx = F.when(e % 4 == 1, 1000.0 / W).when(e % 4 == 2, 1.0 / W).otherwise(1.0)
     sy = F.when(e % 4 == 1, 1000.0 / H).when(e % 4 == 2, 1.0 / H).otherwise(1.0)
     box = lambda a, b, c, d: F.array(a * sx, b * sy, c * sx, d * sy)
@@ -58,14 +62,21 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     truth = F.array(F.struct(*[c.cast("int").alias(n) for n, c in (("x1", gx), ("y1", gy), ("x2", gx + 4 + e % 16), ("y2", gy + 3 + u % 12))]))
     return readers.spread(read(spark, sf_dir, "events"), "event_id").select(
         F.col("event_id").alias("sid"), "user_id", "event_type", "value", "ts", (e % 23).cast("int").alias("ord"), mode.alias("mode"), boxes.alias("boxes"), truth.alias("truth"), (e % 17 == 0).alias("gt_empty"), (e % 19 == 0).alias("no_answer"),
-        (1 + e % 4).cast("int").alias("gt_count"), F.when(e % 19 != 0, 1 + u % 4).cast("int").alias("pred_count"), (e % 2 == 0).alias("precise"), (e % 3 == 0).alias("described"),
+        (e % 5).cast("int").alias("gt_count"), F.when(e % 19 != 0, 1 + u % 4).cast("int").alias("pred_count"), (e % 2 == 0).alias("precise"), (e % 3 == 0).alias("described"),
+        F.when(e % 29 != 0, u % 2 == 0).alias("gt_flag"), F.when(e % 19 != 0, e % 2 == 0).alias("pred_flag"),
     )
 
 
+def path_points(e, u):
+    """Integer points of a path; every fifth has steps so short that each other point is left out."""
+    dx, dy = F.when(e % 5 == 0, 1).otherwise(3 + u % 3), F.when(e % 5 == 0, 1).otherwise(2 + e % 4)
+    return F.transform(F.sequence(F.lit(0), (3 + e % 4).cast("int")), lambda i: F.struct((5 + i * dx).cast("double").alias("x"), (30 - i * dy).cast("double").alias("y")))
+
+
 # the same samples in SQL; boxes are rows of b, the truth is in s
 SAMPLES = f"""s AS (SELECT event_id AS sid, user_id AS u, event_type, value, ts, (event_id % 23)::INTEGER AS ord, event_id % 4 AS m,
       (event_id * 7) % 24 AS gx, (event_id * 5) % 16 AS gy, (event_id * 7) % 24 + 4 + event_id % 16 AS gx2, (event_id * 5) % 16 + 3 + user_id % 12 AS gy2,
-      event_id % 17 = 0 AS gt_empty, event_id % 19 = 0 AS no_answer, (1 + event_id % 4)::INTEGER AS gt_count,
+      event_id % 17 = 0 AS gt_empty, event_id % 19 = 0 AS no_answer, (event_id % 5)::INTEGER AS gt_count, CASE WHEN event_id % 29 <> 0 THEN user_id % 2 = 0 END AS gt_flag, CASE WHEN event_id % 19 <> 0 THEN event_id % 2 = 0 END AS pred_flag,
       CASE WHEN event_id % 19 <> 0 THEN (1 + user_id % 4)::INTEGER END AS pred_count, event_id % 2 = 0 AS precise, event_id % 3 = 0 AS described,
       CASE event_id % 4 WHEN 1 THEN 1000.0::DOUBLE / {W} WHEN 2 THEN 1.0::DOUBLE / {W} ELSE 1.0::DOUBLE END AS kx, CASE event_id % 4 WHEN 1 THEN 1000.0::DOUBLE / {H} WHEN 2 THEN 1.0::DOUBLE / {H} ELSE 1.0::DOUBLE END AS ky FROM events),
     raw AS (SELECT sid, m, (gx + u % 7 - 3) * kx AS a, (gy + u % 5 - 2) * ky AS b, (gx2 + sid % 5 - 2) * kx AS c, (gy2 + u % 3 - 1) * ky AS d FROM s WHERE NOT no_answer
@@ -79,32 +90,60 @@ SAMPLES = f"""s AS (SELECT event_id AS sid, user_id AS u, event_type, value, ts,
     box AS (SELECT sid, trunc(x1)::INTEGER AS x1, trunc(y1)::INTEGER AS y1, trunc(x2)::INTEGER AS x2, trunc(y2)::INTEGER AS y2 FROM nb WHERE x2 > x1 AND y2 > y1),
     px AS (SELECT DISTINCT sid, x, y FROM (SELECT sid, x1, y1, y2, unnest(range(x1, x2)) AS x, y1 AS ya FROM box) AS t, LATERAL (SELECT unnest(range(t.y1, t.y2)) AS y) AS l),
     it AS (SELECT px.sid, count(*) AS n, count(*) FILTER (px.x >= gx AND px.x < gx2 AND px.y >= gy AND px.y < gy2) AS hit FROM px JOIN s USING (sid) GROUP BY px.sid),
-    loc AS (SELECT s.sid, CASE WHEN no_answer THEN CASE WHEN gt_empty THEN 1.0 ELSE 0.0 END WHEN gt_empty THEN 0.0
-        ELSE coalesce(hit, 0)::DOUBLE / (coalesce(n, 0) + (gx2 - gx) * (gy2 - gy) - coalesce(hit, 0)) END AS loc FROM s LEFT JOIN it USING (sid)),
-    cs AS (SELECT sid, CASE WHEN pred_count IS NULL THEN 0.0 WHEN precise OR described THEN (pred_count = gt_count)::INTEGER::DOUBLE ELSE 1.0::DOUBLE - least(1.0::DOUBLE, abs(gt_count - pred_count) / greatest(1, gt_count)::DOUBLE) END AS cnt,
-        CASE WHEN described THEN 0.1::DOUBLE WHEN precise THEN 0.5::DOUBLE ELSE 0.3::DOUBLE END AS cw FROM s),
-    sc AS (SELECT s.*, round(loc, 9) AS loc, cnt, cw, CASE WHEN ord BETWEEN 0 AND 13 OR ord IN (17, 19, 20, 21) THEN (1.0::DOUBLE - cw) * loc.loc + cw * cnt ELSE loc.loc END AS score,
-        no_answer AND (ord BETWEEN 0 AND 13 OR ord IN (17, 19, 20, 21)) AS bad FROM s JOIN loc USING (sid) JOIN cs USING (sid))"""
+    counted AS (SELECT sid, ord BETWEEN 0 AND 13 OR ord IN (17, 19, 20, 21) AS counted FROM s),
+    loc AS (SELECT s.sid, CASE WHEN no_answer THEN (gt_empty OR (counted AND gt_count = 0))::INTEGER::DOUBLE WHEN gt_empty OR (counted AND gt_count = 0) THEN 0.0
+        ELSE coalesce(hit, 0)::DOUBLE / (coalesce(n, 0) + (gx2 - gx) * (gy2 - gy) - coalesce(hit, 0)) END AS loc FROM s JOIN counted USING (sid) LEFT JOIN it USING (sid)),
+    cs AS (SELECT sid, CASE WHEN pred_count IS NULL THEN 0.0 WHEN precise OR described THEN (pred_count = gt_count)::INTEGER::DOUBLE WHEN gt_count = 0 THEN (pred_count = 0)::INTEGER::DOUBLE ELSE 1.0::DOUBLE - least(1.0::DOUBLE, abs(gt_count - pred_count) / gt_count::DOUBLE) END AS cnt,
+        CASE WHEN described THEN 0.1::DOUBLE WHEN precise THEN 0.5::DOUBLE ELSE 0.3::DOUBLE END AS cw, CASE WHEN pred_flag IS NULL OR gt_flag IS NULL THEN 0.0 ELSE (pred_flag = gt_flag)::INTEGER::DOUBLE END AS flag FROM s),
+    pp AS (SELECT sid, i, (5 + i * CASE WHEN sid % 5 = 0 THEN 1 ELSE 3 + u % 3 END)::DOUBLE AS x, (30 - i * CASE WHEN sid % 5 = 0 THEN 1 ELSE 2 + sid % 4 END)::DOUBLE AS y FROM s, range(0, 7) AS r(i) WHERE ord IN (15, 16) AND NOT no_answer AND i <= 3 + sid % 4),
+    th AS (SELECT sid, i, x, y, true AS far FROM pp WHERE i = 0 UNION ALL SELECT p.sid, p.i, CASE WHEN l.far THEN p.x ELSE th.x END, CASE WHEN l.far THEN p.y ELSE th.y END, l.far
+      FROM th JOIN (SELECT * FROM pp) p ON p.sid = th.sid AND p.i = th.i + 1, LATERAL (SELECT sqrt(pow(p.x - th.x, 2) + pow(p.y - th.y, 2)) >= sqrt({H * H + W * W}) / 30 AS far) l),
+    kp AS (SELECT th.sid, x, y, row_number() OVER k - 1 AS k, count(*) OVER (PARTITION BY th.sid) AS n, lag(x) OVER k AS px, lag(y) OVER k AS py, sqrt({H * H + W * W}) AS diag,
+        sqrt(pow(x - {W} / 2.0, 2) + pow(y - {H - 1}, 2)) AS ds, sqrt(pow(x - greatest(gx, least(x, gx2 - 1)), 2) + pow(y - greatest(gy, least(y, gy2 - 1)), 2)) AS de,
+        sqrt(pow({W} / 2.0 - greatest(gx, least({W} / 2.0, gx2 - 1)), 2) + pow({H - 1} - greatest(gy, least({H - 1}, gy2 - 1)), 2)) AS gap FROM th JOIN s USING (sid) WHERE far WINDOW k AS (PARTITION BY th.sid ORDER BY i)),
+    kq AS (SELECT *, lag(ds) OVER (PARTITION BY sid ORDER BY k) AS pds, lag(de) OVER (PARTITION BY sid ORDER BY k) AS pde, sqrt(pow(x - px, 2) + pow(y - py, 2)) AS step,
+        len(list_filter(range(0, 50), lambda j: round_even(px * (1 - (j + 0.5::DOUBLE) / 50) + x * ((j + 0.5::DOUBLE) / 50), 0) BETWEEN 4 AND 39 AND round_even(py * (1 - (j + 0.5::DOUBLE) / 50) + y * ((j + 0.5::DOUBLE) / 50), 0) BETWEEN 4 AND 29)) / 50.0::DOUBLE AS fea FROM kp),
+    ps AS (SELECT sid, n, k, CASE WHEN k = 0 THEN greatest(0.0, 1 - 3.0::DOUBLE * ds / diag)
+        WHEN k < n - 1 THEN 0.4::DOUBLE * fea + 0.2::DOUBLE * (ds > pds)::INTEGER + 0.2::DOUBLE * (de < pde)::INTEGER + 0.2::DOUBLE * (step BETWEEN diag / 30 AND gap * 2 / 3.0::DOUBLE)::INTEGER
+        ELSE (0.3::DOUBLE * greatest(0.0, 1 - 3.0::DOUBLE * de / diag) + 0.4::DOUBLE * fea + 0.1::DOUBLE * (ds > pds)::INTEGER + 0.1::DOUBLE * (de < pde)::INTEGER
+          + CASE WHEN n >= 3 THEN 0.1::DOUBLE * (step BETWEEN diag / 30 AND gap * 2 / 3.0::DOUBLE)::INTEGER ELSE 0 END) / CASE WHEN n >= 3 THEN 1.0::DOUBLE ELSE 0.9::DOUBLE END END AS p FROM kq),
+    pth AS (SELECT sid, CASE WHEN max(n) < 2 THEN 0.0 ELSE avg(p) END AS path FROM ps GROUP BY sid),
+    sc AS (SELECT s.*, round(loc, 9) AS loc, cnt, cw, flag, coalesce(path, 0.0) AS path, CASE WHEN ord IN (15, 16) THEN coalesce(path, 0.0) WHEN ord = 17 THEN 0.5::DOUBLE * loc.loc + 0.5::DOUBLE * cnt WHEN ord = 22 THEN 0.5::DOUBLE * loc.loc + 0.5::DOUBLE * flag
+          WHEN counted THEN (1.0::DOUBLE - cw) * loc.loc + cw * cnt ELSE loc.loc END AS score,
+        (no_answer AND (counted OR ord IN (15, 16, 22))) OR (ord = 22 AND gt_flag IS NULL) AS bad FROM s JOIN loc USING (sid) JOIN cs USING (sid) JOIN counted USING (sid) LEFT JOIN pth USING (sid))"""
 _VALUES = ", ".join(f"({o}, '{c}', '{g}', '{leaf}', '{t}', '{bg}')" for o, c, g, leaf, t, bg in catalog.leaves())
 TAXONOMY = f"tax(ord, category, grp, leaf, by_type, by_group) AS (VALUES {_VALUES})"
 
 
+FEASIBLE = ((4, 4), (40, 30))  # corners of the area in which paths are feasible
+
+
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Samples with localization, count and combined score; the scorer is chosen by the leaf."""
-    s = samples(spark, sf_dir).join(F.broadcast(catalog.taxonomy(spark)), "ord")
-    loc = scores.localization(F.col("boxes"), masks.box_runs(F.col("truth"), F.lit(H)), F.col("gt_empty"), F.lit(H), F.lit(W), F.col("mode"))
-    s = s.withColumn("loc", loc).withColumn("counted", catalog.required(F.col("category"), F.col("leaf"))["count"])
+    """Samples with the scores of all metrics and the combined one; the scorer is chosen by the leaf."""
+    s = samples(spark, sf_dir).join(F.broadcast(catalog.taxonomy(spark)), "ord").withColumn("kind", F.col("leaf"))
+    need = catalog.required(F.col("category"), F.col("leaf"))
+    s = s.withColumn("need", need)
+    empty = F.col("gt_empty") | (F.col("need.count") & (F.col("gt_count") == 0))
+    s = s.withColumn("loc", scores.localization(F.col("boxes"), F.col("truth"), empty, F.lit(H), F.lit(W), F.col("mode"))).withColumn("localization", F.col("loc"))
     cnt = scores.count(F.col("pred_count"), F.col("gt_count"), scores.exact_count(F.col("precise"), F.col("described")))
-    s = s.withColumn("cnt", F.coalesce(cnt, F.lit(0.0))).withColumn("cw", scores.count_weight(F.col("precise"), F.col("described")))
-    error = scores.join_errors(F.when(F.col("counted") & F.col("pred_count").isNull(), "Missing pred_count or gt_count"))
-    return s.withColumn("error", error).withColumn("invalid", scores.invalid(F.col("error"))).withColumn("score", F.when(F.col("counted"), (1.0 - F.col("cw")) * F.col("loc") + F.col("cw") * F.col("cnt")).otherwise(F.col("loc")))
+    s = s.withColumn("cnt", F.coalesce(cnt, F.lit(0.0))).withColumn("count", F.col("cnt")).withColumn("cw", scores.count_weight(F.col("precise"), F.col("described")))
+    s = s.withColumn("binary", F.coalesce(scores.binary(F.col("pred_flag"), F.col("gt_flag")), F.lit(0.0)))
+    area = masks.one_box_runs(F.struct(*[F.lit(v).alias(n) for n, v in zip(("x1", "y1", "x2", "y2"), (*FEASIBLE[0], *FEASIBLE[1]), strict=True)]), F.lit(H))
+    of_path = lambda c: F.when(F.col("need.path"), c)
+    points = of_path(F.when(~F.col("no_answer"), path_points(F.col("sid"), F.col("user_id"))))
+    s = s.withColumns({"points": points, "area": of_path(area), "goal": of_path(masks.one_box_runs(F.col("truth")[0], F.lit(H)))})  # arguments of the function can't hold nested lambdas
+    p = path.score_only("points", "area", "goal", of_path(F.lit(H)), of_path(F.lit(W)), of_path(F.col("leaf") == "FeasiblePath_Exo"))
+    s = s.withColumn("p", p).withColumn("path", F.col("p.score")).withColumn("path_error", F.col("p.error")).drop("p")
+    told = lambda a, b, name: F.when(a.isNull() | b.isNull(), f"Missing pred_{name} or gt_{name}")
+    s = s.withColumn("localization_error", F.lit(None).cast("string")).withColumn("count_error", told(F.col("pred_count"), F.col("gt_count"), "count")).withColumn("binary_error", told(F.col("pred_flag"), F.col("gt_flag"), "binary"))
+    return scoring.score_samples(s)
 
 
 def _grain(g: str, key: str, o: str, extra: str = "") -> str:
     return f"SELECT '{g}' AS grain, {key} AS key, {o} AS ord, count(*) AS total_expected, count(*) AS total_processed, sum(bad::INTEGER)::BIGINT AS num_invalid, round(avg(score), 9) AS mean_score FROM t {extra} GROUP BY ALL"
 
 
-REPORT = f"""WITH {SAMPLES}, {TAXONOMY}, t AS (SELECT sc.*, category, by_type, by_group FROM sc JOIN tax USING (ord)),
+REPORT = f"""WITH RECURSIVE {SAMPLES}, {TAXONOMY}, t AS (SELECT sc.*, category, by_type, by_group FROM sc JOIN tax USING (ord)),
     cats AS (SELECT category AS c, (row_number() OVER (ORDER BY min(ord)) - 1)::INTEGER AS co FROM tax GROUP BY 1), grps AS (SELECT by_group AS g, (row_number() OVER (ORDER BY min(ord)) - 1)::INTEGER AS go FROM tax GROUP BY 1)
     {_grain("overall", "'overall'", "-1")} UNION ALL {_grain("category", "category", "co", "JOIN cats ON c = category")} UNION ALL {_grain("type", "by_type", "ord")} UNION ALL {_grain("group", "by_group", "go", "JOIN grps ON g = by_group")}"""
 
@@ -114,7 +153,7 @@ def flagship(spark, d):
     return report.score_report(scored(spark, d)).withColumn("mean_score", F.round("mean_score", 9))
 
 
-@query("iou_box_union", f"WITH {SAMPLES} SELECT sid, round(loc, 9) AS iou FROM sc WHERE NOT gt_empty AND NOT no_answer")
+@query("iou_box_union", f"WITH RECURSIVE {SAMPLES} SELECT sid, round(loc, 9) AS iou FROM sc WHERE NOT gt_empty AND NOT no_answer")
 def iou_box_union(spark, d):
     return scored(spark, d).where("not gt_empty and not no_answer").select("sid", F.round("loc", 9).alias("iou"))
 
@@ -131,31 +170,49 @@ def iou_rle_runs(spark, d):
     return x.select("sid", F.round(masks.iou(F.col("a"), F.col("b")), 9).alias("iou"))
 
 
-@query("coord_auto_resolution", f"WITH {SAMPLES} SELECT s.sid, actual, count(box.sid) AS n_boxes, coalesce(sum((x2 - x1) * (y2 - y1)), 0)::BIGINT AS area FROM s JOIN act USING (sid) LEFT JOIN box USING (sid) GROUP BY ALL")
+@query("coord_auto_resolution", f"WITH RECURSIVE {SAMPLES} SELECT s.sid, actual, count(box.sid) AS n_boxes, coalesce(sum((x2 - x1) * (y2 - y1)), 0)::BIGINT AS area FROM s JOIN act USING (sid) LEFT JOIN box USING (sid) GROUP BY ALL")
 def coord_auto_resolution(spark, d):
-    s = samples(spark, d).withColumn("actual", coords.actual_mode(F.flatten("boxes"), F.lit(H), F.lit(W), coords.canonical_mode(F.col("mode"))))
+    s = samples(spark, d).withColumn("actual", coords.actual_mode(F.flatten("boxes"), F.lit(H), F.lit(W), F.col("mode")))
     s = s.withColumn("n", coords.normal_boxes(F.col("boxes"), F.lit(H), F.lit(W), F.col("actual")))
     return s.select("sid", "actual", F.size("n").cast("long").alias("n_boxes"), F.aggregate("n", F.lit(0).cast("long"), lambda t, b: t + (b["x2"] - b["x1"]) * (b["y2"] - b["y1"])).alias("area"))
 
 
-@query("count_score_modes", f"WITH {SAMPLES} SELECT cw, precise, described, count(*) AS n, round(avg(cnt), 9) AS mean_count FROM cs JOIN s USING (sid) GROUP BY ALL")
+@query("count_score_modes", f"WITH RECURSIVE {SAMPLES} SELECT cw, precise, described, count(*) AS n, round(avg(cnt), 9) AS mean_count FROM cs JOIN s USING (sid) GROUP BY ALL")
 def count_score_modes(spark, d):
     return scored(spark, d).groupBy("cw", "precise", "described").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("cnt"), 9).alias("mean_count"))
 
 
-@query("placement_binary_score", f"WITH {SAMPLES} SELECT sc.sid, round(0.5::DOUBLE * l.loc + 0.5::DOUBLE * coalesce(((u % 2 = 0) = precise)::INTEGER, 0), 9) AS score FROM sc JOIN loc AS l ON l.sid = sc.sid WHERE ord = 22")
+@query("placement_binary_score", f"WITH RECURSIVE {SAMPLES} SELECT sid, round(score, 9) AS score, flag, bad AS invalid FROM sc WHERE ord = 22")
 def placement_binary_score(spark, d):
-    s = scored(spark, d).where("leaf = 'PlacementRegion'")
-    return s.select("sid", F.round(0.5 * F.col("loc") + 0.5 * F.coalesce(scores.binary(F.col("user_id") % 2 == 0, F.col("precise")), F.lit(0.0)), 9).alias("score"))
+    return scored(spark, d).where("leaf = 'PlacementRegion'").select("sid", F.round("score", 9).alias("score"), F.col("score_details.binary_score").alias("flag"), "invalid")
+
+
+@query("visual_matching_score", f"WITH RECURSIVE {SAMPLES} SELECT sid, round(score, 9) AS score, cnt, bad AS invalid FROM sc WHERE ord = 17")
+def visual_matching_score(spark, d):
+    return scored(spark, d).where("leaf = 'VisualMatching'").select("sid", F.round("score", 9).alias("score"), F.col("score_details.count_score").alias("cnt"), "invalid")
 
 
-@query("invalid_flagging", f"WITH {SAMPLES}, {TAXONOMY} SELECT leaf, count(*) AS n, sum(bad::INTEGER)::BIGINT AS n_invalid, sum((no_answer AND gt_empty AND loc = 1.0)::INTEGER)::BIGINT AS n_credited FROM sc JOIN tax USING (ord) GROUP BY leaf")
+@query("feasible_path_score", f"WITH RECURSIVE {SAMPLES} SELECT sid, round(score, 9) AS score, bad AS invalid FROM sc WHERE ord IN (15, 16)")
+def feasible_path_score(spark, d):
+    return scored(spark, d).where("category = 'Navigation' and `group` = 'FeasiblePath'").select("sid", F.round("score", 9).alias("score"), "invalid")
+
+
+@query("score_details", f"""WITH RECURSIVE {SAMPLES} SELECT sid, ord, CASE WHEN ord IN (15, 16) THEN 0.0::DOUBLE ELSE round(l.loc, 9) END AS loc, CASE WHEN counted THEN cnt ELSE 0.0::DOUBLE END AS cnt, CASE WHEN ord IN (15, 16) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS wp,
+    round(CASE WHEN ord IN (15, 16) THEN 0.0::DOUBLE WHEN ord IN (17, 22) THEN 0.5::DOUBLE WHEN counted THEN 1 - cw ELSE 1.0::DOUBLE END, 9) AS wl, CASE WHEN ord = 17 THEN 0.5::DOUBLE WHEN counted THEN cw ELSE 0.0::DOUBLE END AS wc, CASE WHEN ord = 22 THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END AS wb
+    FROM sc JOIN counted USING (sid) JOIN loc AS l ON l.sid = sc.sid""")
+def score_details(spark, d):
+    c = "score_details."
+    pick = {"loc": F.round(f"{c}localization_score", 9), "cnt": F.col(f"{c}count_score"), "wp": F.col(f"{c}weight_path"), "wl": F.round(f"{c}weight_localization", 9), "wc": F.col(f"{c}weight_count"), "wb": F.col(f"{c}weight_binary")}
+    return scored(spark, d).select("sid", "ord", *[x.alias(n) for n, x in pick.items()])
+
+
+@query("invalid_flagging", f"WITH RECURSIVE {SAMPLES}, {TAXONOMY} SELECT leaf, count(*) AS n, sum(bad::INTEGER)::BIGINT AS n_invalid, sum((no_answer AND gt_empty AND loc = 1.0)::INTEGER)::BIGINT AS n_credited FROM sc JOIN tax USING (ord) GROUP BY leaf")
 def invalid_flagging(spark, d):
     credited = F.col("no_answer") & F.col("gt_empty") & (F.col("loc") == 1.0)
     return scored(spark, d).groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("invalid").cast("long")).alias("n_invalid"), F.sum(credited.cast("long")).alias("n_credited"))
 
 
-@query("report_expected_counts", f"""WITH {SAMPLES}, {TAXONOMY}, t AS (SELECT sc.*, category, by_type FROM sc JOIN tax USING (ord) WHERE ord <> 3),
+@query("report_expected_counts", f"""WITH RECURSIVE {SAMPLES}, {TAXONOMY}, t AS (SELECT sc.*, category, by_type FROM sc JOIN tax USING (ord) WHERE ord <> 3),
     f AS (SELECT 'type' AS grain, by_type AS key, count(*) AS p, round(avg(score), 9) AS m FROM t GROUP BY ALL UNION ALL SELECT 'category', category, count(*), round(avg(score), 9) FROM t GROUP BY ALL),
     w(grain, key, n) AS (VALUES ('type', 'TargetLocalization/BasicAttributes/Material', 7), ('type', 'Navigation/GroundDetection', 100), ('category', 'Nowhere', 5))
     SELECT coalesce(f.grain, w.grain) AS grain, coalesce(f.key, w.key) AS key, coalesce(n, p)::BIGINT AS total_expected, coalesce(p, 0) AS total_processed, coalesce(m, 0) AS mean_score
@@ -166,13 +223,13 @@ def report_expected_counts(spark, d):
     return out.select("grain", "key", "total_expected", "total_processed", F.round("mean_score", 9).alias("mean_score"))
 
 
-@query("filter_category_group", f"WITH {SAMPLES}, {TAXONOMY} SELECT sid, leaf FROM s JOIN tax USING (ord) WHERE category = 'TargetLocalization' AND grp = 'BasicAttributes' AND leaf IN ('Color', 'Material')")
+@query("filter_category_group", f"WITH RECURSIVE {SAMPLES}, {TAXONOMY} SELECT sid, leaf FROM s JOIN tax USING (ord) WHERE category = 'TargetLocalization' AND grp = 'BasicAttributes' AND leaf IN ('Color', 'Material')")
 def filter_category_group(spark, d):
     s = samples(spark, d).join(F.broadcast(catalog.taxonomy(spark)), "ord")
     return s.where((F.col("category") == "TargetLocalization") & (F.col("group") == "BasicAttributes") & F.col("leaf").isin("Color", "Material")).select("sid", "leaf")
 
 
-@query("explorer_filter_sort", f"WITH {SAMPLES}, {TAXONOMY} SELECT sid, round(score, 9) AS score, (row_number() OVER (ORDER BY round(coalesce(score, 0), 9) DESC, sid))::INTEGER AS place FROM sc JOIN tax USING (ord) WHERE category = 'Navigation' AND NOT bad AND round(score, 9) BETWEEN 0.2 AND 0.9 AND contains(lower(replace(event_type || ' ' || leaf, '_', ' ')), 'path') QUALIFY place <= 200")
+@query("explorer_filter_sort", f"WITH RECURSIVE {SAMPLES}, {TAXONOMY} SELECT sid, round(score, 9) AS score, (row_number() OVER (ORDER BY round(coalesce(score, 0), 9) DESC, sid))::INTEGER AS place FROM sc JOIN tax USING (ord) WHERE category = 'Navigation' AND NOT bad AND round(score, 9) BETWEEN 0.2 AND 0.9 AND contains(lower(replace(event_type || ' ' || leaf, '_', ' ')), 'path') QUALIFY place <= 200")
 def explorer_filter_sort(spark, d):
     s = scored(spark, d).withColumn("score", F.round(F.coalesce("score", F.lit(0.0)), 9))
     words = F.lower(F.replace(F.concat_ws(" ", "event_type", "leaf"), F.lit("_"), F.lit(" ")))
@@ -181,7 +238,7 @@ def explorer_filter_sort(spark, d):
     return top.select("sid", "score", F.row_number().over(Window.orderBy(F.desc("score"), "sid")).alias("place"))
 
 
-@query("coord_override_by_family", "SELECT event_id AS sid, CASE event_id % 4 WHEN 0 THEN 'absolute' WHEN 1 THEN 'normalized_0_1' WHEN 2 THEN 'normalized_0_1000' ELSE ['absolute', 'normalized_0_1000', 'normalized_0_1', 'auto'][event_id % 4 + 1] END AS mode FROM events")
+@query("coord_override_by_family", "SELECT event_id AS sid, CASE event_id % 4 WHEN 0 THEN 'absolute' WHEN 1 THEN 'normalized_0_1' WHEN 2 THEN 'normalized_0_1000' ELSE ['absolute', 'normalized_1000', 'normalized', 'auto'][event_id % 4 + 1] END AS mode FROM events")
 def coord_override_by_family(spark, d):
     family = F.element_at(F.array(*map(F.lit, ("Claude", "LLaVA", "Gemini", "Own"))), (F.col("sid") % 4 + 1).cast("int"))
     return samples(spark, d).select("sid", F.coalesce(catalog.lookup(catalog.COORD_MODES, family), F.col("mode")).alias("mode"))
@@ -274,11 +331,7 @@ def acc_all(spark, d):
 
 @query("median_unsorted", "SELECT o_orderpriority, list(o_totalprice ORDER BY o_orderkey)[count(*) // 2 + 1] AS median FROM orders GROUP BY 1")
 def median_unsorted(spark, d):
-    # the middle row of each group by its running number: no group's values meet in a list
-    o = read(spark, d, "orders").select("o_orderpriority", "o_orderkey", "o_totalprice")
-    sizes = o.groupBy("o_orderpriority").agg((F.floor(F.count(F.lit(1)) / 2) + 1).alias("middle"))
-    n = F.row_number().over(Window.partitionBy("o_orderpriority").orderBy("o_orderkey"))
-    return o.withColumn("n", n).join(F.broadcast(sizes), "o_orderpriority").where("n = middle").select("o_orderpriority", F.col("o_totalprice").alias("median"))
+    return rollup.median_of(read(spark, d, "orders"), ["o_orderpriority"], "o_totalprice", "o_orderkey")
 
 
 @query("mcq_argmin", """WITH t AS (SELECT vec_id, embedding[1:4] AS x, label % 5 AS g FROM embeddings), a AS (SELECT vec_id, g, list_position(x, list_min(x)) - 1 AS p, list_transform([1, 2, 3, 4], lambda i: x[i]::DOUBLE / i) AS y FROM t)
@@ -343,14 +396,6 @@ def think_strip(spark, d):
     return x.select("conv_id", "turn", F.md5(s["text"]).alias("stripped"), s["think_only"].alias("think_only"), F.md5(text.remove_think(F.col("x"))).alias("removed"))
 
 
-@query("json_extract_standardize")
-def json_extract_standardize(spark, d):
-    s = samples(spark, d).join(F.broadcast(catalog.taxonomy(spark)), "ord")
-    b = F.array_join(F.transform("boxes", lambda x: F.concat(F.lit("("), F.array_join(F.transform(x, lambda v: v.cast("string")), ", "), F.lit(")"))), ", ")
-    answer = F.concat(F.lit("Sure.\n```json\n{'bbox': ["), b, F.lit("], 'count': "), F.coalesce(F.col("pred_count").cast("string"), F.lit("None")), F.lit(", 'feasibility': True}\n```"))
-    return s.select("sid", text.standardize(answer, catalog.required(F.col("category"), F.col("leaf"))).alias("f")).select("sid", "f.*")
-
-
 @query("task_from_path", f"""WITH {TAXONOMY}, t AS (SELECT page_id, leaf, category, grp FROM pages JOIN tax ON ord = page_id % 23)
     SELECT page_id, leaf, CASE WHEN category = 'TargetLocalization' THEN 'TargetLocalization' ELSE grp END AS base FROM t""")
 def task_from_path(spark, d):
@@ -393,9 +438,12 @@ def rolling_windows(spark, d):
     return x.select("doc_id", "n_tokens", some(F.size("w")).alias("n_windows"), some(F.aggregate("w", F.lit(0), lambda a, y: a + F.size(y["target"]))).alias("n_predicted"))
 
 
-@query("length_reorder_restore", "SELECT doc_id, n_chars, source, rank() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS place FROM documents")
+@query("length_reorder_restore", "SELECT doc_id, source, max(n_chars) OVER (PARTITION BY (place - 1) // 16) AS padded FROM (SELECT doc_id, source, n_chars, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS place FROM documents)")
 def length_reorder_restore(spark, d):
-    return read(spark, d, "documents").select("doc_id", "n_chars", "source", F.rank().over(Window.partitionBy("source").orderBy(F.desc("n_chars"), "doc_id")).cast("long").alias("place"))
+    docs = read(spark, d, "documents").select(F.col("doc_id").alias("seq"), "source", "n_chars")
+    batches = instances.longest_first(docs, "n_chars", 16)
+    padded = batches.join(batches.groupBy("batch").agg(F.max("n_chars").alias("padded")), "batch")
+    return instances.restored(padded).select(F.col("seq").alias("doc_id"), "source", "padded")
 
 
 @query("html_visible_text")
@@ -403,7 +451,10 @@ def html_visible_text(spark, d):
     return read(spark, d, "pages").select("page_id", text.visible_text("html").alias("text"))
 
 
-@query("kcenter_select")
+@query("kcenter_select", """WITH RECURSIVE e AS (SELECT vec_id AS k, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL),
+    r AS (SELECT 0 AS i, k, v, 'inf'::DOUBLE AS d FROM e UNION ALL
+      SELECT a.i + 1, a.k, a.v, least(a.d, list_sum(list_transform(list_zip(a.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) FROM r AS a, (SELECT v FROM r ORDER BY d DESC, k LIMIT 1) AS c WHERE a.i < 31)
+    SELECT k AS key, i::INTEGER AS pick FROM r QUALIFY row_number() OVER (PARTITION BY i ORDER BY d DESC, k) = 1""")
 def kcenter_select(spark, d):
     return relational.kcenter(read(spark, d, "embeddings"), "vec_id", "embedding", 32)
 
@@ -420,14 +471,15 @@ def corpus_scores(spark, d):
     return metrics.corpus_scores(b, "pred", "text")
 
 
-@query("path_score")
+@query("path_score", f"""WITH RECURSIVE {SAMPLES} SELECT sid, round(path, 9) AS score, max(n)::INTEGER AS kept, count(*)::INTEGER AS shown, round(avg(fea) FILTER (k > 0), 9) AS feasibility, round(max(p) FILTER (k = 0), 9) AS first_point
+    FROM sc JOIN ps USING (sid) JOIN kq USING (sid, n, k) GROUP BY ALL""")
 def path_score(spark, d):
-    e, u = F.col("sid"), F.col("user_id")
-    pts = F.transform(F.sequence(F.lit(0), (4 + e % 5).cast("int")), lambda i: F.struct((6 + (i * (3 + u % 3)) % 40).cast("double").alias("x"), (30 - (i * (2 + e % 4)) % 29).cast("double").alias("y")))
-    near = masks.box_runs(F.array(F.struct(*[F.lit(v).alias(n) for n, v in (("x1", 4), ("y1", 4), ("x2", 40), ("y2", 30))])), F.lit(H))
-    s = samples(spark, d).where(F.col("ord").isin(15, 16))
-    s = s.select("sid", pts.alias("points"), near.alias("feasible"), masks.box_runs(F.col("truth"), F.lit(H)).alias("target"), F.lit(H).alias("h"), F.lit(W).alias("w"), (F.col("ord") == 16).alias("exo"))
-    return path.path_scores(s, "sid")
+    area = masks.one_box_runs(F.struct(*[F.lit(v).alias(n) for n, v in zip(("x1", "y1", "x2", "y2"), (*FEASIBLE[0], *FEASIBLE[1]), strict=True)]), F.lit(H))
+    s = samples(spark, d).where(F.col("ord").isin(15, 16) & ~F.col("no_answer"))
+    s = s.select("sid", "ord", path_points(F.col("sid"), F.col("user_id")).alias("points"), area.alias("area"), masks.one_box_runs(F.col("truth")[0], F.lit(H)).alias("goal"))
+    r = path.result("points", "area", "goal", F.lit(H), F.lit(W), F.col("ord") == 16)
+    used = F.filter("r.points", lambda p: p["used"])
+    return s.select("sid", r.alias("r")).select("sid", F.round("r.score", 9).alias("score"), F.col("r.after").alias("kept"), F.size(used).alias("shown"), F.round("r.feasibility", 9).alias("feasibility"), F.round(used[0]["score"], 9).alias("first_point"))
 
 
 @query("nearby_filter", """WITH RECURSIVE p AS (SELECT event_id AS sid, i, ((event_id * i) % 7)::DOUBLE AS x, ((user_id + i * i) % 5)::DOUBLE AS y FROM events, range(1, 7) AS r(i)),

@@ -81,3 +81,72 @@ def spread(df: DataFrame, key: str, small: int = 64 << 20) -> DataFrame:
     spark = df.sparkSession
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     return df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), key) if size < small else df
+
+
+READERS = {".jsonl": "json", ".json": "json", ".csv": "csv", ".parquet": "parquet", ".orc": "orc", ".txt": "text"}
+
+
+def any_table(spark: SparkSession, path: str, drop: tuple[str, ...] = ()) -> DataFrame:
+    """A data set by its suffix (a folder without one is Parquet), without its media columns ``drop``."""
+    suffix = next((s for s in READERS if path.rstrip("/").endswith(s)), ".parquet")
+    reader = spark.read.option("header", "true") if suffix == ".csv" else spark.read.option("multiLine", suffix == ".json")
+    return reader.format(READERS[suffix]).load(path).drop(*drop)
+
+
+def media_free(df: DataFrame) -> DataFrame:
+    """Without columns of bytes, alone or in structs with a path."""
+    media = [f.name for f in df.schema.fields if f.dataType.typeName() == "binary" or (f.dataType.typeName() == "struct" and {"bytes", "path"} <= set(f.dataType.names))]
+    return df.drop(*media)
+
+
+def files(spark: SparkSession, root: str, pattern: str = "*", skip: tuple[str, ...] = ()) -> DataFrame:
+    """path and size of the files below a folder, without those in folders named ``skip``; contents aren't read."""
+    x = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root).select("path", F.col("length").alias("size"))
+    parts = F.split("path", "/")
+    return x.where(~F.arrays_overlap(F.slice(parts, 1, F.size(parts) - 1), F.array(*map(F.lit, skip)))) if skip else x
+
+
+def result_files(spark: SparkSession, root: str, rounds: list[str] | None = None, families: list[str] | None = None, skip: tuple[str, ...] = ()) -> DataFrame:
+    """path, round, family, model of the result files below a folder, of the wanted rounds and families."""
+    x = files(spark, root, "*.jsonl", skip).select("path", run_info(F.col("path")).alias("i")).select("path", "i.*")
+    x = x.where(F.col("round").isin(*rounds)) if rounds else x
+    return x.where(F.col("family").isin(*families)) if families else x
+
+
+def first_found(spark: SparkSession, patterns: list[str]) -> str | None:
+    """The first path, by pattern and then by name, that any of the patterns matches; None if none does."""
+    jvm = spark.sparkContext._jvm
+    for p in patterns:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
+        names = sorted(s.getPath().toString() for s in found) if found is not None else []
+        if names:
+            return names[0]
+    return None
+
+
+def merged_samples(spark: SparkSession, root: str) -> DataFrame:
+    """record (VARIANT), response: all lines of the sample files below a folder; nested responses are opened."""
+    from ..operators.benchrows import plain_response
+
+    x = json_records(spark, f"{root}/*_samples_*.json")
+    return x.select("file", "record", plain_response(F.try_variant_get("record", "$.response", "variant")).alias("response"))
+
+
+def truth_file(truth: Column) -> Column:
+    """The path in a sample's ground truth (VARIANT): a text, or the first entry of a list."""
+    return F.coalesce(F.try_variant_get(truth, "$.gt_json_path[0]", "string"), F.when(F.schema_of_variant(F.try_variant_get(truth, "$.gt_json_path", "variant")) == "STRING", F.try_variant_get(truth, "$.gt_json_path", "string")))
+
+
+def truth_field(doc: Column, own: Column, *names: str) -> Column:
+    """A field of ground truth (VARIANT): of the document's texts, else of its masks, else of the sample itself.
+
+    Of several names the first that is there counts.
+    """
+    there = lambda v: F.when(v.isNotNull() & (F.schema_of_variant(v) != "VOID"), v)
+    return F.coalesce(*[there(F.try_variant_get(d, f"$.{p}{n}", "variant")) for n in names for d, p in ((doc, "text_annotation."), (doc, "mask_annotation."), (own, ""))])
+
+
+def websites(spark: SparkSession, rows: list[dict]) -> DataFrame:
+    """url, subject, screens of configured websites."""
+    return spark.createDataFrame([(r["url"], r.get("subject"), int(r.get("screens", 1))) for r in rows], "url string, subject string, screens int")

@@ -23,3 +23,63 @@ def result_table(results: DataFrame) -> str:
     """Markdown of a small result table (task, metric, value, stderr); it is collected, so it must be a report."""
     rows = results.orderBy("task", "metric").select("task", "metric", F.format_string("%.4f", F.col("value")), F.when(F.col("stderr").isNull(), "N/A").otherwise(F.format_string("%.4f", F.col("stderr")))).collect()
     return "\n".join(["|Task|Metric|Value|Stderr|", "|---|---|---:|---:|", *("|" + "|".join(r) + "|" for r in rows)])
+
+
+def evaluation_json(report: DataFrame, samples: DataFrame, path: str, source: str, override: str | None = None) -> None:
+    """A folder with ``summary`` (one JSON object: totals, and a map for each grain in order) and ``samples`` (JSON lines).
+
+    The report is small and is put together by one aggregate; samples stay distributed.
+    """
+    entry = F.struct("ord", "key", F.struct("total_expected", "total_processed", "num_invalid", "mean_score").alias("bucket"))
+    rows = report.groupBy("grain").agg(F.array_sort(F.collect_list(entry)).alias("rows"))
+    one = rows.agg(F.map_from_entries(F.collect_list(F.struct("grain", F.map_from_entries(F.transform("rows", lambda r: F.struct(r["key"], r["bucket"])))))).alias("summary"))
+    head = one.select(F.lit(source).alias("source"), F.lit(override).cast("string").alias("coord_override"), "summary")
+    head.coalesce(1).write.mode("overwrite").option("ignoreNullFields", "true").json(f"{path}/summary")
+    samples.write.mode("overwrite").json(f"{path}/samples")
+
+
+def sample_log(df: DataFrame, path: str) -> None:
+    """Samples appended below a folder for each task."""
+    df.write.mode("append").partitionBy("task").json(path)
+
+
+def json_array(df: DataFrame, path: str) -> None:
+    """One file that holds one JSON array; for prompt files, which are read whole."""
+    one = F.to_json(F.struct(*df.columns))
+    df.select(one.alias("v")).agg(F.concat(F.lit("["), F.array_join(F.collect_list("v"), ",\n"), F.lit("]"))).coalesce(1).write.mode("overwrite").text(path)
+
+
+def mirrored_name(path: str, root: str, prefix: str = "", suffix: str = ".jsonl") -> str:
+    """The output name of an input below ``root``: its folders, and its name with a prefix and another suffix."""
+    import os
+
+    where, name = os.path.split(os.path.relpath(path, root))
+    return os.path.join(where, prefix + os.path.splitext(name)[0] + suffix)
+
+
+def latest_runs(results: DataFrame) -> DataFrame:
+    """The row of each model and task with the latest stamp; stamps compare as texts."""
+    rest = [c for c in results.columns if c not in ("model", "task")]
+    return results.groupBy("model", "task").agg(F.max_by(F.struct(*rest), F.col("stamp")).alias("r")).select("model", "task", "r.*")
+
+
+def latex_table(results: DataFrame) -> str:
+    """LaTeX of a small result table (task, metric, value, stderr); it is collected, so it must be a report."""
+    rows = results.orderBy("task", "metric").select("task", "metric", F.format_string("%.4f", F.col("value")), F.when(F.col("stderr").isNull(), "N/A").otherwise(F.format_string("%.4f", F.col("stderr")))).collect()
+    body = [" & ".join(str(v).replace("_", "\\_") for v in r) + " \\\\" for r in rows]
+    return "\n".join(["\\begin{tabular}{llrr}", "Task & Metric & Value & Stderr \\\\", "\\hline", *body, "\\end{tabular}"])
+
+
+def submission_path(folder: str, name: str) -> str:
+    import os
+
+    return os.path.join(folder, "submissions", name)
+
+
+def request_cache(requests: DataFrame, path: str, refresh: bool = False) -> DataFrame:
+    """Built requests, kept as a table: read where it is there, written first where it isn't or is to be renewed."""
+    spark = requests.sparkSession
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if refresh or not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+        requests.write.mode("overwrite").parquet(path)
+    return spark.read.schema(requests.schema).parquet(path)
