@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
 import tempfile
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -15,20 +17,58 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; one of our own only where the session names none (tests)."""
+    """The folder that all executors share. Only a session without a cluster, as in tests, gets one of our own."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         d = os.path.join(tempfile.gettempdir(), "evalloom-checkpoints")
         spark.conf.set("spark.checkpoint.dir", d)
     return d
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def _at_exit(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):  # the JVM may be gone
+        _remove(spark, path)
+
+
+_FOLDERS: set[str] = set()
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
-    """Cuts the lineage: writes ``df`` as a Parquet table in the shared folder and reads it back."""
+    """Cuts the lineage: writes ``df`` as a Parquet table in the shared folder and reads it back.
+
+    An application's tables share one folder, which goes when the driver's process ends; ``discard`` removes a table before.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables/{tag}-{uuid.uuid4().hex}"
+    folder = f"{shared_dir(spark)}/tables/{spark.sparkContext.applicationId}"
+    if folder not in _FOLDERS:
+        _FOLDERS.add(folder)
+        atexit.register(_at_exit, spark, folder)
+    path = f"{folder}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._table = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Removes a table that ``written`` made and that nothing reads any more."""
+    _remove(df.sparkSession, df._table)
+
+
+def spare(name: str, columns: list[str]) -> str:
+    """A column name, ``name`` with as many signs as it takes, that isn't among ``columns`` in any case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,15 +109,59 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterat
             yield batch.slice(start)
 
 
+FEW = 100_000  # strata whose counts may be broadcast
+
+
 def sampled(df: DataFrame, stratum: Column, key: Column, bound: int) -> DataFrame:
     """About ``bound`` rows of each stratum (all of a smaller one), chosen by the hash of ``key``.
 
-    One small aggregate counts the strata, whose number the caller bounds; the choice itself moves no rows.
-    Rows with a null stratum take no part.
+    One small aggregate counts the strata and is written; the rows meet their stratum's count by broadcast while there are
+    at most ``FEW`` strata, else by a join. Rows with a null stratum take no part.
     """
-    counts = df.groupBy(stratum.cast("string").alias("s")).count().where("s is not null").collect()
-    keep = F.lit(False)
-    for r in counts:
-        share = 1.0 if r["count"] <= bound else bound / r["count"]
-        keep = keep | ((stratum.cast("string") == r["s"]) & (F.pmod(F.xxhash64(key), F.lit(1 << 30)) < int(share * (1 << 30))))
-    return df.where(F.coalesce(keep, F.lit(False)))
+    name, many = spare("__stratum", df.columns), spare("__many", df.columns)
+    rows = df.withColumn(name, stratum.cast("string")).where(F.col(name).isNotNull())
+    counts = written(rows.groupBy(name).agg(F.count(F.lit(1)).alias(many)), "strata")
+    met = rows.join(F.broadcast(counts) if counts.count() <= FEW else counts, name)
+    return met.where(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < F.lit(float(1 << 30)) * bound / F.col(many)).select(*[F.col(f"`{c}`") for c in df.columns])
+
+
+def streamed(index: DataFrame, packs: DataFrame, blocks: int, answer: Callable[[Iterator[dict]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """Each block of ``index`` (block, other columns; one row a block) meets all ``packs`` (one binary column, ``queries``).
+
+    No row carries both: a task sorts the rows of its blocks so that a block comes before the packs that go past it, and
+    holds one block and one pack at a time. With fewer blocks than tasks a block is sent to several, each with its share of
+    the packs. ``answer`` gets rows as dicts, ``queries`` being None for a block.
+    """
+    spark = index.sparkSession
+    tasks = partitions(spark)
+    copies = max(1, -(-2 * tasks // blocks))
+    numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    held = index.withColumn("copy", numbers(copies)).withColumn("queries", F.lit(None).cast("binary"))
+    asked = packs.select("queries", F.pmod(F.xxhash64("queries"), F.lit(copies)).cast("int").alias("copy")).withColumn("block", numbers(blocks))
+    both = held.unionByName(asked, allowMissingColumns=True).repartition(min(blocks * copies, 16 * tasks), "block", "copy")
+
+    def run(batches):
+        def rows():
+            for b in batches:
+                for i in range(b.num_rows):
+                    yield {c: b.column(c)[i].as_py() for c in b.schema.names}
+
+        yield from answer(rows())
+
+    return both.sortWithinPartitions("block", "copy", F.col("queries").isNotNull()).mapInArrow(run, schema)
+
+
+MERGED = 64  # lists of one key that meet in a row at most
+
+
+def merged_lists(found: DataFrame, parts: int, merge: Callable[[list[bytes]], bytes]) -> DataFrame:
+    """v, found: the lists (binary) that ``parts`` blocks (column ``block``) give for one ``v``, merged ``MERGED`` at a time."""
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in b.schema.names[:-1]), pa.array([merge(x) for x in b.column("found").to_pylist()], pa.binary())], b.schema.names)
+
+    while parts > MERGED:
+        parts = -(-parts // MERGED)
+        found = found.withColumn("block", F.pmod("block", F.lit(parts)).cast("int")).groupBy("v", "block").agg(F.collect_list("found").alias("found")).mapInArrow(run, "v binary, block int, found binary")
+    return found.groupBy("v").agg(F.collect_list("found").alias("found")).mapInArrow(run, "v binary, found binary")
