@@ -2,8 +2,9 @@
 
 One variable-order byte context tree per language (contexts of up to ``ORDER`` bytes, method-C escapes without
 exclusion) gives every byte an exact code length under frozen statistics; the language of the shortest total code wins.
-The trees of all languages share one set of contexts, so scoring is two table look-ups a byte: the longest known
-context of the preceding bytes, then the code lengths of the next byte in that context.
+A tree is sparse: the code length of every string of a context and a byte that the sample has, and the escape length of
+every context, as sorted arrays. Nothing that was counted is left out. A string that a tree lacks costs the escapes of
+the contexts that it knows, down to the shorter string that it has. A piece's different strings are looked up once each.
 
 Defined results: a null text or one without a letter is ``und`` with score 0; ties go to the first language in
 alphabetical order; whole texts are scored, in pieces, so memory doesn't grow with them; an empty table gives an empty
@@ -24,18 +25,28 @@ from .common import fold_is_held_out, sampled, texts, written
 
 ORDER = 3
 MAX_PER_LANG = 1500  # the bound of the labelled sample, per language
-MAX_LANGS = 400
-LEAST = 2  # an order-3 context seen less often stays out of the tree
+PIECE = 1 << 20  # bytes that are scored together
 _LETTER = re.compile(r"[^\W\d_]")
 # every ASCII byte that is no letter becomes a blank; other bytes stay
 _PLAIN = bytes(c if chr(c).isalpha() or c >= 128 else 32 for c in range(256))
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character is a letter; the pattern also finds signs like ``²`` and ``½``, which are none."""
+    return any(m[0].isalpha() for m in _LETTER.finditer(text))
+
+
 def plain(text: str) -> bytes:
     """Lower-case UTF-8 with ASCII non-letters as blanks, runs of blanks as one."""
     return b" " + b" ".join(text.lower().encode("utf-8", "replace").translate(_PLAIN).split()) + b" "
 
 
+def strings(a: np.ndarray) -> np.ndarray:
+    """The number of every four-byte string of ``a`` (uint8): three bytes of context and the byte that follows."""
+    a = a.astype(np.uint32)
+    return (a[:-3] << 24) | (a[1:-2] << 16) | (a[2:-1] << 8) | a[3:]
+
+
 def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of four-byte strings by language; shorter contexts' counts are their sums."""
     held: dict[str, dict] = {}
@@ -44,8 +55,7 @@ def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text, lang in zip(texts(b.column("text")), b.column("lang").to_pylist(), strict=True):
             by.setdefault(lang, []).append(b"   " + plain(text))
         for lang, parts in by.items():
-            a = np.frombuffer(b"".join(parts), np.uint8).astype(np.uint32)
-            keys, n = np.unique((a[:-3] << 24) | (a[1:-2] << 16) | (a[2:-1] << 8) | a[3:], return_counts=True)
+            keys, n = np.unique(strings(np.frombuffer(b"".join(parts), np.uint8)), return_counts=True)
             d = held.setdefault(lang, {})
             for k, c in zip(keys.tolist(), n.tolist(), strict=True):
                 d[k] = d.get(k, 0) + c
@@ -55,75 +65,89 @@ def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pydict({"lang": [lang] * len(keys[i : i + 50_000]), "gram": pa.array(keys[i : i + 50_000], pa.int64()), "n": pa.array(n[i : i + 50_000], pa.int64())})
 
 
+def _places(sorted_: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of ``wanted`` in a sorted array that isn't empty, and whether they are there."""
+    at = np.searchsorted(sorted_, wanted).clip(max=len(sorted_) - 1)
+    return at, sorted_[at] == wanted
+
+
+class Tree:
+    """The frozen context tree of one language, from its four-byte strings and their counts."""
+
+    def __init__(self, grams: np.ndarray, counts: np.ndarray):
+        order = np.argsort(grams)
+        grams, counts = grams[order].astype(np.int64), counts[order].astype(np.float64)
+        # by order: strings, their bits, contexts, the bits of their escapes
+        self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+        p = below = np.zeros(0)
+        for k in range(ORDER + 1):
+            keys, back = np.unique(grams & ((1 << 8 * (k + 1)) - 1), return_inverse=True)
+            n = np.bincount(back, counts)
+            contexts, of = np.unique(keys >> 8 if k else np.zeros_like(keys), return_inverse=True)
+            seen, kinds = np.bincount(of, n), np.bincount(of)
+            # the order below has every string of this one without its first byte
+            p = p[np.searchsorted(below, keys & ((1 << 8 * k) - 1))] if k else np.full(len(keys), 1 / 256)
+            p, below = (n + kinds[of] * p) / (seen + kinds)[of], keys
+            self.levels.append((keys.astype(np.uint32), -np.log2(p), contexts.astype(np.uint32), -np.log2(kinds / (seen + kinds))))
+
+    def bits(self, grams: np.ndarray) -> np.ndarray:
+        """The code length of each string's last byte after the others."""
+        out, left = np.zeros(len(grams)), np.arange(len(grams))
+        for k in range(ORDER, -1, -1):
+            keys, bits, contexts, escapes = self.levels[k]
+            mine = grams[left] & np.uint32((1 << 8 * (k + 1)) - 1)
+            at, there = _places(keys, mine)
+            out[left[there]] += bits[at[there]]
+            left, mine = left[~there], mine[~there]
+            at, there = _places(contexts, mine >> np.uint32(8) if k else np.zeros_like(mine))
+            out[left[there]] += escapes[at[there]]  # a context that isn't known passes on wholly
+        out[left] += 8
+        return out
+
+
 class Trees:
-    """Frozen context trees. ``node[context]`` is the longest known context; ``bits[node, byte]`` one length a language."""
+    """The trees of all languages; ``grams`` has their strings and counts."""
 
     def __init__(self, langs: list[str], grams: dict[str, tuple[np.ndarray, np.ndarray]]):
-        self.langs = langs
-        if not langs:
-            return
-        every = [(g.astype(np.int64), n.astype(np.float64)) for g, n in (grams[x] for x in langs)]
-        size = len(langs)
-        # order -1: all bytes alike
-        below = np.full((1, 256, size), 1 / 256)
-        known = np.zeros(1, np.int64)  # contexts of the order below, as numbers; one empty context
-        levels = []
-        for order in range(ORDER + 1):
-            mask = (1 << (8 * order)) - 1
-            total = {}
-            for g, n in every:
-                ctx, inv = np.unique((g >> 8) & mask, return_inverse=True)
-                for c, s in zip(ctx.tolist(), np.bincount(inv, n).tolist(), strict=True):
-                    total[c] = total.get(c, 0) + s
-            contexts = np.array(sorted(c for c, s in total.items() if order < 2 or s >= LEAST), np.int64)
-            if not len(contexts):
-                break
-            counts = np.zeros((len(contexts), 256, size))
-            for k, (g, n) in enumerate(every):
-                at = np.searchsorted(contexts, (g >> 8) & mask).clip(max=len(contexts) - 1)
-                ok = contexts[at] == ((g >> 8) & mask)
-                np.add.at(counts[:, :, k], (at[ok], g[ok] & 255), n[ok])
-            parent = np.searchsorted(known, contexts & (mask >> 8)).clip(max=len(known) - 1) if order else np.zeros(len(contexts), np.int64)
-            found = (known[parent] == (contexts & (mask >> 8))) if order else np.ones(len(contexts), bool)
-            contexts, counts, parent = contexts[found], counts[found], parent[found]
-            seen, kinds = counts.sum(1), (counts > 0).sum(1)
-            # escape with weight of the number of kinds seen; a language without the context passes on wholly
-            share = np.where(seen > 0, kinds / np.maximum(seen + kinds, 1), 1.0)
-            p = counts / np.maximum(seen + kinds, 1)[:, None, :] + share[:, None, :] * below[parent]
-            levels.append((order, contexts, p.astype(np.float32)))
-            below, known = p, contexts
-        offset, tables, maps = 0, [], np.zeros(1 << 24, np.int32)
-        for order, contexts, p in levels:
-            if order == ORDER:
-                maps[contexts] = np.arange(len(contexts), dtype=np.int32) + offset
-            elif order:
-                step = 1 << (8 * order)
-                grid = maps.reshape(-1, step)
-                grid[:, contexts] = np.arange(len(contexts), dtype=np.int32) + offset
-            tables.append(-np.log2(p))
-            offset += len(contexts)
-        self.node = maps
-        self.bits = np.concatenate(tables).astype(np.float32).reshape(-1, size)
-
-    def lengths(self, data: bytes, step: int = 1 << 15) -> np.ndarray:
-        """Code length in bits of ``data`` under each language."""
-        a = np.frombuffer(b"   " + data, np.uint8).astype(np.int32)
-        out, ones = np.zeros(len(self.langs)), np.ones(step, np.float32)
-        for i in range(3, len(a), step):
-            j = min(len(a), i + step)
-            ctx = (a[i - 3 : j - 3] << 16) | (a[i - 2 : j - 2] << 8) | a[i - 1 : j - 1]
-            out += ones[: j - i] @ self.bits.take((self.node.take(ctx) << 8) | a[i:j], axis=0)
+        self.langs, self.trees = langs, [Tree(*grams[x]) for x in langs]
+
+    def lengths(self, parts: list[bytes]) -> np.ndarray:
+        """Code length in bits of each part under each language; a part's first three bytes are context only."""
+        a = strings(np.frombuffer(b"".join(parts), np.uint8))
+        sizes = np.array([len(x) - 3 for x in parts])
+        ends, starts = np.cumsum(sizes), np.cumsum(sizes + 3) - sizes - 3
+        kinds, back = np.unique(a[np.arange(ends[-1]) + np.repeat(starts - (ends - sizes), sizes)], return_inverse=True)
+        return np.stack([np.add.reduceat(t.bits(kinds)[back], ends - sizes) for t in self.trees], 1)
+
+    def predict(self, every: list[str]) -> list[tuple[str, float, float]]:
+        """Language, its share of the posterior, and its bits a byte, of each text."""
+        out = [("und", 0.0, 0.0)] * len(every)
+        total, sizes, parts, of, held = {}, {}, [], [], 0
+
+        def score() -> None:
+            if parts:
+                for i, bits in zip(of, self.lengths(parts), strict=True):
+                    total[i] = total.get(i, 0) + bits
+
+        for i, t in enumerate(every):
+            if not self.langs or not has_letter(t):
+                continue
+            data = plain(t)
+            sizes[i] = len(data)
+            data = b"   " + data
+            for j in range(3, len(data), PIECE):
+                parts.append(data[j - 3 : j + PIECE])
+                of.append(i)
+                held += len(parts[-1])
+                if held >= PIECE:
+                    score()
+                    parts, of, held = [], [], 0
+        score()
+        for i, bits in total.items():
+            k = int(bits.argmin())
+            out[i] = self.langs[k], float(1 / np.exp2(np.maximum(bits[k] - bits, -1000)).sum()), float(bits[k] / sizes[i])
         return out
 
-    def predict(self, text: str) -> tuple[str, float, float]:
-        """Language, its share of the posterior, and its bits a byte."""
-        if not self.langs or not _LETTER.search(text):
-            return "und", 0.0, 0.0
-        data = plain(text)
-        bits = self.lengths(data)
-        k = int(bits.argmin())
-        return self.langs[k], float(1 / np.exp2(np.maximum(bits[k] - bits, -1000)).sum()), float(bits[k] / len(data))
-
 
 class _Shared:
     """Builds the trees once a Python worker from the broadcast counts."""
@@ -146,17 +170,21 @@ _MADE: dict = {}
 
 
 def fit(docs: DataFrame, bound: int = MAX_PER_LANG):
-    """Counts of a bounded labelled sample outside the held-out fold, as (languages, counts by language).
+    """All counts of a bounded labelled sample outside the held-out fold, as (languages, strings and counts by language).
 
-    The counts come to the driver: at most ``bound`` rows a language stand behind them, and strings seen once are left
-    out. ``MAX_LANGS`` bounds the number of languages (the most frequent ones stay).
+    The counts come to the driver packed, one row a language, 12 bytes for each different string of four bytes; at most
+    about ``bound`` rows a language stand behind them.
     """
     rows = docs.where(F.col("lang").isNotNull() & ~fold_is_held_out(F.col("doc_id"))).select("doc_id", "lang", "text")
     sample = written(sampled(rows, F.col("lang"), F.col("doc_id"), bound).select("lang", "text"), "lang-sample")
-    counts = sample.mapInArrow(_grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).where("n > 1").toPandas()
-    largest = counts.groupby("lang")["n"].sum().nlargest(MAX_LANGS)
-    langs = sorted(largest.index)
-    return langs, {x: (y["gram"].to_numpy(), y["n"].to_numpy()) for x, y in counts[counts["lang"].isin(langs)].groupby("lang")}
+
+    def pack(t: pa.Table) -> pa.Table:
+        g, n = (t.column(c).to_numpy() for c in ("gram", "n"))
+        return pa.table({"lang": t.column("lang").slice(0, 1), "grams": pa.array([g.astype(np.uint32).tobytes()], pa.binary()), "counts": pa.array([n.astype(np.int64).tobytes()], pa.binary())})
+
+    counts = sample.mapInArrow(_grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    models = counts.groupBy("lang").applyInArrow(pack, "lang string, grams binary, counts binary").collect()
+    return sorted(r["lang"] for r in models), {r["lang"]: (np.frombuffer(r["grams"], np.uint32), np.frombuffer(r["counts"], np.int64)) for r in models}
 
 
 def predict(docs: DataFrame, model) -> DataFrame:
@@ -166,7 +194,7 @@ def predict(docs: DataFrame, model) -> DataFrame:
     def run(batches):
         trees = shared.get()
         for b in batches:
-            found = [trees.predict(t) for t in texts(b.column("text"))]
+            found = trees.predict(list(texts(b.column("text"))))
             yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "lang_pred": pa.array([x[0] for x in found], pa.string()), "score": pa.array([x[1] for x in found], pa.float64()), "bits_per_byte": pa.array([x[2] for x in found], pa.float64())})
 
     out = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double, bits_per_byte double")
