@@ -5,8 +5,8 @@ share the weight of one row. Entries are taken one at a time, each for the toxic
 that words which only go along with a toxic one stay out. A document's evidence is the weighted number of its hits, less what as many words would show by chance (the normalisation by length); longer texts than ``WINDOW`` words are judged by the
 window with the most evidence, each by the rule for a text of its length. A logistic curve, fitted on the same sample, turns evidence into a score. Hits inside an exception phrase don't count.
 
-Defined results: a null or empty text has no hits and gets the curve's value there; words longer than 64 letters match
-by their start only; repeated rows get equal scores; an empty table gives an empty result. Without labelled rows of both
+Every hit counts, however many there are. Defined results: a null or empty text has no hits and gets the curve's value
+there; words of any length match whole and by their start; repeated rows get equal scores; an empty table gives an empty result. Without labelled rows of both
 classes the seed lexicon is used with its default weight.
 """
 
@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_is_held_out, sampled, texts, written
+from .common import fold_is_held_out, sampled, spare, texts, written
 
 # Common insults, used with a default weight where training has not seen them.
 SEEDS = "idiot stupid moron loser scum trash worthless pathetic disgusting clown dumb imbecile cretin".split()
@@ -35,10 +35,7 @@ LOOKALIKES = ("авсԁеһіјӏкмоԛѕтурѵхᴀᴇɪᴏᴜαβεικν
 # Digits and signs written for letters.
 DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"}
 MAX_PER_CLASS = 4000  # the bound of the labelled sample, per class
-MOST_TIMES = 20  # occurrences in one row that count when entries are chosen
-MAX_CANDIDATES = 3000  # the most significant features that may become entries
 LIMIT = 0.7
-MOST_HITS = 4  # hits of one entry that count in a text, and one more for each 100 words
 WINDOW, STEP = 2000, 500  # words of the windows in which longer texts are judged, and from one window to the next
 
 
@@ -81,7 +78,6 @@ def _features(words: list[str]) -> Counter:
     """How often each whole word and each word start of 3 to 8 letters occurs."""
     out: Counter = Counter()
     for w, n in Counter(words).items():
-        w = w[:64]
         out[f" {w} "] += n
         for k in range(3, min(8, len(w)) + 1):
             out[f" {w[:k]}"] += n
@@ -128,7 +124,7 @@ def _candidates(stats: dict[str, tuple[float, float, float, float]]) -> dict[str
         a, b, usual = (c1 + 0.5) / (n1 + 1), (c0 + 0.5) / (n0 + 1), (k0 + 0.5) / (d0 + 1) * d1
         if f and a / b >= 3 and _significant(k1, usual, d1):
             found.append((-float(_surprise(k1, usual)), f, (usual, a, b)))
-    return {f: x for _, f, x in sorted(found)[:MAX_CANDIDATES]}
+    return {f: x for _, f, x in sorted(found)}
 
 
 def _significant(rows, usual, toxic):
@@ -151,20 +147,20 @@ def _lexicon(candidates: dict[str, tuple[float, float, float]], rows: list[tuple
     # of entries alike, whole words and longer starts win near-ties
     liking = np.array([1.1 if f.endswith(" ") else 1 + 0.005 * len(f) for f in names])
     share = np.array([w for _, _, w in rows])
-    times = np.zeros((len(rows), len(names)), np.float32)
-    for i, (ids, n, _) in enumerate(rows):
-        times[i, ids] = np.minimum(n, MOST_TIMES)
-    has = times > 0
+    # (row, candidate, times) of all that occur, as three arrays
+    row = np.repeat(np.arange(len(rows)), [len(ids) for ids, _, _ in rows])
+    of, times = (np.concatenate([np.asarray(r[k], np.int64) for r in rows]) if rows else np.zeros(0, np.int64) for k in (0, 1))
     toxic, chosen = share.sum(), {}
     while names:
-        left = share @ has
-        gain = np.where(_significant(left, usual, toxic), _surprise(share @ times, clean_words) * liking, 0)
+        mine = share[row]
+        left = np.bincount(of, mine, len(names))
+        gain = np.where(_significant(left, usual, toxic), _surprise(np.bincount(of, mine * times, len(names)), clean_words) * liking, 0)
         k = int(gain.argmax())
         if gain[k] <= 0:
             break
         _, a, b = candidates[names[k]]
         chosen[names[k]] = math.log(a / b)
-        share[has[:, k]] = 0
+        share[row[of == k]] = 0
     chance = sum((candidates[f][1] - candidates[f][2] for f in chosen), 0.0)
     for f in (f" {fold(w).strip()} " for w in SEEDS):
         if not any(f.startswith(g) for g in chosen):
@@ -187,7 +183,7 @@ def _evidence(automaton: ahocorasick.Automaton, chance: float, text: str) -> tup
     words = folded.count(" ")
 
     def total(hits, words: int) -> float:
-        return sum(w * min(n, MOST_HITS + words // 100) for (_, w), n in Counter((f, w) for _, f, w in hits).items()) - chance * words
+        return sum(w for _, _, w in hits) - chance * words
 
     if words <= WINDOW:
         return total(found, words), len(found)
@@ -239,7 +235,7 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = MAX_PER_CLASS) -> Toxic
     shared = sample.join(F.broadcast(sizes), ["toxic", "copies"])
     rows = shared.mapInArrow(_count, "feature string, label int, n double, docs double").groupBy("feature").agg(
         *[F.sum(F.when(F.col("label") == k, F.col(c)).otherwise(0.0)).alias(f"{c}{k}") for k in (0, 1) for c in ("n", "docs")]
-    ).where("feature = '' or docs1 >= 4.9")
+    ).where("feature = '' or docs1 >= 4.9")  # others can't be significant
     stats = {r[0]: tuple(r[1:]) for r in rows.collect()}
     candidates = _candidates(stats)
     number = {f: i for i, f in enumerate(candidates)}
@@ -265,7 +261,8 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = MAX_PER_CLASS) -> Toxic
 
 def _curve(e: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """Logistic fit of one variable by Newton's method, classes weighted alike."""
-    x = np.stack([np.clip(e, -6, 12), np.ones(len(e))], 1)
+    unit = max(1e-6, float(np.median(abs(e - np.median(e[y == 0]))[y == 1])) / 4)
+    x = np.stack([e / unit, np.ones(len(e))], 1)
     weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum())) * len(y)
     b = np.array([1.0, -2.0])
     for _ in range(60):
@@ -275,18 +272,18 @@ def _curve(e: np.ndarray, y: np.ndarray) -> tuple[float, float]:
         if abs(step).max() < 1e-9:
             break
     slope = max(float(b[0]), 0.05)
-    return slope, float(-b[1] / slope)
+    return slope / unit, float(-b[1] / slope * unit)
 
 
 def score(docs: DataFrame, model: Toxicity, columns: list[str], limit: float = LIMIT) -> DataFrame:
     """``columns`` of ``docs`` (without clashing names) with score, predicted and n_hits; one pass, no shuffle."""
-    kept = [c for c in columns if c not in ("score", "predicted", "n_hits")]
-    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept), "score double, predicted int, n_hits long"])
-    source = docs.select(*kept, F.col("text").alias("__text"))
+    kept, text = [c for c in columns if c.lower() not in ("score", "predicted", "n_hits")], spare("__text", columns)
+    schema = docs.select(*[F.col(f"`{c}`") for c in kept]).schema.add("score", "double").add("predicted", "integer").add("n_hits", "long")
+    source = docs.select(*[F.col(f"`{c}`") for c in kept], F.col("text").alias(text))
 
     def run(batches):
         for b in batches:
-            found = [model.score(t) for t in texts(b.column("__text"))]
+            found = [model.score(t) for t in texts(b.column(text))]
             yield pa.RecordBatch.from_arrays([b.column(c) for c in kept] + [pa.array([s for s, _ in found], pa.float64()), pa.array([int(s >= limit) for s, _ in found], pa.int32()), pa.array([h for _, h in found], pa.int64())], [*kept, "score", "predicted", "n_hits"])
 
     return source.mapInArrow(run, schema)
