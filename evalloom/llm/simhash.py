@@ -2,11 +2,14 @@
 
 1. A fingerprint for each document (three-word shingles, XXH64, majority of each bit), written once.
 2. Equal fingerprints form one class; only distinct ones go on.
-3. The upper levels of a vantage-point tree, drawn from a bounded sample, deal the classes into shards. A fingerprint goes
-   to its own shard and, by the triangle bound, to every shard whose region may hold one within ``REACH`` bits.
-4. Each shard searches its own tree: regions out of reach are pruned, small ones compared. Of the links found only a
-   spanning forest leaves the shard, so that a group of n near copies gives n links, not n * n.
-5. Components: large-star and small-star steps over the links, each written to the shared folder.
+3. The upper levels of a vantage-point tree, drawn from a sample of ``PER_SHARD`` fingerprints a shard, deal the classes
+   into shards of about ``SHARD`` members: one level for each doubling of the table. By the triangle bound a fingerprint
+   also visits, as a query, every shard whose region may hold one within ``REACH`` bits: of n random ones
+   (n / SHARD) ** 0.54, as a level multiplies visits by 1.45. Members are not copied.
+4. Each shard searches the tree of its members for the larger ones of members and visitors: regions out of reach are
+   pruned, small ones compared. Of the links found only a spanning forest leaves the shard, so that a group of n near
+   copies gives n links, not n * n.
+5. Components: large-star and small-star steps over the links, each written to the shared folder, until all links form stars.
 
 Defined results: null and empty texts have fingerprint zero and link like any other; equal fingerprints of repeated rows
 form one class; rows with a null doc_id get a fingerprint and the component of their class (null if no id is in it); an
@@ -23,11 +26,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, texts, written
+from .common import discard, slices, texts, written
 
 WORDS, REACH = 3, 2
-SHARD = 40_000  # distinct fingerprints that a shard's own region holds at most, about
-SAMPLE = 20_000  # fingerprints from which the upper tree is drawn
+SHARD = 40_000  # distinct fingerprints that a shard has as members, about
+PER_SHARD = 32  # fingerprints a shard in the sample from which the upper tree is drawn
+DEALT = 1 << 18  # fingerprints that are dealt together
 BROADCAST = 4_000_000  # ids of copies that may be broadcast
 SMALL = 192  # a region of at most so many is compared directly
 
@@ -64,7 +68,10 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 class Tree:
-    """The upper tree: vantage points and radii, by node; region 2i+1 is within the radius, 2i+2 beyond it."""
+    """The upper tree: vantage points and radii, by node; region 2i+1 is within the radius, 2i+2 beyond it.
+
+    A region without a sample gets a vantage point of all: it's rarely visited, and any point serves.
+    """
 
     def __init__(self, sample: np.ndarray, depth: int, seed: int = 7):
         rng = np.random.default_rng(seed)
@@ -73,8 +80,8 @@ class Tree:
         held = {0: sample}
         for node in range((1 << depth) - 1):
             x = held.pop(node)
-            if len(x):
-                self.points[node] = x[rng.integers(len(x))]
+            if len(x) or len(sample):
+                self.points[node] = x[rng.integers(len(x))] if len(x) else sample[rng.integers(len(sample))]
             d = np.bitwise_count(x ^ self.points[node])
             self.radii[node] = int(np.median(d)) if len(x) else 32
             held[2 * node + 1], held[2 * node + 2] = x[d <= self.radii[node]], x[d > self.radii[node]]
@@ -145,53 +152,53 @@ def near_pairs(members: np.ndarray, queries: np.ndarray, reach: int = REACH, see
         todo += [(m[inside], q[qi], stuck + 1 if same else 0), (m[~inside], q[qo], stuck + 1 if same else 0)]
 
 
-def _links(batches: Iterator[pa.RecordBatch], reach: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The spanning forest of one shard's links, as fingerprints (node, its least)."""
-    fps, own = [], []
-    for b in batches:
-        for data, marks in zip(b.column("fps").to_pylist(), b.column("own").to_pylist(), strict=True):
-            fps.append(np.frombuffer(data, np.uint64))
-            own.append(np.frombuffer(marks, bool))
-    if not fps:
-        return
-    x, first = np.unique(np.concatenate(fps), return_index=True)
-    mine = np.concatenate(own)[first]
-    home = np.nonzero(mine)[0]
-    forest = _Forest(len(x))
-    # each pair is found in the own shard of its larger side; x is sorted, so places order like values
-    for a, b in near_pairs(x, x[home], reach):
-        forest.join(a, home[b])
+def _links(members: np.ndarray, visitors: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
+    """The spanning forest of one shard's links, as fingerprints (node, its least); each array holds no number twice."""
+    x = np.sort(np.concatenate([members, visitors]))
+    members = np.sort(members)
+    home, forest = np.searchsorted(x, members), _Forest(len(x))
+    # each pair is found in the shard of its smaller side; x is sorted, so places order like values
+    for a, b in near_pairs(members, x, reach):
+        forest.join(home[a], b)
     root = forest.root(np.arange(len(x)))
     linked = np.nonzero(root != np.arange(len(x)))[0]
-    if len(linked):
-        yield x[linked], x[root[linked]]
+    return x[linked], x[root[linked]]
 
 
 def links(classes: DataFrame, count: int, reach: int = REACH) -> DataFrame:
     """Links (a, b) with b < a as unsigned numbers, both as signed longs, whose components are those of all near pairs.
 
-    classes: distinct fingerprints ``fp``; count: about how many.
+    classes: distinct fingerprints ``fp``; count: about how many. The sample that comes to the driver has ``PER_SHARD``
+    fingerprints for every ``SHARD`` of the table.
     """
-    depth = 0
-    while count * 0.725**depth > SHARD and depth < 16:
-        depth += 1
-    share = min(1.0, SAMPLE / max(count, 1))
+    depth = max(0, int(np.ceil(np.log2(max(1, count) / SHARD))))
+    share = min(1.0, (PER_SHARD << depth) / max(count, 1))
     sample = classes.where(F.pmod(F.xxhash64("fp"), F.lit(1 << 30)) < int(share * (1 << 30))).toPandas()["fp"].to_numpy(np.int64).view(np.uint64) if depth else np.zeros(0, np.uint64)
     tree = Tree(np.sort(sample), depth)
 
     def deal(batches):
-        # shards get one packed row from each block of fingerprints
+        # a shard gets one packed row from each block of fingerprints
+        held, size = [], 0
+
+        def rows(x):
+            out = [(s, x[at[own]].tobytes(), x[at[~own]].tobytes()) for s, at, own in tree.deal(x, reach)]
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int32()), *(pa.array([r[k] for r in out], pa.binary()) for k in (1, 2))], ["shard", "members", "visitors"])
+
         for b in batches:
-            x = b.column("fp").to_numpy().view(np.uint64)
-            for shard, at, own in tree.deal(x, reach):
-                yield pa.RecordBatch.from_pydict({"shard": [shard], "fps": pa.array([x[at].tobytes()], pa.binary()), "own": pa.array([own.tobytes()], pa.binary())}, schema=pa.schema([("shard", pa.int32()), ("fps", pa.binary()), ("own", pa.binary())]))
+            held.append(b.column("fp").to_numpy().view(np.uint64))
+            size += len(held[-1])
+            if size >= DEALT:
+                yield rows(np.concatenate(held))
+                held, size = [], 0
+        if held:
+            yield rows(np.concatenate(held))
 
     def search(table: pa.Table) -> pa.Table:
-        out = [(a.view(np.int64), b.view(np.int64)) for a, b in _links(table.to_batches(), reach)]
-        a, b = (np.concatenate([x[k] for x in out]) if out else np.zeros(0, np.int64) for k in (0, 1))
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        members, visitors = (np.concatenate([np.frombuffer(x, np.uint64) for x in table.column(c).to_pylist()]) for c in ("members", "visitors"))
+        a, b = _links(members, visitors, reach)
+        return pa.table({"a": pa.array(a.view(np.int64), pa.int64()), "b": pa.array(b.view(np.int64), pa.int64())})
 
-    dealt = classes.select("fp").mapInArrow(deal, "shard int, fps binary, own binary")
+    dealt = classes.select("fp").mapInArrow(deal, "shard int, members binary, visitors binary")
     return dealt.groupBy("shard").applyInArrow(search, "a long, b long")
 
 
@@ -199,21 +206,23 @@ def components(edges: DataFrame) -> DataFrame:
     """node, root (the least node of its component) for every node of ``edges`` (a, b), by star contraction.
 
     A large-star step ties each node's larger neighbours to its least neighbour, a small-star step its smaller ones; both
-    keep components and the number of edges. Ends when nothing changes. Hubs hold many edges, so each step finds the least
-    neighbour by a partial aggregate and joins it back.
+    keep components. When no node has two links down, or one and a link from above, all links form stars, whose centres are
+    the roots; one aggregate tells. Hubs hold many edges, so each step finds the least neighbour by a partial aggregate and
+    joins it back. A step's table goes when the next one is written.
     """
     edges = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     while True:
+        ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("down"), F.lit(0).alias("up")).union(edges.select("b", F.lit(0), F.lit(1)))
+        sums = ends.groupBy("node").agg(F.sum("down").alias("down"), F.max("up").alias("up"))
+        if not sums.where("down > 1 or (down = 1 and up = 1)").limit(1).count():
+            return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        new = written(small, "links")
-        changed = new.exceptAll(edges).limit(1).count() or edges.exceptAll(new).limit(1).count()
-        edges = new
-        if not changed:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        before, edges = edges, written(small, "links")
+        discard(before)
 
 
 def linked(fps: DataFrame, reach: int = REACH) -> DataFrame:
@@ -240,6 +249,6 @@ def representatives(docs: DataFrame) -> DataFrame:
     """
     gone = written(near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct(), "near-copies")
     few = gone.count() <= BROADCAST
-    return docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti")
+    return docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
