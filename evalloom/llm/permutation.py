@@ -6,8 +6,9 @@ vectors that have it among their first ``PREFIX`` pivots, with the place. A quer
 block is reranked by exact inner products in double precision.
 
 Equal vectors form one class, searched once; a class keeps its ``TOP`` + 1 smallest ids, which is all that a result can
-show. Queries meet the index block by block. On data without structure the reranked share needed for a given recall is
-a constant, so the work is queries times rows over a large constant; the pivots and the share are parameters.
+show. Packs of queries stream past the blocks of the index: a task holds one block and one pack. On data without
+structure the reranked share needed for a given recall is a constant, so the work is queries times rows over a constant
+(README: figures at three sizes); the pivots and the share are parameters.
 
 Defined results: null, zero, non-finite vectors, those with a null component, null ids, and vectors of another dimension
 than the most frequent one take no part, neither as queries nor as candidates; repeated rows (same id and vector) count
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import merged_lists, streamed, written
 
 TOP = 20
 PIVOTS, PREFIX, WALK = 512, 64, 40
@@ -159,44 +160,41 @@ def search(df: DataFrame, queries: Column, key: str = "vec_id", vector: str = "e
             for i in range(0, len(v), QUERIES):
                 yield pa.RecordBatch.from_pydict({"queries": pa.array([b"".join(v[i : i + QUERIES])], pa.binary())})
 
-    packed = asked.select("v").distinct().mapInArrow(travel, "queries binary").select("queries", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    packed = asked.select("v").distinct().mapInArrow(travel, "queries binary")
 
-    def answer(batches):
-        dim, made, inverted = piv.shape[1], None, None
-        for b in batches:
-            for i in range(b.num_rows):
-                r = {c: b.column(c)[i].as_py() for c in ("block", "queries", "perms", "vectors", "sizes", "ids")}
-                if made != r["block"]:
-                    made, inverted = r["block"], Inverted(np.frombuffer(r["perms"], np.int32).reshape(-1, prefix), len(piv))
+    def answer(rows):
+        for r in rows:
+            if r["queries"] is None:
+                vectors, inverted = np.frombuffer(r["vectors"]).reshape(-1, piv.shape[1]), Inverted(np.frombuffer(r["perms"], np.int32).reshape(-1, prefix), len(piv))
                 ids, sizes = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["sizes"], np.int32)
                 ends = np.cumsum(sizes)
-                q = np.frombuffer(r["queries"]).reshape(-1, dim)
-                found = []
-                for near, score in _search({"vectors": np.frombuffer(r["vectors"]).reshape(-1, dim), "inverted": inverted}, q, piv, walk, share, keep):
-                    many = sizes[near]
-                    member = ids[np.repeat(ends[near] - many, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)]
-                    value = np.repeat(score, many)
-                    best = np.lexsort((member, -value))[:keep]
-                    found.append(value[best].tobytes() + member[best].tobytes())
-                yield pa.RecordBatch.from_pydict({"v": pa.array([x.tobytes() for x in q], pa.binary()), "found": pa.array(found, pa.binary())})
-
-    def merge(batches):
-        kind = pa.list_(pa.struct([("score", pa.float64()), ("id", pa.int64())]))
+                continue
+            q = np.frombuffer(r["queries"]).reshape(-1, piv.shape[1])
+            found = []
+            for near, score in _search({"vectors": vectors, "inverted": inverted}, q, piv, walk, share, keep):
+                many = sizes[near]
+                member = ids[np.repeat(ends[near] - many, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)]
+                value = np.repeat(score, many)
+                best = np.lexsort((member, -value))[:keep]
+                found.append(value[best].tobytes() + member[best].tobytes())
+            yield pa.RecordBatch.from_pydict({"v": pa.array([x.tobytes() for x in q], pa.binary()), "block": pa.array([r["block"]] * len(q), pa.int32()), "found": pa.array(found, pa.binary())})
+
+    def merge(parts: list[bytes]) -> bytes:
+        score = np.concatenate([np.frombuffer(p[: len(p) // 2]) for p in parts])
+        ids = np.concatenate([np.frombuffer(p[len(p) // 2 :], np.int64) for p in parts])
+        best = np.lexsort((ids, -score))[:keep]
+        return score[best].tobytes() + ids[best].tobytes()
+
+    def shown(batches):
         for b in batches:
-            lists = []
-            for parts in b.column("found").to_pylist():
-                score = np.concatenate([np.frombuffer(p[: len(p) // 2]) for p in parts])
-                ids = np.concatenate([np.frombuffer(p[len(p) // 2 :], np.int64) for p in parts])
-                best = np.lexsort((ids, -score))[:keep]
-                lists.append([{"score": float(score[k]), "id": int(ids[k])} for k in best])
-            yield pa.RecordBatch.from_arrays([b.column("v"), pa.array(lists, kind)], ["v", "found"])
-
-    answers = packed.join(indexed, "block").mapInArrow(answer, "v binary, found binary")
-    nearest = answers.groupBy("v").agg(F.collect_list("found").alias("found")).mapInArrow(merge, "v binary, found array<struct<score:double,id:bigint>>")
-    own = asked.select("id", "v").distinct().join(nearest, "v")
-    rest = own.select("id", F.slice(F.filter("found", lambda x: x["id"] != F.col("id")), 1, top).alias("found"))
-    out = rest.select(F.col("id").alias("query_id"), F.posexplode("found").alias("p", "x"))
-    return out.select("query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("x.id").alias("vec_id"), F.col("x.score").alias("score"))
+            rows = []
+            for q, x in zip(b.column("id").to_pylist(), b.column("found").to_pylist(), strict=True):
+                others = [(s, i) for s, i in zip(np.frombuffer(x[: len(x) // 2]).tolist(), np.frombuffer(x[len(x) // 2 :], np.int64).tolist(), strict=True) if i != q]
+                rows += [(q, k + 1, i, s) for k, (s, i) in enumerate(others[:top])]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.int64(), pa.float64()))], ["query_id", "rank", "vec_id", "score"])
+
+    best = merged_lists(streamed(indexed, packed, blocks, answer, "v binary, block int, found binary"), blocks, merge)
+    return asked.select("id", "v").distinct().join(best, "v").select("id", "found").mapInArrow(shown, "query_id long, rank int, vec_id long, score double")
 
 
 def nearest(embeddings: DataFrame) -> DataFrame:
