@@ -6,8 +6,8 @@ within radius 0, then 1, ... of its own segment value, one segment after another
 radius r, every code within m * r + s bits has been met (a code further off in every searched segment is further off in
 all); when the distance of the k-th verified code is within that, the result is complete.
 
-Equal codes form one class with its ``TOP`` + 1 smallest ids. The index is cut into blocks, each searched exactly; the
-nearest of all blocks are the exact result. Defined results: as for the permutation index, null, zero, non-finite vectors
+Equal codes form one class with its ``TOP`` + 1 smallest ids. The index is cut into blocks, each searched exactly, while
+packs of queries stream past it: a task holds one block and one pack. The nearest of all blocks are the exact result. Defined results: as for the permutation index, null, zero, non-finite vectors
 and null ids take no part; repeated rows count once; fewer codes than k give all; ties go to the smaller id.
 """
 
@@ -21,12 +21,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import merged_lists, streamed, written
 from .permutation import TOP, classes, valid
 from .suffix import spread
 
 SEGMENT = 16
-BLOCK, MOST_BLOCK = 65_536, 1 << 20
+BLOCK, MOST_BLOCK = 65_536, 1 << 18  # codes in a block, about, from and to
 QUERIES = 1024
 
 
@@ -100,16 +100,13 @@ def search(df: DataFrame, queries: Column, key: str = "vec_id", vector: str = "e
     count = table.count()
     blocks = max(1, -(-count // int(min(MOST_BLOCK, max(BLOCK, count // 64)))))
 
-    def pack(batches):
-        # a block's codes travel in parts, so no task gathers more than a block
-        for b in batches:
-            v, ids, blk = (b.column(c).to_pylist() for c in ("v", "ids", "block"))
-            for x in sorted(set(blk)):
-                mine = [i for i, y in enumerate(blk) if y == x]
-                yield pa.RecordBatch.from_pydict({"block": pa.array([x], pa.int32()), "codes": pa.array([b"".join(v[i] for i in mine)], pa.binary()), "sizes": pa.array([np.array([len(ids[i]) // 8 for i in mine], np.int32).tobytes()], pa.binary()), "ids": pa.array([b"".join(ids[i] for i in mine)], pa.binary())})
+    def pack(t: pa.Table) -> pa.Table:
+        one = lambda x: pa.array([b"".join(x)], pa.binary())
+        ids = t.column("ids").to_pylist()
+        return pa.table({"block": t.column("block").slice(0, 1), "codes": one(t.column("v").to_pylist()), "sizes": one([np.array([len(x) // 8 for x in ids], np.int32).tobytes()]), "ids": one(ids)})
 
-    parts = table.withColumn("block", F.pmod(F.xxhash64("v"), F.lit(blocks)).cast("int")).mapInArrow(pack, "block int, codes binary, sizes binary, ids binary")
-    index = written(parts.groupBy("block").agg(F.collect_list(F.struct("codes", "sizes", "ids")).alias("parts")), "multi-index")
+    dealt = table.withColumn("block", F.pmod(F.xxhash64("v"), F.lit(blocks)).cast("int"))
+    index = written(dealt.groupBy("block").applyInArrow(pack, "block int, codes binary, sizes binary, ids binary"), "multi-index")
     asked = rows.where(queries)
 
     def travel(batches):
@@ -118,41 +115,39 @@ def search(df: DataFrame, queries: Column, key: str = "vec_id", vector: str = "e
             for i in range(0, len(v), QUERIES):
                 yield pa.RecordBatch.from_pydict({"queries": pa.array([b"".join(v[i : i + QUERIES])], pa.binary())})
 
-    packed = asked.select("v").distinct().mapInArrow(travel, "queries binary").select("queries", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-
-    def answer(batches):
-        held, made = None, None
-        for b in batches:
-            for i in range(b.num_rows):
-                if held != b.column("block")[i].as_py():
-                    held, blk = b.column("block")[i].as_py(), b.column("parts")[i].as_py()
-                    ids, sizes = (np.concatenate([np.frombuffer(p[c], k) for p in blk]) for c, k in (("ids", np.int64), ("sizes", np.int32)))
-                    made = MultiIndex(np.concatenate([np.frombuffer(p["codes"], np.uint64) for p in blk]).reshape(len(sizes), -1))
-                    ends = np.cumsum(sizes)
-                q = np.frombuffer(b.column("queries")[i].as_py(), np.uint64).reshape(-1, made.codes.shape[1])
-                found = []
-                for code in q:
-                    at, far = made.nearest(code, keep)
-                    many = sizes[at].astype(np.int64)
-                    member, value = ids[spread(ends[at] - many, many)], np.repeat(far, many)
-                    best = np.lexsort((member, value))[:keep]
-                    found.append(np.stack([value[best], member[best]]).tobytes())
-                yield pa.RecordBatch.from_pydict({"v": pa.array([x.tobytes() for x in q], pa.binary()), "found": pa.array(found, pa.binary())})
-
-    def merge(batches):
-        kind = pa.list_(pa.struct([("d", pa.int32()), ("id", pa.int64())]))
+    packed = asked.select("v").distinct().mapInArrow(travel, "queries binary")
+
+    def answer(rows):
+        for r in rows:
+            if r["queries"] is None:
+                ids, sizes = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["sizes"], np.int32)
+                made, ends = MultiIndex(np.frombuffer(r["codes"], np.uint64).reshape(len(sizes), -1)), np.cumsum(sizes)
+                continue
+            q = np.frombuffer(r["queries"], np.uint64).reshape(-1, made.codes.shape[1])
+            found = []
+            for code in q:
+                at, far = made.nearest(code, keep)
+                many = sizes[at].astype(np.int64)
+                member, value = ids[spread(ends[at] - many, many)], np.repeat(far, many)
+                best = np.lexsort((member, value))[:keep]
+                found.append(np.stack([value[best], member[best]]).tobytes())
+            yield pa.RecordBatch.from_pydict({"v": pa.array([x.tobytes() for x in q], pa.binary()), "block": pa.array([r["block"]] * len(q), pa.int32()), "found": pa.array(found, pa.binary())})
+
+    def merge(parts: list[bytes]) -> bytes:
+        far, ids = np.concatenate([np.frombuffer(x, np.int64).reshape(2, -1) for x in parts], axis=1)
+        best = np.lexsort((ids, far))[:keep]
+        return np.stack([far[best], ids[best]]).tobytes()
+
+    def shown(batches):
         for b in batches:
-            lists = []
-            for p in b.column("found").to_pylist():
-                far, ids = np.concatenate([np.frombuffer(x, np.int64).reshape(2, -1) for x in p], axis=1)
-                lists.append([{"d": int(far[k]), "id": int(ids[k])} for k in np.lexsort((ids, far))[:keep]])
-            yield pa.RecordBatch.from_arrays([b.column("v"), pa.array(lists, kind)], ["v", "found"])
-
-    answers = packed.join(index, "block").mapInArrow(answer, "v binary, found binary")
-    nearest = answers.groupBy("v").agg(F.collect_list("found").alias("found")).mapInArrow(merge, "v binary, found array<struct<d:int,id:bigint>>")
-    rest = asked.select("id", "v").distinct().join(nearest, "v").select("id", F.slice(F.filter("found", lambda x: x["id"] != F.col("id")), 1, top).alias("found"))
-    out = rest.select(F.col("id").alias("query_id"), F.posexplode("found").alias("p", "x"))
-    return out.select("query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("x.id").alias("vec_id"), F.col("x.d").alias("distance"))
+            out = []
+            for q, x in zip(b.column("id").to_pylist(), b.column("found").to_pylist(), strict=True):
+                others = [(d, i) for d, i in np.frombuffer(x, np.int64).reshape(2, -1).T.tolist() if i != q]
+                out += [(q, k + 1, i, d) for k, (d, i) in enumerate(others[:top])]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.int64(), pa.int32()))], ["query_id", "rank", "vec_id", "distance"])
+
+    best = merged_lists(streamed(index, packed, blocks, answer, "v binary, block int, found binary"), blocks, merge)
+    return asked.select("id", "v").distinct().join(best, "v").select("id", "found").mapInArrow(shown, "query_id long, rank int, vec_id long, distance int")
 
 
 def nearest(embeddings: DataFrame) -> DataFrame:
