@@ -4,7 +4,8 @@ Dynamic programming over the global histogram of lengths chooses the bucket boun
 padded to its bucket's bound). Token-budget batches form inside each bucket: as many texts as fit the budget at the bound.
 
 A bucket's texts are dealt into shards by hash before they are ordered, so a bucket that holds most rows is never one
-task's work; a shard's last batch may be short. Texts longer than the budget get a batch each.
+task's work; a shard holds ``BATCHES`` batches or more, and its last one may be short. Texts longer than the budget get a
+batch each. The hash is of the id and the row's place in the written table, so rows of one id, null ids too, are dealt as well.
 
 Defined results: null and empty texts have length 0 and share the bucket of the shortest; ties in length fall into one
 bucket; repeated rows are packed each; an empty table gives an empty result; extra columns are ignored.
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import written
 
 BUCKETS, BUDGET = 16, 16_384
-LEAST_SHARD, MOST_SHARD = 256, 1024
+LEAST_SHARD, BATCHES = 256, 8  # rows and batches that a shard holds, about, at least
 
 
 def bounds(histogram: dict[int, int], buckets: int = BUCKETS) -> list[int]:
@@ -78,7 +79,8 @@ def pack(docs: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET) -> DataF
 
     The histogram that comes to the driver has one row for each different length.
     """
-    sized = written(docs.select("doc_id", F.coalesce(F.regexp_count("text", F.lit(r"\S+")), F.lit(0)).cast("long").alias("n_tokens")), "lengths")
+    length = F.coalesce(F.regexp_count("text", F.lit(r"\S+")), F.lit(0)).cast("long")
+    sized = written(docs.select("doc_id", length.alias("n_tokens"), F.monotonically_increasing_id().alias("place")), "lengths")
     histogram = {r[0]: r[1] for r in sized.groupBy("n_tokens").count().collect()}
     edges = bounds(histogram, buckets)
     if not edges:
@@ -87,12 +89,12 @@ def pack(docs: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET) -> DataF
     for x, n in histogram.items():
         held[bisect_left(edges, x)] += n
     room = [max(1, budget // max(1, e)) for e in edges]
-    shards = [max(1, -(-h // min(MOST_SHARD, max(LEAST_SHARD, 8 * r)))) for h, r in zip(held, room, strict=True)]
+    shards = [max(1, h // max(LEAST_SHARD, BATCHES * r)) for h, r in zip(held, room, strict=True)]
     of = lambda values: F.element_at(F.array(*map(F.lit, values)), F.col("bucket") + 1)
     bucket = F.lit(len(edges) - 1)
     for k in range(len(edges) - 2, -1, -1):
         bucket = F.when(F.col("n_tokens") <= edges[k], k).otherwise(bucket)
-    dealt = sized.withColumn("bucket", bucket).withColumn("shard", F.pmod(F.xxhash64("doc_id", "n_tokens"), of(shards).cast("long")))
-    row = F.row_number().over(Window.partitionBy("bucket", "shard").orderBy("doc_id", "n_tokens")) - 1
+    dealt = sized.withColumn("bucket", bucket).withColumn("shard", F.pmod(F.xxhash64("doc_id", "place"), of(shards).cast("long")))
+    row = F.row_number().over(Window.partitionBy("bucket", "shard").orderBy("doc_id", "n_tokens", "place")) - 1
     ranked = dealt.withColumn("row", row).withColumn("room", of(room))
     return ranked.select("doc_id", "n_tokens", "bucket", of([int(e) for e in edges]).cast("long").alias("bucket_length"), F.concat_ws("-", "bucket", "shard", F.floor(F.col("row") / F.col("room"))).alias("batch_id"), (F.col("row") % F.col("room")).cast("int").alias("position"))
