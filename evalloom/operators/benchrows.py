@@ -123,3 +123,33 @@ def image_name(subject: Column, key: Column, old: Column) -> Column:
 
 def with_urls(rows: DataFrame, base: str, key: str) -> DataFrame:
     return rows.withColumn("url", F.concat(F.lit(base), F.col(key).cast("string")))
+
+
+def run_metadata(models: DataFrame, arguments: Column, started: Column, ended: Column) -> DataFrame:
+    """``models`` with the model's name out of its arguments (``pretrained=...``, ``model=...``) and the run's seconds."""
+    name = F.coalesce(*[F.nullif(F.regexp_extract(arguments, rf"(?:^|,){k}=([^,]*)", 1), F.lit("")) for k in ("pretrained", "peft", "model", "path", "engine")], F.lit(""))
+    seconds = (ended.cast("double") - started.cast("double")).alias("seconds")
+    return models.withColumn("model_name", name).withColumn("seconds", seconds)
+
+
+def screens(images: Column) -> Column:
+    """Captured pictures as texts for a request."""
+    return F.transform(images, F.base64)
+
+
+def average_length(rows: DataFrame, task: str, length: str) -> DataFrame:
+    return rows.groupBy(task).agg(F.avg(length).alias("mean_length"))
+
+
+def with_images(rows: DataFrame, images: DataFrame, key: str) -> DataFrame:
+    """Rows with the pictures of their id; rows without any aren't there."""
+    return rows.join(images, key)
+
+
+def grouped(rows: DataFrame, key: Column, column: str, most: int = 10_000) -> DataFrame:
+    """key, values: each key's values in a list; a key with more than ``most`` is split, by ``part``, so no list grows without bound."""
+    x = rows.select(key.alias("key"), F.col(column).alias("v"), F.monotonically_increasing_id().alias("i"))
+    counts = x.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    parts = F.greatest(F.lit(1), F.ceil(F.col("n") / most)).cast("int")
+    dealt = x.join(counts, "key").withColumn("part", F.pmod(F.xxhash64("i"), parts).cast("int"))
+    return dealt.groupBy("key", "part").agg(F.array_sort(F.collect_list("v")).alias("values"))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import coords, masks, metrics, scores, text
-from .operators import filters, instances, path, prompts, relational, report, rollup, scoring
+from .operators import explorer, filters, instances, path, prompts, relational, report, rollup, scoring
 from .plans import catalog
 from .sources import readers
 from .streaming import incremental
@@ -225,16 +225,15 @@ def report_expected_counts(spark, d):
 
 @query("filter_category_group", f"WITH RECURSIVE {SAMPLES}, {TAXONOMY} SELECT sid, leaf FROM s JOIN tax USING (ord) WHERE category = 'TargetLocalization' AND grp = 'BasicAttributes' AND leaf IN ('Color', 'Material')")
 def filter_category_group(spark, d):
-    s = samples(spark, d).join(F.broadcast(catalog.taxonomy(spark)), "ord")
-    return s.where((F.col("category") == "TargetLocalization") & (F.col("group") == "BasicAttributes") & F.col("leaf").isin("Color", "Material")).select("sid", "leaf")
+    s = samples(spark, d).join(F.broadcast(catalog.taxonomy(spark)), "ord").withColumn("kind", F.col("leaf"))
+    return scoring.filter_samples(s, kinds=["Color", "Material", "Spoken"], group="BasicAttributes").select("sid", "leaf")
 
 
 @query("explorer_filter_sort", f"WITH RECURSIVE {SAMPLES}, {TAXONOMY} SELECT sid, round(score, 9) AS score, (row_number() OVER (ORDER BY round(coalesce(score, 0), 9) DESC, sid))::INTEGER AS place FROM sc JOIN tax USING (ord) WHERE category = 'Navigation' AND NOT bad AND round(score, 9) BETWEEN 0.2 AND 0.9 AND contains(lower(replace(event_type || ' ' || leaf, '_', ' ')), 'path') QUALIFY place <= 200")
 def explorer_filter_sort(spark, d):
     s = scored(spark, d).withColumn("score", F.round(F.coalesce("score", F.lit(0.0)), 9))
-    words = F.lower(F.replace(F.concat_ws(" ", "event_type", "leaf"), F.lit("_"), F.lit(" ")))
-    hits = s.where((F.col("category") == "Navigation") & ~F.col("invalid") & F.col("score").between(0.2, 0.9) & words.contains("path"))
-    top = hits.orderBy(F.desc("score"), "sid").limit(200)
+    hits = explorer.found(explorer.filtered(s, "Navigation", valid=True, low=0.2, high=0.9), "path", F.col("event_type"), F.col("leaf"))
+    top = explorer.ordered(hits, "score_down", "sid").limit(200)
     return top.select("sid", "score", F.row_number().over(Window.orderBy(F.desc("score"), "sid")).alias("place"))
 
 
@@ -505,7 +504,7 @@ def value_counts(spark, d):
 
 @query("facets", "SELECT DISTINCT lang, source FROM documents")
 def facets(spark, d):
-    return read(spark, d, "documents").select("lang", "source").distinct()
+    return explorer.facets(read(spark, d, "documents"), "lang", "source")
 
 
 @query("cache_remainder", "SELECT event_id AS id, CASE WHEN event_id % 3 = 0 THEN 'cached' ELSE 'fresh' END AS response FROM events")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .functions import answers, choices, coords, frames, masks, metrics, names, scores, text
-from .operators import benchrows, converters, filters, instances, rollup, scoring
+from .operators import benchrows, converters, explorer, filters, instances, rollup, scoring
 from .plans import catalog, config
 from .queries import H, W, query, read
 
@@ -519,3 +519,30 @@ def latest_results(spark, d):
 def published_scores(spark, d):
     c = read(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("score"))
     return benchrows.published_scores(c, c.where("id % 3 = 0").withColumn("score", (F.col("score") * 0).cast(c.schema["score"].dataType)), ["id"])
+
+
+@query("search_and_show", """SELECT p_partkey, CASE WHEN p_partkey % 5 > 0 THEN 'cup' ELSE 'old cup' END AS cup, CASE WHEN p_partkey % 2 = 0 THEN 'a22b' ELSE 'red2 cup' END AS label, p_partkey % 2 = 1 AS red FROM part""")
+def search_and_show(spark, d):
+    x = read(spark, d, "part").select("p_partkey", F.parse_json(F.expr(_DOC)).alias("doc"))
+    label = explorer.described(F.col("doc"), "text_label")
+    hit = explorer.search_text(F.concat(F.lit("/x_Y/"), label)).contains("x y/red2 cup")
+    return x.select("p_partkey", explorer.described(F.col("doc"), "reference_object_description_en", "target_en").alias("cup"), label.alias("label"), hit.alias("red"))
+
+
+@query("run_metadata", "SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'a/b' WHEN 1 THEN 'm' ELSE '' END AS model_name, (event_id % 100 + 0.5)::DOUBLE AS seconds FROM events")
+def run_metadata(spark, d):
+    e = F.col("event_id")
+    x = read(spark, d, "events").select("event_id", by_key(["x=1,pretrained=a/b,device=0", "model=m", "remodel=n"], e).alias("args"), F.timestamp_seconds(F.lit(1000.0)).alias("s"), F.timestamp_seconds(1000.5 + e % 100).alias("t"))
+    return benchrows.run_metadata(x, F.col("args"), F.col("s"), F.col("t")).select("event_id", "model_name", F.round("seconds", 6).alias("seconds"))
+
+
+@query("grouped_values", "SELECT o_orderpriority AS key, count(*) AS n, sum(o_orderkey)::BIGINT AS total FROM orders GROUP BY 1")
+def grouped_values(spark, d):
+    g = benchrows.grouped(read(spark, d, "orders"), F.col("o_orderpriority"), "o_orderkey", 100)
+    bounded = F.when(F.max(F.size("values")) <= 200, F.sum(F.size("values"))).cast("long")
+    return g.groupBy("key").agg(bounded.alias("n"), F.sum(F.aggregate("values", F.lit(0).cast("long"), lambda a, v: a + v)).alias("total"))
+
+
+@query("average_lengths", "SELECT lang AS task, round(avg(n_chars), 6) AS mean_length FROM documents GROUP BY 1")
+def average_lengths(spark, d):
+    return benchrows.average_length(read(spark, d, "documents").withColumnRenamed("lang", "task"), "task", "n_chars").withColumn("mean_length", F.round("mean_length", 6))
