@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts
+from .common import rows, texts
 
 KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -34,13 +34,45 @@ _IS_HEX = bytes(120 if chr(c) in "0123456789abcdef" else 32 for c in range(256))
 LEAST_COST = 8.0
 MOST_COST = 128.0
 # Frequent password words, most frequent first.
-WORDS = "password qwerty dragon monkey letmein login welcome admin master hello freedom whatever shadow sunshine princess football baseball iloveyou trustno secret summer winter spring autumn love test user root guest default changeme example sample dummy placeholder none null true false string value your the and for not with this that from have required optional redacted hidden company service server database token access private public".split()
+WORDS = (
+    "password qwerty dragon monkey letmein login welcome admin master hello freedom whatever shadow sunshine princess football baseball iloveyou trustno secret "
+    "summer winter spring autumn love test user root guest default changeme example sample dummy placeholder none null true false string value your the and for not "
+    "with this that from have required optional redacted hidden company service server database token access private public superman batman charlie jordan michael "
+    "michelle jessica jennifer ashley nicole daniel thomas robert matthew andrew joshua george hunter soccer hockey tigger ginger pepper cookie cheese banana orange "
+    "purple flower butterfly angel lovely heaven jesus killer ranger mustang harley ferrari porsche mercedes yankees arsenal liverpool chelsea barcelona london paris "
+    "berlin madrid america canada mexico computer internet windows linux oracle mysql postgres cisco router system manager office security network backup support "
+    "temp demo work home house school family mother father brother sister baby king queen star moon night blue green black white silver golden diamond magic power music "
+    "passwort kennwort geheim hallo schatz contrasena clave hola amor soleil bonjour motdepasse azerty"
+).split()
 _RANK = {w: i + 1 for i, w in enumerate(WORDS)}
 # Rows of two keyboards.
 ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm", "qwertzuiop", "yxcvbnm", "azertyuiop", "qsdfghjklm", "wxcvbn", "abcdefghijklmnopqrstuvwxyz")
 _NEXT = {a + b for r in ROWS for a, b in zip(r, r[1:], strict=False)} | {b + a for r in ROWS for a, b in zip(r, r[1:], strict=False)} | {x + y for top, low in zip(ROWS[:3], ROWS[1:4], strict=True) for x, y in zip(top, low, strict=False)}
 _LEET = str.maketrans("01345@$7!", "oleasast" + "i")
-_DATE = re.compile(r"(?:19|20)\d\d(?:([-/._]?)(?:0?[1-9]|1[0-2])\1(?:0?[1-9]|[12]\d|3[01]))?|(?:0?[1-9]|[12]\d|3[01])([-/._]?)(?:0?[1-9]|1[0-2])\2(?:19|20)\d\d")
+_YEAR = re.compile(r"(?:19|20)\d\d")
+_DAY, _MONTH = r"(?:0?[1-9]|[12]\d|3[01])", r"(?:0?[1-9]|1[0-2])"
+_DATE = re.compile(rf"(?:19|20)\d\d([-/._]?){_MONTH}\1{_DAY}|(?:{_DAY}([-/._]?){_MONTH}\2|{_MONTH}([-/._]?){_DAY}\3)(?:19|20)\d\d")
+_SHORT_DATE = re.compile(rf"\d\d([-/._]?){_MONTH}\1{_DAY}|(?:{_DAY}([-/._]?){_MONTH}\2|{_MONTH}([-/._]?){_DAY}\3)\d\d")
+
+
+def date_cost(part: str) -> float | None:
+    """log10 of the guesses of a year or a day of one, the year having two or four digits; None for other parts."""
+    if not part[0].isdigit() or not 4 <= len(part) <= 10:
+        return None
+    if _YEAR.fullmatch(part):
+        return math.log10(120)
+    return math.log10(365 * 120) if _DATE.fullmatch(part) else math.log10(365 * 100) if _SHORT_DATE.fullmatch(part) else None
+
+
+def word_cost(part: str) -> float | None:
+    """log10 of the guesses of a listed word, whatever its case, with signs for letters, or backwards; None for other parts."""
+    low, best = part.lower(), None
+    for form, extra in ((low, 0.0), (low.translate(_LEET), 0.5), (low[::-1], 0.3)):
+        rank = _RANK.get(form)
+        if rank and (best is None or math.log10(rank + 1) + extra < best):
+            best = math.log10(rank + 1) + extra
+    upper = sum(c.isupper() for c in part)
+    return None if best is None else best + (0.3 if upper in (1, len(part)) else 0.3 * upper)
 
 
 def _alphabet(c: str) -> float:
@@ -77,7 +109,6 @@ def guess_cost(value: str) -> float:
         return 0.0
     if len(low) != n:  # a letter whose small form is longer
         low = "".join(c if len(c.lower()) != 1 else c.lower() for c in value)
-    plain = low.translate(_LEET)
     step = [_alphabet(c) for c in value]
     brute = np.concatenate([[0.0], np.cumsum(step)])
     most = min(n, 84)  # parts; 85! has more than MOST_COST digits
@@ -99,12 +130,9 @@ def guess_cost(value: str) -> float:
             walks = np.minimum(walks, more(best[j - 3], math.log10(40 * 4) + 0.7))
         own = np.minimum(spans, walks)
         for i in range(max(0, j - 12), j - 2):
-            rank = _RANK.get(low[i:j]) or _RANK.get(plain[i:j])
-            if rank:
-                upper = sum(c.isupper() for c in value[i:j])
-                own = np.minimum(own, more(best[i], math.log10(rank + 1) + (0.3 if upper in (1, j - i) else 0.3 * upper) + (0.5 if low[i:j] not in _RANK else 0)))
-            if j - i >= 4 and (m := _DATE.match(value, i)) and j in (m.end(), i + 4) and j <= m.end() and _DATE.fullmatch(value[i:j]):
-                own = np.minimum(own, more(best[i], math.log10(365 * 120) if j - i > 4 else math.log10(120)))
+            for cost in (word_cost(value[i:j]), date_cost(value[i:j])):
+                if cost is not None:
+                    own = np.minimum(own, more(best[i], cost))
         while begun < len(runs) and runs[begun][0] < j:
             live.append((*runs[begun], {}))
             begun += 1
@@ -176,13 +204,15 @@ def find(docs: DataFrame) -> DataFrame:
 
 def redacted(docs: DataFrame, columns: list[str]) -> DataFrame:
     """``columns`` of ``docs`` with secrets in ``text`` replaced, null texts kept null, and ``n_chars`` (if there) renewed."""
-    schema = docs.select(*columns).schema
+    source = rows(docs, columns)
+    schema = source.schema["row"].dataType
+    at = columns.index("text")
 
     def run(batches):
         for b in batches:
-            new = [None if t is None else redact(t, scan(t)) for t in b.column("text").to_pylist()]
-            arrays = [pa.array(new, pa.string()) if c == "text" else b.column(c) for c in columns]
-            yield pa.RecordBatch.from_arrays(arrays, columns)
+            r = b.column("row")
+            new = [None if t is None else redact(t, scan(t)) for t in r.field(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(new, pa.string()) if i == at else r.field(i) for i in range(len(columns))], columns)
 
-    out = docs.select(*columns).mapInArrow(run, schema)
+    out = source.mapInArrow(run, schema)
     return out.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType)) if "n_chars" in columns else out
