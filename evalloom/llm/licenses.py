@@ -1,6 +1,6 @@
 """Licence scan by sentence rules: sentences are normalised and named, and ordered rules match sequences of names.
 
-A sentence ends at a line end or at ``.``, ``!`` or ``?`` before white space. Normalised, it is its lower-case words and
+A sentence ends at a line end or at ``.``, ``!`` or ``?`` before white space (not after a lone ``v``, as in ``v. 2.0``). Normalised, it is its lower-case words and
 numbers, joined by blanks. Known sentences have an identifier; the identifiers of a text in order are matched against the
 rules, first rule first, leftmost first; matched identifiers are used up, and may have ``GAP`` unknown sentences between.
 
@@ -9,6 +9,8 @@ word), comment signs aside. There a known sentence starts and ends at a line's s
 it counts if it runs over a line end, from its first line's start to its last one's end. Unknown lines of a joined sentence
 that holds known ones don't count for the gap, and a known line that only starts a longer known sentence gives way to it.
 
+A sentence of identifiers (``SPDX-License-Identifier: A OR B``) shows each licence that it names, as it is written there.
+
 Defined results: null and empty texts have no sentences and no licence; repeated sentences give repeated identifiers and
 each licence once, in order of first match; whole texts are scanned.
 """
@@ -29,8 +31,16 @@ GAP = 6
 MARKS = ("licen", "copyright", "permission", "warrant", "redistribut", "liable", "reserved", "released", "commons", "cc0", "domain", "endorse", "useful")
 # Identifiers of known licence sentences and patterns of their normalised form.
 SENTENCES = {
+    "apache-2-title": r"apache licen[sc]e version 2 0 january 2004.*",
+    "gpl-3-title": r"gnu general public licen[sc]e version 3 29 june 2007.*",
+    "gpl-2-title": r"gnu general public licen[sc]e version 2 june 1991.*",
+    "lgpl-3-title": r"gnu lesser general public licen[sc]e version 3 29 june 2007.*",
+    "lgpl-2-1-title": r"gnu lesser general public licen[sc]e version 2 1 february 1999.*",
+    "agpl-3-title": r"gnu affero general public licen[sc]e version 3 19 november 2007.*",
+    "mpl-2-title": r"mozilla public licen[sc]e version 2 0",
     "copyright": r"(?:copyright|c copyright).*\d{4}.*",
     "apache-2-ref": r".*licensed under (?:the )?apache licen[sc]e version 2(?: 0)?(?: the license)?",
+    "apache-2-run-on": r".*licensed under (?:the )?apache licen[sc]e version 2 0 the licen[sc]e\x20you.*",  # within one line
     "apache-2-name": r"(?:the )?apache licen[sc]e(?: version)? 2(?: 0)?",
     "apache-notuse": r"you may not use this (?:file|work) except in compliance with the licen[sc]e",
     "apache-copy": r"you may obtain a copy of the licen[sc]e at.*",
@@ -52,7 +62,14 @@ SENTENCES = {
     "gpl-hope": r"this program is distributed in the hope that it will be useful.*",
     "gpl-copy": r"you should have received a copy of the gnu general public licen[sc]e.*",
     "lgpl-ref": r".*gnu (?:lesser|library) general public licen[sc]e.*",
-    "mpl-2-ref": r".*(?:subject to|under) the (?:terms of the )?mozilla public licen[sc]e (?:v|version )2(?: 0)?.*",
+    "agpl-ref": r".*gnu affero general public licen[sc]e.*",
+    "mpl-2-ref": r".*(?:subject to|under) the (?:terms of the )?mozilla public licen[sc]e v(?:ersion)? ?2(?: 0)?.*",
+    "epl-ref": r".*(?:under|terms of) the eclipse public licen[sc]e.*",
+    "boost-ref": r".*distributed under the boost software licen[sc]e.*",
+    "isc-grant": r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice.*",
+    "zero-bsd-grant": r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
+    "isc-warranty": r"the software is provided as is and the author disclaims all warranties.*",
+    "zlib-warranty": r"this software is provided as is without any express or implied warranty.*",
     "cc-by-nc-4-ref": r".*(?:licensed|released) under (?:a |the )?(?:cc by nc|creative commons attribution noncommercial)(?: 4(?: 0)?)?(?: international)?(?: licen[sc]e)?",
     "cc-by-sa-4-ref": r".*(?:licensed|released) under (?:a |the )?(?:cc by sa|creative commons attribution sharealike)(?: 4(?: 0)?)?(?: international)?(?: licen[sc]e)?",
     "cc-by-4-ref": r".*(?:licensed|released) under (?:a |the )?(?:cc by|creative commons attribution)(?: 4(?: 0)?)?(?: international)?(?: licen[sc]e)?",
@@ -70,9 +87,19 @@ RULES = [
     ("BSD-2-Clause", ("reserved", "bsd-grant", "bsd-source", "bsd-binary", "bsd-warranty")),
     ("BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-warranty")),
     ("Apache-2.0", ("apache-2-ref", "apache-notuse", "apache-copy", "as-is-basis")),
+    ("ISC", ("isc-grant", "isc-warranty")),
+    ("0BSD", ("zero-bsd-grant", "isc-warranty")),
+    ("Apache-2.0", ("apache-2-title",)),
+    ("GPL-3.0", ("gpl-3-title",)),
+    ("GPL-2.0", ("gpl-2-title",)),
+    ("LGPL-3.0", ("lgpl-3-title",)),
+    ("LGPL-2.1", ("lgpl-2-1-title",)),
+    ("AGPL-3.0", ("agpl-3-title",)),
+    ("MPL-2.0", ("mpl-2-title",)),
     ("GPL-family", ("gpl-free", "gpl-hope", "gpl-copy")),
     ("Apache-2.0", ("apache-2-ref", "apache-notuse")),
     ("Apache-2.0", ("apache-2-ref",)),
+    ("Apache-2.0", ("apache-2-run-on",)),
     ("Apache-2.0", ("apache-2-name",)),
     ("MIT", ("mit-ref",)),
     ("MIT", ("mit-name",)),
@@ -81,7 +108,13 @@ RULES = [
     ("GPL-2.0", ("gpl-2-ref",)),
     ("GPL-family", ("gpl-free",)),
     ("LGPL", ("lgpl-ref",)),
+    ("AGPL", ("agpl-ref",)),
     ("MPL-2.0", ("mpl-2-ref",)),
+    ("EPL", ("epl-ref",)),
+    ("BSL-1.0", ("boost-ref",)),
+    ("ISC", ("isc-grant",)),
+    ("0BSD", ("zero-bsd-grant",)),
+    ("Zlib", ("zlib-warranty",)),
     ("CC-BY-NC-4.0", ("cc-by-nc-4-ref",)),
     ("CC-BY-SA-4.0", ("cc-by-sa-4-ref",)),
     ("CC-BY-4.0", ("cc-by-4-ref",)),
@@ -92,7 +125,9 @@ RULES = [
 ]
 _KNOWN = re.compile("|".join(f"(?P<g{i}>{p})" for i, p in enumerate(SENTENCES.values())))
 _NAMES = list(SENTENCES)
-_END = re.compile(r"\n|[.!?](?=\s|$)")
+_END = re.compile(r"\n|(?<!\b[vV])[.!?](?=\s|$)")
+_SPDX = re.compile(r"identifier\W*", re.I)
+_ID = re.compile(r"(?<![A-Za-z0-9.+-])(?!(?:AND|OR|WITH)\b)[A-Za-z0-9][A-Za-z0-9.+-]*(?<!\.)")
 _WORD = re.compile(r"[^\W_]+")
 # Comment signs that are words, and lines without any other word; the other signs go when a line is normalised.
 _COMMENT = re.compile(r"[\W_]*+(?:rem|dnl)\s", re.I)
@@ -180,8 +215,14 @@ def sentences(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
-def licences(names: list[str]) -> list[str]:
-    """Licences that the rules find in a sequence of identifiers (``?`` for unknown sentences)."""
+def spdx_ids(sentence: str) -> list[str]:
+    """The licences that a sentence of identifiers names; an exception after ``WITH`` is part of its licence's name."""
+    rest = sentence[m.end() :] if (m := _SPDX.search(sentence)) else ""
+    return [re.sub(r"\s+", "-", x.strip()) for x in re.findall(rf"{_ID.pattern}(?:\s+WITH\s+{_ID.pattern})?", rest)]
+
+
+def licences(names: list[str], ids: dict[int, list[str]] | None = None) -> list[str]:
+    """Licences that the rules find in a sequence of names (``?`` for unknown sentences); ids: those named, by place."""
     left = list(names)
     found: dict[str, int] = {}
     for licence, rule in RULES:
@@ -202,9 +243,9 @@ def licences(names: list[str]) -> list[str]:
             if used:
                 found[licence] = min(found.get(licence, i), i)
             i += 1
-    for n, i in ((n, i) for i, n in enumerate(names) if n == "spdx"):
-        found.setdefault("SPDX", i)
-        del n
+    for i, named in (ids or {}).items():
+        for x in named:
+            found[x] = min(found.get(x, i), i)
     return sorted(found, key=lambda x: (found[x], x))
 
 
@@ -214,7 +255,8 @@ def scan(text: str) -> tuple[list[tuple[int, int, str]], list[str]]:
     if not any(m in low for m in MARKS):
         return [], []
     every = sentences(text)
-    return [s for s in every if s[2] != "?"], licences([s[2] for s in every])
+    ids = {i: spdx_ids(text[a:e]) for i, (a, e, n) in enumerate(every) if n == "spdx"}
+    return [s for s in every if s[2] != "?"], licences([s[2] for s in every], ids)
 
 
 def find(docs: DataFrame) -> DataFrame:
