@@ -109,6 +109,11 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterat
             yield batch.slice(start)
 
 
+def rows(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """``row``: a struct of ``columns``, so that names that clash or hold dots reach an Arrow function as they are."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"))
+
+
 FEW = 100_000  # strata whose counts may be broadcast
 
 

@@ -23,8 +23,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import fold_is_held_out, sampled, spare, texts, written
+from .common import fold_is_held_out, rows, sampled, texts, written
 
 # Common insults, used with a default weight where training has not seen them.
 SEEDS = "idiot stupid moron loser scum trash worthless pathetic disgusting clown dumb imbecile cretin".split()
@@ -233,10 +234,10 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = MAX_PER_CLASS) -> Toxic
     sample = written(keyed, "toxic-sample")
     sizes = sample.groupBy("toxic", "copies").agg((1 / F.count(F.lit(1))).alias("share"))
     shared = sample.join(F.broadcast(sizes), ["toxic", "copies"])
-    rows = shared.mapInArrow(_count, "feature string, label int, n double, docs double").groupBy("feature").agg(
+    counted = shared.mapInArrow(_count, "feature string, label int, n double, docs double").groupBy("feature").agg(
         *[F.sum(F.when(F.col("label") == k, F.col(c)).otherwise(0.0)).alias(f"{c}{k}") for k in (0, 1) for c in ("n", "docs")]
     ).where("feature = '' or docs1 >= 4.9")  # others can't be significant
-    stats = {r[0]: tuple(r[1:]) for r in rows.collect()}
+    stats = {r[0]: tuple(r[1:]) for r in counted.collect()}
     candidates = _candidates(stats)
     number = {f: i for i, f in enumerate(candidates)}
 
@@ -277,26 +278,32 @@ def _curve(e: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 def score(docs: DataFrame, model: Toxicity, columns: list[str], limit: float = LIMIT) -> DataFrame:
     """``columns`` of ``docs`` (without clashing names) with score, predicted and n_hits; one pass, no shuffle."""
-    kept, text = [c for c in columns if c.lower() not in ("score", "predicted", "n_hits")], spare("__text", columns)
-    schema = docs.select(*[F.col(f"`{c}`") for c in kept]).schema.add("score", "double").add("predicted", "integer").add("n_hits", "long")
-    source = docs.select(*[F.col(f"`{c}`") for c in kept], F.col("text").alias(text))
+    kept = [c for c in columns if c.lower() not in ("score", "predicted", "n_hits")]
+    source = rows(docs, [*kept, "text"])  # the text stands last, whether it is kept or not
+    schema = T.StructType(source.schema["row"].dataType.fields[:-1]).add("score", "double").add("predicted", "integer").add("n_hits", "long")
 
     def run(batches):
         for b in batches:
-            found = [model.score(t) for t in texts(b.column(text))]
-            yield pa.RecordBatch.from_arrays([b.column(c) for c in kept] + [pa.array([s for s, _ in found], pa.float64()), pa.array([int(s >= limit) for s, _ in found], pa.int32()), pa.array([h for _, h in found], pa.int64())], [*kept, "score", "predicted", "n_hits"])
+            r = b.column("row")
+            found = [model.score(t) for t in texts(r.field(len(kept)))]
+            scores = [pa.array([s for s, _ in found], pa.float64()), pa.array([int(s >= limit) for s, _ in found], pa.int32()), pa.array([h for _, h in found], pa.int64())]
+            yield pa.RecordBatch.from_arrays([r.field(i) for i in range(len(kept))] + scores, [*kept, "score", "predicted", "n_hits"])
 
     return source.mapInArrow(run, schema)
 
 
 def clean(docs: DataFrame, model: Toxicity, limit: float = LIMIT) -> DataFrame:
     """``docs`` without the rows whose score reaches ``limit``; all columns stay as they are."""
+    columns = docs.columns
+    source, at = rows(docs, columns), columns.index("text")
 
     def run(batches):
         for b in batches:
-            yield b.filter(pa.array([model.score(t)[0] < limit for t in texts(b.column("text"))], pa.bool_()))
+            r = b.column("row")
+            keep = pa.array([model.score(t)[0] < limit for t in texts(r.field(at))], pa.bool_())
+            yield pa.RecordBatch.from_arrays([r.field(i).filter(keep) for i in range(len(columns))], columns)
 
-    return docs.mapInArrow(run, docs.schema)
+    return source.mapInArrow(run, source.schema["row"].dataType)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
