@@ -200,16 +200,14 @@ def test_guess_cost_is_a_minimum():
 def slow_guess_cost(value):
     """Every part from every start to every end; no bound on the number of parts."""
     n, low = len(value), value.lower()
-    plain = low.translate(secrets._LEET)
     parts = [(i, j, sum(map(secrets._alphabet, value[i:j]))) for j in range(1, n + 1) for i in range(j)]
     for i, j, brute in list(parts):
-        x, rank = value[i:j], secrets._RANK.get(low[i:j]) or secrets._RANK.get(plain[i:j])
-        if rank and j - i >= 3:
-            upper = sum(map(str.isupper, x))
-            parts.append((i, j, math.log10(rank + 1) + (0.3 if upper in (1, j - i) else 0.3 * upper) + 0.5 * (low[i:j] not in secrets._RANK)))
-        m = secrets._DATE.match(value, i)
-        if m and j - i >= 4 and j in (m.end(), i + 4) and j <= m.end() and secrets._DATE.fullmatch(x):
-            parts.append((i, j, math.log10(365 * 120 if j - i > 4 else 120)))
+        x = value[i:j]
+        forms = [(x.lower(), 0), (x.lower().translate(secrets._LEET), 0.5), (x.lower()[::-1], 0.3)]
+        upper = sum(map(str.isupper, x))
+        parts += [(i, j, math.log10(secrets.WORDS.index(w) + 2) + extra + (0.3 if upper in (1, j - i) else 0.3 * upper)) for w, extra in forms if w in secrets.WORDS and j - i >= 3]
+        if (cost := secrets.date_cost(x)) is not None:
+            parts.append((i, j, cost))
         if j - i >= 3 and all(low[k : k + 2] in secrets._NEXT for k in range(i, j - 1)):
             parts.append((i, j, math.log10(160) + 0.35 * (j - i - 1)))
         for size in range(1, (j - i) // 2 + 1):
@@ -224,7 +222,7 @@ def slow_guess_cost(value):
 
 def test_guess_cost_of_whole_values():
     rnd = random.Random(9)
-    words = [*secrets.WORDS[:6], "2019-03-04", "1999", "qwerty", "asdf", "ab", "abab", "-", "--", "x", "Zq9!", "P4ssw0rd", "aaaa", "testes", "é"]
+    words = [*secrets.WORDS[:6], "2019-03-04", "1999", "qwerty", "asdf", "ab", "abab", "-", "--", "x", "Zq9!", "P4ssw0rd", "aaaa", "testes", "é", "120395", "3/4/97", "drowssap", "Nogard"]
     values = ["-" * 130, "=" * 200, "qwertyuiop" * 9, "abc" * 30, "password" * 12, "testestestestestest", "PASSwordDragonMonkeyLetmeinLoginWelcomeAdminMasterHelloFreedomWhatever", "xyxyxyxyxyxyx" * 8]
     values += ["".join(rnd.choice(words) * rnd.choice((1, 1, 2, 5)) for _ in range(rnd.randrange(1, 12))) for _ in range(60)] + ["".join(rnd.choice("ab1") for _ in range(rnd.randrange(1, 90))) for _ in range(40)]
     for v in values:
@@ -243,12 +241,52 @@ def test_language_and_toxicity_on_held_out_rows(spark):
     assert t > 0.93
 
 
+def slow_bits(counts, data):
+    """Method C with escapes to shorter contexts, straight from the definition; counts: by strings of one to four bytes."""
+    def p(context, byte):
+        below = 1 / 256 if not context and not any(len(k) == 1 for k in counts) else None
+        seen = {k: n for k, n in counts.items() if len(k) == len(context) + 1 and k[:-1] == context}
+        shorter = (lambda: p(context[1:], byte)) if context else (lambda: 1 / 256)
+        if not seen:
+            return below or shorter()
+        total, kinds = sum(seen.values()), len(seen)
+        return (counts.get(context + bytes([byte]), 0) + kinds * shorter()) / (total + kinds)
+
+    return sum(-math.log2(p(data[i - 3 : i], data[i])) for i in range(3, len(data)))
+
+
+def test_code_lengths_against_the_definition(monkeypatch):
+    rnd = random.Random(3)
+    texts = {"a": "the cat sat on the mat", "b": "der hut ist auf dem hund"}
+    grams, counts = {}, {}
+    for lang, t in texts.items():
+        data, c = b"   " + language.plain(t), {}
+        for i in range(3, len(data)):
+            for k in range(4):
+                c[data[i - k : i + 1]] = c.get(data[i - k : i + 1], 0) + 1
+        counts[lang] = c
+        full = {int.from_bytes(k, "big"): n for k, n in c.items() if len(k) == 4}
+        grams[lang] = (np.array(list(full), np.uint32), np.array(list(full.values())))
+    trees = language.Trees(["a", "b"], grams)
+    cases = ["the hat", "hund", "zzz é", *("".join(rnd.choice("the caduni") for _ in range(rnd.randrange(1, 90))) for _ in range(30))]
+    want = [[slow_bits(counts[x], b"   " + language.plain(t)) for x in "ab"] for t in cases]
+    assert np.allclose(trees.lengths([b"   " + language.plain(t) for t in cases]), want, atol=1e-6)
+    whole = trees.predict(cases)
+    assert [w[0] for w in whole if w[0] != "und"] == ["ab"[int(np.argmin(w))] for w, t in zip(want, cases, strict=True) if language.has_letter(t)]
+    monkeypatch.setattr(language, "PIECE", 7)  # pieces change nothing
+    for (a, x, y), (b, z, w) in zip(whole, trees.predict(cases), strict=True):
+        assert a == b and abs(x - z) < 1e-9 and abs(y - w) < 1e-9
+    assert [trees.predict([t])[0][0] for t in ("² ½", "١٢", "", "...")] == ["und"] * 4
+
+
 def test_trees_are_distributions():
     rng = np.random.default_rng(1)
-    g = rng.integers(0, 2**32, 300)
-    trees = language.Trees(["a", "b"], {"a": (g, rng.integers(1, 9, 300)), "b": (g[:100], rng.integers(1, 9, 100))})
-    p = np.exp2(-trees.bits.astype("f8")).reshape(-1, 256, 2).sum(1)
-    assert abs(p - 1).max() < 1e-3
+    g = np.unique(rng.integers(0, 2**32, 300).astype(np.uint32))
+    g = np.unique(np.concatenate([g, g[:60] ^ np.uint32(1)]))
+    trees = language.Trees(["a", "b"], {"a": (g, rng.integers(1, 9, len(g))), "b": (g[:100], rng.integers(1, 9, 100))})
+    for tree in trees.trees:
+        for context in [*(g[:40] >> 8), 0, 1, 65, 1 << 20]:
+            assert abs(np.exp2(-tree.bits((np.uint32(context) << np.uint32(8)) | np.arange(256, dtype=np.uint32))).sum() - 1) < 1e-9
 
 
 def test_folding_and_exceptions():
@@ -368,6 +406,37 @@ in compliance with the License."""
     assert licenses.scan(apache)[1] == ["Apache-2.0"] and [n for *_, n in licenses.scan(apache)[0]] == ["apache-2-ref", "apache-notuse"]
 
 
+def test_whole_licence_texts():
+    import textwrap
+
+    end = "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY."
+    fee = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"
+    author = 'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.'
+    library = "This library is free software; you can redistribute it and/or modify it under the terms of the GNU %s General Public License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version."
+    texts = {
+        "MIT": ["Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, subject to the following conditions:", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.", end],
+        "ISC": [f"{fee}, provided that the above copyright notice and this permission notice appear in all copies.", author],
+        "0BSD": [f"{fee}.", author],
+        "Apache-2.0": ['Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at', "http://www.apache.org/licenses/LICENSE-2.0", 'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.'],
+        "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."],
+        "LGPL": [library % "Lesser"], "AGPL": [library % "Affero"],
+        "EPL": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"],
+        "BSL-1.0": ["Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt)"],
+    }
+    for width in (60, 72, 80, 100):
+        for sign in ("", "// ", " * "):
+            for name, parts in texts.items():
+                wrapped = f"\n{sign}\n".join(textwrap.fill(p, width, initial_indent=sign, subsequent_indent=sign) for p in parts)
+                assert licenses.scan(wrapped)[1] == [name], (name, width, sign, licenses.scan(wrapped))
+    titles = {"GPL-3.0": "GNU GENERAL PUBLIC LICENSE\n  Version 3, 29 June 2007", "GPL-2.0": "GNU GENERAL PUBLIC LICENSE\n Version 2, June 1991", "LGPL-2.1": "GNU LESSER GENERAL PUBLIC LICENSE\nVersion 2.1, February 1999", "AGPL-3.0": "GNU AFFERO GENERAL PUBLIC LICENSE\nVersion 3, 19 November 2007", "Apache-2.0": "Apache License\nVersion 2.0, January 2004"}
+    for name, t in titles.items():
+        assert licenses.scan(f"Words.\n\n{t}\n\nMore words.")[1] == [name]
+    assert licenses.scan("# SPDX-License-Identifier: MIT\n")[1] == ["MIT"]
+    assert licenses.scan("/* SPDX-License-Identifier: (GPL-2.0-only WITH Classpath-exception-2.0 OR Apache-2.0) */")[1] == ["Apache-2.0", "GPL-2.0-only-WITH-Classpath-exception-2.0"]
+    for t in ("The affair was public.", "GNU is not Unix; the general public has no licence.", "Permission to leave is granted.", "Version 3, 29 June 2007"):
+        assert licenses.scan(t)[1] == []
+
+
 def test_pipeline(spark):
     import corpus_pipeline as c
 
