@@ -28,7 +28,8 @@ class Evaluation:
         """A folder with summary and samples, or, with ``lines``, one log of JSON lines."""
         shown = self.samples.select("file", "index", F.col("category").alias("task_category"), F.col("kind").alias("task_type"), "score", "score_details", "response_details", "error", "invalid")
         if lines:
-            sinks.evaluation_log(self.report.groupBy().agg(F.collect_list(F.struct("grain", "key", "total_expected", "total_processed", "num_invalid", "mean_score")).alias("rows")).withColumn("source", F.lit(source)), shown, target)
+            head = sinks.summary(self.report).select(F.lit(source).alias("std_response_jsonl"), F.lit(mode).cast("string").alias("coord_override"), F.struct("overall", "by_category", "by_type", "by_group").alias("summary"))
+            sinks.evaluation_log(head, shown, target)
         else:
             sinks.evaluation_json(self.report, shown, target, source, mode)
 

@@ -25,15 +25,23 @@ def result_table(results: DataFrame) -> str:
     return "\n".join(["|Task|Metric|Value|Stderr|", "|---|---|---:|---:|", *("|" + "|".join(r) + "|" for r in rows)])
 
 
+def summary(report: DataFrame) -> DataFrame:
+    """One row: overall (with ``average_score``), and by_category, by_type, by_group as maps in report order."""
+    bucket = F.struct("total_expected", "total_processed", F.col("num_invalid").alias("num_invalid_response"), "mean_score")
+    rows = report.groupBy("grain").agg(F.array_sort(F.collect_list(F.struct("ord", "key", bucket.alias("bucket")))).alias("rows"))
+    first = F.get("rows", F.lit(0))["bucket"]
+    overall = F.struct(*[first[c].alias(c) for c in ("total_expected", "total_processed", "num_invalid_response")], first["mean_score"].alias("average_score"))
+    maps = F.map_from_entries(F.transform("rows", lambda r: F.struct(r["key"], r["bucket"])))
+    of = lambda grain, value, name: F.first(F.when(F.col("grain") == grain, value), ignorenulls=True).alias(name)
+    return rows.agg(of("overall", overall, "overall"), *[of(g, maps, f"by_{g}") for g in ("category", "type", "group")])
+
+
 def evaluation_json(report: DataFrame, samples: DataFrame, path: str, source: str, override: str | None = None) -> None:
-    """A folder with ``summary`` (one JSON object: totals, and a map for each grain in order) and ``samples`` (JSON lines).
+    """A folder with ``summary`` (one JSON object) and ``samples`` (JSON lines).
 
     The report is small and is put together by one aggregate; samples stay distributed.
     """
-    entry = F.struct("ord", "key", F.struct("total_expected", "total_processed", "num_invalid", "mean_score").alias("bucket"))
-    rows = report.groupBy("grain").agg(F.array_sort(F.collect_list(entry)).alias("rows"))
-    one = rows.agg(F.map_from_entries(F.collect_list(F.struct("grain", F.map_from_entries(F.transform("rows", lambda r: F.struct(r["key"], r["bucket"])))))).alias("summary"))
-    head = one.select(F.lit(source).alias("source"), F.lit(override).cast("string").alias("coord_override"), "summary")
+    head = summary(report).select(F.lit(source).alias("std_response_jsonl"), F.lit(override).cast("string").alias("coord_override"), F.struct("overall", "by_category", "by_type", "by_group").alias("summary"))
     head.coalesce(1).write.mode("overwrite").option("ignoreNullFields", "true").json(f"{path}/summary")
     samples.write.mode("overwrite").json(f"{path}/samples")
 

@@ -136,6 +136,12 @@ def test_masks_of_lists(spark):
     assert all(got[k] is None or got[k].h is None for k in (98, 99))
 
 
+def test_compressed_masks_of_a_known_text():
+    # a published example of the format: nine rows, ten columns
+    assert masks.counts_of("61X13mN000`0") == [6, 1, 40, 4, 5, 4, 5, 4, 21]
+    assert masks.mask_of({"size": [9, 10], "counts": "61X13mN000`0"})[2] == [(6, 7), (47, 51), (56, 60), (65, 69)]
+
+
 def test_localization_traps(spark):
     full = '[{"size": [10, 10], "counts": [0, 100]}]'
     rows = [
@@ -305,7 +311,7 @@ def test_sinks(spark, tmp_path):
     scored = spark.createDataFrame(rows, "category string, leaf string, by_type string, by_group string, score double, invalid boolean")
     sinks.evaluation_json(report.score_report(scored), scored, str(tmp_path / "eval"), "std.jsonl")
     head = spark.read.json(f"{tmp_path}/eval/summary").first()
-    assert head.source == "std.jsonl" and head.summary.overall.overall.total_processed == 2 and head.summary.category.Navigation.num_invalid == 1
+    assert head.std_response_jsonl == "std.jsonl" and head.summary.overall.average_score == 0.75 and head.summary.by_category.Navigation.num_invalid_response == 1
     assert spark.read.json(f"{tmp_path}/eval/samples").count() == 2
     sinks.json_array(spark.createDataFrame([(1, "x"), (2, "y")], "a int, b string"), str(tmp_path / "arr"))
     assert readers.json_records(spark, f"{tmp_path}/arr", whole=True).count() == 2

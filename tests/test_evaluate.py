@@ -77,11 +77,37 @@ def test_filters_modes_and_mask_answers(spark, run, tmp_path):
     assert "does not match" in got[3].error
 
 
+def test_traps_of_marks_and_missing_truth(spark, tmp_path):
+    """Marks within lists aren't marks; missing masks are errors but not invalid; the mask of a path is looked at first."""
+    box, gd = [[0, 0, 5, 10]], {"task_category": ["Navigation"], "task_type": ["GroundDetection"], "format_type": ["bbox"], "coordinate_system": ["auto"]}
+    fp = gd | {"task_type": ["FeasiblePath_Ego"]}
+    cases = [
+        (gd | {"formatted_response_localization": ["No Valid Response"], "ground_truth": {"masklet_ground": []}}, 1.0, False, None),
+        (gd | {"formatted_response_localization": ["No Valid Response"], "ground_truth": {"masklet_ground": FULL}}, 0.0, False, None),
+        (gd | {"formatted_response_localization": box, "ground_truth": {"masklet_ground": [{"size": [10, 10], "counts": "\u0001"}]}}, 0.0, False, "GT mask is missing"),
+        (gd | {"formatted_response_localization": [[2, 2, 7, 9]], "ground_truth": {"masklet_ground": []}}, 0.0, False, None),
+        (gd | {"formatted_response_localization": [[10, 10, 5, 0], [0, 0, 1, 1e9]], "ground_truth": {"masklet_ground": LEFT}, "coordinate_system": ["absolute"]}, 10 / 100 * 1.0, False, None),
+        (fp | {"formatted_response_path": ["No Valid Response"], "ground_truth": {"masklet_target_area": FULL}}, 0.0, False, "mask is missing"),
+        (fp | {"formatted_response_path": ["No Valid Response"], "ground_truth": {"masklet_path": FULL}}, 0.0, True, "No path points parsed"),
+        (fp | {"formatted_response_path": [[1, 1], [1.1, 1]], "ground_truth": {"masklet_path": FULL}}, 0.0, False, None),
+        ({"task_category": ["Elsewhere"], "task_type": []}, 0.0, False, None),
+        ({"task_category": "Navigation", "task_type": "FeasiblePath", "formatted_response_path": None, "ground_truth": {"masklet_path": FULL}}, 0.0, True, "No Valid Response"),
+    ]
+    (tmp_path / "t.jsonl").write_text("\n".join(json.dumps(c[0]) for c in cases))
+    e = evaluate.evaluate(spark, str(tmp_path / "t.jsonl"))
+    got = e.samples.orderBy("index").collect()
+    for i, (r, (_, score, invalid, error)) in enumerate(zip(got, cases, strict=True)):
+        assert abs(r.score - score) < 1e-9 and r.invalid == invalid and (error is None) == (r.error is None) and (error or "") in (r.error or ""), (i, r.score, r.invalid, r.error)
+    assert got[3].response_details.coordinate_system == "normalized_0_1000"  # the canvas of an empty truth is one pixel
+    report = {(r.grain, r.key): r.total_processed for r in e.report.collect()}
+    assert report["overall", "overall"] == 10 and report["category", "Navigation"] == 9 and ("category", "Elsewhere") not in report and report["type", "Navigation/FeasiblePath/FeasiblePath_Ego"] == 3
+
+
 def test_command_line(spark, run, tmp_path, capsys):
     root, _ = run
     assert main(["evaluate", f"{root}/std", "--annotations", f"{root}/data", "--out", str(tmp_path / "e"), "--family", "Claude"], spark) == 0
     head = spark.read.json(f"{tmp_path}/e/summary").first()
-    assert head.summary.overall.overall.total_processed == 12 and head.coord_override == "absolute"
+    assert head.summary.overall.total_processed == 12 and head.coord_override == "absolute"
     assert main(["evaluate", f"{root}/std", "--annotations", f"{root}/data", "--out", str(tmp_path / "l"), "--lines"], spark) == 0
     summary, samples = readers.result_log(spark, f"{tmp_path}/l")
     assert summary.count() == 1 and samples.count() == 12
