@@ -27,15 +27,20 @@ def shared_dir(spark: SparkSession) -> str:
     return d
 
 
-def _remove(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+def _remover(spark: SparkSession) -> Callable[[str], None]:
+    """Removes a path; it also works once the context has stopped, while its JVM is there."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
 
+    def remove(path: str) -> None:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(conf).delete(where, True)
 
-def _at_exit(spark: SparkSession, path: str) -> None:
+    return remove
+
+
+def _at_exit(remove: Callable[[str], None], path: str) -> None:
     with contextlib.suppress(Exception):  # the JVM may be gone
-        _remove(spark, path)
+        remove(path)
 
 
 _FOLDERS: set[str] = set()
@@ -50,7 +55,7 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     folder = f"{shared_dir(spark)}/tables/{spark.sparkContext.applicationId}"
     if folder not in _FOLDERS:
         _FOLDERS.add(folder)
-        atexit.register(_at_exit, spark, folder)
+        atexit.register(_at_exit, _remover(spark), folder)
     path = f"{folder}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -60,7 +65,7 @@ def written(df: DataFrame, tag: str) -> DataFrame:
 
 def discard(df: DataFrame) -> None:
     """Removes a table that ``written`` made and that nothing reads any more."""
-    _remove(df.sparkSession, df._table)
+    _remover(df.sparkSession)(df._table)
 
 
 def spare(name: str, columns: list[str]) -> str:
