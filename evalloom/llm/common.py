@@ -175,3 +175,19 @@ def merged_lists(found: DataFrame, parts: int, merge: Callable[[list[bytes]], by
         parts = -(-parts // MERGED)
         found = found.withColumn("block", F.pmod("block", F.lit(parts)).cast("int")).groupBy("v", "block").agg(F.collect_list("found").alias("found")).mapInArrow(run, "v binary, block int, found binary")
     return found.groupBy("v").agg(F.collect_list("found").alias("found")).mapInArrow(run, "v binary, found binary")
+
+
+HOT = 1000  # classes that may hold more than one in so many rows
+
+
+def joined_classes(rows: DataFrame, classes: DataFrame, keys: list[str], many: str) -> DataFrame:
+    """``rows`` with the columns of their class; ``classes`` has one row for each value of ``keys`` and its number of rows.
+
+    Of classes with more than a ``HOT``-th of all rows there are fewer than ``HOT``: they are broadcast, so that no task
+    gets a class whole. ``classes`` should be a written table.
+    """
+    total = classes.agg(F.sum(many)).first()[0] or 0
+    hot = classes.where(F.col(many) > total // HOT)
+    plain = classes.where(F.col(many) <= total // HOT)
+    few = F.broadcast(hot.select(*keys))
+    return rows.join(F.broadcast(hot), keys).unionByName(rows.join(few, keys, "left_anti").join(plain, keys))

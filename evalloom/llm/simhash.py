@@ -101,7 +101,7 @@ class Tree:
             todo += [(2 * node + 1, at[near], own[near] & (d[near] <= r)), (2 * node + 2, at[far], own[far] & (d[far] > r))]
 
 
-class _Forest:
+class Forest:
     """Union of places by least place."""
 
     def __init__(self, n: int):
@@ -156,7 +156,7 @@ def _links(members: np.ndarray, visitors: np.ndarray, reach: int) -> tuple[np.nd
     """The spanning forest of one shard's links, as fingerprints (node, its least); each array holds no number twice."""
     x = np.sort(np.concatenate([members, visitors]))
     members = np.sort(members)
-    home, forest = np.searchsorted(x, members), _Forest(len(x))
+    home, forest = np.searchsorted(x, members), Forest(len(x))
     # each pair is found in the shard of its smaller side; x is sorted, so places order like values
     for a, b in near_pairs(members, x, reach):
         forest.join(home[a], b)
