@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, covertree, language, licenses, multiindex, packing, permutation, secrets, simhash, spelling, suffix, toxicity
+from . import bpe, covertree, language, licenses, multiindex, packing, permutation, repair, secrets, simhash, spelling, suffix, toxicity
 from .common import table
 
 
@@ -33,6 +33,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_suffix_dedup": lambda s, d: suffix.report(docs(s, d)),
         "op9_toxicity_lexicon": lambda s, d: toxicity.toxicity(docs(s, d), table(s, d, "labels")),
         "op10_simhash_vptree": lambda s, d: simhash.near_duplicates(docs(s, d)),
+        "op11_structure_repair": lambda s, d: repair.repair(table(s, d, "conversations")),
         "op12_cover_tree": lambda s, d: covertree.near(table(s, d, "embeddings")),
         "op13_spelling_tries": lambda s, d: spelling.variants(docs(s, d)),
     }
