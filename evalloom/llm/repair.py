@@ -26,7 +26,6 @@ digest of the empty string; a null conv_id is one conversation; an empty table g
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -44,8 +43,7 @@ STATES = ("", "s", "u", "a")  # initial of the last retained turn; none yet
 INSERTS = {("", "s"): "", ("", "u"): "", ("", "a"): "u", ("s", "u"): "", ("s", "a"): "u", ("u", "a"): "", ("u", "u"): "a", ("a", "u"): "", ("a", "a"): "u"}
 LAST = {"": "", "s": "ua", "u": "a", "a": ""}  # inserts after the last retained turn
 LEGAL = {"su", "ua", "au"}
-INF = 1 << 60
-_MARK = re.compile(r"[^\x20\x09-\x0D]")
+INF, NEVER = float("inf"), 1 << 60  # a state that can't be reached; the same in a table
 _SPACE = "\x20\t\n\x0b\x0c\r"
 
 
@@ -206,9 +204,12 @@ def _long(rows: DataFrame, chunk: int, chunk_bytes: int) -> DataFrame:
     once = alive.groupBy("conv", "turn", "role", "text").agg(F.count(F.lit(1)).alias("many"))
     # a role and text are new in their first turn; null turns come first
     place = F.struct(F.col("turn").isNotNull().alias("told"), F.col("turn").alias("turn"))
-    first = once.groupBy("conv", "role", "text").agg(F.min(place).alias("p")).select("conv", "role", "text", F.col("p.turn").alias("first_turn"), F.lit(True).alias("new"))
-    on = [once[c] == first[c] for c in ("conv", "role", "text")] + [once["turn"].eqNullSafe(first["first_turn"])]
-    marked = once.join(first, on, "left").select(once["conv"], once["turn"], once["role"], once["text"], "many", F.coalesce("new", F.lit(False)).alias("new"))
+    named = [F.col(c).alias(f"first_{c}") for c in ("conv", "role", "text")]
+    first = once.groupBy(*named).agg(F.min(place).alias("p")).withColumns({"first_turn": F.col("p.turn"), "new": F.lit(True)}).drop("p")
+    on = F.lit(True)
+    for c in ("conv", "turn", "role", "text"):
+        on = on & F.col(c).eqNullSafe(F.col(f"first_{c}"))
+    marked = once.join(first, on, "left").select("conv", "turn", "role", "text", "many", F.coalesce("new", F.lit(False)).alias("new"))
     order = ["conv", F.col("turn").asc_nulls_first(), "role", "text"]
 
     def number(batches):
@@ -222,10 +223,10 @@ def _long(rows: DataFrame, chunk: int, chunk_bytes: int) -> DataFrame:
                 chunks.append(k)
                 seqs.append(seq)
                 seq, held = seq + 1, held + len(text)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(chunks, pa.int32()), pa.array(seqs, pa.int32())], [*b.schema.names, "chunk", "seq"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(chunks, pa.int64()), pa.array(seqs, pa.int64())], [*b.schema.names, "chunk", "seq"])
 
-    ranged = marked.repartitionByRange(4 * partitions(rows.sparkSession), *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
-    turns = written(ranged.mapInArrow(number, "conv string, turn long, role string, text string, many long, new boolean, part int, chunk int, seq int"), "long-chunks")
+    ranged = marked.repartitionByRange(4 * partitions(rows.sparkSession), *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id().cast("long"))
+    turns = written(ranged.mapInArrow(number, "conv string, turn long, role string, text string, many long, new boolean, part long, chunk long, seq long"), "long-chunks")
 
     def read(t: pa.Table) -> tuple[list[tuple[str, str]], list[Turn], dict[str, int]]:
         t = t.sort_by("seq")
@@ -244,10 +245,10 @@ def _long(rows: DataFrame, chunk: int, chunk_bytes: int) -> DataFrame:
         _, items, count = read(t)
         to = [rests(items, {r: 0 if r == x else INF for r in STATES})[0] for x in STATES]
         inside = sum(a.initial + b.initial not in LEGAL for a, b in zip(items, items[1:], strict=False)) + sum(i.many - 1 for i in items)
-        cell = {"conv": t.column("conv")[0].as_py(), "part": t.column("part")[0].as_py(), "chunk": t.column("chunk")[0].as_py(), **count, "illegal": inside, "costs": [min(x[r], INF) for r in STATES for x in to], "ends": items[0].initial + "\n" + items[-1].initial}
-        return pa.Table.from_pylist([cell], pa.schema([("conv", pa.string()), ("part", pa.int32()), ("chunk", pa.int32()), *((c, pa.int64()) for c in ("blank", "duplicate", "truncated", "illegal")), ("costs", pa.list_(pa.int64())), ("ends", pa.string())]))
+        cell = {"conv": t.column("conv")[0].as_py(), "part": t.column("part")[0].as_py(), "chunk": t.column("chunk")[0].as_py(), **count, "illegal": inside, "costs": [NEVER if x[r] == INF else x[r] for r in STATES for x in to], "ends": items[0].initial + "\n" + items[-1].initial}
+        return pa.Table.from_pylist([cell], pa.schema([("conv", pa.string()), ("part", pa.int64()), ("chunk", pa.int64()), *((c, pa.int64()) for c in ("blank", "duplicate", "truncated", "illegal")), ("costs", pa.list_(pa.int64())), ("ends", pa.string())]))
 
-    cells = written(turns.groupBy(*_KEYS).applyInArrow(matrix, "conv string, part int, chunk int, blank long, duplicate long, truncated long, illegal long, costs array<long>, ends string"), "long-costs")
+    cells = written(turns.groupBy(*_KEYS).applyInArrow(matrix, "conv string, part long, chunk long, blank long, duplicate long, truncated long, illegal long, costs array<long>, ends string"), "long-costs")
 
     def following(t: pa.Table) -> pa.Table:
         """For each chunk of a conversation the cheapest rest after it, by state; and the conversation's sums."""
@@ -263,7 +264,7 @@ def _long(rows: DataFrame, chunk: int, chunk_bytes: int) -> DataFrame:
             last = b
         return pa.Table.from_pylist([{k: c[k] for k in ("conv", "part", "chunk", "blank", "duplicate", "truncated", "illegal", "cost", "after")} for c in cells])
 
-    planned = written(cells.groupBy("conv").applyInArrow(following, "conv string, part int, chunk int, blank long, duplicate long, truncated long, illegal long, cost long, after array<long>"), "long-rests")
+    planned = written(cells.groupBy("conv").applyInArrow(following, "conv string, part long, chunk long, blank long, duplicate long, truncated long, illegal long, cost long, after array<long>"), "long-rests")
 
     def walks(key, left: pa.Table, right: pa.Table) -> pa.Table:
         """A chunk's edits and repaired rows from each state, and the state that each leads to."""
@@ -271,12 +272,12 @@ def _long(rows: DataFrame, chunk: int, chunk_bytes: int) -> DataFrame:
         rest = rests(items, dict(zip(STATES, right.column("after")[0].as_py(), strict=True)))
         out = []
         for r in STATES:
-            steps, state = walk(items, rest, r) if rest[0][r] < INF else ([], "")
-            out.append({"conv": key[0].as_py(), "part": key[1].as_py(), "chunk": key[2].as_py(), "entry": r, "leaves": state, "audit": "".join(s for s, _ in steps), "said": "".join(f"\n{x}:{y}" for x, y in repaired(rows, steps, r)) if steps else ""})
+            steps, state = walk(items, rest, r)
+            out.append({"conv": key[0].as_py(), "part": key[1].as_py(), "chunk": key[2].as_py(), "entry": r, "leaves": state, "audit": "".join(s for s, _ in steps), "said": "".join(f"\n{x}:{y}" for x, y in repaired(rows, steps, r))})
         return pa.Table.from_pylist(out)
 
     part = ["conv", "part", "chunk", "entry", "leaves", "audit", "said"]
-    went = written(turns.groupBy(*_KEYS).cogroup(planned.groupBy(*_KEYS)).applyInArrow(walks, "conv string, part int, chunk int, entry string, leaves string, audit string, said string"), "long-walks")
+    went = written(turns.groupBy(*_KEYS).cogroup(planned.groupBy(*_KEYS)).applyInArrow(walks, "conv string, part long, chunk long, entry string, leaves string, audit string, said string"), "long-walks")
 
     def chained(batches):
         """Walks of one conversation in order, those that follow one another; a chunk at a time."""
