@@ -6,9 +6,12 @@ within radius 0, then 1, ... of its own segment value, one segment after another
 radius r, every code within m * r + s bits has been met (a code further off in every searched segment is further off in
 all); when the distance of the k-th verified code is within that, the result is complete.
 
-Equal codes form one class with its ``TOP`` + 1 smallest ids. The index is cut into blocks, each searched exactly, while
-packs of queries stream past it: a task holds one block and one pack. The nearest of all blocks are the exact result. Defined results: as for the permutation index, null, zero, non-finite vectors
-and null ids take no part; repeated rows count once; fewer codes than k give all; ties go to the smaller id.
+Equal codes form one class with the ids of ``TOP`` + 1 of its rows, the smallest. The index is cut into blocks, each searched exactly, while
+packs of queries stream past it: a task holds one block and one pack. The nearest of all blocks are the exact result.
+
+Defined results: as for the permutation index, null, zero, non-finite vectors and null ids take no part; rows of one
+id with different vectors are queries and candidates of their own, repeated rows count once; vectors of one dimension are
+searched among themselves; fewer codes than k give all; ties go to the smaller id.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import merged_lists, streamed, written
-from .permutation import TOP, classes, valid
+from .permutation import TOP, by_dimension, classes, valid
 from .suffix import spread
 
 SEGMENT = 16
@@ -94,8 +97,14 @@ class MultiIndex:
 
 def search(df: DataFrame, queries: Column, key: str = "vec_id", vector: str = "embedding", top: int = TOP) -> DataFrame:
     """query_id, rank, vec_id, distance: the exact ``top`` nearest codes of each row that ``queries`` selects."""
+    return by_dimension(valid(df, key, vector).distinct(), lambda rows: _search_rows(sign_codes(rows), queries, top), RESULT)
+
+
+RESULT = "query_id long, rank int, vec_id long, distance int"
+
+
+def _search_rows(rows: DataFrame, queries: Column, top: int) -> DataFrame:
     keep = top + 1
-    rows = sign_codes(valid(df, key, vector))
     table = written(classes(rows, keep), "codes")
     count = table.count()
     blocks = max(1, -(-count // int(min(MOST_BLOCK, max(BLOCK, count // 64)))))
@@ -142,12 +151,14 @@ def search(df: DataFrame, queries: Column, key: str = "vec_id", vector: str = "e
         for b in batches:
             out = []
             for q, x in zip(b.column("id").to_pylist(), b.column("found").to_pylist(), strict=True):
-                others = [(d, i) for d, i in np.frombuffer(x, np.int64).reshape(2, -1).T.tolist() if i != q]
+                others = np.frombuffer(x, np.int64).reshape(2, -1).T.tolist()
+                if [0, q] in others:  # the query's own row; only equal codes have no distance
+                    others.remove([0, q])
                 out += [(q, k + 1, i, d) for k, (d, i) in enumerate(others[:top])]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.int64(), pa.int32()))], ["query_id", "rank", "vec_id", "distance"])
 
     best = merged_lists(streamed(index, packed, blocks, answer, "v binary, block int, found binary"), blocks, merge)
-    return asked.select("id", "v").distinct().join(best, "v").select("id", "found").mapInArrow(shown, "query_id long, rank int, vec_id long, distance int")
+    return asked.join(best, "v").select("id", "found").mapInArrow(shown, RESULT)
 
 
 def nearest(embeddings: DataFrame) -> DataFrame:

@@ -5,18 +5,22 @@ vectors that have it among their first ``PREFIX`` pivots, with the place. A quer
 ``WALK`` pivots and adds up the footrule distance (a missing pivot counts as place ``PREFIX``); the best ``share`` of a
 block is reranked by exact inner products in double precision.
 
-Equal vectors form one class, searched once; a class keeps its ``TOP`` + 1 smallest ids, which is all that a result can
-show. Packs of queries stream past the blocks of the index: a task holds one block and one pack. On data without
+Equal vectors form one class, searched once; a class keeps the ids of ``TOP`` + 1 of its rows, the smallest, which is all
+that a result can show. Packs of queries stream past the blocks of the index: a task holds one block and one pack. On data without
 structure the reranked share needed for a given recall is a constant, so the work is queries times rows over a constant
 (README: figures at three sizes); the pivots and the share are parameters.
 
-Defined results: null, zero, non-finite vectors, those with a null component, null ids, and vectors of another dimension
-than the most frequent one take no part, neither as queries nor as candidates; repeated rows (same id and vector) count
-once; with fewer candidates than ``TOP`` all are returned; no query gives an empty result.
+Defined results: null, zero, non-finite vectors, those with a null component, and null ids take no part, neither as queries
+nor as candidates; rows of one id with different vectors are queries and candidates of their own, and only the query's own
+row isn't its candidate; repeated rows (same id and vector) count once; vectors of one dimension are searched among
+themselves; with fewer candidates than ``TOP`` all are returned; no query gives an empty result.
 """
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -33,23 +37,29 @@ QUERIES = 1024  # queries that travel together
 
 
 def valid(df: DataFrame, key: str, vector: str) -> DataFrame:
-    """id and v (the vector's doubles as bytes) of the rows that take part."""
+    """id, v (the vector's doubles as bytes) and size (their number) of the rows that take part."""
     x = F.col(vector)
     usable = df.where(F.col(key).isNotNull() & x.isNotNull() & ~F.exists(x, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf"))) & F.exists(x, lambda c: c != 0))
     usable = usable.select(F.col(key).cast("long").alias("id"), F.transform(x, lambda c: c.cast("double")).alias("x"))
-    size = usable.groupBy(F.size("x").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    usable = usable.where(F.size("x") == (size["n"] if size else 0))
 
     def run(batches):
         for b in batches:
-            flat = b.column("x").flatten().to_numpy().reshape(b.num_rows, -1)
-            yield pa.RecordBatch.from_pydict({"id": b.column("id"), "v": pa.array([r.tobytes() for r in flat + 0.0], pa.binary())})  # -0.0 becomes 0.0
+            flat, sizes = b.column("x").flatten().to_numpy() + 0.0, b.column("x").value_lengths().to_numpy()  # -0.0 becomes 0.0
+            ends = np.cumsum(sizes)
+            yield pa.RecordBatch.from_pydict({"id": b.column("id"), "v": pa.array([flat[e - n : e].tobytes() for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)], pa.binary()), "size": pa.array(sizes, pa.int32())})
+
+    return usable.mapInArrow(run, "id long, v binary, size int")
+
 
-    return usable.mapInArrow(run, "id long, v binary")
+def by_dimension(rows: DataFrame, search: Callable[[DataFrame], DataFrame], schema: str) -> DataFrame:
+    """The results of ``search`` over the rows of each dimension; a table has few."""
+    sizes = [r["size"] for r in rows.groupBy("size").count().orderBy(F.desc("count"), "size").toLocalIterator()]
+    out = [search(rows.where(F.col("size") == n).select("id", "v")) for n in sizes]
+    return functools.reduce(DataFrame.union, out) if out else rows.sparkSession.createDataFrame([], schema)
 
 
 def classes(rows: DataFrame, keep: int = TOP + 1) -> DataFrame:
-    """v, ids (bytes of the ``keep`` smallest ids) for each different vector; tasks reduce their rows before the shuffle."""
+    """v, ids (bytes of the smallest ids of ``keep`` rows) for each different vector; tasks reduce their rows before the shuffle."""
 
     def fold(batches):
         held: dict[bytes, list[int]] = {}
@@ -59,7 +69,7 @@ def classes(rows: DataFrame, keep: int = TOP + 1) -> DataFrame:
             # a vector's list is cut back as it grows, and all go out before they fill memory
             for v, ids in held.items():
                 if len(ids) > 4 * keep:
-                    held[v] = sorted(set(ids))[:keep]
+                    held[v] = sorted(ids)[:keep]
             if len(held) > 50_000:
                 yield out(held)
                 held = {}
@@ -67,7 +77,7 @@ def classes(rows: DataFrame, keep: int = TOP + 1) -> DataFrame:
             yield out(held)
 
     def out(held):
-        return pa.RecordBatch.from_pydict({"v": pa.array(list(held), pa.binary()), "ids": pa.array([np.array(sorted(set(x))[:keep], np.int64).tobytes() for x in held.values()], pa.binary())})
+        return pa.RecordBatch.from_pydict({"v": pa.array(list(held), pa.binary()), "ids": pa.array([np.array(sorted(x)[:keep], np.int64).tobytes() for x in held.values()], pa.binary())})
 
     def single(batches):
         for b in batches:
@@ -122,19 +132,33 @@ def _search(index: dict, queries: np.ndarray, pivots: np.ndarray, walk: int, sha
         yield near, score
 
 
+def _list(score: np.ndarray, ids: np.ndarray, own: np.ndarray) -> bytes:
+    """Scores, ids, and whether the vector is the query's, packed."""
+    return score.tobytes() + ids.tobytes() + own.astype(np.uint8).tobytes()
+
+
+def _listed(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n = len(data) // 17
+    return np.frombuffer(data, np.float64, n), np.frombuffer(data, np.int64, n, 8 * n), np.frombuffer(data, np.uint8, n, 16 * n)
+
+
 def search(df: DataFrame, queries: Column, key: str = "vec_id", vector: str = "embedding", top: int = TOP, pivots: int = PIVOTS, prefix: int = PREFIX, walk: int = WALK, share: float = SHARE) -> DataFrame:
     """query_id, rank, vec_id, score: the nearest found of each row that ``queries`` (a condition on ``id``) selects.
 
     The pivots are a sample of ``pivots`` classes by hash (a documented bound); every class is indexed.
     """
+    return by_dimension(valid(df, key, vector).distinct(), lambda rows: _search_rows(rows, queries, top, pivots, prefix, walk, share), RESULT)
+
+
+RESULT = "query_id long, rank int, vec_id long, score double"
+
+
+def _search_rows(rows: DataFrame, queries: Column, top: int, pivots: int, prefix: int, walk: int, share: float) -> DataFrame:
     keep = top + 1
-    rows = valid(df, key, vector)
     table = written(classes(rows, keep), "vector-classes")
     count = table.count()
     share_of = min(1.0, 2 * pivots / max(count, 1))
     sample = table.where(F.pmod(F.xxhash64("v"), F.lit(1 << 30)) < int(share_of * (1 << 30))).select("v").limit(4 * pivots).collect()
-    if not sample:
-        return df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     piv = np.stack([np.frombuffer(r["v"]) for r in sorted(sample, key=lambda r: bytes(r["v"]))])
     piv = piv[np.random.default_rng(11).permutation(len(piv))[:pivots]]
     piv = piv / np.linalg.norm(piv, axis=1, keepdims=True)
@@ -171,30 +195,34 @@ def search(df: DataFrame, queries: Column, key: str = "vec_id", vector: str = "e
                 continue
             q = np.frombuffer(r["queries"]).reshape(-1, piv.shape[1])
             found = []
-            for near, score in _search({"vectors": vectors, "inverted": inverted}, q, piv, walk, share, keep):
+            for x, (near, score) in zip(q, _search({"vectors": vectors, "inverted": inverted}, q, piv, walk, share, keep), strict=True):
                 many = sizes[near]
                 member = ids[np.repeat(ends[near] - many, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)]
-                value = np.repeat(score, many)
+                value, own = np.repeat(score, many), np.repeat((vectors[near] == x).all(1), many)
                 best = np.lexsort((member, -value))[:keep]
-                found.append(value[best].tobytes() + member[best].tobytes())
+                found.append(_list(value[best], member[best], own[best]))
             yield pa.RecordBatch.from_pydict({"v": pa.array([x.tobytes() for x in q], pa.binary()), "block": pa.array([r["block"]] * len(q), pa.int32()), "found": pa.array(found, pa.binary())})
 
     def merge(parts: list[bytes]) -> bytes:
-        score = np.concatenate([np.frombuffer(p[: len(p) // 2]) for p in parts])
-        ids = np.concatenate([np.frombuffer(p[len(p) // 2 :], np.int64) for p in parts])
+        score, ids, own = (np.concatenate(x) for x in zip(*map(_listed, parts), strict=True))
         best = np.lexsort((ids, -score))[:keep]
-        return score[best].tobytes() + ids[best].tobytes()
+        return _list(score[best], ids[best], own[best])
 
     def shown(batches):
         for b in batches:
             rows = []
             for q, x in zip(b.column("id").to_pylist(), b.column("found").to_pylist(), strict=True):
-                others = [(s, i) for s, i in zip(np.frombuffer(x[: len(x) // 2]).tolist(), np.frombuffer(x[len(x) // 2 :], np.int64).tolist(), strict=True) if i != q]
+                others, gone = [], False
+                for s, i, own in zip(*(y.tolist() for y in _listed(x)), strict=True):
+                    if own and i == q and not gone:
+                        gone = True  # the query's own row
+                    else:
+                        others.append((s, i))
                 rows += [(q, k + 1, i, s) for k, (s, i) in enumerate(others[:top])]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.int64(), pa.float64()))], ["query_id", "rank", "vec_id", "score"])
 
     best = merged_lists(streamed(indexed, packed, blocks, answer, "v binary, block int, found binary"), blocks, merge)
-    return asked.select("id", "v").distinct().join(best, "v").select("id", "found").mapInArrow(shown, "query_id long, rank int, vec_id long, score double")
+    return asked.join(best, "v").select("id", "found").mapInArrow(shown, RESULT)
 
 
 def nearest(embeddings: DataFrame) -> DataFrame:

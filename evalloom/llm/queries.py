@@ -43,15 +43,15 @@ def oracle_sql() -> dict[str, str]:
     """Only the exact search over short codes is within SQL's means on whole tables; the others have brute-force tests."""
     return {
         "op5_multi_index_hashing": """
-            WITH v AS (SELECT vec_id, embedding FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+            WITH v AS (SELECT row_number() OVER () AS id, vec_id, embedding FROM (SELECT DISTINCT vec_id, embedding FROM embeddings) WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
                          AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
                          AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
-                 b AS (SELECT vec_id, list_transform(embedding, lambda x: x > 0) AS bits FROM v),
-                 u AS (SELECT vec_id, generate_subscripts(bits, 1) - 1 AS i, unnest(bits) AS bit FROM b),
-                 w AS (SELECT vec_id, i // 60 AS part, sum(CASE WHEN bit THEN 1::BIGINT << (i % 60)::BIGINT ELSE 0 END)::BIGINT AS code FROM u GROUP BY ALL),
-                 c AS (SELECT vec_id, list(code ORDER BY part) AS code FROM w GROUP BY vec_id),
-                 p AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.code, c.code), lambda z: bit_count(xor(z[1], z[2]))))::INTEGER AS distance
-                       FROM c AS q, c WHERE q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),
-                 r AS (SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id))::INTEGER AS rank, vec_id, distance FROM p)
+                 b AS (SELECT id, vec_id, list_transform(embedding, lambda x: x > 0) AS bits FROM v),
+                 u AS (SELECT id, vec_id, generate_subscripts(bits, 1) - 1 AS i, unnest(bits) AS bit FROM b),
+                 w AS (SELECT id, vec_id, i // 60 AS part, count(*) AS many, sum(CASE WHEN bit THEN 1::BIGINT << (i % 60)::BIGINT ELSE 0 END)::BIGINT AS code FROM u GROUP BY ALL),
+                 c AS (SELECT id, vec_id, sum(many) AS size, list(code ORDER BY part) AS code FROM w GROUP BY id, vec_id),
+                 p AS (SELECT q.id, q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.code, c.code), lambda z: bit_count(xor(z[1], z[2]))))::INTEGER AS distance
+                       FROM c AS q, c WHERE q.vec_id % 20 = 0 AND q.id <> c.id AND q.size = c.size),
+                 r AS (SELECT query_id, (row_number() OVER (PARTITION BY id ORDER BY distance, vec_id))::INTEGER AS rank, vec_id, distance FROM p)
             SELECT query_id, rank, vec_id, distance FROM r WHERE rank <= 20""",
     }
