@@ -14,6 +14,7 @@ result; without labelled rows every text is ``und``.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -153,17 +154,13 @@ class _Shared:
     """Builds the trees once a Python worker from the broadcast counts."""
 
     def __init__(self, counts):
-        self.counts, self.made = counts, None
-
-    def __getstate__(self):
-        return {"counts": self.counts, "made": None}
+        self.counts, self.token = counts, uuid.uuid4().hex
 
     def get(self) -> Trees:
-        key = id(self.counts.value)
-        if key not in _MADE:
+        if self.token not in _MADE:
             _MADE.clear()
-            _MADE[key] = Trees(*self.counts.value)
-        return _MADE[key]
+            _MADE[self.token] = Trees(*self.counts.value)
+        return _MADE[self.token]
 
 
 _MADE: dict = {}
