@@ -29,6 +29,7 @@ from .common import fold_is_held_out, rows, sampled, texts, written
 
 # Common insults, used with a default weight where training has not seen them.
 SEEDS = "idiot stupid moron loser scum trash worthless pathetic disgusting clown dumb imbecile cretin".split()
+SEED = 3.0  # weight of a seed word that training has not seen, and the most of any other
 # Phrases in which such a word is harmless.
 EXCEPTIONS = ["trash can", "trash bin", "trash bag", "take out the trash", "clown fish", "sore loser rule", "class clown award", "pond scum"]
 # Letters that look like Latin ones, as pairs of look-alikes and Latin letters.
@@ -138,10 +139,16 @@ def _surprise(rows, usual):
     return rows * np.log(np.maximum(rows, 1e-9) / usual) - (rows - usual)
 
 
-def _lexicon(candidates: dict[str, tuple[float, float, float]], rows: list[tuple[list[int], list[int], float]], words: float) -> tuple[dict[str, float], float]:
+def seed_features() -> list[str]:
+    return [f" {fold(w).strip()} " for w in SEEDS]
+
+
+def _lexicon(candidates: dict[str, tuple[float, float, float]], rows: list[tuple[list[int], list[int], float]], words: float, seeds: dict[str, float] | None = None) -> tuple[dict[str, float], float]:
     """Entries with weights, and the expected evidence of one word.
 
-    rows: of each toxic row its candidates, how often it has them, and its share; words: the number in toxic rows.
+    rows: of each toxic row its candidates, how often it has them, and its share; words: the number in toxic rows; seeds:
+    log ratios of the rates in toxic and clean rows of the seed words that training has seen. These count by their ratio, if
+    it is that of a candidate; a seed never seen has ``SEED`` as weight.
     """
     names = list(candidates)
     usual, clean_words = np.array([candidates[f][0] for f in names]), np.array([candidates[f][2] * (words + 1) for f in names])
@@ -163,9 +170,10 @@ def _lexicon(candidates: dict[str, tuple[float, float, float]], rows: list[tuple
         chosen[names[k]] = math.log(a / b)
         share[row[of == k]] = 0
     chance = sum((candidates[f][1] - candidates[f][2] for f in chosen), 0.0)
-    for f in (f" {fold(w).strip()} " for w in SEEDS):
-        if not any(f.startswith(g) for g in chosen):
-            chosen.setdefault(f, 3.0)
+    for f in seed_features():
+        weight = min(SEED, (seeds or {}).get(f, SEED))
+        if weight >= math.log(3) and not any(f.startswith(g) for g in chosen):
+            chosen.setdefault(f, weight)
     return chosen, chance
 
 
@@ -236,7 +244,7 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = MAX_PER_CLASS) -> Toxic
     shared = sample.join(F.broadcast(sizes), ["toxic", "copies"])
     counted = shared.mapInArrow(_count, "feature string, label int, n double, docs double").groupBy("feature").agg(
         *[F.sum(F.when(F.col("label") == k, F.col(c)).otherwise(0.0)).alias(f"{c}{k}") for k in (0, 1) for c in ("n", "docs")]
-    ).where("feature = '' or docs1 >= 4.9")  # others can't be significant
+    ).where((F.col("docs1") >= 4.9) | F.col("feature").isin("", *seed_features()))  # others can't be significant
     stats = {r[0]: tuple(r[1:]) for r in counted.collect()}
     candidates = _candidates(stats)
     number = {f: i for i, f in enumerate(candidates)}
@@ -247,7 +255,9 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = MAX_PER_CLASS) -> Toxic
             yield pa.RecordBatch.from_pydict({"ids": pa.array([[i for i, _ in x] for x in found], pa.list_(pa.int32())), "times": pa.array([[n for _, n in x] for x in found], pa.list_(pa.int32())), "share": b.column("share")})
 
     toxic = shared.where("toxic = 1").mapInArrow(held, "ids array<int>, times array<int>, share double").collect() if number else []
-    weights, chance = _lexicon(candidates, [(r.ids, r.times, r.share) for r in toxic], stats.get("", (0, 0, 0.0, 0))[2])
+    n0, _, n1, _ = stats.get("", (0.0, 0.0, 0.0, 0.0))
+    seeds = {f: math.log((stats[f][2] + 0.5) / (n1 + 1) / ((stats[f][0] + 0.5) / (n0 + 1))) for f in seed_features() if f in stats}
+    weights, chance = _lexicon(candidates, [(r.ids, r.times, r.share) for r in toxic], n1, seeds)
     model = Toxicity(weights, chance)
 
     def judge(batches):
