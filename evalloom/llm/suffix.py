@@ -41,6 +41,8 @@ KS = (K, 30, MIN)  # lengths of the substrings that own windows: of all, of heav
 CHUNK = 1 << 20  # bytes of text that a task works on at once
 SHARD = 4 << 20  # bytes of strings that a shard holds, about
 HEAVY = 2 * SHARD  # bytes of strings from which on an owner is split
+MOST_HEAVY = 1 << 20  # owners that are split at most: they are broadcast
+GATHER = 256 << 20  # bytes of text whose spans meet in one group, about
 SAMPLE = 32 << 20  # bytes of text that are weighed, about; a thousandth of the table, if that is more
 FLUSH = 16 << 20  # bytes of strings that a task holds before it packs them
 FAN = 1 << 15  # shards, or groups of shards, that a task deals to at once
@@ -376,7 +378,8 @@ def _shard_spans(blocks: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarra
 def heavy_owners(docs: DataFrame, total: int) -> np.ndarray:
     """Owners with more than ``HEAVY`` bytes of strings, by a sample: it only decides how strings are dealt.
 
-    At most one for each two shards comes to the driver. The second look weighs the parts of the first one's finds.
+    At most one for each two shards, and the ``MOST_HEAVY`` heaviest of these, come to the driver; a heavy owner that isn't
+    among them makes a larger shard. The second look weighs the parts of the first one's finds.
     """
     share = min(1.0, max(SAMPLE, total / 1000) / max(1, total))
     sample = docs if share == 1 else docs.where(F.rand(7) < share)
@@ -390,7 +393,8 @@ def heavy_owners(docs: DataFrame, total: int) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(np.bincount(at, s.len).astype(np.int64))], ["owner", "n"])
 
         weights = sample.select("k", "tag", "text").mapInArrow(weigh, "owner long, n long").groupBy("owner").agg(F.sum("n").alias("n"))
-        found = np.array([r["owner"] for r in weights.where(F.col("n") > HEAVY * share).select("owner").collect()], np.int64).view(U)
+        most = weights.where(F.col("n") > HEAVY * share).orderBy(F.desc("n"), "owner").limit(MOST_HEAVY)
+        found = np.array([r["owner"] for r in most.select("owner").collect()], np.int64).view(U)
         if not len(found):
             break
         heavy = np.unique(np.concatenate([heavy, found]))
@@ -402,15 +406,16 @@ def spans(docs: DataFrame, total: int) -> DataFrame:
 
     docs: k (doc_id, ``LAST`` for null), tag (tells rows of one doc_id apart; 0 where ids are unique), text; total: its bytes.
     """
-    buckets = partitions(docs.sparkSession)
-    shards = max(2 * buckets, -(-total * 7 // (2 * SHARD)))
+    tasks = partitions(docs.sparkSession)
+    buckets = max(tasks, -(-total // GATHER))  # groups of documents whose spans meet
+    shards = max(2 * tasks, -(-total * 7 // (2 * SHARD)))
     group = -(-shards // FAN)  # shards that the first pass deals to as one
-    heavy = heavy_owners(docs, total)
+    sent = docs.sparkSession.sparkContext.broadcast(heavy_owners(docs, total))
 
     def cut(batches):
         parts, held = [], 0
         for keys, tags, data in _pieces(batches):
-            parts.append(_chunk(keys, tags, data, heavy))
+            parts.append(_chunk(keys, tags, data, sent.value))
             held += len(parts[-1].text)
             if held >= FLUSH:
                 yield from packed(_together(parts), group)
@@ -432,7 +437,7 @@ def spans(docs: DataFrame, total: int) -> DataFrame:
             if len(start):
                 h = kmer_hashes(np.concatenate([s.text, np.zeros(8, np.uint8)]))
                 sums = Sums(h)
-                s = _once(s._replace(owner=owners(h, sums, start, heavy), hash=sums.of(start, start + s.len - K + 1)))
+                s = _once(s._replace(owner=owners(h, sums, start, sent.value), hash=sums.of(start, start + s.len - K + 1)))
             return packed(s, 1)
 
         for b in batches:
@@ -450,8 +455,8 @@ def spans(docs: DataFrame, total: int) -> DataFrame:
         key, tag, start, end = _shard_spans(t.column("block").to_pylist())
         bucket = (key ^ (key >> 17)) % buckets
         order = np.argsort(bucket, kind="stable")
-        edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        rows = [(b, pack(key=key[x], tag=tag[x], start=start[x], end=end[x])) for b in range(buckets) if len(x := order[edges[b] : edges[b + 1]])]
+        there, edges = np.unique(bucket[order], return_index=True)
+        rows = [(b, pack(key=key[x], tag=tag[x], start=start[x], end=end[x])) for b, x in zip(there.tolist(), np.split(order, edges[1:]), strict=True)] if len(there) else []
         return pa.table({"bucket": pa.array([r[0] for r in rows], pa.int64()), "block": pa.array([r[1] for r in rows], pa.binary())})
 
     def gather(t: pa.Table) -> pa.Table:
