@@ -376,8 +376,8 @@ def near(df: DataFrame, cosine: float = LEAST_COSINE, key: str = "vec_id", vecto
     tied = components(hits.where("b is not null").select("a", "b"))
     rooted = classes.select("cid", "label", "x", "many", "least").join(counts, "cid", "left").join(tied.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     rooted = written(rooted, "rooted")
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    ended = rooted.join(least, "root").select("label", "x", "many", (F.coalesce("links", F.lit(0)) + F.col("many") - 1).alias("n_links"), "component_id")
+    least = written(rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("classes")), "roots")
+    ended = joined_classes(rooted, least, ["root"], "classes").select("label", "x", "many", (F.coalesce("links", F.lit(0)) + F.col("many") - 1).alias("n_links"), "component_id")
     ended = written(ended, "classes")
     shown = joined_classes(part, ended, ["label", "x"], "many").select("vec_id", "n_links", "component_id")
     out = shown.union(rows.where("x is null").select("vec_id", F.lit(0).cast("long"), "vec_id"))

@@ -7,7 +7,7 @@
    also visits, as a query, every shard whose region may hold one within ``REACH`` bits: of n random ones
    (n / SHARD) ** 0.54, as a level multiplies visits by 1.45. Members are not copied.
 4. Each shard searches the tree of its members for the larger ones of members and visitors: regions out of reach are
-   pruned, small ones compared. Of the links found only a spanning forest leaves the shard, so that a group of n near
+   pruned, small ones compared; a dense region that no point divides is linked by values one bit off. Of the links found only a spanning forest leaves the shard, so that a group of n near
    copies gives n links, not n * n.
 5. Components: large-star and small-star steps over the links, each written to the shared folder, until all links form stars.
 
@@ -26,13 +26,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, slices, texts, written
+from .common import discard, joined_classes, slices, texts, written
 
 WORDS, REACH = 3, 2
 SHARD = 40_000  # distinct fingerprints that a shard has as members, about
 PER_SHARD = 32  # fingerprints a shard in the sample from which the upper tree is drawn
 DEALT = 1 << 18  # fingerprints that are dealt together
 BROADCAST = 4_000_000  # ids of copies that may be broadcast
+DENSE = 2048  # members of a region that no vantage point divides, from which on the flipped values link it
 SMALL = 192  # a region of at most so many is compared directly
 
 
@@ -123,6 +124,38 @@ class Forest:
             np.minimum.at(self.up, np.maximum(a, b), np.minimum(a, b))
 
 
+def dense_pairs(members: np.ndarray, m: np.ndarray, queries: np.ndarray, q: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links of members and queries at most two bits apart whose components are those of all such pairs; exact.
+
+    Two fingerprints are that near just if both are within one bit of some third. So each one is listed under itself and the
+    64 values one bit off, and under each value all queries (members are among them) are tied to the first member. The work
+    is in proportion to the number of fingerprints, however dense they lie.
+    """
+    shares = max(1, (len(members) + len(queries)) >> 17)  # values go by a share of their hash at a time: some 200 MB
+    flips = np.concatenate([np.zeros(1, np.uint64), np.uint64(1) << np.arange(64, dtype=np.uint64)])
+
+    def listed(x, share):
+        values, of = (x[:, None] ^ flips[None]).ravel(), np.repeat(np.arange(len(x)), len(flips))
+        if shares == 1:
+            return values, of
+        own = (values * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % np.uint64(shares) == share
+        return values[own], of[own]
+
+    for share in range(shares):
+        (a, i), (b, j) = (tuple(np.concatenate(y) for y in zip(*(listed(x[k : k + (1 << 16)], share) for k in range(0, len(x), 1 << 16)), strict=True)) for x in (members, queries))
+        if not len(a) or not len(b):
+            continue
+        order = np.argsort(a, kind="stable")
+        a, i = a[order], i[order]
+        at = np.searchsorted(a, b)
+        met = (at < len(a)) & (a[np.minimum(at, len(a) - 1)] == b)
+        first = i[at[met]]  # the first member under the value
+        other = j[met]
+        differ = members[first] != queries[other]
+        if differ.any():
+            yield m[first[differ]], q[other[differ]]
+
+
 def near_pairs(members: np.ndarray, queries: np.ndarray, reach: int = REACH, seed: int = 5) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Blocks of (member place, query place) with distance at most ``reach`` and member < query in value; exact."""
     rng = np.random.default_rng(seed)
@@ -148,6 +181,9 @@ def near_pairs(members: np.ndarray, queries: np.ndarray, reach: int = REACH, see
             r = max(int(dm.min()), r - 1)
         inside = dm <= r
         qi, qo = dq <= r + reach, dq > r - reach
+        if reach == 2 and qi.sum() + qo.sum() > 1.6 * len(q) and len(m) > DENSE:
+            yield from dense_pairs(members[m], m, queries[q], q)
+            continue
         same = (len(m) - max(inside.sum(), (~inside).sum())) * 20 < len(m)
         todo += [(m[inside], q[qi], stuck + 1 if same else 0), (m[~inside], q[qo], stuck + 1 if same else 0)]
 
@@ -227,13 +263,14 @@ def components(edges: DataFrame) -> DataFrame:
 
 def linked(fps: DataFrame, reach: int = REACH) -> DataFrame:
     """doc_id, fp, component_id from doc_id and fp; links at ``reach`` or fewer differing bits."""
-    classes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
+    classes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("many")), "classes")
     found = components(links(classes, classes.count(), reach))
     # by class: the least id of its component
-    rooted = classes.join(found, classes["fp"] == found["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    by_class = written(rooted.join(least, "root").select("fp", "component_id"), "components")
-    return fps.join(by_class, "fp").select("doc_id", "fp", "component_id")
+    rooted = classes.join(found, classes["fp"] == found["node"], "left").select("fp", "first", "many", F.coalesce("root", "fp").alias("root"))
+    least = written(rooted.groupBy("root").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("classes")), "roots")
+    by_class = written(joined_classes(rooted, least, ["root"], "classes").select("fp", "many", "component_id"), "components")
+    # a class or a component may hold a third of all rows
+    return joined_classes(fps, by_class, ["fp"], "many").select("doc_id", "fp", "component_id")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
