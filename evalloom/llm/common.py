@@ -23,7 +23,6 @@ def shared_dir(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         d = os.path.join(tempfile.gettempdir(), "evalloom-checkpoints")
-        spark.conf.set("spark.checkpoint.dir", d)
     return d
 
 

@@ -108,7 +108,7 @@ def test_vantage_point_links(spark, monkeypatch):
     y = x[:400] ^ (np.uint64(1) << rng.integers(0, 64, 400, dtype=np.uint64))
     z = np.unique(np.concatenate([x, y, y[:80] ^ np.uint64(5), x[:1] ^ np.arange(64, dtype=np.uint64)]))
     fps = spark.createDataFrame([(i, int(v)) for i, v in enumerate(z.view(np.int64))], "doc_id long, fp long")
-    forest = simhash._Forest(len(z))
+    forest = simhash.Forest(len(z))
     forest.join(*np.nonzero(np.bitwise_count(z[:, None] ^ z[None]) <= 2))
     assert {r.doc_id: r.component_id for r in simhash.linked(fps).collect()} == dict(enumerate(forest.root(np.arange(len(z))).tolist()))
 

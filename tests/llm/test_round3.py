@@ -274,3 +274,118 @@ def test_spelling_odd_tables(spark):
 def test_chains_of_forms(spark):
     forms = spark.createDataFrame([(f"w{i}", f"w{i + 1}") for i in range(9)] + [("a", "w3")], "word string, form string")
     assert {tuple(r) for r in spelling.roots(forms).collect()} == {(f"w{i}", "w9") for i in range(9)} | {("a", "w9")}
+
+
+# --- mended parts of earlier operators ------------------------------------------------------------------------------
+
+
+def test_dense_fingerprints_link_exactly():
+    """Fingerprints around one centre, which no vantage point divides, equal comparing all pairs."""
+    from evalloom.llm import simhash
+
+    rng = np.random.default_rng(4)
+
+    def around(n):
+        out = np.full(n, 0x0123456789ABCDEF, np.uint64)
+        for i in range(n):
+            for b in rng.choice(64, rng.integers(3, 8), replace=False):
+                out[i] ^= np.uint64(1) << np.uint64(b)
+        return np.unique(out)
+
+    x = around(6000)
+    forest = simhash.Forest(len(x))
+    for i in range(len(x)):
+        near = np.flatnonzero(np.bitwise_count(x ^ x[i]) <= 2)
+        forest.join(near, np.full(len(near), i))
+    a, b = simhash._links(x[::2], x[1::2], 2)
+    mine = simhash.Forest(len(x))
+    mine.join(np.searchsorted(x, a), np.searchsorted(x, b))
+    # links between two visitors belong to their own shard
+    visitors = np.zeros(len(x), bool)
+    visitors[1::2] = True
+    want = simhash.Forest(len(x))
+    for i in range(0, len(x), 2):
+        near = np.flatnonzero(np.bitwise_count(x ^ x[i]) <= 2)
+        want.join(near, np.full(len(near), i))
+    every = np.arange(len(x))
+    both = simhash.Forest(len(x))
+    found = list(simhash.dense_pairs(x, every, x, every))
+    for i, j in found:
+        assert (np.bitwise_count(x[i] ^ x[j]) <= 2).all()
+        both.join(i, j)
+    assert (both.root(every) == forest.root(every)).all()
+    got, expected = mine.root(every), want.root(every)
+    # what must be linked is, and nothing else
+    assert len(np.unique(got)) == len(np.unique(expected)) and len(np.unique(np.stack([got, expected]), axis=1).T) == len(np.unique(got))
+
+
+def test_two_hundred_thousand_dense_fingerprints_in_seconds():
+    import time
+
+    from evalloom.llm import simhash
+
+    rng = np.random.default_rng(4)
+    x = np.zeros(200_000, np.uint64)
+    for _ in range(7):
+        x ^= np.uint64(1) << rng.integers(0, 64, len(x)).astype(np.uint64)
+    x, began = np.unique(x), time.time()
+    a, _ = simhash._links(x, np.zeros(0, np.uint64), 2)
+    assert len(a) > 50_000 and time.time() - began < 60
+
+
+def test_shared_folder_without_a_setting(tmp_path):
+    from evalloom.llm.common import shared_dir
+
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Session:
+        conf = Conf()
+
+        class sparkContext:  # noqa: N801
+            master = "local[2]"
+
+    assert shared_dir(Session()) == shared_dir(Session())
+
+
+def test_seeds_seen_only_in_clean_rows_do_not_count():
+    from evalloom.llm import toxicity
+
+    seeds = toxicity.seed_features()
+    weights, _ = toxicity._lexicon({}, [], 0.0, {seeds[0]: -1.0, seeds[1]: 2.0})
+    assert seeds[0] not in weights and weights[seeds[1]] == 2.0 and weights[seeds[2]] == toxicity.SEED
+
+
+def test_searches_with_repeated_ids(spark):
+    """Five rows of one id with different vectors: each gets 20 results, and the others of its id are candidates."""
+    from collections import defaultdict
+
+    from evalloom.llm import multiindex, permutation
+
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(45, 12))
+    ids = [20] * 5 + list(range(101, 120)) + list(range(121, 140)) + [160, 160]
+    rows = [(i, v.tolist()) for i, v in zip(ids, x, strict=False)] + [(20, x[0].tolist()), (7, [1.0, 2.0]), (40, [2.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    # sets of results by query row can't be told apart by id, so compare the multiset of result lists
+    once = list({(i, tuple(v)) for i, v in rows})
+
+    def lists(far, of):
+        out = []
+        for q, v in once:
+            if q % 20 == 0:
+                near = sorted((far(v, w), i) for i, w in once if (i, w) != (q, v) and len(w) == len(v))[:20]
+                out += [(q, k + 1, i, of(d)) for k, (d, i) in enumerate(near)]
+        return sorted(out)
+
+    dot = lists(lambda a, b: -float(np.dot(a, b)), lambda d: round(-d, 9))
+    got = [(r.query_id, r["rank"], r.vec_id, round(r.score, 9)) for r in permutation.nearest(df).collect()]
+    assert sorted(got) == dot
+    bits = lists(lambda a, b: sum((s > 0) != (t > 0) for s, t in zip(a, b, strict=True)), int)
+    found = [(r.query_id, r["rank"], r.vec_id, r.distance) for r in multiindex.nearest(df).collect()]
+    assert sorted(found) == bits
+    per = defaultdict(int)
+    for q, *_ in found:
+        per[q] += 1
+    assert per[20] == 100 and per[40] == 1
