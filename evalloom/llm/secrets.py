@@ -5,6 +5,10 @@ and brute-force spans, found by dynamic programming; a segmentation of k parts c
 times k factorial, kept as base-10 logarithms. Values in a credential context whose cost reaches ``LEAST_COST`` add
 spans of kind ``guess`` unless a base span overlaps them.
 
+Words are listed ones and those of the documents: ``fit`` counts every word of all texts with the different words before it
+(64 bits by hash, joined by or), so copies of one passage, or of one secret, count once. The ``MOST_WORDS`` most frequent of
+those with at least ``LEAST_CONTEXTS`` are broadcast; rarer ones would save a guesser next to nothing.
+
 Defined results: a null text counts as empty and has no spans; equal texts give equal spans; spans are code-point
 offsets of whole matches, end exclusive; values of any length are costed as a whole, and costs of ``MOST_COST`` and more,
 which no value of up to 64 characters has, are reported as ``MOST_COST``.
@@ -15,6 +19,10 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import zlib
+from collections import Counter
+from collections.abc import Mapping
+from types import MappingProxyType
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +41,9 @@ _HINTS = ("pass", "pwd", "credential", "auth", "bearer", "key", "clave", "contra
 _IS_HEX = bytes(120 if chr(c) in "0123456789abcdef" else 32 for c in range(256))
 LEAST_COST = 8.0
 MOST_COST = 128.0
+LONGEST = 20  # characters of a word at most
+MOST_WORDS = 100_000  # of the documents, some 3 MB
+LEAST_CONTEXTS = 12  # of 64
 # Frequent password words, most frequent first.
 WORDS = (
     "password qwerty dragon monkey letmein login welcome admin master hello freedom whatever shadow sunshine princess football baseball iloveyou trustno secret "
@@ -44,7 +55,16 @@ WORDS = (
     "temp demo work home house school family mother father brother sister baby king queen star moon night blue green black white silver golden diamond magic power music "
     "passwort kennwort geheim hallo schatz contrasena clave hola amor soleil bonjour motdepasse azerty"
 ).split()
-_RANK = {w: i + 1 for i, w in enumerate(WORDS)}
+# Words that texts put after the name of a credential.
+TERMS = (
+    "authentication authorization authenticated authorized unauthorized credentials provided provider providers unavailable available required requires disabled enabled expired invalid "
+    "unknown missing failed failure denied granted carrying module method methods header headers request requests response session sessions cookies username account accounts "
+    "password passwords protected private generated rotated stored encrypted encryption plaintext hashed hashing signing signature signatures certificate certificates translation translations "
+    "please contact administrator settings configuration configured environment variable variables version application applications client clients customer customers developer "
+    "document documentation documents information instructions interface internal external integration management permission permissions policy policies production development staging"
+).split()
+_RANK = {w: i + 1 for i, w in reversed(list(enumerate(WORDS + TERMS)))}
+_LETTERS = re.compile(r"[^\W\d_]+")
 # Rows of two keyboards.
 ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm", "qwertzuiop", "yxcvbnm", "azertyuiop", "qsdfghjklm", "wxcvbn", "abcdefghijklmnopqrstuvwxyz")
 _NEXT = {a + b for r in ROWS for a, b in zip(r, r[1:], strict=False)} | {b + a for r in ROWS for a, b in zip(r, r[1:], strict=False)} | {x + y for top, low in zip(ROWS[:3], ROWS[1:4], strict=True) for x, y in zip(top, low, strict=False)}
@@ -64,11 +84,47 @@ def date_cost(part: str) -> float | None:
     return math.log10(365 * 120) if _DATE.fullmatch(part) else math.log10(365 * 100) if _SHORT_DATE.fullmatch(part) else None
 
 
-def word_cost(part: str) -> float | None:
-    """log10 of the guesses of a listed word, whatever its case, with signs for letters, or backwards; None for other parts."""
+def fit(docs: DataFrame) -> dict[str, int]:
+    """Ranks of the words of all documents, after the listed ones."""
+
+    def run(batches):
+        held: dict[str, list[int]] = {}
+
+        def out():
+            return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), *(pa.array([x[k] for x in held.values()], pa.int64()) for k in (0, 1))], ["word", "n", "before"])
+
+        for b in batches:
+            for text in texts(b.column("text")):
+                words = _LETTERS.findall(text.lower())
+                bit = {w: 1 << (zlib.crc32(w.encode("utf-8", "replace")) & 63) for w in set(words)}
+                count, before = Counter(words), {}
+                for last, w in set(zip(words, words[1:], strict=False)):
+                    before[w] = before.get(w, 0) | bit[last]
+                for w, n in count.items():
+                    if 3 <= len(w) <= LONGEST:
+                        x = held.setdefault(w, [0, 0])
+                        x[0] += n
+                        x[1] |= before.get(w, 0)
+                if len(held) > 200_000:
+                    for x in held.values():
+                        x[1] = x[1] - (1 << 64) if x[1] >> 63 else x[1]
+                    yield out()
+                    held.clear()
+        if held:
+            for x in held.values():
+                x[1] = x[1] - (1 << 64) if x[1] >> 63 else x[1]
+            yield out()
+
+    counted = docs.select("text").mapInArrow(run, "word string, n long, before long").groupBy("word").agg(F.sum("n").alias("n"), F.bit_or("before").alias("before"))
+    best = counted.where(F.bit_count("before") >= LEAST_CONTEXTS).orderBy(F.desc("n"), "word").limit(MOST_WORDS).select("word")
+    return {r["word"]: len(_RANK) + i + 1 for i, r in enumerate(best.collect())}
+
+
+def word_cost(part: str, ranks: Mapping[str, int] = MappingProxyType({})) -> float | None:
+    """log10 of the guesses of a listed word, or one of ``ranks``, whatever its case, with signs for letters, or backwards."""
     low, best = part.lower(), None
     for form, extra in ((low, 0.0), (low.translate(_LEET), 0.5), (low[::-1], 0.3)):
-        rank = _RANK.get(form)
+        rank = _RANK.get(form) or ranks.get(form)
         if rank and (best is None or math.log10(rank + 1) + extra < best):
             best = math.log10(rank + 1) + extra
     upper = sum(c.isupper() for c in part)
@@ -97,7 +153,7 @@ def _repeats(value: str, brute: np.ndarray) -> list[tuple[int, int, int, float]]
     return sorted(out)
 
 
-def guess_cost(value: str) -> float:
+def guess_cost(value: str, ranks: Mapping[str, int] = MappingProxyType({})) -> float:
     """log10 of the least number of guesses over all segmentations of ``value``, ``MOST_COST`` at most.
 
     best[end][k]: the least cost of k parts up to an end. Brute-force spans and keyboard walks cost a fixed amount for each
@@ -114,7 +170,7 @@ def guess_cost(value: str) -> float:
     most = min(n, 84)  # parts; 85! has more than MOST_COST digits
     order = np.array([math.lgamma(k + 1) / math.log(10) for k in range(most + 1)])
     runs, begun = _repeats(value, brute), 0
-    reach = 2 * min(n // 2, int(MOST_COST)) + 13
+    reach = 2 * min(n // 2, int(MOST_COST)) + LONGEST + 1
     live: list[tuple[int, int, int, float, dict[int, np.ndarray]]] = []
     none = np.full(most + 1, np.inf)
 
@@ -129,8 +185,8 @@ def guess_cost(value: str) -> float:
         if j > 2 and low[j - 2 : j] in _NEXT and low[j - 3 : j - 1] in _NEXT:
             walks = np.minimum(walks, more(best[j - 3], math.log10(40 * 4) + 0.7))
         own = np.minimum(spans, walks)
-        for i in range(max(0, j - 12), j - 2):
-            for cost in (word_cost(value[i:j]), date_cost(value[i:j])):
+        for i in range(max(0, j - LONGEST), j - 2):
+            for cost in (word_cost(value[i:j], ranks), date_cost(value[i:j])):
                 if cost is not None:
                     own = np.minimum(own, more(best[i], cost))
         while begun < len(runs) and runs[begun][0] < j:
@@ -147,17 +203,17 @@ def guess_cost(value: str) -> float:
         spans, walks = np.where(spans + order < MOST_COST, spans, np.inf), np.where(walks + order < MOST_COST, walks, np.inf)
         best[j] = own
         best.pop(j - 3 * reach, None)
-        if not live and np.isinf(spans).all() and np.isinf(walks).all() and all(np.isinf(best[i]).all() for i in range(max(0, j - 12), j + 1)):
+        if not live and np.isinf(spans).all() and np.isinf(walks).all() and all(np.isinf(best[i]).all() for i in range(max(0, j - LONGEST), j + 1)):
             return MOST_COST
     return max(0.0, min(MOST_COST, float((best[n] + order).min())))
 
 
-def scan(text: str, least: float = LEAST_COST) -> list[tuple[str, int, int, float | None]]:
+def scan(text: str, least: float = LEAST_COST, ranks: Mapping[str, int] = MappingProxyType({})) -> list[tuple[str, int, int, float | None]]:
     """All spans as (kind, start, end, guess cost or None), by start, then kind."""
     out: list[tuple[str, int, int, float | None]] = []
     low = text.lower()
     if any(k in low for k in ("password", "passwd", "secret", "token", "apikey", "api_key")):
-        out += [("assign", m.start(), m.end(), guess_cost(m[2])) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
+        out += [("assign", m.start(), m.end(), guess_cost(m[2], ranks)) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
     if "AKIA" in text:
         out += [("access", m.start(), m.end(), None) for m in ACCESS.finditer(text) if m.end() - m.start() >= 20]
     if b"x" * 24 in text.encode("ascii", "replace").translate(_IS_HEX):
@@ -166,7 +222,7 @@ def scan(text: str, least: float = LEAST_COST) -> list[tuple[str, int, int, floa
         base = sorted((a, b) for _, a, b, _ in out)
         for m in CONTEXT.finditer(text):
             value = m[1].rstrip(".)]}")
-            if len(value) >= 6 and not any(a < m.start(1) + len(value) and m.start() < b for a, b in base) and (cost := guess_cost(value)) >= least:
+            if len(value) >= 6 and not any(a < m.start(1) + len(value) and m.start() < b for a, b in base) and (cost := guess_cost(value, ranks)) >= least:
                 out.append(("guess", m.start(), m.start(1) + len(value), cost))
     return sorted(out, key=lambda x: (x[1], KINDS.index(x[0])))
 
@@ -186,11 +242,12 @@ def redact(text: str, spans, mark: str = "[SECRET]") -> str:
 
 
 def find(docs: DataFrame) -> DataFrame:
-    """doc_id, counts by kind, base_sha256, spans, and the largest guess cost in the text; one pass, no shuffle."""
+    """doc_id, counts by kind, base_sha256, spans, and the largest guess cost in the text; one pass after that of ``fit``."""
+    ranks = docs.sparkSession.sparkContext.broadcast(fit(docs))
 
     def run(batches):
         for b in batches:
-            every = [scan(t) for t in texts(b.column("text"))]
+            every = [scan(t, ranks=ranks.value) for t in texts(b.column("text"))]
             base = [[s for s in x if s[0] != "guess"] for x in every]
             count = lambda kind: pa.array([sum(s[0] == kind for s in x) for x in every], pa.int64())
             yield pa.RecordBatch.from_pydict({
@@ -206,12 +263,12 @@ def redacted(docs: DataFrame, columns: list[str]) -> DataFrame:
     """``columns`` of ``docs`` with secrets in ``text`` replaced, null texts kept null, and ``n_chars`` (if there) renewed."""
     source = rows(docs, columns)
     schema = source.schema["row"].dataType
-    at = columns.index("text")
+    at, ranks = columns.index("text"), docs.sparkSession.sparkContext.broadcast(fit(docs))
 
     def run(batches):
         for b in batches:
             r = b.column("row")
-            new = [None if t is None else redact(t, scan(t)) for t in r.field(at).to_pylist()]
+            new = [None if t is None else redact(t, scan(t, ranks=ranks.value)) for t in r.field(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(new, pa.string()) if i == at else r.field(i) for i in range(len(columns))], columns)
 
     out = source.mapInArrow(run, schema)

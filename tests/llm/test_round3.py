@@ -389,3 +389,29 @@ def test_searches_with_repeated_ids(spark):
     for q, *_ in found:
         per[q] += 1
     assert per[20] == 100 and per[40] == 1
+
+
+def test_words_of_the_documents_lower_guess_costs(spark):
+    import math
+
+    from evalloom.llm import secrets
+
+    before = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
+    rows = [(i, f"{w} zephyrous and more") for i, w in enumerate(before)]
+    # copies of one passage hold a password that must not become a word
+    rows += [(100 + i, "the credentials: Zqxjkvbpmwtr are here") for i in range(60)] + [(900, None), (901, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    ranks = secrets.fit(docs)
+    assert "zephyrous" in ranks and "zqxjkvbpmwtr" not in ranks
+    bits = {w: set() for w in ("zephyrous", "and")}
+    for _, t in rows:
+        words = (t or "").split()
+        for a, b in zip(words, words[1:], strict=False):
+            if b in bits:
+                bits[b].add(zlib.crc32(a.encode()) & 63)
+    assert {w for w in bits if len(bits[w]) >= secrets.LEAST_CONTEXTS} == {w for w in bits if w in ranks}
+    assert abs(secrets.guess_cost("Zephyrous", ranks) - (math.log10(ranks["zephyrous"] + 1) + 0.3)) < 1e-9 < secrets.LEAST_COST < secrets.guess_cost("zephyrous")
+    found = {r.doc_id: r for r in secrets.find(docs.union(spark.createDataFrame([(1000, "auth: zephyrous")], "doc_id long, text string"))).collect()}
+    assert found[1000].n_guess == 0 and found[100].n_guess == 1
+    for text in ("auth: authentication module", "credentials: provided by admin", "access key: unavailable", "bearer is carrying", "auth: translations"):
+        assert secrets.scan(text) == []
