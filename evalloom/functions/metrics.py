@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 import random
-from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .translation import corpus_scores  # noqa: F401  one of the metrics
+
 
 def mean(x: Column) -> Column:
     return F.avg(x)
@@ -177,58 +178,3 @@ def bootstrap_stderr(df: DataFrame, value: str, seq: str, statistic, iterations:
                 yield pd.DataFrame({"s": [float(statistic(rnd.choices(values, k=len(values)))) for _ in range(chunk)]})
 
     return spark.range(iterations // chunk).mapInPandas(run, "s double").agg(F.stddev_samp("s").alias("stderr"))
-
-
-def _ngrams(words, n: int) -> Counter:
-    return Counter(tuple(words[i : i + n]) for i in range(len(words) - n + 1))
-
-
-def _words(s: str) -> list[str]:
-    """13a-style tokens: punctuation apart, but not inside numbers."""
-    import re
-
-    s = re.sub(r"([\{-\~\[-\` -\&\(-\+\:-\@\/])", r" \1 ", f" {s} ")
-    s = re.sub(r"([^0-9])([\.,])", r"\1 \2 ", s)
-    s = re.sub(r"([\.,])([^0-9])", r" \1 \2", s)
-    return re.sub(r"([0-9])(-)", r"\1 \2 ", s).split()
-
-
-def _edits(a: list, b: list) -> int:
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        last, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-    return row[-1]
-
-
-def corpus_scores(df: DataFrame, pred: str, ref: str) -> DataFrame:
-    """bleu, chrf and ter of a corpus from summed n-gram and edit statistics; one row.
-
-    ter counts word edits without block shifts, so it is an upper bound of the shifted rate.
-    """
-    names = [f"m{n}" for n in range(1, 5)] + [f"t{n}" for n in range(1, 5)] + ["cl", "rl"] + [f"{k}{n}" for k in ("cm", "cp", "cr") for n in range(1, 7)] + ["ed", "wl"]
-
-    def run(frames):
-        for f in frames:
-            rows = []
-            for p, r in zip(f[pred].fillna(""), f[ref].fillna(""), strict=True):
-                a, b = _words(p), _words(r)
-                row = {"cl": len(a), "rl": len(b), "ed": _edits(p.split(), r.split()), "wl": len(r.split())}
-                for n in range(1, 5):
-                    row[f"m{n}"] = sum((_ngrams(a, n) & _ngrams(b, n)).values())
-                    row[f"t{n}"] = max(0, len(a) - n + 1)
-                x, y = "".join(p.split()), "".join(r.split())
-                for n in range(1, 7):
-                    g, h = _ngrams(x, n), _ngrams(y, n)
-                    row |= {f"cm{n}": sum((g & h).values()), f"cp{n}": sum(g.values()), f"cr{n}": sum(h.values())}
-                rows.append(row)
-            yield pd.DataFrame(rows, columns=names).astype("int64")
-
-    s = df.select(pred, ref).mapInPandas(run, ", ".join(f"{n} long" for n in names)).agg(*[F.sum(n).cast("double").alias(n) for n in names])
-    c = F.col
-    smooth = sum((F.log(F.when(c(f"m{n}") > 0, c(f"m{n}")).otherwise(1e-100) / F.greatest(c(f"t{n}"), F.lit(1))) for n in range(1, 5)), F.lit(0.0)) / 4
-    brevity = F.when(c("cl") == 0, 0.0).when(c("cl") >= c("rl"), 1.0).otherwise(F.exp(1 - c("rl") / c("cl")))
-    p = sum((F.when(c(f"cp{n}") > 0, c(f"cm{n}") / c(f"cp{n}")).otherwise(0.0) for n in range(1, 7)), F.lit(0.0)) / 6
-    r = sum((F.when(c(f"cr{n}") > 0, c(f"cm{n}") / c(f"cr{n}")).otherwise(0.0) for n in range(1, 7)), F.lit(0.0)) / 6
-    return s.select((100 * brevity * F.exp(smooth)).alias("bleu"), F.when(p + r == 0, 0.0).otherwise(100 * 5 * p * r / (4 * p + r)).alias("chrf"), (100 * c("ed") / F.greatest(c("wl"), F.lit(1))).alias("ter"))

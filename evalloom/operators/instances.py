@@ -95,29 +95,6 @@ def disambiguated(rows: DataFrame, by: list[str], name: str, seq: str) -> DataFr
     return rows.withColumn(name, F.when(n > 0, F.concat(F.col(name), F.lit("-"), n.cast("string"))).otherwise(F.col(name)))
 
 
-def zip_parts(files: DataFrame, most: int) -> DataFrame:
-    """``files`` (seq, size) with ``part``, from 1: in order, a file that would go beyond ``most`` bytes opens a new part.
-
-    A part's fill depends on all files before it, so one task folds the list of sizes, in Arrow batches.
-    """
-    import pandas as pd
-
-    schema = T.StructType([*files.schema.fields, T.StructField("part", T.IntegerType())])
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        part, held = 1, 0
-        for f in frames:
-            parts = []
-            for s in f["size"].tolist():
-                if held + s > most:
-                    part, held = part + 1, 0
-                held += s
-                parts.append(part)
-            yield f.assign(part=pd.Series(parts, dtype="int32", index=f.index))
-
-    return files.coalesce(1).sortWithinPartitions("seq").mapInPandas(run, schema)
-
-
 def balanced(rows: DataFrame, by: str, seq: str, k: int) -> DataFrame:
     """The first ``k`` rows of each class, in order of ``seq``; others leave before the shuffle."""
     return rows.withColumn("__r", F.row_number().over(Window.partitionBy(by).orderBy(seq))).where(F.col("__r") <= k).drop("__r")

@@ -8,84 +8,64 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import regions
+
 # Weights of (start/end, feasibility, away, toward, continuity) by place in the path, and limits.
 FIRST, LAST, MIDDLE = (1.0, 0.0, 0.0, 0.0, 0.0), (0.3, 0.4, 0.1, 0.1, 0.1), (0.0, 0.4, 0.2, 0.2, 0.2)
 DISTANCE_K, NEAR_RATIO, FAR_RATIO, SAMPLES = 3.0, 1 / 30, 2 / 3, 50
 
 
-def pixels(runs, h: int, w: int) -> np.ndarray:
-    """Boolean canvas (h, w) of column-major runs."""
-    flat = np.zeros(h * w + 1, np.int32)
-    for r in runs if runs is not None else ():
-        flat[min(r["s"], h * w)] += 1
-        flat[min(r["e"], h * w)] -= 1
-    return (np.cumsum(flat[:-1]) > 0).reshape(w, h).T
-
-
-def components(mask: np.ndarray) -> np.ndarray:
-    """Labels from 1 of 4-connected regions, in row-major order of their first pixels; 0 outside. Least-label spreading."""
-    h, w = mask.shape
-    label = np.where(mask, np.arange(1, h * w + 1).reshape(h, w), 0)
-    while True:
-        new = label.copy()
-        for a, b in (((slice(1, None), slice(None)), (slice(None, -1), slice(None))), ((slice(None), slice(1, None)), (slice(None), slice(None, -1)))):
-            for x, y in ((a, b), (b, a)):
-                touch = mask[x] & mask[y]
-                np.copyto(new[x], np.where(touch, np.minimum(new[x], new[y]), new[x]))
-        if (new == label).all():
-            break
-        label = new
-    names = np.unique(label[mask])
-    return np.where(mask, np.searchsorted(names, label) + 1, 0)
-
+def of_runs(runs, h: int, w: int) -> regions.Region:
+    """The region of runs [{s, e}, ...] of a column-major pixel index."""
+    if runs is None or not len(runs):
+        return regions.region(np.zeros(0, np.int64), np.zeros(0, np.int64), h, w)
+    flat = np.array([(r["s"], r["e"]) for r in runs], np.int64)
+    return regions.region(flat[:, 0], flat[:, 1], h, w)
 
-def centre(mask: np.ndarray) -> tuple[float, float]:
-    y, x = np.nonzero(mask)
-    return (x.mean(), y.mean()) if len(x) else (mask.shape[1] / 2, mask.shape[0] / 2)
 
-
-def split_target(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
+def split_target(area: regions.Region) -> tuple[regions.Region, regions.Region | None]:
     """Two regions: the components whose centres are farthest apart, others joined to the nearer (ties to the first)."""
-    label = components(mask)
-    n = label.max()
+    label = area.components()
+    n = int(label.max()) + 1 if len(label) else 0
     if n < 2:
-        return mask, None
-    c = np.array([centre(label == k) for k in range(1, n + 1)])
-    d = np.hypot(*(c[:, None] - c[None]).transpose(2, 0, 1))
-    i, j = np.unravel_index(d.argmax(), d.shape)
-    one = d[:, i] <= d[:, j]
-    return np.isin(label, np.nonzero(one)[0] + 1), np.isin(label, np.nonzero(~one)[0] + 1)
-
-
-def point_distance(p, mask: np.ndarray | None, other=None) -> float:
+        return area, None
+    many = area.end - area.top
+    size = np.bincount(label, many)
+    c = np.stack([np.bincount(label, area.x * many), np.bincount(label, (area.top + area.end - 1) * many) / 2]) / size
+    # the pair of components farthest apart, a block of them against all at a time
+    best, pair = -1.0, (0, 1)
+    for i in range(0, n, 512):
+        d = np.hypot(*(c[:, i : i + 512, None] - c[:, None, :]))
+        if d.max() > best:
+            best, pair = d.max(), tuple(int(k) for k in np.unravel_index(d.argmax(), d.shape))
+            pair = (pair[0] + i, pair[1])
+    one = np.hypot(*(c - c[:, pair[0], None])) <= np.hypot(*(c - c[:, pair[1], None]))
+    return area.part(one[label]), area.part(~one[label])
+
+
+def point_distance(p, area: regions.Region | None, other=None) -> float:
     """0 inside (nearest pixel, halves to even), else the least distance to a pixel; infinite for no region."""
-    if mask is None:
+    if area is None:
         return float(np.hypot(p[0] - other[0], p[1] - other[1])) if other is not None else float("inf")
-    x, y = int(np.rint(p[0])), int(np.rint(p[1]))
-    if 0 <= y < mask.shape[0] and 0 <= x < mask.shape[1] and mask[y, x]:
+    if area.inside(np.rint([p[0]]).astype(np.int64), np.rint([p[1]]).astype(np.int64))[0]:
         return 0.0
-    ys, xs = np.nonzero(mask)
-    return float(np.hypot(xs - p[0], ys - p[1]).min()) if len(xs) else float("inf")
+    return area.distance(*p)
 
 
-def region_distance(a: np.ndarray | None, b: np.ndarray | None, start) -> float:
+def region_distance(a: regions.Region | None, b: regions.Region | None, start) -> float:
     """Least pixel distance, exact on all pixels."""
-    if b is None or not b.any():
+    if b is None or not len(b):
         return float("inf")
     if a is None:
         return point_distance(start, b) if start is not None else float("inf")
-    pa, pb = np.argwhere(a).astype(float), np.argwhere(b).astype(float)
-    if not len(pa):
-        return float("inf")
-    return float(np.sqrt(min(((pa[i : i + 256, None] - pb[None]) ** 2).sum(2).min() for i in range(0, len(pa), 256))))
+    return a.gap(b)
 
 
-def inside_ratio(p, q, mask: np.ndarray) -> float:
-    """Share of midpoints of equal parts of a segment that lie in the mask."""
+def inside_ratio(p, q, area: regions.Region) -> float:
+    """Share of midpoints of equal parts of a segment that lie in the region."""
     t = (np.arange(SAMPLES) + 0.5) / SAMPLES
-    x, y = (np.rint(p[k] * (1 - t) + q[k] * t).astype(int) for k in (0, 1))
-    ok = (x >= 0) & (x < mask.shape[1]) & (y >= 0) & (y < mask.shape[0])
-    return float(mask[y[ok], x[ok]].sum() / SAMPLES)
+    x, y = (np.rint(p[k] * (1 - t) + q[k] * t).astype(np.int64) for k in (0, 1))
+    return float(area.inside(x, y).sum() / SAMPLES)
 
 
 def kept_places(points: list, least: float) -> list[int]:
@@ -112,8 +92,8 @@ def judged(points, feasible, target, h: int, w: int, exo: bool) -> dict:
     out["points"] = [{"x": x, "y": y, "used": i in set(used), **empty} for i, (x, y) in enumerate(every)]
     if n < 2:
         return out
-    area, goal = pixels(feasible, h, w), pixels(target, h, w)
-    goal = goal if goal.any() else None
+    area, goal = of_runs(feasible, h, w), of_runs(target, h, w)
+    goal = goal if len(goal) else None
     start, end, foot = None, goal, (w / 2, h - 1.0)
     if exo and goal is not None:
         a, b = split_target(goal)
@@ -121,8 +101,8 @@ def judged(points, feasible, target, h: int, w: int, exo: bool) -> dict:
             start, end = (a, b) if point_distance(pts[0], a) <= point_distance(pts[0], b) else (b, a)
     gap = region_distance(start, end, foot)
     if not 0 < gap < float("inf"):
-        s = centre(start) if start is not None else foot
-        e = centre(end) if end is not None else (w / 2, h / 2)
+        s = start.centre() if start is not None else foot
+        e = end.centre() if end is not None else (w / 2, h / 2)
         gap = float(np.hypot(s[0] - e[0], s[1] - e[1]))
     low, high = diag * NEAR_RATIO, gap * FAR_RATIO if gap > 0 else diag
     to_start, to_end = [point_distance(p, start, foot) for p in pts], [point_distance(p, end) for p in pts]

@@ -129,11 +129,12 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = s.withColumn("cnt", F.coalesce(cnt, F.lit(0.0))).withColumn("count", F.col("cnt")).withColumn("cw", scores.count_weight(F.col("precise"), F.col("described")))
     s = s.withColumn("binary", F.coalesce(scores.binary(F.col("pred_flag"), F.col("gt_flag")), F.lit(0.0)))
     area = masks.one_box_runs(F.struct(*[F.lit(v).alias(n) for n, v in zip(("x1", "y1", "x2", "y2"), (*FEASIBLE[0], *FEASIBLE[1]), strict=True)]), F.lit(H))
-    of_path = lambda c: F.when(F.col("need.path"), c)
-    points = of_path(F.when(~F.col("no_answer"), path_points(F.col("sid"), F.col("user_id"))))
-    s = s.withColumns({"points": points, "area": of_path(area), "goal": of_path(masks.one_box_runs(F.col("truth")[0], F.lit(H)))})  # arguments of the function can't hold nested lambdas
-    p = path.score_only("points", "area", "goal", of_path(F.lit(H)), of_path(F.lit(W)), of_path(F.col("leaf") == "FeasiblePath_Exo"))
-    s = s.withColumn("p", p).withColumn("path", F.col("p.score")).withColumn("path_error", F.col("p.error")).drop("p")
+    # only rows of paths go through the path function
+    points = F.when(~F.col("no_answer"), path_points(F.col("sid"), F.col("user_id")))
+    paths = s.where("need.path").withColumns({"points": points, "area": area, "goal": masks.one_box_runs(F.col("truth")[0], F.lit(H))})  # arguments of the function can't hold nested lambdas
+    paths = paths.withColumn("p", path.score_only("points", "area", "goal", F.lit(H), F.lit(W), F.col("leaf") == "FeasiblePath_Exo")).drop("points", "area", "goal")
+    others = s.where("not need.path").withColumn("p", F.struct(F.lit(0.0).alias("score"), F.lit(None).cast("string").alias("error")))
+    s = others.unionByName(paths).withColumn("path", F.col("p.score")).withColumn("path_error", F.col("p.error")).drop("p")
     told = lambda a, b, name: F.when(a.isNull() | b.isNull(), f"Missing pred_{name} or gt_{name}")
     s = s.withColumn("localization_error", F.lit(None).cast("string")).withColumn("count_error", told(F.col("pred_count"), F.col("gt_count"), "count")).withColumn("binary_error", told(F.col("pred_flag"), F.col("gt_flag"), "binary"))
     return scoring.score_samples(s)
@@ -464,12 +465,6 @@ def bootstrap_stderr(spark, d):
     return metrics.bootstrap_stderr(x, "q", "doc_id", lambda v: sum(v) / len(v), 2000)
 
 
-@query("corpus_scores")
-def corpus_scores(spark, d):
-    b = read(spark, d, "benchmark").select("text", F.regexp_replace("text", r"\b(the|la|der) ", "").alias("pred"))
-    return metrics.corpus_scores(b, "pred", "text")
-
-
 @query("path_score", f"""WITH RECURSIVE {SAMPLES} SELECT sid, round(path, 9) AS score, max(n)::INTEGER AS kept, count(*)::INTEGER AS shown, round(avg(fea) FILTER (k > 0), 9) AS feasibility, round(max(p) FILTER (k = 0), 9) AS first_point
     FROM sc JOIN ps USING (sid) JOIN kq USING (sid, n, k) GROUP BY ALL""")
 def path_score(spark, d):

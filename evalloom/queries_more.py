@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .functions import answers, choices, coords, frames, masks, metrics, names, scores, text
-from .operators import benchrows, converters, explorer, filters, instances, rollup, scoring
+from .operators import benchrows, converters, explorer, filters, instances, rollup, scoring, zipparts
 from .plans import catalog, config
 from .queries import H, W, query, read
 
@@ -323,7 +323,7 @@ def longest_first(spark, d):
 @query("zip_parts", """WITH RECURSIVE f AS (SELECT p_partkey AS seq, p_size AS size, row_number() OVER (ORDER BY p_partkey) AS i FROM part),
     g AS (SELECT seq, i, size AS held, 1 AS part FROM f WHERE i = 1 UNION ALL SELECT f.seq, f.i, CASE WHEN g.held + f.size > 120 THEN f.size ELSE g.held + f.size END, g.part + (g.held + f.size > 120)::INTEGER FROM g JOIN f ON f.i = g.i + 1) SELECT seq, part::INTEGER AS part FROM g""")
 def zip_parts(spark, d):
-    return instances.zip_parts(read(spark, d, "part").select(F.col("p_partkey").alias("seq"), F.col("p_size").alias("size")), 120).select("seq", "part")
+    return zipparts.zip_parts(read(spark, d, "part").select(F.col("p_partkey").alias("seq"), F.col("p_size").alias("size")), 120).select("seq", "part")
 
 
 @query("row_selection", """WITH b AS (SELECT l_returnflag AS c, l_orderkey * 10 + l_linenumber AS k FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_returnflag ORDER BY l_orderkey * 10 + l_linenumber) <= 25)
