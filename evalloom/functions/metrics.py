@@ -3,15 +3,13 @@
 from __future__ import annotations
 
 import math
-import random
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .translation import corpus_scores  # noqa: F401  one of the metrics
+from .bootstrap import bootstrap_stderr  # noqa: F401
+from .translation import corpus_scores  # noqa: F401
 
 
 def mean(x: Column) -> Column:
@@ -151,30 +149,3 @@ def mcq(losses: Column, gold: Column, lengths: Column) -> Column:
     a, b = least(losses), least(F.zip_with(losses, lengths, lambda x, n: x / n))
     g = F.when((gold < 0) | (gold >= F.size(losses)), -100).otherwise(gold)
     return F.struct((a == g).cast("double").alias("acc"), (b == g).cast("double").alias("acc_norm"), a.alias("pred"), b.alias("pred_norm"))
-
-
-MOST_VALUES = 50_000_000  # values that a bootstrap may broadcast: 400 MB
-
-
-def bootstrap_stderr(df: DataFrame, value: str, seq: str, statistic, iterations: int = 1000) -> DataFrame:
-    """One row ``stderr``: chunks of resamples drawn by Python's generator seeded with the chunk's number.
-
-    The values are one task's sample metrics; they are broadcast as packed numbers, 8 bytes each, the chunks are rows. More
-    than ``MOST_VALUES`` are an error, not a sample.
-    """
-    spark = df.sparkSession
-    if (many := df.count()) > MOST_VALUES:
-        raise ValueError(f"{many} values are too many to resample; {MOST_VALUES} at most")
-    packed = spark.sparkContext.broadcast(df.orderBy(seq, value).select(value).toArrow().column(0).to_numpy())
-    chunk = min(1000, iterations)
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kinds, at = np.unique(packed.value, return_inverse=True)
-        kinds = kinds.tolist()
-        values = [kinds[k] for k in at]  # equal values share one object
-        for f in frames:
-            for i in f["id"]:
-                rnd = random.Random(int(i))
-                yield pd.DataFrame({"s": [float(statistic(rnd.choices(values, k=len(values)))) for _ in range(chunk)]})
-
-    return spark.range(iterations // chunk).mapInPandas(run, "s double").agg(F.stddev_samp("s").alias("stderr"))

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .functions import coords, masks, metrics, scores, text
+from .functions import bootstrap, coords, masks, metrics, scores, text
 from .operators import explorer, filters, instances, path, prompts, relational, report, rollup, scoring
 from .plans import catalog
 from .sources import readers
@@ -462,7 +462,7 @@ def kcenter_select(spark, d):
 @query("bootstrap_stderr")
 def bootstrap_stderr(spark, d):
     x = read(spark, d, "labels").where("quality is not null").select("doc_id", F.col("quality").cast("double").alias("q"))
-    return metrics.bootstrap_stderr(x, "q", "doc_id", lambda v: sum(v) / len(v), 2000)
+    return metrics.bootstrap_stderr(x, "q", "doc_id", bootstrap.MEAN, 2000)
 
 
 @query("path_score", f"""WITH RECURSIVE {SAMPLES} SELECT sid, round(path, 9) AS score, max(n)::INTEGER AS kept, count(*)::INTEGER AS shown, round(avg(fea) FILTER (k > 0), 9) AS feasibility, round(max(p) FILTER (k = 0), 9) AS first_point

@@ -228,12 +228,6 @@ def test_rollup_rules(spark):
     with pytest.raises(KeyError, match="no metric"):
         filters.aggregation("unheard of")
     assert filters.higher_is_better("ter") is False and filters.higher_is_better("unheard of") is None
-    with pytest.raises(ValueError, match="too many"):
-        old, metrics.MOST_VALUES = metrics.MOST_VALUES, 3
-        try:
-            metrics.bootstrap_stderr(spark.range(9).selectExpr("id", "double(id) x"), "x", "id", len)
-        finally:
-            metrics.MOST_VALUES = old
     one = rollup.task_metrics(spark.createDataFrame([("t", "acc", "none", 1.0)], "task string, metric string, filter string, value double")).first()
     assert one.stderr is None and one.value == 1.0
 
