@@ -20,7 +20,6 @@ import hashlib
 import math
 import re
 import zlib
-from collections import Counter
 from collections.abc import Mapping
 from types import MappingProxyType
 
@@ -29,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import rows, texts
+from .common import rows, slices, texts
 
 KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -44,6 +43,7 @@ MOST_COST = 128.0
 LONGEST = 20  # characters of a word at most
 MOST_WORDS = 100_000  # of the documents, some 3 MB
 LEAST_CONTEXTS = 12  # of 64
+HELD = 100_000  # different words that a task counts before they go out
 # Frequent password words, most frequent first.
 WORDS = (
     "password qwerty dragon monkey letmein login welcome admin master hello freedom whatever shadow sunshine princess football baseball iloveyou trustno secret "
@@ -88,31 +88,35 @@ def fit(docs: DataFrame) -> dict[str, int]:
     """Ranks of the words of all documents, after the listed ones."""
 
     def run(batches):
-        held: dict[str, list[int]] = {}
+        number: dict[str, int] = {}
+        count, before = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        bits = np.zeros(0, np.uint64)
 
         def out():
-            return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), *(pa.array([x[k] for x in held.values()], pa.int64()) for k in (0, 1))], ["word", "n", "before"])
+            words = list(number)
+            size = np.fromiter(map(len, words), np.int64, len(words))
+            keep = np.flatnonzero((size >= 3) & (size <= LONGEST))
+            return pa.RecordBatch.from_arrays([pa.array([words[i] for i in keep.tolist()], pa.string()), pa.array(count[keep]), pa.array(before.view(np.int64)[keep])], ["word", "n", "before"])
 
-        for b in batches:
+        for b in slices(batches, "text", 4 << 20):
+            flat, ends = [], []
             for text in texts(b.column("text")):
-                words = _LETTERS.findall(text.lower())
-                bit = {w: 1 << (zlib.crc32(w.encode("utf-8", "replace")) & 63) for w in set(words)}
-                count, before = Counter(words), {}
-                for last, w in set(zip(words, words[1:], strict=False)):
-                    before[w] = before.get(w, 0) | bit[last]
-                for w, n in count.items():
-                    if 3 <= len(w) <= LONGEST:
-                        x = held.setdefault(w, [0, 0])
-                        x[0] += n
-                        x[1] |= before.get(w, 0)
-                if len(held) > 200_000:
-                    for x in held.values():
-                        x[1] = x[1] - (1 << 64) if x[1] >> 63 else x[1]
-                    yield out()
-                    held.clear()
-        if held:
-            for x in held.values():
-                x[1] = x[1] - (1 << 64) if x[1] >> 63 else x[1]
+                flat += [number.setdefault(w, len(number)) for w in _LETTERS.findall(text.lower())]
+                ends.append(len(flat))
+            ids, fresh = np.array(flat, np.int64), list(number)[len(bits) :]
+            more = np.zeros(len(fresh), np.int64)
+            bits = np.concatenate([bits, np.uint64(1) << np.fromiter((zlib.crc32(w.encode("utf-8", "replace")) & 63 for w in fresh), np.uint64, len(fresh))])
+            count, before = np.concatenate([count, more]), np.concatenate([before, more.view(np.uint64)])
+            count += np.bincount(ids, minlength=len(count))
+            follows = np.ones(len(ids), bool)
+            follows[[0, *[e for e in ends if e < len(ids)]] if len(ids) else []] = False  # the first word of a text
+            at = np.flatnonzero(follows)
+            np.bitwise_or.at(before, ids[at], bits[ids[at - 1]])
+            if len(number) > HELD:
+                yield out()
+                number.clear()
+                count, before, bits = np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        if number:
             yield out()
 
     counted = docs.select("text").mapInArrow(run, "word string, n long, before long").groupBy("word").agg(F.sum("n").alias("n"), F.bit_or("before").alias("before"))
