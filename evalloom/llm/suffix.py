@@ -38,13 +38,13 @@ from .common import partitions, written
 
 MIN, K = 50, 12
 KS = (K, 30, MIN)  # lengths of the substrings that own windows: of all, of heavy owners, of heavy ones among these
-CHUNK = 1 << 20  # bytes of text that a task works on at once
-SHARD = 4 << 20  # bytes of strings that a shard holds, about
+CHUNK = 1 << 19  # bytes of text that a task works on at once
+SHARD = 3 << 20  # bytes of strings that a shard holds, about
 HEAVY = 2 * SHARD  # bytes of strings from which on an owner is split
 MOST_HEAVY = 1 << 20  # owners that are split at most: they are broadcast
 GATHER = 256 << 20  # bytes of text whose spans meet in one group, about
 SAMPLE = 32 << 20  # bytes of text that are weighed, about; a thousandth of the table, if that is more
-FLUSH = 16 << 20  # bytes of strings that a task holds before it packs them
+FLUSH = 12 << 20  # bytes of strings that a task holds before it packs them
 FAN = 1 << 15  # shards, or groups of shards, that a task deals to at once
 RUN = 512  # windows of one string at most
 LAST = (1 << 63) - 1  # stands for a null doc_id
