@@ -1,8 +1,7 @@
 """Corpus scores of translations: BLEU, chrF and TER.
 
-BLEU and chrF need clipped counts of n-grams. These are array expressions: the n-grams of both sides are sorted together, and
-one fold over the sorted array adds the lesser count of each run of equal ones. Sums over rows are one aggregate, so tasks
-combine before the shuffle, and nothing leaves the JVM.
+BLEU and chrF need clipped counts of n-grams. Pairs are dealt once by a number; then their n-grams are rows that the same task
+groups by pair, order and n-gram, and sums up by pair. Nothing leaves the JVM, and only pairs are shuffled.
 
 TER (Snover et al., 2006) is the least number of word edits where moving a span of words that matches the reference elsewhere
 counts as one edit. Finding the fewest moves is intractable; as defined, the best single move is taken again and again, while
@@ -39,33 +38,17 @@ def words_13a(text: Column) -> Column:
     return F.filter(F.split(x, r"\s+"), lambda w: w != "")
 
 
-def word_ngrams(words: Column, n: int) -> Column:
-    """All runs of ``n`` words, each joined by a blank."""
-    if n == 1:
-        return words
-    starts = F.filter(F.sequence(F.lit(1), F.greatest(F.size(words), F.lit(1))), lambda i: i <= F.size(words) - (n - 1))
-    return F.transform(starts, lambda i: F.array_join(F.slice(words, i, F.lit(n)), " "))
+def _common(sides: DataFrame, order: int) -> DataFrame:
+    """i, n, m, p, r of rows (i, p, r: arrays): per pair and order the n-grams in common, each as often as on both sides, and of either.
 
-
-def char_ngrams(text: Column, n: int) -> Column:
-    """All runs of ``n`` characters that aren't blank."""
-    size = F.char_length(text)
-    starts = F.filter(F.sequence(F.lit(1), F.greatest(size, F.lit(1))), lambda i: i <= size - (n - 1))
-    return F.transform(starts, lambda i: F.substr(text, i, F.lit(n)))
-
-
-def clipped(a: Column, b: Column) -> Column:
-    """How many items two arrays have in common, each as often as it is in both."""
-    one, none = F.lit(1), F.lit(0)
-    both = F.concat(F.transform(a, lambda g: F.struct(g.alias("g"), one.alias("a"), none.alias("b"))), F.transform(b, lambda g: F.struct(g.alias("g"), none.alias("a"), one.alias("b"))))
-    start = F.struct(F.lit(None).cast("string").alias("g"), none.alias("a"), none.alias("b"), none.alias("n"))
-
-    def step(t, x):
-        same = t["g"].eqNullSafe(x["g"])
-        plus = lambda k: F.when(same, t[k] + x[k]).otherwise(x[k]).alias(k)
-        return F.struct(x["g"].alias("g"), plus("a"), plus("b"), F.when(same, t["n"]).otherwise(t["n"] + F.least(t["a"], t["b"])).alias("n"))
-
-    return F.aggregate(F.array_sort(both), start, step, lambda t: t["n"] + F.least(t["a"], t["b"]))
+    The n-grams are rows of a pair that a task holds already, so that they are counted where they are: no shuffle.
+    """
+    one = sides.select("i", F.explode(F.array(F.struct(F.lit(True).alias("pred"), F.col("p").alias("x")), F.struct(F.lit(False).alias("pred"), F.col("r").alias("x")))).alias("s")).select("i", "s.pred", "s.x")
+    sized = one.select("i", "pred", "x", F.explode(F.array(*map(F.lit, range(1, order + 1)))).alias("n"))
+    places = F.when(F.size("x") >= F.col("n"), F.sequence(F.lit(1), F.size("x") - F.col("n") + 1)).otherwise(F.array().cast("array<int>"))
+    grams = sized.select("i", "pred", "n", "x", F.explode(places).alias("k")).select("i", "n", "pred", F.slice("x", F.col("k"), F.col("n")).alias("g"))
+    counts = grams.groupBy("i", "n", "g").agg(F.count_if("pred").alias("a"), F.count_if(~F.col("pred")).alias("b"))
+    return counts.groupBy("i", "n").agg(F.sum(F.least("a", "b")).alias("m"), F.sum("a").alias("p"), F.sum("b").alias("r"))
 
 
 def statistics(df: DataFrame, pred: str, ref: str) -> DataFrame:
@@ -73,14 +56,19 @@ def statistics(df: DataFrame, pred: str, ref: str) -> DataFrame:
 
     As defined, characters of a prediction count for an order only where the reference has such n-grams.
     """
-    solid = lambda c: F.regexp_replace(F.coalesce(F.col(c), F.lit("")), r"\s+", "")
-    x = df.select(words_13a(F.col(pred)).alias("p"), words_13a(F.col(ref)).alias("r"), solid(pred).alias("cp"), solid(ref).alias("cr"))
-    out = [F.size("p").alias("cl"), F.size("r").alias("rl")]
-    for n in range(1, WORD_ORDER + 1):
-        out += [clipped(word_ngrams(F.col("p"), n), word_ngrams(F.col("r"), n)).alias(f"m{n}"), F.greatest(F.size("p") - (n - 1), F.lit(0)).alias(f"t{n}")]
+    solid = lambda c: F.filter(F.split(F.regexp_replace(F.coalesce(F.col(c), F.lit("")), r"\s+", ""), ""), lambda x: x != "")
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = df.select(F.col(pred).alias("p"), F.col(ref).alias("r")).withColumn("i", F.monotonically_increasing_id()).repartition(parts, "i")
+    words = pairs.select("i", words_13a(F.col("p")).alias("p"), words_13a(F.col("r")).alias("r"))
+    wide = lambda x, order, of: x.groupBy("i").agg(*[F.sum(F.when(F.col("n") == n, F.col(c)).otherwise(0)).alias(f"{name}{n}") for n in range(1, order + 1) for c, name in of])
+    w = wide(_common(words, WORD_ORDER), WORD_ORDER, (("m", "m"), ("p", "t"), ("r", "u")))
+    c = wide(_common(pairs.select("i", solid("p").alias("p"), solid("r").alias("r")), CHAR_ORDER), CHAR_ORDER, (("m", "cm"), ("p", "cp"), ("r", "cr")))
+    x = pairs.select("i").join(w, "i", "left").join(c, "i", "left")
+    zero = lambda name: F.coalesce(F.col(name), F.lit(0))
+    out = [zero("t1").alias("cl"), zero("u1").alias("rl")]
+    out += [zero(f"{k}{n}").alias(f"{k}{n}") for n in range(1, WORD_ORDER + 1) for k in "mt"]
     for n in range(1, CHAR_ORDER + 1):
-        many = lambda c: F.greatest(F.char_length(c) - (n - 1), F.lit(0))  # noqa: B023, E731
-        out += [clipped(char_ngrams(F.col("cp"), n), char_ngrams(F.col("cr"), n)).alias(f"cm{n}"), F.when(many("cr") > 0, many("cp")).otherwise(0).alias(f"cp{n}"), many("cr").alias(f"cr{n}")]
+        out += [zero(f"cm{n}").alias(f"cm{n}"), F.when(zero(f"cr{n}") > 0, zero(f"cp{n}")).otherwise(0).alias(f"cp{n}"), zero(f"cr{n}").alias(f"cr{n}")]
     return x.select(*out)
 
 

@@ -57,3 +57,8 @@ def ordered(samples: DataFrame, order: str, index: str = "index") -> DataFrame:
 def facets(samples: DataFrame, *columns: str) -> DataFrame:
     """The different values of the columns, sorted."""
     return samples.select(*columns).distinct().orderBy(*columns)
+
+
+def value_counts(df: DataFrame, *columns: str) -> DataFrame:
+    """Each combination of values with its number of rows, ``n``."""
+    return df.groupBy(*columns).agg(F.count(F.lit(1)).alias("n"))

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .order import numbered, places
+
 
 def choice_requests(docs: DataFrame, delimiter: str = " ", mutual_info: bool = False) -> DataFrame:
     """doc_id, idx, context, continuation: one request for each choice of (doc_id, context, choices).
@@ -55,33 +57,10 @@ def echo(requests: list[dict]) -> list[str]:
     return [str(r.get("context") or "")[::-1] for r in requests]
 
 
-def range_number(df: DataFrame, key: Column, most: int = 64) -> Column:
-    """The number of the range that a numeric key falls into; ranges hold about equally many rows, at most ``most`` of them.
-
-    The edges come to the driver once, so the numbers are the same wherever and however often they are computed.
-    """
-    parts = min(most, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    shares = [i / parts for i in range(1, parts)]
-    edges = df.agg(F.percentile_approx(key, shares, F.lit(10_000)).alias("e")).first()["e"] if shares else None
-    out = F.lit(0)
-    for e in sorted(set(edges or [])):
-        out = out + (key > F.lit(e)).cast("int")
-    return out
-
-
 def longest_first(requests: DataFrame, length: str, size: int, seq: str = "seq") -> DataFrame:
-    """``requests`` with ``place`` (longest first, ties by ``seq``) and ``batch``.
-
-    A row's place is where its range of lengths and places starts, and its number within; no task sorts all rows.
-    """
-    top = requests.agg(F.max(seq)).first()[0] or 0
-    key = -F.col(length).cast("double") + F.col(seq).cast("double") / F.lit(float(top + 1))
-    x = requests.withColumn("__range", range_number(requests, key))
-    counts = x.groupBy("__range").agg(F.count(F.lit(1)).alias("__many"))
-    starts = counts.withColumn("__start", F.sum("__many").over(Window.orderBy("__range")) - F.col("__many")).drop("__many")  # a row a range
-    within = F.row_number().over(Window.partitionBy("__range").orderBy(F.desc(length), seq)) - 1
-    placed = x.withColumn("place", within).join(F.broadcast(starts), "__range").withColumn("place", F.col("place") + F.col("__start"))
-    return placed.withColumn("batch", F.floor(F.col("place") / size)).drop("__range", "__start")
+    """``requests`` with ``place`` (longest first, ties by ``seq``) and ``batch``; no task sorts all rows."""
+    placed = places(requests, F.desc(length), F.asc(seq))
+    return placed.withColumn("batch", F.floor(F.col("place") / size))
 
 
 def restored(rows: DataFrame) -> DataFrame:
@@ -90,9 +69,10 @@ def restored(rows: DataFrame) -> DataFrame:
 
 
 def disambiguated(rows: DataFrame, by: list[str], name: str, seq: str) -> DataFrame:
-    """Second and further rows of one name within ``by`` as ``name-1``, ``name-2``, ..."""
-    n = F.row_number().over(Window.partitionBy(*by, name).orderBy(seq)) - 1
-    return rows.withColumn(name, F.when(n > 0, F.concat(F.col(name), F.lit("-"), n.cast("string"))).otherwise(F.col(name)))
+    """Second and further rows of one name within ``by`` as ``name-1``, ``name-2``, ...; a name may have any number of rows."""
+    n = F.col("__n")
+    x = numbered(rows, [*by, name], seq, name="__n")
+    return x.withColumn(name, F.when(n > 0, F.concat(F.col(name), F.lit("-"), n.cast("string"))).otherwise(F.col(name))).drop("__n")
 
 
 def balanced(rows: DataFrame, by: str, seq: str, k: int) -> DataFrame:
@@ -105,6 +85,11 @@ def remaining(rows: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return rows.join(done.select(key).distinct(), key, "left_anti")
 
 
+def finished(rows: DataFrame, done: DataFrame, key: str) -> DataFrame:
+    """Rows whose key is done; any number of rows of ``done`` may have it."""
+    return rows.join(done.select(key).distinct(), key, "left_semi")
+
+
 def duplicates(members: DataFrame, item: str, group: str) -> DataFrame:
     """Items in more than one group, with their groups."""
     return members.groupBy(item).agg(F.array_sort(F.collect_set(group)).alias("groups")).where(F.size("groups") > 1)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import metrics, names
-from .instances import range_number
+from .order import places
 
 MEANS = ("acc", "acc_norm", "acc_mutual_info", "exact_match", "anls", "mean")
 BOOTSTRAPPED = ("median", "mcc", "f1", "perplexity", "bleu", "chrf", "ter")
@@ -149,13 +149,8 @@ def file_counts(df: DataFrame, file: str) -> DataFrame:
 def median_of(df: DataFrame, by: list[str], value: str, seq: str) -> DataFrame:
     """by, median: the middle row's value in order of ``seq``, values unsorted; no group meets in a task.
 
-    Rows are ranged by ``seq``; each range's count of each group says which range holds the middle, and how far in.
+    Rows get places by group and ``seq``; a group's first place and its number of rows tell the place of its middle.
     """
-    x = df.select(*by, F.col(value).alias("v"), F.col(seq).alias("s"))
-    x = x.withColumn("r", range_number(x, F.col("s")))
-    counts = x.groupBy(*by, "r").agg(F.count(F.lit(1)).alias("n"))
-    before = F.sum("n").over(Window.partitionBy(*by).orderBy("r")) - F.col("n")
-    total = F.sum("n").over(Window.partitionBy(*by))
-    wanted = counts.select(*by, "r", before.alias("before"), (F.floor(total / 2)).alias("middle"), "n").where("middle >= before and middle < before + n").select(*by, "r", (F.col("middle") - F.col("before") + 1).alias("at"))
-    row = F.row_number().over(Window.partitionBy(*by, "r").orderBy("s"))
-    return x.join(F.broadcast(wanted), [*by, "r"]).withColumn("row", row).where("row = at").select(*by, F.col("v").alias("median"))
+    placed = places(df.select(*by, F.col(value).alias("median"), F.col(seq).alias("__seq")), *by, "__seq", name="__place")
+    middle = placed.groupBy(*by).agg((F.min("__place") + F.floor(F.count(F.lit(1)) / 2)).alias("__place"))
+    return placed.join(middle.select("__place"), "__place", "left_semi").select(*by, "median")

@@ -34,7 +34,7 @@ def query(name: str, sql: str | None = None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import queries_more  # noqa: F401  registers the others
+    from . import queries_content, queries_more  # noqa: F401  register the others
 
     return dict(_Q)
 
@@ -423,9 +423,9 @@ def fewshot_context(spark, d):
     return x.select("item_id", F.md5("context").alias("context"))
 
 
-@query("shard_stride", "SELECT o_orderkey FROM orders WHERE o_orderkey >= 3 AND (o_orderkey - 3) % 8 = 0 AND o_orderkey < 5000")
+@query("shard_stride", "SELECT o_orderkey FROM orders WHERE o_orderkey >= 3 AND (o_orderkey - 3) % 8 = 0")
 def shard_stride(spark, d):
-    return relational.shard(read(spark, d, "orders"), "o_orderkey", 3, 8, 5000).select("o_orderkey")
+    return relational.shard(read(spark, d, "orders"), "o_orderkey", 3, 8).select("o_orderkey")
 
 
 @query("rolling_windows", """WITH t AS (SELECT doc_id, len(regexp_extract_all(text, '\\S+')) AS n FROM documents WHERE text IS NOT NULL)
@@ -494,7 +494,7 @@ def latest_run(spark, d):
 
 @query("value_counts", "SELECT event_type, count(*) AS n FROM events GROUP BY 1")
 def value_counts(spark, d):
-    return read(spark, d, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+    return explorer.value_counts(read(spark, d, "events"), "event_type")
 
 
 @query("facets", "SELECT DISTINCT lang, source FROM documents")
@@ -523,8 +523,8 @@ def option_answers(spark, d):
 @query("semi_anti_sets", "SELECT count(*) FILTER (c_custkey IN (SELECT o_custkey FROM orders)) AS with_orders, count(*) FILTER (c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)) AS without FROM customer")
 def semi_anti_sets(spark, d):
     c, o = read(spark, d, "customer").select("c_custkey"), read(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"))
-    a, b = c.join(o, "c_custkey", "left_semi").agg(F.count(F.lit(1)).alias("with_orders")), c.join(o, "c_custkey", "left_anti").agg(F.count(F.lit(1)).alias("without"))
-    return a.join(F.broadcast(b))
+    done, left = instances.finished(c, o, "c_custkey"), instances.remaining(c, o, "c_custkey")
+    return done.agg(F.count(F.lit(1)).alias("with_orders")).join(F.broadcast(left.agg(F.count(F.lit(1)).alias("without"))))
 
 
 @query("segment_frame_index", "SELECT vec_id, list_transform(range(0, 4), lambda i: round_even((vec_id % 50 + 9) / 4.0 / 2 + (vec_id % 50 + 9) / 4.0 * i, 0)::INTEGER) AS frames FROM embeddings")
