@@ -38,13 +38,14 @@ from .common import partitions, written
 
 MIN, K = 50, 12
 KS = (K, 30, MIN)  # lengths of the substrings that own windows: of all, of heavy owners, of heavy ones among these
-CHUNK = 1 << 19  # bytes of text that a task works on at once
-SHARD = 3 << 20  # bytes of strings that a shard holds, about
+CHUNK = 1 << 18  # bytes of text that a task works on at once
+CACHED = 1 << 15  # places that are hashed together, so that their numbers stay in the cache
+SHARD = 4 << 20  # bytes of strings that a shard holds, about
 HEAVY = 2 * SHARD  # bytes of strings from which on an owner is split
 MOST_HEAVY = 1 << 20  # owners that are split at most: they are broadcast
 GATHER = 256 << 20  # bytes of text whose spans meet in one group, about
 SAMPLE = 32 << 20  # bytes of text that are weighed, about; a thousandth of the table, if that is more
-FLUSH = 12 << 20  # bytes of strings that a task holds before it packs them
+FLUSH = 16 << 20  # bytes of strings that a task holds before it packs them
 FAN = 1 << 15  # shards, or groups of shards, that a task deals to at once
 RUN = 512  # windows of one string at most
 LAST = (1 << 63) - 1  # stands for a null doc_id
@@ -55,17 +56,21 @@ U = np.uint64
 def kmer_hashes(a: np.ndarray) -> np.ndarray:
     """A mixed 64-bit number for each K-byte substring of ``a`` (uint8), len(a) - K + 1 of them."""
     n = len(a) - K + 1
-    h = np.array(np.ndarray((n,), "<u8", a, strides=(1,)))
-    h *= U(0x9E3779B97F4A7C15)
-    t = np.ndarray((n,), "<u4", a, 8, strides=(1,)).astype(U)
-    t *= U(0xC2B2AE3D27D4EB4F)
-    h ^= t
-    for shift in (31, 32):
-        np.right_shift(h, U(shift), out=t)
+    out = np.empty(max(n, 0), U)
+    for i in range(0, n, CACHED):
+        e = min(i + CACHED, n)
+        h = out[i:e]
+        h[:] = np.ndarray((e - i,), "<u8", a, i, strides=(1,))
+        h *= U(0x9E3779B97F4A7C15)
+        t = np.ndarray((e - i,), "<u4", a, i + 8, strides=(1,)).astype(U)
+        t *= U(0xC2B2AE3D27D4EB4F)
         h ^= t
-        if shift == 31:
-            h *= U(0xD6E8FEB86659FD93)
-    return h
+        for shift in (31, 32):
+            np.right_shift(h, U(shift), out=t)
+            h ^= t
+            if shift == 31:
+                h *= U(0xD6E8FEB86659FD93)
+    return out
 
 
 def sliding_min(h: np.ndarray, width: int) -> np.ndarray:
@@ -92,6 +97,20 @@ class Sums:
         return (t * U(0x9FB21C651E98DF25)) ^ (s + (t >> U(29)))
 
 
+    def every(self, size: int, step: int = CACHED) -> np.ndarray:
+        """``of`` all stretches of ``size``, from each place, a part that stays in the cache at a time."""
+        out = np.empty(len(self.one) - size, U)
+        for a in range(0, len(out), step):
+            e = min(a + step, len(out))
+            s = self.one[a + size : e + size] - self.one[a:e]
+            t = self.two[a + size : e + size] - self.two[a:e]
+            t -= np.arange(a, e, dtype=U) * s
+            s += t >> U(29)
+            t *= U(0x9FB21C651E98DF25)
+            np.bitwise_xor(t, s, out=out[a:e])
+        return out
+
+
 def spread(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
     """The places start, start + 1, ... of every stretch, one after another."""
     ends = np.cumsum(lens)
@@ -151,34 +170,42 @@ def unpack(block: bytes) -> dict[str, np.ndarray]:
 def interval_groups(t: np.ndarray, least: int = MIN) -> np.ndarray:
     """A number for each place of ``t`` (uint8): places with the same next ``least`` symbols share it.
 
-    Suffixes are sorted by their first 8, 16, 32, ... symbols up to ``least`` or more; the transform and the interval
-    expansion follow.
+    Suffixes are sorted by their first 8, 16, 32, ... symbols up to ``least`` or more. The last sort below ``least`` tells which
+    neighbours have a shorter common prefix than it; the transform and the interval expansion give the longer ones, by
+    increasing value up to ``least``.
     """
     n = len(t)
     padded = np.concatenate([t, np.zeros(8, np.uint8)])
     key = np.ndarray((n,), ">u8", padded, strides=(1,)).astype(U)
-    size = 8
+    size, told, known = 8, 0, np.zeros(0, U)
     while True:
-        order = np.argsort(key, kind="stable")
+        # ties must keep their places in the last sort only
+        order = np.argsort(key, kind="stable" if size >= least else None)
         s = key[order]
         rank = np.empty(n, U)
         rank[order] = np.cumsum(np.concatenate([[1], (s[1:] != s[:-1]).astype(np.int64)])).astype(U)
-        if size >= least or int(rank.max()) == n:
+        if size >= least:
             break
+        told, known = size, rank
         after = np.zeros(n, U)
         after[: max(0, n - size)] = rank[size:]
         key = (rank << U(32)) | after
         size *= 2
     del key, s, rank, padded
+    closed = np.ones(n + 1, bool)  # between neighbours with a shorter common prefix
+    if told:
+        closed[2:] = known[order[1:]] != known[order[:-1]]
+    del known
     # the empty suffix comes first; the symbol before the whole text is an end mark below all others
     sa = np.concatenate([[n], order])
     bwt = t.astype(np.int16)[sa - 1]
     bwt[sa == 0] = -1
     psi = np.argsort(bwt, kind="stable")  # the inverse of the LF mapping
-    first = bwt[psi]
-    closed = np.concatenate([[True], first[1:] != first[:-1]])  # common prefix 0
+    if not told:
+        told, first = 1, bwt[psi]
+        closed[1:] = first[1:] != first[:-1]
     open_ = np.nonzero(~closed)[0]
-    for _ in range(1, least):
+    for _ in range(told, least):
         if not len(open_):
             break
         group = np.cumsum(closed, dtype=np.int32)
@@ -336,7 +363,7 @@ def _shard_spans(blocks: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarra
         # of each class the first string; windows that two of them have, or one has twice
         rep = np.nonzero(same == np.arange(len(same)))[0]
         windows = spread(start[rep], lens[rep] - MIN + 1)
-        w = np.concatenate([sums.of(x, x + MIN - K + 1) for x in np.array_split(windows, 1 + len(windows) // 500_000)])
+        w = sums.every(MIN - K + 1)[windows]
         del sums, windows
         s = np.sort(w)
         twice = np.unique(s[1:][s[1:] == s[:-1]])
