@@ -10,6 +10,8 @@ it counts if it runs over a line end, from its first line's start to its last on
 that holds known ones don't count for the gap, and a known line that only starts a longer known sentence gives way to it.
 
 A sentence of identifiers (``SPDX-License-Identifier: A OR B``) shows each licence that it names, as it is written there.
+Licences of a family are named with their version, too, where the sentence tells it (``versions``). A reference to a licence
+doesn't count behind a negation (``not licensed under ...``).
 
 Defined results: null and empty texts have no sentences and no licence; repeated sentences give repeated identifiers and
 each licence once, in order of first match; whole texts are scanned.
@@ -26,9 +28,10 @@ from pyspark.sql import DataFrame
 from .common import texts
 
 GAP = 6
+LATER = 120  # characters behind a known sentence that may still tell its version
 # Cheap marks, one of which every known sentence holds (tested by writing out all patterns). Each is within one
 # word, so it's in the lower-case text if and only if it's in the normalised one.
-MARKS = ("licen", "copyright", "permission", "warrant", "redistribut", "liable", "reserved", "released", "commons", "cc0", "domain", "endorse", "useful")
+MARKS = ("licen", "copyright", "permission", "warrant", "redistribut", "liable", "reserved", "released", "commons", "cc0", "domain", "endorse", "useful", "bsd", "wtfpl", "cddl", "unencumbered")
 # Identifiers of known licence sentences and patterns of their normalised form.
 SENTENCES = {
     "apache-2-title": r"apache licen[sc]e version 2 0 january 2004.*",
@@ -74,10 +77,43 @@ SENTENCES = {
     "cc-by-sa-4-ref": r".*(?:licensed|released) under (?:a |the )?(?:cc by sa|creative commons attribution sharealike)(?: 4(?: 0)?)?(?: international)?(?: licen[sc]e)?",
     "cc-by-4-ref": r".*(?:licensed|released) under (?:a |the )?(?:cc by|creative commons attribution)(?: 4(?: 0)?)?(?: international)?(?: licen[sc]e)?",
     "cc0-ref": r".*(?:cc0(?: 1(?: 0)?)?|creative commons zero).*",
+    "unlicense": r"this is free and unencumbered software released into the public domain.*",
+    "bsd-3-ref": r".*(?:licensed|released|distributed|available) under (?:a |the )?(?:terms of the )?(?:bsd 3 clause|3 clause bsd|new bsd|modified bsd)(?: licen[sc]e)?",
+    "bsd-2-ref": r".*(?:licensed|released|distributed|available) under (?:a |the )?(?:terms of the )?(?:bsd 2 clause|2 clause bsd|simplified bsd|freebsd)(?: licen[sc]e)?",
+    "bsd-ref": r".*(?:licensed|released|distributed|available) under (?:a |the )?(?:terms of the )?bsd(?: style)? licen[sc]e",
+    "wtfpl": r".*(?:wtfpl|do what the fuck you want to public licen[sc]e).*",
+    "cddl-ref": r".*(?:common development and distribution licen[sc]e|cddl).*",
+    "artistic-ref": r".*artistic licen[sc]e.*",
     "public-domain": r".*(?:is|are|released into|placed in|dedicated to) (?:in )?the public domain.*",
     "spdx": r"spdx licen[sc]e identifier .*",
     "reserved": r"all rights reserved",
 }
+# Kinds of Creative Commons licences as they are written short and in full, and their versions.
+COMMONS = {
+    "BY": ("cc by", "creative commons attribution"),
+    "BY-SA": ("cc by sa", "creative commons attribution sharealike"),
+    "BY-ND": ("cc by nd", "creative commons attribution noderivatives"),
+    "BY-NC": ("cc by nc", "creative commons attribution noncommercial"),
+    "BY-NC-SA": ("cc by nc sa", "creative commons attribution noncommercial sharealike"),
+    "BY-NC-ND": ("cc by nc nd", "creative commons attribution noncommercial noderivatives"),
+}
+COMMONS_VERSIONS = ("1.0", "2.0", "2.5", "3.0", "4.0")
+
+
+def _commons() -> dict[str, tuple[str, str]]:
+    """Identifier: licence and pattern, of each kind and version; without a version it is the last one."""
+    out = {}
+    for kind, (short, full) in COMMONS.items():
+        for v in COMMONS_VERSIONS:
+            whole, part = v.split(".")
+            number = rf" v?{whole}(?: 0)?" if part == "0" else rf" v?{whole} {part}"
+            number = rf"(?:(?: version)?{number})" + ("?" if v == COMMONS_VERSIONS[-1] else "")
+            out[f"cc-{kind.lower()}-{whole if part == '0' else v}-ref"] = (f"CC-{kind}-{v}", rf".*(?:licensed|released) under (?:a |the )?(?:{short}|{full})(?: licen[sc]e)?{number}(?: [a-z]+)?(?: licen[sc]e)?")
+    return {k: x for k, x in out.items() if k not in SENTENCES}
+
+
+_COMMONS = _commons()
+SENTENCES |= {k: pattern for k, (_, pattern) in _COMMONS.items()}
 # Licences and the identifier sequences that show them, longer rules first.
 RULES = [
     ("MIT", ("mit-grant", "mit-condition", "mit-warranty", "mit-liability")),
@@ -119,6 +155,14 @@ RULES = [
     ("CC-BY-SA-4.0", ("cc-by-sa-4-ref",)),
     ("CC-BY-4.0", ("cc-by-4-ref",)),
     ("CC0-1.0", ("cc0-ref",)),
+    ("Unlicense", ("unlicense",)),
+    ("BSD-3-Clause", ("bsd-3-ref",)),
+    ("BSD-2-Clause", ("bsd-2-ref",)),
+    ("BSD", ("bsd-ref",)),
+    ("WTFPL", ("wtfpl",)),
+    ("CDDL", ("cddl-ref",)),
+    ("Artistic", ("artistic-ref",)),
+    *[(licence, (name,)) for name, (licence, _) in _COMMONS.items()],
     ("public-domain", ("public-domain",)),
     ("proprietary", ("copyright", "reserved")),
     ("proprietary", ("reserved",)),
@@ -134,6 +178,33 @@ _COMMENT = re.compile(r"[\W_]*+(?:rem|dnl)\s", re.I)
 _WORDLESS = re.compile(r"[\W_]*+(?:(?:rem|dnl)(?![^\W_])[\W_]*+)?\Z", re.I)
 
 
+# Words that turn a reference round, and how many words before it they reach.
+_NOT = re.compile(r"(?<!\S)(?:not|never|neither|nor|cannot|without|dont|don t|doesnt|doesn t|isnt|isn t|arent|aren t|won t|can t|no longer)(?!\S)")
+REACH = 8
+_REFERRED = re.compile(r"under|cc0|creative commons|public domain|wtfpl|cddl|(?:gnu|mozilla|eclipse|artistic|common development)\b")
+_REFERENCES = {n for n in SENTENCES if n.endswith("-ref")} | {"wtfpl", "public-domain"}
+
+
+def blocked(name: str, words: str, start: int = 0) -> bool:
+    """Whether a reference is turned round by a word just before it (``start``: where to look for it in ``words``)."""
+    if name not in _REFERENCES or not (m := _REFERRED.search(words, start)):
+        return False
+    return bool(_NOT.search(" ".join(words[: m.start()].split()[-REACH:])))
+
+
+# Families whose sentences tell a version, and the words before it.
+FAMILIES = {"gpl-free": ("GPL", "version"), "lgpl-ref": ("LGPL", "version"), "agpl-ref": ("AGPL", "version"), "epl-ref": ("EPL", "eclipse public licen[sc]e(?: version)?"), "cddl-ref": ("CDDL", "(?:licen[sc]e|cddl)(?: version)?"), "artistic-ref": ("Artistic", "artistic licen[sc]e(?: version)?")}
+
+
+def version(name: str, words: str) -> str | None:
+    """The licence of a family with the version that its sentence tells, ``-or-later`` if it says so; None without one."""
+    if name not in FAMILIES:
+        return None
+    family, before = FAMILIES[name]
+    m = re.search(rf"{before} v?(\d)(?: (\d)(?!\d))?", words)
+    return m and f"{family}-{m[1]}.{m[2] or 0}" + ("-or-later" if "any later version" in words else "")
+
+
 def _over_lines(pattern: str) -> list[re.Pattern]:
     """A known sentence's pattern cut at what is free, for lines of normalised words: a blank may be a line end."""
     first, *rest = pattern.replace(" ", "[ \n]").split(".*")
@@ -156,6 +227,11 @@ def _words(line: str) -> str:
     return normalised(line[m.end() :] if m else line)
 
 
+def _line_words(part: str) -> str:
+    """The normalised form of lines without their comment signs."""
+    return " ".join(filter(None, map(_words, part.split("\n"))))
+
+
 def _joined(lines: list[str]) -> tuple[list[tuple[int, int, str]], set[tuple[int, str]]]:
     """Known sentences over several lines as (first line, last line, identifier), and (line, identifier) of mere starts of them."""
     words = [_words(x) for x in lines]
@@ -173,7 +249,8 @@ def _joined(lines: list[str]) -> tuple[list[tuple[int, int, str]], set[tuple[int
                 end = m.end()
             if not m:  # nor does it follow any later start
                 break
-            found.append((start, end, name))
+            if not blocked(name, text.replace("\n", " "), start):
+                found.append((start, end, name))
     longest: dict[int, int] = {}
     for start, end, _ in found:
         longest[start] = max(end, longest.get(start, 0))
@@ -187,7 +264,10 @@ def _merged(text: str, group: list[tuple[int, int, str]]) -> list[tuple[int, int
     over, mere = _joined([text[a:e] for a, e, _ in group])
     names = [n for *_, n in group]
     over = [x for x in over if x[2] not in names[x[0] : x[1] + 1]]
-    lines = [(a, e, "?" if (i, n) in mere else n) for i, (a, e, n) in enumerate(group)]
+    # a bare name that goes on with a negated reference of the line before
+    words = [_words(text[a:e]) for a, e, _ in group]
+    turned = lambda i: bool(i) and names[i].endswith("-name") and bool(re.search(r"under(?: the)?$", words[i - 1])) and bool(_NOT.search(" ".join(words[i - 1].split()[-REACH:])))
+    lines = [(a, e, "?" if (i, n) in mere or turned(i) else n) for i, (a, e, n) in enumerate(group)]
     known = [x for x in lines if x[2] != "?"] + [(group[i][0], group[j][1], n) for i, j, n in over]
     return sorted(known, key=lambda x: x[:2]) or lines
 
@@ -203,8 +283,10 @@ def sentences(text: str) -> list[tuple[int, int, str]]:
         if part.strip():
             low = part.lower()
             mark = any(x in low for x in MARKS)
-            k = _KNOWN.fullmatch(_words(part)) if mark else None
-            out.append((at, end, _NAMES[int(k.lastgroup[1:])] if k else "?"))
+            words = _words(part) if mark else ""
+            k = _KNOWN.fullmatch(words) if mark else None
+            name = _NAMES[int(k.lastgroup[1:])] if k else "?"
+            out.append((at, end, "?" if blocked(name, words) else name))
             marked |= mark
         if wordless or not m or m[0] != "\n":
             last = len(out) - (1 if wordless and part.strip() else 0)
@@ -260,11 +342,13 @@ def scan(text: str) -> tuple[list[tuple[int, int, str]], list[str]]:
 
 
 def find(docs: DataFrame) -> DataFrame:
-    """doc_id, n_sentences, sentence_ids (name:start:end, joined), licenses (joined); one pass, no shuffle."""
+    """doc_id, n_sentences, sentence_ids (name:start:end, joined), licenses and versions (joined); one pass, no shuffle."""
 
     def run(batches):
         for b in batches:
-            found = [scan(t) for t in texts(b.column("text"))]
-            yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "n_sentences": pa.array([len(k) for k, _ in found], pa.int64()), "sentence_ids": pa.array([",".join(f"{n}:{a}:{e}" for a, e, n in k) for k, _ in found], pa.string()), "licenses": pa.array([",".join(x) for _, x in found], pa.string())})
+            every = list(texts(b.column("text")))
+            found = [scan(t) for t in every]
+            told = [[x for a, e, n in known if (x := version(n, _line_words(t[a : e + LATER])))] for t, (known, _) in zip(every, found, strict=True)]
+            yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "n_sentences": pa.array([len(k) for k, _ in found], pa.int64()), "sentence_ids": pa.array([",".join(f"{n}:{a}:{e}" for a, e, n in k) for k, _ in found], pa.string()), "licenses": pa.array([",".join(x) for _, x in found], pa.string()), "versions": pa.array([",".join(dict.fromkeys(x)) for x in told], pa.string())})
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_sentences long, sentence_ids string, licenses string")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_sentences long, sentence_ids string, licenses string, versions string")

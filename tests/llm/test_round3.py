@@ -415,3 +415,66 @@ def test_words_of_the_documents_lower_guess_costs(spark):
     assert found[1000].n_guess == 0 and found[100].n_guess == 1
     for text in ("auth: authentication module", "credentials: provided by admin", "access key: unavailable", "bearer is carrying", "auth: translations"):
         assert secrets.scan(text) == []
+
+
+def rules_by_search(text):
+    """Licences of a text of one-line sentences: each pattern tried on each sentence, each rule at each place."""
+    from evalloom.llm import licenses
+
+    names = []
+    for line in text.split("\n"):
+        for part in re.split(r"(?<!\b[vV])[.!?](?=\s|$)", line):
+            if not part.strip():
+                continue
+            words = " ".join(re.findall(r"[^\W_]+", part.lower()))
+            name = next((n for n, p in licenses.SENTENCES.items() if re.fullmatch(p, words)), "?")
+            if name in licenses._REFERENCES:
+                at = min((words.find(k) for k in ("under", "cc0", "creative commons", "public domain", "wtfpl", "cddl", "gnu", "mozilla", "eclipse", "artistic", "common development") if k in words), default=0)
+                if any(f" {w} " in f" {' '.join(words[:at].split()[-8:])} " for w in ("not", "never", "don t", "no longer", "isn t", "without")):
+                    name = "?"
+            names.append(name)
+    used, found = set(), {}
+    for licence, rule in licenses.RULES:
+        for i in range(len(names)):
+            places, at = [], i
+            for k, want in enumerate(rule):
+                gap = 0
+                while k and at < len(names) and (at in used or names[at] != want) and (at in used or names[at] in ("?", "copyright")) and gap < licenses.GAP:
+                    at, gap = at + 1, gap + 1
+                if at >= len(names) or at in used or names[at] != want:
+                    places = []
+                    break
+                places.append(at)
+                at += 1
+            if places:
+                used |= set(places)
+                found[licence] = min(found.get(licence, i), i)
+    return sorted(found, key=lambda x: (found[x], x))
+
+
+def test_rules_equal_a_search():
+    from evalloom.llm import licenses
+
+    rnd = random.Random(6)
+    known = [
+        "Licensed under the BSD 3-Clause License.", "Released under CC BY-SA 3.0.", "Licensed under CC BY-ND 4.0", "It is licensed under the WTFPL.", "This is free and unencumbered software released into the public domain.", "We do not use cc0 here.",
+        "This is not licensed under the MIT License.", "Released under the MIT License.", "Copyright (c) 2020 A. Body", "All rights reserved.", "Redistribution and use in source and binary forms, with or without modification, are permitted.",
+        "Redistributions of source code must retain the notice.", "Redistributions in binary form must reproduce it.", "Neither the name of it may be used to endorse or promote products.", "This software is provided by us as is and any express or implied warranties are disclaimed.",
+        "Some words.", "Others, too!", "Licensed under Creative Commons Attribution-NonCommercial-ShareAlike 2.5", "Licensed under the Apache License, Version 2.0", "You may not use this file except in compliance with the License.", "Made under the CDDL 1.1.", "The Artistic License 2.0 holds.",
+    ]
+    seen = set()
+    for _ in range(400):
+        text = "\n\n".join(rnd.choice(known) for _ in range(rnd.randrange(1, 12)))
+        got = licenses.scan(text)[1]
+        assert got == rules_by_search(text), text
+        seen |= set(got)
+    assert {"BSD-3-Clause", "CC-BY-SA-3.0", "CC-BY-ND-4.0", "WTFPL", "Unlicense", "CC-BY-NC-SA-2.5", "CDDL", "Artistic", "MIT", "Apache-2.0", "proprietary"} <= seen and "CC0-1.0" not in seen
+
+
+def test_versions_of_families(spark):
+    from evalloom.llm import licenses
+
+    gpl = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.\n"
+    rows = [(1, gpl), (2, "Made available under the terms of the Eclipse Public License 2.0 there"), (3, "Made under the CDDL 1.1."), (4, None), (5, "Licensed under the MIT License"), (6, gpl.replace("3", "2")), (7, "This is not licensed under\nthe MIT License")]
+    got = {r.doc_id: (r.licenses, r.versions) for r in licenses.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: ("GPL-family", "GPL-3.0-or-later"), 2: ("EPL", "EPL-2.0"), 3: ("CDDL", "CDDL-1.1"), 4: ("", ""), 5: ("MIT", ""), 6: ("GPL-family", "GPL-2.0-or-later"), 7: ("", "")}
