@@ -51,3 +51,12 @@ def resolved(rows: DataFrame, files: DataFrame, key: str, stored: str, annotatio
     there = files.select(normal_path(F.col("path")).alias("__path")).distinct()
     hits = tried.join(there, "__path").groupBy(key).agg(F.min_by("__path", "__place").alias("found"))
     return rows.join(hits, key, "left")
+
+
+def with_suffix(rows: DataFrame, files: DataFrame, key: str, name: str, prefix: str, suffix: str = "mp4") -> DataFrame:
+    """``rows`` with ``found``: the video below ``prefix`` whose name ends in the suffix as given, in capitals, or in small letters."""
+    n = F.col(name).cast("string")
+    tries = [normal_path(F.concat(F.lit(f"{prefix}/"), F.when(n.endswith(s), n).otherwise(F.concat(n, F.lit(f".{s}"))))) for s in dict.fromkeys((suffix, suffix.upper(), suffix.lower()))]
+    tried = rows.select(F.col(key), F.posexplode(F.array(*tries)).alias("__place", "__path")).where("__path is not null")
+    there = files.select(normal_path(F.col("path")).alias("__path")).distinct()
+    return rows.join(tried.join(there, "__path").groupBy(key).agg(F.min_by("__path", "__place").alias("found")), key, "left")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .functions import answers, bootstrap, choices, drawing, masks, metrics, names, scores, text, translation
-from .operators import filters, media, relational
+from .operators import filters, media, relational, tasks
 from .plans import catalog
 from .queries import H, TAXONOMY, W, query, read
 from .sources import readers
@@ -202,3 +202,37 @@ def think_content(spark, d):
 def catalogue_rows(spark, d):
     x = read(spark, d, "events").select((F.col("event_id") % 23).cast("int").alias("ord"))
     return x.join(F.broadcast(catalog.taxonomy(spark)), "ord").groupBy("category").agg(F.count_distinct("leaf").alias("leaves"), F.count_distinct("group").alias("groups"), F.count(F.lit(1)).alias("samples"))
+
+
+@query("video_files", """SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '/videos/' || source || '/v' || doc_id || '.mp4' WHEN 1 THEN '/videos/' || source || '/v' || doc_id || '.MP4' WHEN 2 THEN '/videos/' || source || '/v' || doc_id || '.mp4' END AS found FROM documents""")
+def video_files(spark, d):
+    k = F.col("doc_id")
+    docs = read(spark, d, "documents").select("doc_id", said(F.col("source"), "/v", k, F.when(k % 4 == 2, ".mp4").otherwise("")).alias("name"))
+    base = said("/videos/", F.regexp_replace("name", r"\.mp4$", ""))
+    files = docs.select(F.explode(F.filter(F.array(F.when(k % 4 != 3, F.when(k % 4 == 1, said(base, ".MP4")).otherwise(said(base, ".mp4"))), F.when(k % 8 == 0, said(base, ".MP4"))), lambda p: p.isNotNull())).alias("path"))
+    return media.with_suffix(docs, files, "doc_id", "name", "/videos").select("doc_id", "found")
+
+
+@query("generated_records", """SELECT conv_id, turn, role || ': ' || text AS question, 4 AS messages, role || ' ' || turn || 's' AS answer, 'img' || conv_id || '.png' AS image, true AS open FROM conversations WHERE text IS NOT NULL""")
+def generated_records(spark, d):
+    x = read(spark, d, "conversations").where("text is not null")
+    turn = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
+    messages = F.array(turn("user", F.col("text")), turn("system", said(F.col("role"), ": ")), turn("user", F.lit("later")))
+    r = x.select("conv_id", "turn", messages.alias("m"), F.array(said("img", F.col("conv_id"), ".png")).alias("i"), said("<think>", F.col("text"), "</think> ", F.col("role"), " ", F.col("turn"), "s").alias("r"))
+    r = r.select("conv_id", "turn", tasks.question(F.col("m")).alias("question"), tasks.generated_record(F.col("m"), F.col("i"), F.col("r")).alias("g"))
+    last = F.element_at("g.messages", -1)
+    return r.select("conv_id", "turn", "question", F.size("g.messages").alias("messages"), last["content"].alias("answer"), F.get("g.images", F.lit(0))["path"].alias("image"), F.forall("g.messages", lambda m: m["loss"].isNull()).alias("open"))
+
+
+@query("decontamination_queries", "SELECT p_partkey, p_name || ' ' || p_size AS whole, p_brand AS by_column, p_type || '?' AS by_rule, NULL::VARCHAR AS unwanted FROM part")
+def decontamination_queries(spark, d):
+    p = read(spark, d, "part")
+    whole, of = said(F.col("p_name"), " ", F.col("p_size")), tasks.decontamination_query
+    return p.select("p_partkey", of(p, whole, True).alias("whole"), of(p, whole, True, "p_brand").alias("by_column"), of(p, whole, True, said(F.col("p_type"), "?")).alias("by_rule"), of(p, whole, False, "p_brand").alias("unwanted"))
+
+
+@query("task_coresets")
+def task_coresets(spark, d):
+    x = read(spark, d, "embeddings").select("vec_id", "embedding", said("task", F.col("label")).alias("task"))
+    names = [f"task{k}" for k in range(10)]
+    return tasks.coresets(x, "task", "vec_id", "embedding", tasks.item_counts(names, [3]))

@@ -177,7 +177,7 @@ def test_windows_and_majority(spark):
     assert r.m == "b" and [x for w in r.w for x in w.target] == list(range(10)) and [len(c) for c in r.c] == [4, 4, 2]
 
 
-def test_registry():
+def test_registry(spark):
     with pytest.raises(ValueError):
         filters.register(filters.FILTERS, "regex")(lambda r: r)
     assert filters.scorer("No", "such")() is not None
