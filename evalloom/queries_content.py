@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .functions import answers, bootstrap, choices, drawing, masks, metrics, names, scores, text, translation
 from .operators import filters, media, relational, tasks
-from .plans import catalog
+from .plans import catalog, views
 from .queries import H, TAXONOMY, W, query, read
 from .sources import readers
 
@@ -236,3 +236,13 @@ def task_coresets(spark, d):
     x = read(spark, d, "embeddings").select("vec_id", "embedding", said("task", F.col("label")).alias("task"))
     names = [f"task{k}" for k in range(10)]
     return tasks.coresets(x, "task", "vec_id", "embedding", tasks.item_counts(names, [3]))
+
+
+@query("shown_layers", f"""WITH {TAXONOMY}, e AS (SELECT event_id, CASE WHEN category = 'TargetLocalization' THEN '*' ELSE leaf END AS kind FROM events JOIN tax ON event_id % 23 = ord)
+    SELECT event_id, CASE WHEN kind = '*' OR kind = 'GroundDetection' THEN 1 ELSE 2 END::INTEGER AS layers, CASE WHEN kind = '*' THEN 'masklet_target' WHEN kind = 'GroundDetection' THEN 'masklet_ground' WHEN kind LIKE 'FeasiblePath%' THEN 'masklet_path'
+      WHEN kind = 'VisualMatching' OR kind = 'AffordanceRegion' THEN 'masklet_reference_area' ELSE 'masklet_reference_object' END AS first,
+      CASE WHEN kind = '*' OR kind LIKE 'Placement%' THEN 3 WHEN kind LIKE 'Contact%' OR kind = 'VisualMatching' OR kind = 'AffordanceRegion' THEN 2 ELSE 0 END::INTEGER AS texts FROM e""")
+def shown_layers(spark, d):
+    x = read(spark, d, "events").select("event_id", (F.col("event_id") % 23).cast("int").alias("ord")).join(F.broadcast(catalog.taxonomy(spark)), "ord")
+    x = views.key_texts(views.layers(x.select("event_id", "category", F.col("leaf").alias("kind"))))
+    return x.select("event_id", F.size("layers").alias("layers"), F.get("layers", F.lit(0))["field"].alias("first"), F.size("fields").alias("texts"))

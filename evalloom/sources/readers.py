@@ -150,3 +150,30 @@ def truth_field(doc: Column, own: Column, *names: str) -> Column:
 def websites(spark: SparkSession, rows: list[dict]) -> DataFrame:
     """url, subject, screens of configured websites."""
     return spark.createDataFrame([(r["url"], r.get("subject"), int(r.get("screens", 1))) for r in rows], "url string, subject string, screens int")
+
+
+def npy_vectors(spark: SparkSession, root: str, pattern: str = "*.npy") -> DataFrame:
+    """path, row, vector of the rows of all array files below a folder; an inner dimension of one goes, a single vector is a row.
+
+    A file is read by one task, as its format has no parts, and leaves it in batches of rows.
+    """
+    import io
+
+    import numpy as np
+    import pyarrow as pa
+
+    def run(batches):
+        for b in batches:
+            for path, content in zip(b.column("path").to_pylist(), b.column("content").to_pylist(), strict=True):
+                x = np.load(io.BytesIO(content), allow_pickle=False)
+                if x.ndim == 3 and x.shape[1] == 1:
+                    x = x[:, 0]
+                x = np.atleast_2d(x)
+                if x.ndim != 2:
+                    raise ValueError(f"{path} holds an array of {x.ndim} dimensions")
+                for i in range(0, len(x), 1024):
+                    part = x[i : i + 1024].astype(np.float64)
+                    yield pa.RecordBatch.from_arrays([pa.array([path] * len(part)), pa.array(range(i, i + len(part)), pa.int64()), pa.array(list(part), pa.list_(pa.float64()))], ["path", "row", "vector"])
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
+    return files.select("path", "content").mapInArrow(run, "path string, row long, vector array<double>")
