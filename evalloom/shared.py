@@ -7,7 +7,7 @@ import contextlib
 import os
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,6 +39,7 @@ def _at_exit(remove: Callable[[str], None], path: str) -> None:
 
 
 _FOLDERS: set[str] = set()
+_SCRATCH: list[list[str]] = []  # tables of the open scratch blocks, the innermost last
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
@@ -55,9 +56,28 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._table = path
+    if _SCRATCH:
+        _SCRATCH[-1].append(path)
     return out
 
 
 def discard(df: DataFrame) -> None:
     """Removes a table that ``written`` made and that nothing reads any more."""
     _remover(df.sparkSession)(df._table)
+    for tables in _SCRATCH:
+        if df._table in tables:
+            tables.remove(df._table)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """The tables that are written within the block go at its end, but for those that are taken from the list."""
+    tables: list[str] = []
+    _SCRATCH.append(tables)
+    try:
+        yield tables
+    finally:
+        _SCRATCH.remove(tables)
+        remove = _remover(spark)
+        for path in tables:
+            remove(path)
