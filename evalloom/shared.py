@@ -77,7 +77,7 @@ def scratch(spark: SparkSession) -> Iterator[list[str]]:
     try:
         yield tables
     finally:
-        _SCRATCH.remove(tables)
+        _SCRATCH.pop()
         remove = _remover(spark)
         for path in tables:
             remove(path)
