@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from evalloom.llm import packing, secrets, simhash, suffix, toxicity
-from evalloom.llm.common import table, written
+from evalloom.llm.common import discard, scratch, table, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +49,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows; what the stages write on their way goes when they are done, and so does each stage's input."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name)
+        with scratch(spark) as tables:
+            docs = written(stage(spark, docs, sf_dir), name)
+            tables.remove(docs._table)
+        if before is not None:
+            discard(before)
+        before = docs
     return docs

@@ -2,11 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import contextlib
-import os
-import tempfile
-import uuid
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -15,56 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share. Only a session without a cluster, as in tests, gets one of our own."""
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        d = os.path.join(tempfile.gettempdir(), "evalloom-checkpoints")
-    return d
-
-
-def _remover(spark: SparkSession) -> Callable[[str], None]:
-    """Removes a path; it also works once the context has stopped, while its JVM is there."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-
-    def remove(path: str) -> None:
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(conf).delete(where, True)
-
-    return remove
-
-
-def _at_exit(remove: Callable[[str], None], path: str) -> None:
-    with contextlib.suppress(Exception):  # the JVM may be gone
-        remove(path)
-
-
-_FOLDERS: set[str] = set()
-
-
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """Cuts the lineage: writes ``df`` as a Parquet table in the shared folder and reads it back.
-
-    An application's tables share one folder, which goes when the driver's process ends; ``discard`` removes a table before.
-    """
-    spark = df.sparkSession
-    folder = f"{shared_dir(spark)}/tables/{spark.sparkContext.applicationId}"
-    if folder not in _FOLDERS:
-        _FOLDERS.add(folder)
-        atexit.register(_at_exit, _remover(spark), folder)
-    path = f"{folder}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._table = path
-    return out
-
-
-def discard(df: DataFrame) -> None:
-    """Removes a table that ``written`` made and that nothing reads any more."""
-    _remover(df.sparkSession)(df._table)
+from ..shared import discard, scratch, shared_dir, written  # noqa: F401  for this subpackage
 
 
 def spare(name: str, columns: list[str]) -> str:
