@@ -466,7 +466,7 @@ def file_counts(spark, d):
     return rollup.file_counts(read(spark, d, "orders").select(F.col("o_orderpriority").alias("file")), "file")
 
 
-_TASKS = ["ai2d", "mmmu_val", "unknown", "ocrbench"]
+_COMPARED = ["ai2d", "mmmu_val", "unknown", "ocrbench"]
 
 
 @query("compared_values", """WITH t AS (SELECT ['ai2d', 'mmmu_val', 'unknown'][l_linenumber % 3 + 1] AS task, CASE WHEN l_linestatus = 'O' THEN ['exact_match,flexible-extract', 'mmmu_acc,none', 'acc,none'][l_linenumber % 3 + 1] ELSE 'exact_match,none' END AS key, l_discount AS v FROM lineitem),
@@ -474,9 +474,9 @@ _TASKS = ["ai2d", "mmmu_val", "unknown", "ocrbench"]
 def compared_values(spark, d):
     n = F.col("l_linenumber")
     own = by_key(["exact_match,flexible-extract", "mmmu_acc,none", "acc,none"], n)
-    rows = read(spark, d, "lineitem").select(by_key(_TASKS[:3], n).alias("task"), F.when(F.col("l_linestatus") == "O", own).otherwise("exact_match,none").alias("key"), F.col("l_discount").cast("double").alias("v"))
+    rows = read(spark, d, "lineitem").select(by_key(_COMPARED[:3], n).alias("task"), F.when(F.col("l_linestatus") == "O", own).otherwise("exact_match,none").alias("key"), F.col("l_discount").cast("double").alias("v"))
     results = rows.groupBy("task", "key").agg(F.avg("v").alias("value"))
-    return rollup.compared_value(results, _TASKS).select("task", F.round("value", 9).alias("value"))
+    return rollup.compared_value(results, _COMPARED).select("task", F.round("value", 9).alias("value"))
 
 
 _LOGGED = "['loglikelihood', 'multiple_choice', 'loglikelihood_rolling', 'generate_until']"
