@@ -179,7 +179,7 @@ _WORDLESS = re.compile(r"[\W_]*+(?:(?:rem|dnl)(?![^\W_])[\W_]*+)?\Z", re.I)
 
 
 # Words that turn a reference round, and how many words before it they reach.
-_NOT = re.compile(r"(?<!\S)(?:not|never|neither|nor|cannot|without|dont|don t|doesnt|doesn t|isnt|isn t|arent|aren t|won t|can t|no longer)(?!\S)")
+_NOT = re.compile(r"(?<!\S)(?:not|never|neither|nor|cannot|dont|don t|doesnt|doesn t|isnt|isn t|arent|aren t|won t|can t|no longer)(?!\S)")
 REACH = 8
 _REFERRED = re.compile(r"under|cc0|creative commons|public domain|wtfpl|cddl|(?:gnu|mozilla|eclipse|artistic|common development)\b")
 _REFERENCES = {n for n in SENTENCES if n.endswith("-ref")} | {"wtfpl", "public-domain"}

@@ -430,7 +430,7 @@ def rules_by_search(text):
             name = next((n for n, p in licenses.SENTENCES.items() if re.fullmatch(p, words)), "?")
             if name in licenses._REFERENCES:
                 at = min((words.find(k) for k in ("under", "cc0", "creative commons", "public domain", "wtfpl", "cddl", "gnu", "mozilla", "eclipse", "artistic", "common development") if k in words), default=0)
-                if any(f" {w} " in f" {' '.join(words[:at].split()[-8:])} " for w in ("not", "never", "don t", "no longer", "isn t", "without")):
+                if any(f" {w} " in f" {' '.join(words[:at].split()[-8:])} " for w in ("not", "never", "don t", "no longer", "isn t")):
                     name = "?"
             names.append(name)
     used, found = set(), {}
