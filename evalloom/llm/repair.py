@@ -276,11 +276,28 @@ def _long(rows: DataFrame, chunk: int, chunk_bytes: int) -> DataFrame:
             out.append({"conv": key[0].as_py(), "part": key[1].as_py(), "chunk": key[2].as_py(), "entry": r, "leaves": state, "audit": "".join(s for s, _ in steps), "said": "".join(f"\n{x}:{y}" for x, y in repaired(rows, steps, r))})
         return pa.Table.from_pylist(out)
 
-    part = ["conv", "part", "chunk", "entry", "leaves", "audit", "said"]
     went = written(turns.groupBy(*_KEYS).cogroup(planned.groupBy(*_KEYS)).applyInArrow(walks, "conv string, part long, chunk long, entry string, leaves string, audit string, said string"), "long-walks")
 
+    def followed(batches):
+        """The walks of each conversation that follow one another, from states alone: no text moves for the others."""
+        at, state, chunk = None, "", None
+        for b in batches:
+            rows = b.to_pylist()
+            out = []
+            for r in rows:
+                if r["conv"] != at:
+                    at, state, chunk = r["conv"], "", None
+                here = (r["part"], r["chunk"])
+                if here != chunk and r["entry"] == state:
+                    chunk, state = here, r["leaves"]
+                    out.append(r)
+            yield pa.RecordBatch.from_pydict({c: pa.array([r[c] for r in out], b.schema.field(c).type) for c in b.schema.names}, schema=b.schema)
+
+    states = went.select("conv", "part", "chunk", "entry", "leaves").repartition("conv").sortWithinPartitions("conv", "part", "chunk")
+    walked = states.mapInArrow(followed, "conv string, part long, chunk long, entry string, leaves string").drop("leaves")
+
     def chained(batches):
-        """Walks of one conversation in order, those that follow one another; a chunk at a time."""
+        """The edits and the digest of each conversation, a chunk at a time."""
         at = state = digest = audit = None
         first = True
 
@@ -295,22 +312,19 @@ def _long(rows: DataFrame, chunk: int, chunk_bytes: int) -> DataFrame:
                 digest.update(said[1 if first else 0 :].encode("utf-8", "surrogatepass"))
                 first = False
 
-        chunk = None
         for b in batches:
             for r in b.to_pylist():
                 if r["conv"] != at:
                     if at is not None:
                         yield result()
-                    at, state, digest, audit, first, chunk = r["conv"], "", hashlib.sha256(), [], True, None
-                here = (r["part"], r["chunk"])
-                if here != chunk and r["entry"] == state:
-                    chunk, state = here, r["leaves"]
-                    audit.append(r["audit"])
-                    add(r["said"])
+                    at, digest, audit, first = r["conv"], hashlib.sha256(), [], True
+                state = r["leaves"]
+                audit.append(r["audit"])
+                add(r["said"])
         if at is not None:
             yield result()
 
-    texts = went.select(*part).repartition("conv").sortWithinPartitions("conv", "part", "chunk").mapInArrow(chained, "conv string, audit string, repaired_sha256 string")
+    texts = went.join(walked, [*_KEYS, "entry"]).select(*_KEYS, "leaves", "audit", "said").repartition("conv").sortWithinPartitions("conv", "part", "chunk").mapInArrow(chained, "conv string, audit string, repaired_sha256 string")
     sums = planned.groupBy("conv").agg(*[F.sum(c).alias(c) for c in ("blank", "duplicate", "truncated", "illegal")], F.max("cost").alias("cost"))
     gaps = alive.groupBy("conv").agg(F.max("turn").alias("hi"), F.min("turn").alias("lo"))
     told = turns.where("turn is not null").select("conv", "turn").distinct().groupBy("conv").agg(F.count(F.lit(1)).alias("n"))
