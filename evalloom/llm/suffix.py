@@ -362,13 +362,9 @@ def _shard_spans(blocks: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarra
         np.minimum.at(least, same, key[doc])
         # of each class the first string; windows that two of them have, or one has twice
         rep = np.nonzero(same == np.arange(len(same)))[0]
-        every = sums.every(MIN - K + 1)
-        del sums
-        inside = np.zeros(len(every) + 1, np.int8)  # strings lie apart, so their windows do
-        inside[start[rep]] += 1
-        inside[start[rep] + lens[rep] - MIN + 1] -= 1
-        w = every[np.cumsum(inside, dtype=np.int8)[:-1].view(bool)]
-        del every, inside
+        windows = spread(start[rep], lens[rep] - MIN + 1)
+        w = sums.every(MIN - K + 1)[windows]
+        del sums, windows
         s = np.sort(w)
         twice = np.unique(s[1:][s[1:] == s[:-1]])
         del s
