@@ -10,8 +10,8 @@ On unit vectors a cosine of c is a distance of sqrt(2 - 2c), so triangle bounds
 3. A shard's cover tree has nested levels with halving radii: a level's centres are further apart than its radius, and each
    node knows the true radius of what it covers.
 4. The dual traversal takes pairs of nodes: beyond both radii and the reach they are pruned, within the reach by both radii
-   all their pairs are links, counted without listing them; other pairs are replaced by those of their children. Single
-   vectors are decided by the cosine itself.
+   all their pairs are links, counted without listing them; of other pairs the larger node is replaced by its children. Single
+   vectors are decided by the cosine itself. A block of pairs is done to its end before the next one.
 5. A shard gives partial numbers of links and a spanning forest of them; components as for SimHash.
 
 On data without structure distances are all alike and no bound prunes much: then the work is the square of a label's
@@ -39,6 +39,7 @@ LEAST_COSINE = 0.93
 SHARD, MOST_SHARDS = 16_384, 32_768  # classes in a shard, about; shards of all labels together (their centres are broadcast)
 LEAF = 64  # a node of so many vectors isn't cut further
 PACK = 16_384  # visitors that pass a shard's tree together
+BLOCK = 1_000_000  # pairs of nodes, or of vectors, that are met at once
 SLACK = 1e-9  # bounds are taken with this much room; vectors nearer to the threshold than that are compared exactly
 
 
@@ -50,10 +51,9 @@ class Node:
     def __init__(self, centre, radius, low, high, node):
         self.centre, self.radius, self.low, self.high, self.node = centre, radius, low, high, node
 
-    def child(self, i: int) -> Node:
-        """The i-th child; of a single vector, a node that holds just it."""
-        s = slice(i, i + 1)
-        return self.node[i] or Node(self.centre[s], self.radius[s], self.low[s], self.high[s], [None])
+    def part(self, rows: np.ndarray) -> Node:
+        """A node of just these children."""
+        return Node(self.centre[rows], self.radius[rows], self.low[rows], self.high[rows], [self.node[i] for i in rows.tolist()])
 
 
 class CoverTree:
@@ -180,46 +180,101 @@ class Vectors:
         self.tree = CoverTree(self.raw / self.norm[:, None])
 
 
+def _decided(one: Vectors, two: Vectors, p: np.ndarray, q: np.ndarray, c: np.ndarray, cosine: float) -> np.ndarray:
+    """Which single vectors with inner products ``c`` are near; those next to the threshold by the cosine itself."""
+    sure = c >= cosine
+    for k in np.flatnonzero(np.abs(c - cosine) < SLACK).tolist():
+        sure[k] = one.raw[p[k]] @ two.raw[q[k]] / (one.norm[p[k]] * two.norm[q[k]]) >= cosine
+    return sure
+
+
+def _compared(found: Found, one: Vectors, two: Vectors, p: np.ndarray, q: np.ndarray, cosine: float, wanted=None) -> None:
+    """Every vector of ``p`` with every one of ``q``, as blocks of a matrix product; only pairs of places that are ``wanted``."""
+    x, step = one.tree.unit[p], max(1, BLOCK // len(p))
+    for at in range(0, len(q), step):
+        g = x @ two.tree.unit[q[at : at + step]].T
+        i, j = np.nonzero(g >= cosine - SLACK)
+        c = g[i, j]
+        if wanted is not None and len(i):
+            keep = wanted(i, at + j)
+            i, j, c = i[keep], j[keep], c[keep]
+        if len(i):
+            a, b = p[i], q[at + j]
+            sure = _decided(one, two, a, b, c, cosine)
+            found.pairs(a[sure], b[sure])
+
+
+def _runs(by: np.ndarray, other: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each value of ``by`` with its values of ``other``."""
+    order = np.argsort(by, kind="stable")
+    by, other = by[order], other[order]
+    start = np.flatnonzero(np.concatenate([[True], by[1:] != by[:-1]])) if len(by) else np.zeros(0, np.int64)
+    yield from zip(by[start].tolist(), np.split(other, start[1:]) if len(by) else [], strict=True)
+
+
+def _held(tree: CoverTree, node: Node, rows: np.ndarray) -> np.ndarray:
+    """The vectors below these children of a node."""
+    low, many = node.low[rows], node.high[rows] - node.low[rows]
+    return tree.order[np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(low, many)]
+
+
 def traverse(members: Vectors, visitors: Vectors | None, cosine: float) -> Found:
-    """All pairs of members and visitors (of members among themselves, without visitors) of at least ``cosine``."""
+    """All pairs of members and visitors (of members among themselves, without visitors) of at least ``cosine``.
+
+    The children of two nodes are met a block of pairs at a time, and what a block leaves open is done before the next one: so
+    no more than a block of pairs a level waits, however little the bounds prune. Of an open pair the larger child is replaced
+    by its own children, for all its partners together; pairs of small children are compared vector by vector.
+    """
     found, one, two = Found(members, visitors), members, visitors if visitors is not None else members
     reach, own = float(np.sqrt(2 - 2 * cosine)), visitors is None
     x, y = one.tree.unit, two.tree.unit
-    stack = [(one.tree.root, two.tree.root, own)]
+    stack = [(one.tree.root, two.tree.root, own, 0)]
     while stack:
-        a, b, same = stack.pop()
-        step = max(1, 2_000_000 // len(b.centre))
-        for at in range(0, len(a.centre), step):
-            part = slice(at, at + step)
-            g = x[a.centre[part]] @ y[b.centre].T
-            d = np.sqrt(np.maximum(0, 2 - 2 * g))
-            cover = a.radius[part, None] + b.radius[None]
-            near = d <= cover + (reach + SLACK)
-            if same:
-                near &= np.arange(at, at + len(g))[:, None] < np.arange(len(b.centre))[None]
-            i, j = np.nonzero(near)
-            if not len(i):
-                continue
-            c, r, far = g[i, j], cover[i, j], d[i, j]
-            i += at
-            single = (a.high[i] - a.low[i] == 1) & (b.high[j] - b.low[j] == 1)
-            sure = single & (c >= cosine)
-            edge = np.flatnonzero(single & (np.abs(c - cosine) < SLACK))
-            p, q = a.centre[i], b.centre[j]
-            for k in edge:
-                sure[k] = one.raw[p[k]] @ two.raw[q[k]] / (one.norm[p[k]] * two.norm[q[k]]) >= cosine
-            if sure.any():
-                found.pairs(p[sure], q[sure])
-            all_ = ~single & (far + r <= reach - SLACK)
-            for k in np.flatnonzero(all_).tolist():
-                found.all_of(one.tree.order[a.low[i[k]] : a.high[i[k]]], two.tree.order[b.low[j[k]] : b.high[j[k]]])
-            stack += [(a.child(i[k]), b.child(j[k]), False) for k in np.flatnonzero(~single & ~all_).tolist()]
+        a, b, same, at = stack.pop()
+        part = slice(at, at + max(1, BLOCK // len(b.centre)))
+        if part.stop < len(a.centre):
+            stack.append((a, b, same, part.stop))
+        g = x[a.centre[part]] @ y[b.centre].T
+        cover = a.radius[part, None] + b.radius[None]
+        d = np.sqrt(np.maximum(0, 2 - 2 * g))
+        near = d <= cover + (reach + SLACK)
         if same:
+            near &= np.arange(at, at + len(g))[:, None] < np.arange(len(b.centre))[None]
+        i, j = np.nonzero(near)
+        c, r, far = g[i, j], cover[i, j], d[i, j]
+        del g, cover, d, near
+        i += at
+        many, more = a.high[i] - a.low[i], b.high[j] - b.low[j]
+        single = (many == 1) & (more == 1)
+        if single.any():
+            p, q = a.centre[i[single]], b.centre[j[single]]
+            sure = _decided(one, two, p, q, c[single], cosine)
+            found.pairs(p[sure], q[sure])
+        all_ = ~single & (far + r <= reach - SLACK)
+        for k in np.flatnonzero(all_).tolist():
+            found.all_of(one.tree.order[a.low[i[k]] : a.high[i[k]]], two.tree.order[b.low[j[k]] : b.high[j[k]]])
+        open_, first, small = ~single & ~all_, many >= more, np.maximum(many, more) <= LEAF
+        low = open_ & small
+        if low.any():
+            p, q = np.unique(i[low]), np.unique(j[low])
+            of_p, of_q = np.repeat(p, a.high[p] - a.low[p]), np.repeat(q, b.high[q] - b.low[q])
+            if len(of_p) * len(of_q) <= 8 * (many[low] * more[low]).sum():  # most are open: one product for all of them
+                wanted = np.zeros((part.stop - at, len(b.centre)), bool)
+                wanted[i[low] - at, j[low]] = True
+                _compared(found, one, two, _held(one.tree, a, p), _held(two.tree, b, q), cosine, lambda k, m, f=of_p, t=of_q, w=wanted, at=at: w[f[k] - at, t[m]])
+            else:
+                for k, others in _runs(i[low & first], j[low & first]):
+                    _compared(found, one, two, one.tree.order[a.low[k] : a.high[k]], _held(two.tree, b, others), cosine)
+                for k, others in _runs(j[low & ~first], i[low & ~first]):
+                    _compared(found, one, two, _held(one.tree, a, others), two.tree.order[b.low[k] : b.high[k]], cosine)
+        stack += [(a.node[k], b.part(others), False, 0) for k, others in _runs(i[open_ & ~small & first], j[open_ & ~small & first])]
+        stack += [(a.part(others), b.node[k], False, 0) for k, others in _runs(j[open_ & ~small & ~first], i[open_ & ~small & ~first])]
+        if same and at == 0:
             for k in np.flatnonzero(a.high - a.low > 1).tolist():
                 if 2 * a.radius[k] <= reach - SLACK:
                     found.within(one.tree.order[a.low[k] : a.high[k]])
                 else:
-                    stack.append((a.node[k], a.node[k], True))
+                    stack.append((a.node[k], a.node[k], True, 0))
     return found
 
 
@@ -327,7 +382,8 @@ def _dealt(classes: DataFrame, big: list, cosine: float, shard: int) -> DataFram
             return out
 
         for batch in batches:
-            for r in batch.to_pylist():
+            for k in range(batch.num_rows):
+                r = {c: batch.column(c)[k].as_py() for c in ("shard", "copy", "visits", "cid", "many", "x")}  # a row is a pack: not all rows at once
                 key = (r["shard"], r["copy"])
                 if key != at or (r["visits"] and members is None):
                     if held:
