@@ -14,6 +14,16 @@ from pyspark.sql import functions as F
 from ..functions.coords import let
 
 
+def evaluated(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with ``columns`` that are evaluated just once a row, where they stand.
+
+    A costly expression is otherwise repeated in each filter and column that uses it, also before a shuffle that should spread
+    it; none of that goes past an explode, here of one entry.
+    """
+    one = F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))
+    return df.select("*", F.explode(one).alias("__evaluated")).select(*df.columns, *[F.col(f"__evaluated.{n}").alias(n) for n in columns])
+
+
 def compare_models(a: DataFrame, b: DataFrame, key: str, score: str) -> DataFrame:
     """Rows of both runs with score_1, score_2 and delta."""
     x, y = a.select(key, F.col(score).alias("score_1")), b.select(key, F.col(score).alias("score_2"))

@@ -60,7 +60,7 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     two = box((e * 3) % 40, (u * 3) % 26, (e * 3) % 40 + 6, (u * 3) % 26 + 5)
     boxes = F.when(e % 19 == 0, F.array().cast("array<array<double>>")).when(e % 3 == 0, F.array(one, two)).otherwise(F.array(one))
     truth = F.array(F.struct(*[c.cast("int").alias(n) for n, c in (("x1", gx), ("y1", gy), ("x2", gx + 4 + e % 16), ("y2", gy + 3 + u % 12))]))
-    return readers.spread(read(spark, sf_dir, "events"), "event_id").select(
+    return readers.dealt(read(spark, sf_dir, "events"), "event_id").select(
         F.col("event_id").alias("sid"), "user_id", "event_type", "value", "ts", (e % 23).cast("int").alias("ord"), mode.alias("mode"), boxes.alias("boxes"), truth.alias("truth"), (e % 17 == 0).alias("gt_empty"), (e % 19 == 0).alias("no_answer"),
         (e % 5).cast("int").alias("gt_count"), F.when(e % 19 != 0, 1 + u % 4).cast("int").alias("pred_count"), (e % 2 == 0).alias("precise"), (e % 3 == 0).alias("described"),
         F.when(e % 29 != 0, u % 2 == 0).alias("gt_flag"), F.when(e % 19 != 0, e % 2 == 0).alias("pred_flag"),
@@ -124,10 +124,11 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     need = catalog.required(F.col("category"), F.col("leaf"))
     s = s.withColumn("need", need)
     empty = F.col("gt_empty") | (F.col("need.count") & (F.col("gt_count") == 0))
-    s = s.withColumn("loc", scores.localization(F.col("boxes"), F.col("truth"), empty, F.lit(H), F.lit(W), F.col("mode"))).withColumn("localization", F.col("loc"))
+    loc = scores.localization(F.col("boxes"), F.col("truth"), empty, F.lit(H), F.lit(W), F.col("mode"))
     cnt = scores.count(F.col("pred_count"), F.col("gt_count"), scores.exact_count(F.col("precise"), F.col("described")))
-    s = s.withColumn("cnt", F.coalesce(cnt, F.lit(0.0))).withColumn("count", F.col("cnt")).withColumn("cw", scores.count_weight(F.col("precise"), F.col("described")))
-    s = s.withColumn("binary", F.coalesce(scores.binary(F.col("pred_flag"), F.col("gt_flag")), F.lit(0.0)))
+    flag = F.coalesce(scores.binary(F.col("pred_flag"), F.col("gt_flag")), F.lit(0.0))
+    s = relational.evaluated(s, loc=loc, cnt=F.coalesce(cnt, F.lit(0.0)), cw=scores.count_weight(F.col("precise"), F.col("described")), binary=flag)
+    s = s.withColumn("localization", F.col("loc")).withColumn("count", F.col("cnt"))
     area = masks.one_box_runs(F.struct(*[F.lit(v).alias(n) for n, v in zip(("x1", "y1", "x2", "y2"), (*FEASIBLE[0], *FEASIBLE[1]), strict=True)]), F.lit(H))
     # only rows of paths go through the path function
     points = F.when(~F.col("no_answer"), path_points(F.col("sid"), F.col("user_id")))

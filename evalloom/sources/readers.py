@@ -83,6 +83,17 @@ def spread(df: DataFrame, key: str, small: int = 64 << 20) -> DataFrame:
     return df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), key) if size < small else df
 
 
+def dealt(df: DataFrame, key: str, part: int = 1 << 20) -> DataFrame:
+    """Deals a scan of narrow rows that are costly to compute by ``key``, whatever its size: a partition for each ``part`` bytes.
+
+    A file may be a single row group, and a split has hundreds of thousands of such rows; so the number of partitions grows with
+    the listed size, and is the session's shuffle partitions at least.
+    """
+    spark = df.sparkSession
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // part)), key)
+
+
 READERS = {".jsonl": "json", ".json": "json", ".csv": "csv", ".parquet": "parquet", ".orc": "orc", ".txt": "text"}
 
 
