@@ -39,7 +39,7 @@ def _tokens(c: str) -> str:
     f AS (SELECT avg(m / p::DOUBLE) AS p, avg(m / r::DOUBLE) AS r FROM cm)
     SELECT round(100 * least(1.0::DOUBLE, exp(1 - (SELECT r / c FROM size))) * exp((SELECT avg(ln(m / t::DOUBLE)) FROM wm)), 6) AS bleu, round(100 * 5 * p * r / (4 * p + r), 6) AS chrf FROM f""")
 def corpus_bleu_chrf(spark, d):
-    x = readers.spread(read(spark, d, "conversations"), "conv_id").select(F.col("text").alias("r"), F.regexp_replace("text", r"\b(the|la|der|of|and) ", "").alias("p"))
+    x = readers.dealt(read(spark, d, "conversations"), "conv_id").select(F.col("text").alias("r"), F.regexp_replace("text", r"\b(the|la|der|of|and) ", "").alias("p"))
     s = translation.statistics(x, "p", "r")
     sums = s.agg(*[F.sum(n).cast("double").alias(n) for n in s.columns])
     col = {n: F.col(n) for n in s.columns}
@@ -49,7 +49,7 @@ def corpus_bleu_chrf(spark, d):
 def _moved(spark, d):
     t = F.col("text")
     head = F.substring_index(t, " ", 1)
-    return readers.spread(read(spark, d, "conversations"), "conv_id").select("conv_id", "turn", "text", F.concat(F.substring(t, F.length(head) + 2, F.length(t)), F.lit(" "), head).alias("pred"))
+    return readers.dealt(read(spark, d, "conversations"), "conv_id").select("conv_id", "turn", "text", F.concat(F.substring(t, F.length(head) + 2, F.length(t)), F.lit(" "), head).alias("pred"))
 
 
 @query("corpus_scores")
@@ -79,7 +79,7 @@ def _masked(spark, d):
     e, u = F.col("event_id").cast("int"), F.col("user_id").cast("int")
     a, b = F.array(e % 200, 100 + e % 300, e % 150, 50 + u % 400), F.array(u % 100, 200 + u % 300, e % 90, 80 + e % 500)
     runs = lambda c: masks.rle_runs(c, F.lit(W * H))
-    return readers.spread(read(spark, d, "events"), "event_id").select(F.col("event_id").alias("sid"), runs(a).alias("a"), runs(b).alias("b"), (5 + e % 40).alias("nh"), (5 + u % 60).alias("nw"))
+    return readers.dealt(read(spark, d, "events"), "event_id").select(F.col("event_id").alias("sid"), runs(a).alias("a"), runs(b).alias("b"), (5 + e % 40).alias("nh"), (5 + u % 60).alias("nw"))
 
 
 @query("mask_resize", f"""WITH {_RUNS}, x AS (SELECT sid, nh, nw, s1, e1, s2, e2, unnest(range(0, nw)) AS x FROM r), p AS (SELECT *, unnest(range(0, nh)) AS y FROM x),
@@ -126,7 +126,7 @@ _NUMBERS = "n AS (SELECT event_id, event_id % 40 AS a, user_id % 30 AS b, event_
 
 def _numbers(spark, d):
     e, u = F.col("event_id"), F.col("user_id")
-    return readers.spread(read(spark, d, "events"), "event_id").select("event_id", (e % 40).alias("a"), (u % 30).alias("b"), (e % 40 + 5).alias("c"), (u % 30 + 4).alias("d"), (u % 9).alias("n"), (e % 3).alias("k"), "event_type")
+    return readers.dealt(read(spark, d, "events"), "event_id").select("event_id", (e % 40).alias("a"), (u % 30).alias("b"), (e % 40 + 5).alias("c"), (u % 30 + 4).alias("d"), (u % 9).alias("n"), (e % 3).alias("k"), "event_type")
 
 
 @query("answers_content", f"""WITH {_NUMBERS}, t AS (SELECT event_id, k, n, '[[' || a || ', ' || b || ', ' || c || ', ' || d || '], [' || b || ', ' || a || ', ' || d || ', ' || c || ']]' AS boxes FROM n)
