@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import prompts
+from .relational import evaluated
 
 # Paths of a described field, newer layouts first.
 _LABEL = ("$.text_annotation.text_label", "$.text_label")
@@ -103,13 +104,13 @@ def record(doc: Column, kind: str, system: Column, response_format: Column, with
 
 def converted(docs: DataFrame, kind: str, system: str, response_format: str = "") -> DataFrame:
     """path, messages, images of the annotations (path, doc) that have what the task needs."""
-    r = docs.select("path", record(F.col("doc"), kind, F.lit(system), F.lit(response_format)).alias("r"))
+    r = evaluated(docs.select("path", "doc"), r=record(F.col("doc"), kind, F.lit(system), F.lit(response_format)))
     return r.where("r.problem is null").select("path", "r.record.messages", "r.record.images")
 
 
 def rejected(docs: DataFrame, kind: str) -> DataFrame:
     """path, problem of the others."""
-    r = docs.select("path", record(F.col("doc"), kind, F.lit(""), F.lit("")).alias("r"))
+    r = evaluated(docs.select("path", "doc"), r=record(F.col("doc"), kind, F.lit(""), F.lit("")))
     return r.where("r.problem is not null").select("path", "r.problem")
 
 

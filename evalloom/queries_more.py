@@ -9,9 +9,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .functions import answers, choices, coords, frames, masks, metrics, names, scores, text
-from .operators import benchrows, converters, explorer, filters, instances, rollup, scoring, zipparts
+from .operators import benchrows, converters, explorer, filters, instances, relational, rollup, scoring, zipparts
 from .plans import catalog
 from .queries import H, W, query, read
+from .sources import readers
 
 
 def quoted(values) -> str:
@@ -403,7 +404,7 @@ _EXPECTED = {
 
 @query("prompt_records", " UNION ALL ".join(f"SELECT p_partkey::VARCHAR AS path, '{k}' AS kind, md5({_HEAD}{user}) AS user_md5, 'head' AS head, [{', '.join(images)}] AS images FROM part WHERE {where}" for k, (user, images, where) in _EXPECTED.items()))
 def prompt_records(spark, d):
-    docs = read(spark, d, "part").select(F.col("p_partkey").cast("string").alias("path"), F.parse_json(F.expr(_DOC)).alias("doc"))
+    docs = relational.evaluated(readers.dealt(read(spark, d, "part"), "p_partkey"), doc=F.parse_json(F.expr(_DOC))).select(F.col("p_partkey").cast("string").alias("path"), "doc")
     out = None
     for k in _EXPECTED:
         x = converters.converted(docs, k, "head\ntail", "form").select("path", F.lit(k).alias("kind"), F.md5(F.col("messages")[1]["content"]).alias("user_md5"), F.col("messages")[0]["content"].alias("head"), "images")
