@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -145,9 +146,15 @@ def last_boxed(text: pd.Series) -> pd.Series:
     return text.map(one, na_action="ignore")
 
 
-@F.pandas_udf(T.StringType())
-def visible_text(html: pd.Series) -> pd.Series:
-    """Visible text of a page: stripped strings, one a line, without scripts and styles."""
+FEW = 64  # pages that are Python texts at once
+
+
+@F.arrow_udf(T.StringType())
+def visible_text(html: pa.Array) -> pa.Array:
+    """Visible text of a page: stripped strings, one a line, without scripts and styles.
+
+    Pages are long: a few of a batch at a time are Python texts, the others stay in the batch's buffers.
+    """
     from html.parser import HTMLParser
 
     class Reader(HTMLParser):
@@ -171,4 +178,5 @@ def visible_text(html: pd.Series) -> pd.Series:
         r.close()
         return "\n".join(r.parts)
 
-    return html.map(one, na_action="ignore")
+    few = lambda at: [None if s is None else one(s) for s in html[at : at + FEW].to_pylist()]
+    return pa.chunked_array([pa.array(few(at), pa.string()) for at in range(0, len(html), FEW)], pa.string()).combine_chunks()
