@@ -18,7 +18,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import partitions_by_size
+
 WORD_ORDER, CHAR_ORDER, BETA = 4, 6, 2
+PART = 128 << 10  # listed bytes of pairs in a partition, some hundred pairs
 # Limits of the search for moves.
 MOST_LENGTH, MOST_SHIFT, MOST_TRIES, BEAM = 10, 50, 1000, 25
 # Entities that count as the characters they stand for.
@@ -57,7 +60,8 @@ def statistics(df: DataFrame, pred: str, ref: str) -> DataFrame:
     As defined, characters of a prediction count for an order only where the reference has such n-grams.
     """
     solid = lambda c: F.filter(F.split(F.regexp_replace(F.coalesce(F.col(c), F.lit("")), r"\s+", ""), ""), lambda x: x != "")
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # a task holds the n-grams of its pairs, thousands of a pair: so the number of partitions grows with the input
+    parts = partitions_by_size(df, PART)
     pairs = df.select(F.col(pred).alias("p"), F.col(ref).alias("r")).withColumn("i", F.monotonically_increasing_id()).repartition(parts, "i")
     words = pairs.select("i", words_13a(F.col("p")).alias("p"), words_13a(F.col("r")).alias("r"))
     wide = lambda x, order, of: x.groupBy("i").agg(*[F.sum(F.when(F.col("n") == n, F.col(c)).otherwise(0)).alias(f"{name}{n}") for n in range(1, order + 1) for c, name in of])
@@ -158,12 +162,20 @@ def _moves(words: np.ndarray, ref: np.ndarray, align: dict[int, int], wrong_h: n
     places that the reference's span is aligned with. The list ends with the span that uses up what is ``left`` of the tries.
     """
     out, many = [], 0
-    for start in range(len(words)):
-        for r in range(max(0, start - MOST_SHIFT), min(len(ref), start + MOST_SHIFT + 1)):
+    words, ref = words.tolist(), ref.tolist()
+    # how many wrong places there are before each one; where each word stands in the reference
+    sum_h, sum_r = ([0, *np.cumsum(x).tolist()] for x in (wrong_h, wrong_r))
+    places: dict[int, list[int]] = {}
+    for r, word in enumerate(ref):
+        places.setdefault(word, []).append(r)
+    for start, word in enumerate(words):
+        for r in places.get(word, ()):
+            if abs(r - start) > MOST_SHIFT:
+                continue
             length = 0
             while length < MOST_LENGTH and start + length < len(words) and r + length < len(ref) and words[start + length] == ref[r + length]:
                 length += 1
-                if not wrong_h[start : start + length].any() or not wrong_r[r : r + length].any() or start <= align[r] < start + length:
+                if sum_h[start + length] == sum_h[start] or sum_r[r + length] == sum_r[r] or start <= align[r] < start + length:
                     continue
                 last = None
                 for k in range(-1, length):

@@ -12,6 +12,12 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import DataFrame, SparkSession
 
 
+def partitions_by_size(df: DataFrame, part: int) -> int:
+    """A partition for each ``part`` bytes that the plan expects, by the listed sizes of its files; the session's number at least."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // part))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share. Only a session without a cluster, as in tests, gets one of our own."""
     d = spark.conf.get("spark.checkpoint.dir", None)

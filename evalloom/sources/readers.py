@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import partitions_by_size
+
 
 def json_records(spark: SparkSession, path: str | list[str], whole: bool = False) -> DataFrame:
     """file, record (VARIANT): one row for each JSON object; broken lines and non-objects are left out.
@@ -89,9 +91,7 @@ def dealt(df: DataFrame, key: str, part: int = 1 << 20) -> DataFrame:
     A file may be a single row group, and a split has hundreds of thousands of such rows; so the number of partitions grows with
     the listed size, and is the session's shuffle partitions at least.
     """
-    spark = df.sparkSession
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // part)), key)
+    return df.repartition(partitions_by_size(df, part), key)
 
 
 READERS = {".jsonl": "json", ".json": "json", ".csv": "csv", ".parquet": "parquet", ".orc": "orc", ".txt": "text"}

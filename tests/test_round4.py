@@ -50,3 +50,33 @@ def test_paths_of_a_batch_as_of_rows():
     for part in (rows[:-1], rows[3:90], rows):
         arrays = [pa.array([None] * 2 + list(c), t)[2:] for c, t in zip(zip(*part, strict=True), kinds, strict=True)]
         assert list(path._batch(*arrays)) == [path._one(*r) for r in part]
+
+
+def test_pages_become_texts_a_few_at_a_time():
+    """The texts of a batch of long pages aren't all Python objects at once; nulls, empty batches and slices stay."""
+    import tracemalloc
+
+    from evalloom.functions import text
+
+    page = "<p>" + "é" * 20_000 + "</p><script>" + "x" * 60_000 + "</script>"
+    pages = pa.array([None, *[page] * 1000, ""])
+    tracemalloc.start()
+    out = text.visible_text.func(pages)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert out.to_pylist() == [None, *["é" * 20_000] * 1000, ""] and peak < 30 << 20
+    assert text.visible_text.func(pages[:0]).to_pylist() == [] and text.visible_text.func(pages[1000:]).to_pylist() == ["é" * 20_000, ""]
+
+
+def test_ngrams_of_pairs_are_dealt_by_size(spark, monkeypatch):
+    """corpus_bleu_chrf: a task holds the n-grams of some hundred pairs, however many pairs there are."""
+    from evalloom.functions import translation
+
+    x = spark.range(1000).selectExpr("concat('a b c d ', id) AS p", "concat('a b d c ', id) AS r")
+    whole = translation.statistics(x, "p", "r").agg(F.sum("m2"), F.sum("cm3")).first()
+    few = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    monkeypatch.setattr(translation, "PART", 1000)
+    assert translation.partitions_by_size(x, 1000) > few
+    s = translation.statistics(x, "p", "r")
+    assert f"hashpartitioning(i#" in (plan := s._jdf.queryExecution().executedPlan().toString()) and f", {translation.partitions_by_size(x, 1000)})" in plan.replace(", REPARTITION_BY_NUM", ")")
+    assert s.agg(F.sum("m2"), F.sum("cm3")).first() == whole
