@@ -36,7 +36,10 @@ LETTERS = 4 << 20  # and letters, at most by more than a word
 BROADCAST = 96 << 20  # bytes of shards that are broadcast together; one shard has some 2 MB
 PACK = 4096  # words whose automata go through a shard together
 BLOCK = 1 << 16  # states that are expanded together
+HITS = 1 << 20  # neighbours of a pack in a shard that are reduced together, about
 HELD = 200_000  # different words that a task adds up before they go out
+HELD_LETTERS = 16 << 20  # and their letters, at most by more than a text's
+ROWS = 1 << 14  # forms a task of a round of pointer doubling
 
 _RUN = re.compile(f"[A-Za-zÀ-ÿ]{{{LEAST_LENGTH},}}")  # shorter runs give no word
 
@@ -55,26 +58,32 @@ def words_of(text: str, doc_id: int | None) -> Iterator[tuple[str, int]]:
         yield run, n
 
 
-def vocabulary(docs: DataFrame) -> DataFrame:
-    """word, n: all words with their counts of ``LEAST_COUNT`` and more."""
-
-    def run(batches):
-        held: Counter[str] = Counter()
-        for b in slices(batches, "text", 8 << 20):
-            for doc_id, text in zip(b.column("doc_id").to_pylist(), texts(b.column("text")), strict=True):
-                for word, n in words_of(text, doc_id):
-                    held[word] += n
-                if len(held) > HELD:
-                    yield out(held)
-                    held = Counter()
-        if held:
-            yield out(held)
+def counted(batches: Iterator[pa.RecordBatch], words: int = HELD, letters: int = HELD_LETTERS) -> Iterator[pa.RecordBatch]:
+    """word, n of a task's texts, added up within each batch; few very long words fill one as many short ones do."""
+    held: Counter[str] = Counter()
+    size = 0
 
-    def out(held):
+    def out():
         return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], ["word", "n"])
 
-    counted = docs.select("doc_id", "text").mapInArrow(run, "word string, n long")
-    return counted.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_COUNT)
+    for b in slices(batches, "text", 8 << 20):
+        for doc_id, text in zip(b.column("doc_id").to_pylist(), texts(b.column("text")), strict=True):
+            for word, n in words_of(text, doc_id):
+                if word not in held:
+                    size += len(word)
+                held[word] += n
+            if len(held) > words or size > letters:
+                yield out()
+                held, size = Counter(), 0
+    if held:
+        yield out()
+
+
+def vocabulary(docs: DataFrame) -> DataFrame:
+    """word, n: all words with their counts of ``LEAST_COUNT`` and more."""
+
+    counts = docs.select("doc_id", "text").mapInArrow(lambda batches: counted(batches), "word string, n long")
+    return counts.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_COUNT)
 
 
 class Trie:
@@ -197,7 +206,7 @@ def shards(words: DataFrame, size: int = SHARD) -> DataFrame:
             data = Trie(held, np.array(counts, np.int64)).packed()
             return pa.RecordBatch.from_pydict({"trie": pa.array([data], pa.binary()), "bytes": pa.array([len(data)], pa.int64())})
 
-        for b in batches:
+        for b in slices(batches, "word", LETTERS):
             for word, n in zip(b.column("word").to_pylist(), b.column("n").to_pylist(), strict=True):
                 if len(held) >= size or letters >= LETTERS:
                     yield shard()
@@ -211,23 +220,38 @@ def shards(words: DataFrame, size: int = SHARD) -> DataFrame:
     return ordered.mapInArrow(run, "trie binary, bytes long").withColumn("shard", F.monotonically_increasing_id())
 
 
+def packs(batches: Iterator[pa.RecordBatch], words: int = PACK, letters: int = LETTERS) -> Iterator[pa.RecordBatch]:
+    """Cuts batches into packs by their words and by the letters of these (one longer word stays whole)."""
+    for b in slices(batches, "word", letters):
+        yield from (b.slice(i, words) for i in range(0, b.num_rows, words))
+
+
+def gathered(blocks: Iterator[tuple[np.ndarray, np.ndarray]], most: int = HITS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs of ``neighbours`` in fewer blocks, closed at ``most`` pairs, so that dense vocabularies aren't held whole."""
+    held, many = [], 0
+    for block in blocks:
+        held.append(block)
+        many += len(block[0])
+        if many >= most:
+            yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+            held, many = [], 0
+    if held:
+        yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+
+
 def matched(words: DataFrame, tries: list[bytes]) -> DataFrame:
     """word, n, n_near, form_n, form: the neighbours in some shards, reduced; one pass over the words, no shuffle."""
     sent = words.sparkSession.sparkContext.broadcast(tries)
 
     def run(batches):
         made = [Trie.unpacked(x) for x in sent.value]
-        for whole in batches:
-            for b in (whole.slice(i, PACK) for i in range(0, whole.num_rows, PACK)):
-                pack = [w.encode("latin-1") for w in b.column("word").to_pylist()]
-                sizes = np.fromiter(map(len, pack), np.int64, len(pack))
-                letters, starts = np.frombuffer(b"".join(pack) + b"\0", np.uint8), np.cumsum(sizes) - sizes
-                near, best, form = np.zeros(len(pack), np.int64), np.full(len(pack), -1, np.int64), [None] * len(pack)
-                for trie in made:
-                    found = list(neighbours(trie, letters, starts, sizes))
-                    if not found:
-                        continue
-                    w, hit = (np.concatenate(x) for x in zip(*found, strict=True))
+        for b in packs(batches):
+            pack = [w.encode("latin-1") for w in b.column("word").to_pylist()]
+            sizes = np.fromiter(map(len, pack), np.int64, len(pack))
+            letters, starts = np.frombuffer(b"".join(pack) + b"\0", np.uint8), np.cumsum(sizes) - sizes
+            near, best, form = np.zeros(len(pack), np.int64), np.full(len(pack), -1, np.int64), [None] * len(pack)
+            for trie in made:
+                for w, hit in gathered(neighbours(trie, letters, starts, sizes)):
                     near += np.bincount(w, minlength=len(pack))
                     order = np.lexsort((hit, -trie.n[hit], w))  # word numbers are in code-point order
                     lead = order[np.concatenate([[True], w[order][1:] != w[order][:-1]])]
@@ -235,22 +259,30 @@ def matched(words: DataFrame, tries: list[bytes]) -> DataFrame:
                         # shards are not in order here, so equal counts compare the words
                         if (n := int(trie.n[k])) > best[p] or (n == best[p] and trie.spelled(k) < form[p]):
                             best[p], form[p] = n, trie.spelled(k)
-                yield pa.RecordBatch.from_arrays(
-                    [b.column("word"), b.column("n"), pa.array(near), pa.array([None if x < 0 else x for x in best.tolist()], pa.int64()), pa.array([x and x.decode("latin-1") for x in form], pa.string())],
-                    ["word", "n", "n_near", "form_n", "form"],
-                )
+            yield pa.RecordBatch.from_arrays(
+                [b.column("word"), b.column("n"), pa.array(near), pa.array([None if x < 0 else x for x in best.tolist()], pa.int64()), pa.array([x and x.decode("latin-1") for x in form], pa.string())],
+                ["word", "n", "n_near", "form_n", "form"],
+            )
 
     return words.mapInArrow(run, "word string, n long, n_near long, form_n long, form string")
 
 
 def roots(forms: DataFrame) -> DataFrame:
-    """word, root of every word of ``forms`` (word, form): the last of its chain, by pointer doubling."""
-    known = written(forms.select("word", F.col("form").alias("root")), "forms")
+    """word, root of every word of ``forms`` (word, form): the last of its chain, by pointer doubling.
+
+    A round is written by as many tasks as its rows need, ``ROWS`` each: with a file for each of the shuffle's partitions the
+    rounds would start most of the query's processes (on local disks Hadoop runs chmod for every file).
+    """
+    links = forms.select("word", F.col("form").alias("root"))
+    tasks = max(1, -(-links.count() // ROWS))
+    known = links
     while True:
         on = known.select(F.col("word").alias("root"), F.col("root").alias("further"))
-        further = written(known.join(on, "root", "left").select("word", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved")), "roots")
+        further = known.join(on, "root", "left").select("word", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved"))
+        further = written(further.coalesce(tasks), "roots")
         moved = further.where("moved").limit(1).count()
-        discard(known)
+        if known is not links:
+            discard(known)
         known = further
         if not moved:
             return known.select("word", "root")
@@ -268,11 +300,11 @@ def variants(docs: DataFrame, size: int = SHARD, most: int = BROADCAST) -> DataF
             held = 0
         rounds[-1].append(r["shard"])
         held += r["bytes"]
-    packs = words.repartition(min(2 * partitions(words.sparkSession), max(1, words.count() // PACK)))
+    dealt = words.repartition(min(2 * partitions(words.sparkSession), max(1, words.count() // PACK)))
     parts = []
     for numbers in rounds:
         sent = [bytes(r["trie"]) for r in tries.where(F.col("shard").between(numbers[0], numbers[-1])).select("trie").collect()]
-        parts.append(written(matched(packs, sent), "near"))
+        parts.append(written(matched(dealt, sent), "near"))
     if not parts:
         return words.select("word", F.lit(None).cast("string").alias("form"), F.col("word").alias("root"), "n", F.lit(0).cast("long").alias("n_near"), F.lit(None).cast("long").alias("form_n"))
     near = parts[0]

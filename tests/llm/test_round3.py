@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -10,6 +11,7 @@ from collections import Counter
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from evalloom.llm import covertree, repair, spelling
@@ -276,6 +278,59 @@ def test_chains_of_forms(spark):
     assert {tuple(r) for r in spelling.roots(forms).collect()} == {(f"w{i}", "w9") for i in range(9)} | {("a", "w9")}
 
 
+def test_rounds_of_roots_are_few_files(spark):
+    """In a session of many partitions that aren't joined, a round has no file for each of them."""
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    for k, v in zip(held, ("40", "false", "-1"), strict=True):
+        spark.conf.set(k, v)
+    try:
+        forms = spark.createDataFrame([(f"w{i}", f"w{i + 1}") for i in range(0, 2000) if i % 5 < 4], "word string, form string")
+        got = spelling.roots(forms)
+        assert len(got.inputFiles()) == 1
+        assert {tuple(r) for r in got.collect()} == {(f"w{i}", f"w{i - i % 5 + 4}") for i in range(0, 2000) if i % 5 < 4}
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+
+
+def test_long_words_fill_packs_and_batches():
+    """Letters close a pack or a batch of counts as well as words do; nothing is lost or cut."""
+    words = ["".join(chr(97 + (i + k) % 26) for k in range(500)) for i in range(20)] + ["a" * 5000, "short", "shorter"]
+    got = list(spelling.packs([pa.RecordBatch.from_pydict({"word": words})], words=8, letters=2000))
+    assert [w for b in got for w in b.column("word").to_pylist()] == words
+    sizes = [[len(w) for w in b.column("word").to_pylist()] for b in got]
+    assert all(len(x) <= 8 and (sum(x) <= 2000 or len(x) == 1) for x in sizes)
+    texts = pa.RecordBatch.from_pydict({"doc_id": list(range(len(words))), "text": [f"{w} {w}" for w in words]})
+    out = list(spelling.counted([texts], letters=2000))
+    assert all(sum(map(len, b.column("word").to_pylist())) <= 7000 for b in out)
+    total: Counter = Counter()
+    for b in out:
+        total.update(dict(zip(b.column("word").to_pylist(), b.column("n").to_pylist(), strict=True)))
+    want: Counter = Counter()
+    for b in spelling.counted([texts]):
+        want.update(dict(zip(b.column("word").to_pylist(), b.column("n").to_pylist(), strict=True)))
+    assert len(out) > 4 and total == want and sum(want.values()) == 2 * 22
+
+
+def test_pairs_of_dense_words_come_in_blocks():
+    """All words of three letters over 12: every one has 33 neighbours, which are reduced a block at a time."""
+    words = sorted("".join(x).encode() for x in itertools.product("abcdefghijkl", repeat=3))
+    trie = spelling.Trie.unpacked(spelling.Trie(words, np.ones(len(words), np.int64)).packed())
+    sizes = np.full(len(words), 3)
+    letters, starts = np.frombuffer(b"".join(words) + b"\0", np.uint8), np.cumsum(sizes) - sizes
+    near, blocks = np.zeros(len(words), np.int64), 0
+    block = spelling.BLOCK
+    try:
+        spelling.BLOCK = 512
+        for w, _ in spelling.gathered(spelling.neighbours(trie, letters, starts, sizes), 5000):
+            assert len(w) < 5000 + 512
+            near += np.bincount(w, minlength=len(words))
+            blocks += 1
+    finally:
+        spelling.BLOCK = block
+    assert blocks > 5 and (near == 33).all()
+
+
 # --- mended parts of earlier operators ------------------------------------------------------------------------------
 
 
